@@ -42,7 +42,7 @@ CAL_SQL = """sin(isodow_ * 2 * pi() / 7) sin_dow, cos(isodow_ * 2 * pi() / 7) co
 CAL_NAMES = ["sin_dow", "cos_dow", "sin_month", "cos_month", "sin_doy", "cos_doy"]
 
 
-@query("bars_hourly", f"""with {SQL_HOUR}
+@query("bars_hourly", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round(open, 6) as open, round(high, 6) high, round(low, 6) low,
        round(close, 6) as close, volume from bars_hour""")
 def bars_hourly(spark, sf):
@@ -50,7 +50,7 @@ def bars_hourly(spark, sf):
     return bars_hour(spark, sf).select("id", "t", *[rnd(c).alias(c) for c in cols], "volume")
 
 
-@query("bars_daily", f"""with {SQL_DAY}
+@query("bars_daily", time="t", sql=f"""with {SQL_DAY}
 select id, t, round(open, 4) as open, round(high, 4) high, round(low, 4) low,
        round(close, 4) as close, volume from bars_day""")
 def bars_daily(spark, sf):
@@ -58,7 +58,7 @@ def bars_daily(spark, sf):
     return bars_day(spark, sf).select("id", "t", *[rnd(c, 4).alias(c) for c in cols], "volume")
 
 
-@query("indicator_lag_movement_return", f"""with {SQL_HOUR}
+@query("indicator_lag_movement_return", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round(lag(close) {W}, 6) as close_lag1,
   round((open - lag(close) {W}) / nullif(lag(close) {W}, 0), 6) movement,
   round((close / nullif(lag(close) {W}, 0) - 1) * 100, 6) daily_return,
@@ -72,7 +72,7 @@ def lag_movement_return(spark, sf):
                                    ("close_lag1", "movement", "daily_return", "roc")])
 
 
-@query("indicator_volatility", f"""with {SQL_HOUR},
+@query("indicator_volatility", time="t", sql=f"""with {SQL_HOUR},
 r as (select *, (close / nullif(lag(close) {W}, 0) - 1) * 100 ret from bars_hour)
 select id, t, round({full("stddev_samp(ret)", "ret", 5)}, 6) volatility_5,
   round({full("stddev_samp(ret)", "ret", 30)}, 6) volatility_30 from r""")
@@ -85,7 +85,7 @@ def volatility(spark, sf):
                       rnd("volatility_30").alias("volatility_30"))
 
 
-@query("indicator_ema", f"""with {SQL_HOUR}
+@query("indicator_ema", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round({ema_sql("close", 12)}, 6) ema_12, round({ema_sql("close", 26)}, 6) ema_26,
   round({ema_sql("close", 3)}, 6) ema_3 from bars_hour""")
 def ema(spark, sf):
@@ -95,13 +95,13 @@ def ema(spark, sf):
     return out.select("id", "t", *[rnd(f"ema_{n}").alias(f"ema_{n}") for n in (3, 12, 26)])
 
 
-@query("indicator_macd", f"""with {SQL_HOUR}
+@query("indicator_macd", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round({ema_sql("close", 12)} - {ema_sql("close", 26)}, 6) macd from bars_hour""")
 def macd(spark, sf):
     return I.add_macd(bars_hour(spark, sf), HOUR, "close").select("id", "t", rnd("MACD").alias("macd"))
 
 
-@query("indicator_rsi", f"""with {SQL_HOUR},
+@query("indicator_rsi", time="t", sql=f"""with {SQL_HOUR},
 d as (select *, close - lag(close) {W} delta from bars_hour)
 select id, t, round({rsi_sql("delta", 14)}, 6) rsi from d""")
 def rsi(spark, sf):
@@ -111,7 +111,7 @@ def rsi(spark, sf):
 HL = f"{full('max(high)', 'high', 14)}", f"{full('min(low)', 'low', 14)}"
 
 
-@query("indicator_stochastic", f"""with {SQL_HOUR},
+@query("indicator_stochastic", time="t", sql=f"""with {SQL_HOUR},
 r as (select *, {HL[0]} hi, {HL[1]} lo from bars_hour),
 k as (select *, 100 * (close - lo) / nullif(hi - lo, 0) k from r)
 select id, t, round(k, 6) stoch_k, round({full("avg(k)", "k", 3)}, 6) stoch_d from k""")
@@ -120,7 +120,7 @@ def stochastic(spark, sf):
         "id", "t", rnd("Stoch_K").alias("stoch_k"), rnd("Stoch_D").alias("stoch_d"))
 
 
-@query("indicator_williams_r", f"""with {SQL_HOUR},
+@query("indicator_williams_r", time="t", sql=f"""with {SQL_HOUR},
 r as (select *, {HL[0]} hi, {HL[1]} lo from bars_hour)
 select id, t, round(-100 * (hi - close) / nullif(hi - lo, 0), 6) + 0.0 williams_r from r""")
 def williams(spark, sf):
@@ -129,7 +129,7 @@ def williams(spark, sf):
     return out.select("id", "t", rnd("williams_r").alias("williams_r"))
 
 
-@query("rolling_mean_60", f"""with {SQL_HOUR}
+@query("rolling_mean_60", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round({full("avg(close)", "close", 60)}, 6) mean_60 from bars_hour""")
 def rolling_mean(spark, sf):
     out = I.indicator(bars_hour(spark, sf), HOUR, "mean_60",
@@ -168,17 +168,17 @@ def _enriched(df, s, n):
                       *[rnd(c).alias(c) for c in CAL_NAMES])
 
 
-@query("enrich_hourly", enrich_sql(SQL_HOUR, "bars_hour", 6))
+@query("enrich_hourly", time="t", sql=enrich_sql(SQL_HOUR, "bars_hour", 6))
 def enrich_hourly(spark, sf):
     return _enriched(bars_hour(spark, sf), HOUR, 6)
 
 
-@query("enrich_daily", enrich_sql(SQL_DAY, "bars_day", 4))
+@query("enrich_daily", time="t", sql=enrich_sql(SQL_DAY, "bars_day", 4))
 def enrich_daily(spark, sf):
     return _enriched(bars_day(spark, sf), DAY, 4)
 
 
-@query("calendar_features", f"""with days as (
+@query("calendar_features", time="t", sql=f"""with days as (
   select distinct cast(o_orderdate as date) t from orders),
 x as (select t, isodow(t) - 1 isodow_ from days), y as (select t, {CAL_SQL} from x)
 select t, {", ".join(f"round({c}, 6) + 0.0 as {c}" for c in CAL_NAMES)} from y""")
@@ -202,7 +202,7 @@ select id, t, round(coalesce(diff_close, lead(diff_close) {W}), 6) + 0.0 diff_cl
   round(coalesce(log_shifted, lead(log_shifted) {W}), 6) + 0.0 log_shifted from d"""
 
 
-@query("difference", DIFF_SQL)
+@query("difference", time="t", sql=DIFF_SQL)
 def difference(spark, sf):
     """Plain and log differences; the shifted column holds negatives, so it stays plain."""
     b = bars_hour(spark, sf).select("id", "t", F.col("close").alias("diff_close"),
@@ -222,7 +222,7 @@ select id, t, round(first_value(close) over w + sum(d) over w, 4) from_diff,
 from d window w as (partition by id order by t rows unbounded preceding)"""
 
 
-@query("invert_difference", INVERT_SQL)
+@query("invert_difference", time="t", sql=INVERT_SQL)
 def invert_difference(spark, sf):
     """Differences turned back into levels from each series' first price, both ways in one pass."""
     b = running(bars_hour(spark, sf).select("id", "t", "close"), HOUR, row_numbers(HOUR),
@@ -235,14 +235,14 @@ def invert_difference(spark, sf):
                     rnd(F.col("anchor") * F.exp("sl"), 4).alias("from_log"))
 
 
-@query("direction", f"""with {SQL_DAY},
+@query("direction", time="t", sql=f"""with {SQL_DAY},
 d as (select id, t, cast(sign(close - lag(close) {W}) as integer) direction from bars_day)
 select * from d where direction is not null""")
 def direction(spark, sf):
     return I.direction(bars_day(spark, sf), DAY, "close").select("id", "t", "direction")
 
 
-@query("cumulative_return", f"""with {SQL_HOUR},
+@query("cumulative_return", time="t", sql=f"""with {SQL_HOUR},
 r as (select id, t, coalesce(close / nullif(lag(close) {W}, 0) - 1, 0) / 100 r from bars_hour)
 select id, t, round(sum(ln(1 + r)) over (partition by id order by t rows unbounded preceding), 6) + 0.0
   log_growth from r""")
@@ -254,7 +254,7 @@ def cumulative_return(spark, sf):
     return out.select("id", "t", rnd(F.ln("cum_return")).alias("log_growth"))
 
 
-@query("normalise_first", f"""with {SQL_DAY}
+@query("normalise_first", time="t", sql=f"""with {SQL_DAY}
 select id, t, round(close / first_value(close) over (partition by id order by t), 6) rebased
 from bars_day""")
 def normalise_first(spark, sf):
@@ -262,7 +262,7 @@ def normalise_first(spark, sf):
         "id", "t", rnd("rebased").alias("rebased"))
 
 
-@query("first_dates", """with f as (
+@query("first_dates", time="first_t", sql="""with f as (
   select cast(l_suppkey as varchar) id, min(cast(l_shipdate as date)) first_t from lineitem group by 1)
 select id, first_t, year(first_t) as year from f""")
 def first_dates(spark, sf):

@@ -43,3 +43,23 @@ SQL_DAY = """bars_day as (
          max(o_totalprice) high, min(o_totalprice) low, arg_max(o_totalprice, o_orderkey) as close,
          cast(count(*) as double) volume
   from orders group by 1, 2)"""
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored articles: an embedding and three class probabilities per article."""
+    e = table(spark, sf, "embeddings")
+    parts = [F.abs(F.get("embedding", F.lit(i))).cast("double") for i in range(3)]
+    total = parts[0] + parts[1] + parts[2]
+    return e.select(
+        "vec_id", F.expr("date_add(date'2024-01-01', cast(vec_id * vec_id % 61 as int))").alias("date"),
+        "embedding", *[(p / total).alias(c) for p, c in
+                       zip(parts, ("prob_positive", "prob_negative", "prob_neutral"))])
+
+
+_S = "(abs(cast(embedding[1] as double)) + abs(cast(embedding[2] as double)) + abs(cast(embedding[3] as double)))"
+SQL_SCORED = f"""scored as (
+  select vec_id, date '2024-01-01' + cast(vec_id * vec_id % 61 as int) date, embedding,
+    abs(cast(embedding[1] as double)) / {_S} prob_positive,
+    abs(cast(embedding[2] as double)) / {_S} prob_negative,
+    abs(cast(embedding[3] as double)) / {_S} prob_neutral
+  from embeddings)"""

@@ -32,7 +32,7 @@ def bucket_of(df: DataFrame, s: Series) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_trunc(s.bucket or "day", s.t)
     if isinstance(dtype, T.IntegralType):
-        return F.floor(F.col(s.t) / int(s.bucket or 4096))
+        return F.expr(f"`{s.t}` div {int(s.bucket or 4096)}")
     raise TypeError(f"{s.t}: need a date, timestamp or integer, got {dtype.simpleString()}")
 
 

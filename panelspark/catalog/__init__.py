@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["indicators", "alignment", "news", "windows"]
+MODULES = ["indicators", "alignment", "news", "windows", "statistics"]
 
 
 def query(name: str, sql: str | None = None, time: str = ""):

@@ -16,11 +16,12 @@ def _is_word(ch: str) -> bool:
 
 def keyword_pattern(kw: str) -> str:
     """Whole-word pattern for a keyword with an optional plural s, borders counted in Unicode."""
-    before = f"(?<!{WORD})" if _is_word(kw[0]) else f"(?<={WORD})"
     body = re.sub(r"([\\.\[\]{}()*+?^$|&#~\-])", r"\\\1", kw)
+    # the border before the keyword is looked at behind it, so the search starts on the literal
+    before = f"(?<!{WORD}{body})" if _is_word(kw[0]) else f"(?<={WORD}{body})"
     end, inner = f"(?!{WORD})", f"(?={WORD})"
     plural = f"s?{end}" if _is_word(kw[-1]) else f"(?:s{end}|{inner})"
-    return f"{before}{body}{plural}"
+    return f"{body}{before}{plural}"
 
 
 def matched_keywords(text: Column, keywords: list[str]) -> Column:

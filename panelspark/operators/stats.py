@@ -17,25 +17,29 @@ def exact_percentiles(df: DataFrame, by: list[str], col: str, qs: list[float],
 
     The built-in exact percentile gathers a group's distinct values in one buffer, which a hot
     group outgrows. Here a mergeable sketch brackets each wanted rank, rows below the bracket are
-    only counted, and the few rows inside it, already merged by value, are ranked. The sketch's
-    rank error is at most n / accuracy and the bracket is twice as wide, so the rank is inside.
+    only counted, and the few rows inside it, already merged by value, are ranked. The sketch is
+    off by at most n / accuracy ranks and the bracket reaches 4 n / accuracy either way, so from
+    n = accuracy on both neighbours of the rank are inside; smaller groups are kept whole.
     """
     x = F.col(col).cast("double")
     src = df.filter(x.isNotNull()).select(*by, x.alias("_x"))
-    pad = 2 / accuracy
+    pad = 4 / accuracy
     edges = [e for q in qs for e in (max(q - pad, 0.0), min(q + pad, 1.0))]
     stats = src.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.percentile_approx("_x", edges, accuracy).alias("_e"))
+    small = F.col("_n") < accuracy
+    def edge(i, end, at_end):
+        return F.col(end) if at_end else F.when(small, F.col(end)).otherwise(F.col("_e")[i])
     wanted = F.array(*[F.struct(
         F.lit(float(q)).alias("q"),
-        (F.col("_min") if q - pad <= 0 else F.col("_e")[2 * i]).alias("lo"),
-        (F.col("_max") if q + pad >= 1 else F.col("_e")[2 * i + 1]).alias("hi"))
+        edge(2 * i, "_min", q - pad <= 0).alias("lo"),
+        edge(2 * i + 1, "_max", q + pad >= 1).alias("hi"))
         for i, q in enumerate(qs)])
     brackets = stats.select(*by, "_n", F.explode(wanted).alias("_b")).select(
         *by, "_n", F.col("_b.q").alias("q"), F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
     packed = brackets.groupBy(*by).agg(F.collect_list(F.struct("q", "_lo", "_hi", "_n")).alias("_w"))
-    joined = src.join(packed, by) if by else src.crossJoin(F.broadcast(packed))
+    joined = src.join(packed, by) if by else src.withColumn("_w", packed.scalar())
     # a value sorts to one of: below the bracket (counted only) or inside it (kept)
     place = F.explode(F.filter("_w", lambda b: F.col("_x") <= b["_hi"]))
     inside = joined.select(*by, "_x", place.alias("_b")).select(
@@ -62,7 +66,9 @@ def describe(df: DataFrame, by: list[str], col: str) -> DataFrame:
     base = df.groupBy(*by).agg(
         F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"))
-    return base.join(wide, by) if by else base.crossJoin(wide)
+    if by:
+        return base.join(wide, by)
+    return base.withColumns({n: wide.select(n).scalar() for n in qs.values()})
 
 
 def describe_series(df: DataFrame, s: Series, col: str) -> DataFrame:
@@ -313,10 +319,6 @@ def central_span(dist: DataFrame, by: list[str], mass: float) -> DataFrame:
 
 
 # ── table summaries, extremes ───────────────────────────────────────────────
-def corr_blocks_ok(n_features: int, block: int = 512) -> int:
-    return max(1, -(-n_features // block))
-
-
 def dataset_summary(tables: dict[str, DataFrame], t: str) -> DataFrame:
     """Rows, span and missing cells of each table, each from one scan."""
     out = None

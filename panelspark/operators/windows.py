@@ -21,15 +21,15 @@ def temporal_split(df: DataFrame, s: Series, test: int = TEST_ROWS, val: int = V
     Validation and test also get the `ctx` rows before them, so a row near a border appears once
     per split it belongs to. Adds `split`.
     """
-    out = number_rows(df, s, ROW, "_len")
-    pos, n = F.col(ROW) - 1, F.col("_len")
+    out = number_rows(df, s, ROW, "series_len")
+    pos, n = F.col(ROW) - 1, F.col("series_len")
     test_at = F.greatest(n - test, F.lit(0))
     val_at = F.greatest(test_at - val, F.lit(0))
     names = F.array_compact(F.array(
         F.when(pos < val_at, F.lit("train")),
         F.when((pos >= F.greatest(val_at - ctx, F.lit(0))) & (pos < test_at), F.lit("val")),
         F.when(pos >= F.greatest(test_at - ctx, F.lit(0)), F.lit("test"))))
-    return out.withColumn("split", F.explode(names)).drop(ROW, "_len")
+    return out.withColumn("split", F.explode(names)).drop(ROW, "series_len")
 
 
 def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PRED_LEN,

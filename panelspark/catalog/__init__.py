@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["indicators", "alignment", "news", "windows", "statistics", "evaluation"]
+MODULES = ["indicators", "alignment", "news", "windows", "statistics", "evaluation",
+           "saliency", "quality"]
 
 
 def query(name: str, sql: str | None = None, time: str = ""):

@@ -257,19 +257,21 @@ def forecast(windows: DataFrame, keys: list[str], fn: Callable[[np.ndarray, int,
     src = windows.select(*keys, "window", "x",
                          F.pmod(F.xxhash64(*keys, "window", F.lit(seed)), F.lit(2**31)).alias("draw_seed"))
 
-    def run(frames):
-        horizon, member = np.tile(np.arange(1, pred + 1), mc), np.repeat(np.arange(mc), pred)
+    def run(frames, rows_at_once=256):
+        horizon = np.tile(np.arange(1, pred + 1, dtype="int32"), mc)
+        member = np.repeat(np.arange(mc, dtype="int32"), pred)
         for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                draws = np.asarray(fn(np.asarray(row.x, dtype=float), pred, mc, int(row.draw_seed)))
-                if draws.shape != (mc, pred):
-                    raise ValueError(f"forecaster returned {draws.shape}, wanted {(mc, pred)}")
-                out = pd.DataFrame({"horizon": horizon.astype("int32"),
-                                    "sample": member.astype("int32"), "value": draws.ravel()})
-                for k in keys:
-                    out[k] = getattr(row, k)
-                out["window"] = row.window
-                yield out[[*keys, "window", "horizon", "sample", "value"]]
+            for at in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[at:at + rows_at_once]
+                draws = []
+                for x, own in zip(part["x"], part["draw_seed"]):
+                    d = np.asarray(fn(np.asarray(x, dtype=float), pred, mc, int(own)), dtype=float)
+                    if d.shape != (mc, pred):
+                        raise ValueError(f"forecaster returned {d.shape}, wanted {(mc, pred)}")
+                    draws.append(d.ravel())
+                out = part[[*keys, "window"]].loc[part.index.repeat(mc * pred)]
+                yield out.assign(horizon=np.tile(horizon, len(part)),
+                                 sample=np.tile(member, len(part)), value=np.concatenate(draws))
 
     return src.mapInPandas(run, f"{schema}, window bigint, horizon int, sample int, value double")
 

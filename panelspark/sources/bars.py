@@ -48,7 +48,7 @@ def _bar_name(c: str) -> str:
 
 
 def read_messy_bars(spark: SparkSession, path: str, names: list[str],
-                    required: list[str], junk_rows: int = 1) -> DataFrame:
+                    required: list[str]) -> DataFrame:
     """CSV with junk leading lines and forced names: unparsable cells become null, rows that
     lack a required cell are dropped."""
     strings = T.StructType([T.StructField(n, T.StringType()) for n in names])

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ["indicators", "alignment", "news", "windows", "statistics", "evaluation",
-           "saliency", "quality", "streams", "storage"]
+           "saliency", "quality", "streams", "storage", "flows"]
 
 
 def query(name: str, sql: str | None = None, time: str = ""):

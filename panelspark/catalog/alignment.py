@@ -99,9 +99,9 @@ def ffill_bfill(spark, sf):
 
 
 @query("date_gaps", time="t prev_t", sql=f"""with {SQL_DAY}, g as (select id, t, lag(t) {W} prev_t from bars_day)
-select id, t, prev_t, cast(t - prev_t as integer) gap_days from g where t - prev_t > 2""")
+select id, t, prev_t, cast(t - prev_t as integer) gap_days from g where t - prev_t > 1""")
 def date_gaps(spark, sf):
-    return C.date_gaps(bars_day(spark, sf), DAY, 2).select("id", "t", "prev_t", "gap_days")
+    return C.date_gaps(bars_day(spark, sf), DAY, 1).select("id", "t", "prev_t", "gap_days")
 
 
 COVER_SQL = f"""{SQL_DAY}, span as (select min(t) lo, max(t) + 5 hi from bars_day),

@@ -219,7 +219,7 @@ select doc_id, total n_tokens, round(p / (p + g + u), 6) prob_positive, round(g
   round(u / (p + g + u), 6) prob_neutral from n""")
 def score_text(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = N.score_text(d, N.lexicon_scorer(WORDS))
+    out = N.score_text(d, N.lexicon_scorer(WORDS), partitions=spark.sparkContext.defaultParallelism)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("long")
     return out.select("doc_id", total.alias("n_tokens"), *[rnd(c).alias(c) for c in C.PROB_COLS])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelspark.catalog import query
@@ -22,11 +23,13 @@ def study(spark, sf):
 
 def score(seqs):
     """Position-weighted energy of a sequence."""
-    return [float(sum((i + 1) * x * x for i, x in enumerate(s))) for s in seqs]
+    x = np.stack(seqs)
+    return (x * x) @ np.arange(1, x.shape[1] + 1)
 
 
 def scored(spark, sf):
-    return L.score_variants(L.expand_variants(study(spark, sf), [], KS), [], score)
+    spread = spark.sparkContext.defaultParallelism
+    return L.score_variants(L.expand_variants(study(spark, sf), [], KS, partitions=spread), [], score)
 
 
 D = "list_transform(embedding, lambda x: cast(x as double))"

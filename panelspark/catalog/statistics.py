@@ -83,11 +83,11 @@ def histogram_density(spark, sf):
 
 @query("histogram_clipped", """with r as (select l_extendedprice x from lineitem), m as (select quantile_cont(x, 0.01) lo, quantile_cont(x, 0.99) hi from r),
 b as (select least(floor((x - lo) / ((hi - lo) / 40)), 39) bin, count(*) n from r, m where x between lo and hi group by 1)
-select g.i bin, coalesce(n, 0) n, round(lo + g.i * (hi - lo) / 40, 4) as left from generate_series(0, 39) g(i) cross join m left join b on b.bin = g.i""")
+select g.i bin, coalesce(n, 0) n, round(lo + g.i * (hi - lo) / 40, 2) as left from generate_series(0, 39) g(i) cross join m left join b on b.bin = g.i""")
 def histogram_clipped(spark, sf):
     li = table(spark, sf, "lineitem")
     lo, hi = S.clipped_range(li, "l_extendedprice", 0.01, 0.99)
-    return S.histogram(li, "l_extendedprice", 40, lo, hi).select("bin", "n", rnd("left", 4).alias("left"))
+    return S.histogram(li, "l_extendedprice", 40, lo, hi).select("bin", "n", rnd("left", 2).alias("left"))
 
 
 @query("year_histogram", """select cast(y as integer) as year, count(o_orderkey) n from generate_series(1990, 2010) g(y)
@@ -186,18 +186,18 @@ def row_softmax(spark, sf):
 TARGETS = "f2 like '%close' and f1 not like '%close'"
 
 
-@query("relevant_features", f"""with {LONG_SQL} select f1, round(max(abs(r)), 6) max_abs_r from cm where {TARGETS} group by 1 having max(abs(r)) > 0.3""")
+@query("relevant_features", f"""with {LONG_SQL} select f1, round(max(abs(r)), 6) max_abs_r from cm where {TARGETS} group by 1 having max(abs(r)) > 0.05""")
 def relevant_features(spark, sf):
-    out = S.relevant_features(_corr(spark, sf).filter(TARGETS), 0.3)
+    out = S.relevant_features(_corr(spark, sf).filter(TARGETS), 0.05)
     return out.select("f1", rnd("max_abs_r").alias("max_abs_r"))
 
 
-@query("redundant_pairs", f"""with {LONG_SQL}, k as (select f1 from cm where {TARGETS} group by 1 having max(abs(r)) > 0.3)
-select f1, f2, round(r, 6) r from cm where f1 < f2 and abs(r) > 0.2 and f1 in (select * from k) and f2 in (select * from k)""")
+@query("redundant_pairs", f"""with {LONG_SQL}, k as (select f1 from cm where {TARGETS} group by 1 having max(abs(r)) > 0.05)
+select f1, f2, round(r, 6) r from cm where f1 < f2 and abs(r) > 0.1 and f1 in (select * from k) and f2 in (select * from k)""")
 def redundant_pairs(spark, sf):
     corr = stage(_corr(spark, sf), "correlations")
-    keep = S.relevant_features(corr.filter(TARGETS), 0.3)
-    return S.redundant_pairs(corr, keep, 0.2).select("f1", "f2", rnd("r").alias("r"))
+    keep = S.relevant_features(corr.filter(TARGETS), 0.05)
+    return S.redundant_pairs(corr, keep, 0.1).select("f1", "f2", rnd("r").alias("r"))
 
 
 @query("highlight_cells", f"""with {LONG_SQL}
@@ -206,9 +206,9 @@ def highlight_cells(spark, sf):
     return S.highlight(stage(_corr(spark, sf), "correlations"), 0.3).select("f1", "f2", "marked")
 
 
-@query("n_relevant", f"""with {LONG_SQL} select count(*) filter (abs(r) > 0.3) n_relevant, count(*) n_total from cm where {TARGETS}""")
+@query("n_relevant", f"""with {LONG_SQL} select count(*) filter (abs(r) > 0.05) n_relevant, count(*) n_total from cm where {TARGETS}""")
 def n_relevant(spark, sf):
-    return S.n_relevant(_corr(spark, sf).filter(TARGETS), 0.3)
+    return S.n_relevant(_corr(spark, sf).filter(TARGETS), 0.05)
 
 
 @query("embedding_pca")

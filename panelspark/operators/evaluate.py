@@ -247,16 +247,20 @@ def summarise(windows: DataFrame, by: list[str], h: int) -> DataFrame:
 
 # ── forecaster hook ─────────────────────────────────────────────────────────
 def forecast(windows: DataFrame, keys: list[str], fn: Callable[[np.ndarray, int, int, int], np.ndarray],
-             pred: int, mc: int = 100, seed: int = 0) -> DataFrame:
+             pred: int, mc: int = 100, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """Samples from a user forecaster: `fn(context, pred, mc, seed) -> (mc, pred)`.
 
     The seed mixes the window number with the given one, so a retried task draws the same.
+    `partitions` spreads the windows first, which pays when the model costs more than moving them.
     """
     spark_types = dict(windows.dtypes)
     schema = ", ".join(f"`{k}` {spark_types[k]}" for k in keys)
     src = windows.select(*keys, "window", "x",
                          F.pmod(F.xxhash64(*keys, "window", F.lit(seed)), F.lit(2**31)).alias("draw_seed"))
 
+    if partitions:
+        src = src.repartition(partitions, *keys, "window")
+
     def run(frames, rows_at_once=256):
         horizon = np.tile(np.arange(1, pred + 1, dtype="int32"), mc)
         member = np.repeat(np.arange(mc, dtype="int32"), pred)

@@ -200,14 +200,18 @@ SCORED = "embedding array<float>, probs map<string,double>"
 
 
 def score_text(df: DataFrame, scorer: Callable[[], Callable[[list[str]], list[dict]]],
-               text: str = "text", batch: int = 64, labels=PROB_LABELS) -> DataFrame:
+               text: str = "text", batch: int = 64, labels=PROB_LABELS,
+               partitions: int | None = None) -> DataFrame:
     """Score texts with a user model; adds `embedding` and one probability column per label.
 
     `scorer()` runs once per task and returns a function from a list of texts to a list of
     `{"embedding": [...], "probs": {label: p}}`; `probs` may be absent for embedding-only models.
     Probabilities are placed by label name. A label set that is not the expected one raises.
     Rows are articles, so one crowded day is spread over all tasks; `batch` bounds memory.
+    `partitions` spreads the texts first, which pays when the model costs more than moving them.
     """
+    if partitions:
+        df = df.repartition(partitions)
     schema = df.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     expected = set(labels)

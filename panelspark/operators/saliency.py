@@ -80,12 +80,16 @@ def shuffle(seq, *seed: Column) -> Column:
 
 def expand_variants(df: DataFrame, keys: list[str], ks: list[int] = KS,
                     shifts: list[int] = SHIFTS, strategy: str = "mean",
-                    seed: int = SEED) -> DataFrame:
+                    seed: int = SEED, partitions: int | None = None) -> DataFrame:
     """One row per (window, variant, k) with the sequence that variant feeds the model.
 
+    `partitions` spreads the windows before they multiply, for inputs that come as few files.
+
     Variants: `base`; `delete_top`, `delete_rand`, `delete_least` mask k positions; `all_masked`
     and `insert` (all but the top k masked); `leave_out` masks position k; `shift_d`, `shuffle`.
     """
+    if partitions:
+        df = df.repartition(partitions, *keys, "window")
     n = F.size("seq")
     whose = [F.col(k) for k in (*keys, "window")]
     top, least = topk_index("sal", 10**9), topk_index("sal", 10**9, largest=False)

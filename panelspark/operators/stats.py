@@ -182,16 +182,18 @@ def corr_matrix(df: DataFrame, t: str = "t", feature: str = "feature", value: st
                 ddof_scale: bool = False) -> DataFrame:
     """Pearson of every pair of features, long `(f1, f2, r)`, f1 and f2 over all features.
 
-    Z-scores are cut into (date chunk x feature block) tiles; each pair of blocks multiplies as
+    Z-scores are cut into (chunk of dates x block of features) tiles; each pair of blocks multiplies as
     two small matrices inside a task and only block-sized partial sums are shuffled, so no date
     ever unfolds into pairs of rows. Every feature must have a value on every date.
     `ddof_scale` keeps the factor (T-1)/T of a product of sample z-scores divided by T.
     """
-    spark = df.sparkSession
     z = zscore(df.select(t, F.col(feature).alias("feature"), F.col(value).cast("double").alias("value")))
     n_blocks = F.greatest(F.ceil(z.agg(F.count_distinct("feature")).scalar() / block), F.lit(1))
-    z = z.withColumns({"_blocks": n_blocks, "_c": F.expr(f"unix_date(cast(`{t}` as date)) div {dates_per_chunk}")})
-    z = z.withColumn("_b", F.pmod(F.xxhash64("feature"), F.col("_blocks")))
+    n = df.agg(F.count_distinct(t)).scalar()
+    # products are sums over dates, so any even cut of the dates will do
+    z = z.withColumns({"_blocks": n_blocks, "_chunks": F.greatest(F.ceil(n / dates_per_chunk), F.lit(1))})
+    z = z.withColumns({"_b": F.pmod(F.xxhash64("feature"), F.col("_blocks")),
+                       "_c": F.pmod(F.xxhash64(t), F.col("_chunks"))})
     # a tile takes part in one product per pair of blocks it belongs to
     z = z.withColumn("_o", F.explode(F.expr("sequence(0L, _blocks - 1)")))
     z = z.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
@@ -212,7 +214,6 @@ def corr_matrix(df: DataFrame, t: str = "t", feature: str = "feature", value: st
     both = F.explode(F.when(F.col("mirror"), F.array(
         F.struct("f1", "f2"), F.struct(F.col("f2").alias("f1"), F.col("f1").alias("f2"))))
         .otherwise(F.array(F.struct("f1", "f2"))))
-    n = df.agg(F.count_distinct(t)).scalar()
     div = n if ddof_scale else n - 1
     return total.select(both.alias("p"), "s").select("p.f1", "p.f2", (F.col("s") / div).alias("r"))
 

@@ -34,17 +34,17 @@ def temporal_split(df: DataFrame, s: Series, test: int = TEST_ROWS, val: int = V
 
 def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PRED_LEN,
                     target: str = "close", cols: list[str] | None = None,
-                    size: int | None = None) -> DataFrame:
+                    ahead: list[str] | None = None, size: int | None = None) -> DataFrame:
     """Every stride-1 window: `ctx` rows of context and the `pred` target rows after them.
 
     One row per window: `window` (1-based), `start_t` the first forecast time, `x` and `y` the
-    target's context and future, and for each further column (scalar, vector or struct) the
-    context array `x_{col}`. Windows are cut inside segments that overlap by ctx + pred rows;
+    target's context and future, for each column in `cols` (scalar, vector or struct) the context
+    array `x_{col}`, and for each in `ahead` the future array `y_{col}`. Windows are cut inside segments that overlap by ctx + pred rows;
     prune columns first, the output is that much larger than the input.
     """
-    cols = cols or []
+    cols, ahead = cols or [], ahead or []
     size = size or max(512, 4 * (ctx + pred))
-    keep = df.select(*s.keys, s.t, target, *[c for c in cols if c != target],
+    keep = df.select(*s.keys, s.t, *dict.fromkeys([target, *cols, *ahead]),
                      *([ROW] if ROW in df.columns else []))
     seg = segmented(keep, s, back=ctx, ahead=pred - 1, size=size)
     w = in_segment(s)
@@ -55,9 +55,10 @@ def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PR
         return F.struct(F.col(c).alias("v"))
     out = seg.withColumns({
         "x": F.collect_list(pack(target)).over(past), "y": F.collect_list(pack(target)).over(future),
-        **{f"x_{c}": F.collect_list(pack(c)).over(past) for c in cols}})
+        **{f"x_{c}": F.collect_list(pack(c)).over(past) for c in cols},
+        **{f"y_{c}": F.collect_list(pack(c)).over(future) for c in ahead}})
     out = own_rows(out).filter((F.size("x") == ctx) & (F.size("y") == pred))
-    arrays = ["x", "y", *[f"x_{c}" for c in cols]]
+    arrays = ["x", "y", *[f"x_{c}" for c in cols], *[f"y_{c}" for c in ahead]]
     return out.select(*s.keys, (F.col(ROW) - ctx).alias("window"), F.col(s.t).alias("start_t"),
                       *[F.transform(a, lambda v: v["v"]).alias(a) for a in arrays])
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.student import t_p_value
 from panelspark.operators.segments import ROW, number_rows
 from panelspark.schema import Series
+from panelspark.session import stage
 
 # Interval levels, calibration grid, guards against division by zero.
 ALPHAS = {50: 0.5, 80: 0.2, 90: 0.1}
@@ -206,26 +207,26 @@ def dm_test(losses: DataFrame, by: list[str], loss1: str = "mse", loss2: str = "
     Windows are numbered; each difference is sent to the h - 1 positions after it and meets its
     partner by an equality join, h rows per window.
     """
-    one = [] if by else [F.lit(0).alias("_g")]
-    keys = by or ["_g"]
-    d = losses.select(*by, *one, order, (F.col(loss1) - F.col(loss2)).alias("_d"))
-    d = number_rows(d, Series(tuple(keys), order))
-    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"),
-                                 F.var_pop("_d").alias("_g0"))
-    terms = stats.withColumn("_cov", F.lit(0.0))
+    d = losses.select(*by, order, (F.col(loss1) - F.col(loss2)).alias("_d"))
+    d = stage(number_rows(d, Series(tuple(by), order)).select(*by, ROW, "_d"), "loss-differences")
+    stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"),
+                               F.var_pop("_d").alias("_g0"))
+    out = stats.withColumn("_cov", F.lit(0.0))
     if h > 1:
-        c = d.join(stats.select(*keys, "mean_diff"), keys).withColumn("_c", F.col("_d") - F.col("mean_diff"))
-        here = c.select(*keys, ROW, F.col("_c").alias("_a"))
-        past = c.select(*keys, F.col("_c").alias("_b"), F.col(ROW).alias("_r"),
+        means = stats.select(*by, "mean_diff")
+        c = d.join(means, by) if by else d.withColumn("mean_diff", means.scalar())
+        c = c.select(*by, ROW, (F.col("_d") - F.col("mean_diff")).alias("_b"))
+        past = c.select(*by, "_b", F.col(ROW).alias("_r"),
                         F.explode(F.sequence(F.lit(1), F.lit(h - 1))).alias("_k"))
-        past = past.withColumn(ROW, F.col("_r") + F.col("_k")).drop("_r")
-        cov = here.join(past, [*keys, ROW]).groupBy(*keys).agg(
-            F.sum(2 * (1 - F.col("_k") / h) * F.col("_a") * F.col("_b")).alias("_s"))
-        terms = stats.join(cov, keys, "left").withColumn("_cov", F.coalesce("_s", F.lit(0.0)) / F.col("n"))
+        past = past.select(*by, "_b", "_k", (F.col("_r") + F.col("_k")).alias(ROW))
+        cov = (c.withColumnRenamed("_b", "_a").join(past, [*by, ROW]).groupBy(*by)
+               .agg(F.sum(2 * (1 - F.col("_k") / h) * F.col("_a") * F.col("_b")).alias("_s")))
+        out = stats.join(cov, by, "left") if by else stats.withColumn("_s", cov.scalar())
+        out = out.withColumn("_cov", F.coalesce("_s", F.lit(0.0)) / F.col("n"))
     var = F.col("_g0") + F.col("_cov")
     under = var / F.col("n") + EPS_SKILL
     stat = F.when(under > 0, F.col("mean_diff") / F.sqrt(F.greatest(under, F.lit(0.0))))
-    out = terms.withColumn("stat", stat)
+    out = out.withColumn("stat", stat)
     out = out.withColumn("p_value", t_p_value("stat", F.greatest(F.col("n") - 1, F.lit(1)).cast("double")))
     return out.select(*by, "n", "stat", "p_value", F.lit(h).alias("h"))
 

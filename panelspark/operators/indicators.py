@@ -12,6 +12,7 @@ from panelspark.operators.segments import (
     ROW, SEG, SEGMENT_ROWS, Running, fills, full_frame, number_rows, rolled, row_numbers, running,
     sums, when_full, whole)
 from panelspark.schema import Series
+from panelspark.session import stage
 
 
 def _c(c) -> Column:
@@ -290,11 +291,11 @@ def late_starters(df: DataFrame, s: Series, bound) -> DataFrame:
 def acf(df: DataFrame, s: Series, col: str, lags: list[int]) -> DataFrame:
     """Autocorrelation at the given lags with the 1.96/sqrt(n) band.
 
-    Rows are numbered once, each row is sent to the row `lag` positions later (an equi-join on
+    Rows are numbered once and written, each row is sent to the row `lag` positions later (an equi-join on
     position), and centred products are summed with map-side partials.
     """
-    x = number_rows(df.filter(F.col(col).isNotNull()).select(*s.keys, s.t, F.col(col).alias("_x")),
-                    s)
+    x = df.filter(F.col(col).isNotNull()).select(*s.keys, s.t, F.col(col).alias("_x"))
+    x = stage(number_rows(x, s), "numbered")
     stats = x.groupBy(*s.keys).agg(F.avg("_x").alias("_mean"), F.count(F.lit(1)).alias("n"),
                                    (F.var_pop("_x") * F.count(F.lit(1))).alias("_ss"))
     here = x.select(*s.keys, ROW, F.col("_x").alias("_a"))

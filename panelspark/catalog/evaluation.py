@@ -9,7 +9,7 @@ from panelspark.catalog.inputs import HOUR, SQL_HOUR, bars_hour, rnd, table
 from panelspark.operators import evaluate as E
 from panelspark.operators import stats as S
 from panelspark.operators import windows as X
-from panelspark.session import stage
+from panelspark.session import spread, stage
 
 M = 8
 
@@ -266,8 +266,7 @@ def _truth(win):
 def forecast_bootstrap_scores(spark, sf):
     """The whole scoring chain on sampled paths: windows, samples, scores, run summary per series."""
     win = stage(_win(spark, sf), "windows")
-    s = E.score_steps(E.forecast(win, ["id"], E.bootstrap, PRED, mc=100, seed=7,
-                                 partitions=spark.sparkContext.defaultParallelism), _truth(win), ["id"])
+    s = E.score_steps(E.forecast(spread(win), ["id"], E.bootstrap, PRED, mc=100, seed=7), _truth(win), ["id"])
     w = stage(E.per_window_metrics(s, ["id"]), "window-metrics")
     out = E.summarise(w, ["id"], h=PRED)
     return out.select("id", "windows_evaluated", "crps", "mse", "mse_naive", "mse_skill_vs_naive",

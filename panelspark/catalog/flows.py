@@ -84,7 +84,7 @@ def forecast_run(spark, sf):
 @query("forecast_run_bootstrap")
 def forecast_run_bootstrap(spark, sf):
     out = run_forecast(bars_hour(spark, sf), HOUR, bootstrap, ctx=30, test=100, val=100, mc=100,
-                       splits=("val", "test"), partitions=spark.sparkContext.defaultParallelism)
+                       splits=("val", "test"))
     return out["summary"].select("id", "split", "windows_evaluated", "crps", "cov80", "ece_quantiles",
                                  "mse_skill_vs_naive", "dm_test.stat", "dm_test.p_value")
 

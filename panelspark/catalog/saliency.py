@@ -9,7 +9,7 @@ from panelspark.catalog import query
 from panelspark.catalog.inputs import rnd, table
 from panelspark.operators import saliency as L
 from panelspark.operators.stats import topk_index
-from panelspark.session import stage
+from panelspark.session import spread, stage
 
 KS = [1, 2, 5, 10, 30]
 
@@ -28,8 +28,7 @@ def score(seqs):
 
 
 def scored(spark, sf):
-    spread = spark.sparkContext.defaultParallelism
-    return L.score_variants(L.expand_variants(study(spark, sf), [], KS, partitions=spread), [], score)
+    return L.score_variants(L.expand_variants(spread(study(spark, sf)), [], KS), [], score)
 
 
 D = "list_transform(embedding, lambda x: cast(x as double))"

@@ -69,36 +69,37 @@ def _time_number(df: DataFrame, s: Series) -> Column:
     return F.col(s.t).cast("double")
 
 
-def interpolate_time(df: DataFrame, s: Series, cols: list[str], edges: bool = True) -> DataFrame:
+def interpolate_time(df: DataFrame, s: Series, cols: list[str], edges: bool = True,
+                     whole_rows: bool = False) -> DataFrame:
     """Linear in calendar distance between the neighbours that have a value.
 
-    With `edges` a leading gap takes the first value and a trailing gap the last.
+    With `edges` a leading gap takes the first value and a trailing gap the last. `whole_rows`
+    says that the columns are present or missing together (as after a reindex of complete rows):
+    one search for neighbours then serves all of them.
     """
     df = df.withColumn("_u", _time_number(df, s))
-    parts, state = {}, {}
-    for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col("_u").alias("u"), F.col(c).alias("v")))
-        df = df.withColumn(f"_k_{c}", known)
-        parts[f"_l_{c}"], parts[f"_f_{c}"] = F.max(f"_k_{c}"), F.min(f"_k_{c}")
-        state[f"_in_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(earlier(s))
-        state[f"_out_{c}"] = F.first(f"_f_{c}", ignorenulls=True).over(later(s))
+    groups = [list(cols)] if whole_rows else [[c] for c in cols]
     w = by_bucket(s)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     fore = w.rowsBetween(0, Window.unboundedFollowing)
-    ends = {n: e for c in cols for n, e in (
-        (f"_p_{c}", F.coalesce(F.last(f"_k_{c}", ignorenulls=True).over(back), F.col(f"_in_{c}"))),
-        (f"_n_{c}", F.coalesce(F.first(f"_k_{c}", ignorenulls=True).over(fore), F.col(f"_out_{c}"))))}
+    parts, state, ends, value, scratch = {}, {}, {}, {}, ["_u"]
+    for i, group in enumerate(groups):
+        there = F.col(group[0]).isNotNull()
+        known, prev, after = f"_k{i}", f"_p{i}", f"_n{i}"
+        df = df.withColumn(known, F.when(there, F.struct(F.col("_u").alias("u"), *group)))
+        parts[f"_l{i}"], parts[f"_f{i}"] = F.max_by(known, known + ".u"), F.min_by(known, known + ".u")
+        state[f"_in{i}"] = F.last(f"_l{i}", ignorenulls=True).over(earlier(s))
+        state[f"_out{i}"] = F.first(f"_f{i}", ignorenulls=True).over(later(s))
+        ends[prev] = F.coalesce(F.last(known, ignorenulls=True).over(back), F.col(f"_in{i}"))
+        ends[after] = F.coalesce(F.first(known, ignorenulls=True).over(fore), F.col(f"_out{i}"))
+        scratch += [known, prev, after]
+        p, n = F.col(prev), F.col(after)
+        share = (F.col("_u") - p["u"]) / (n["u"] - p["u"])
+        for c in group:
+            line = F.when(p.isNotNull() & n.isNotNull(), p[c] + (n[c] - p[c]) * share)
+            value[c] = F.when(there, F.col(c)).otherwise(F.coalesce(line, p[c], n[c]) if edges else line)
     out = running(df, s, Running(parts, state, ends))
-    value = {}
-    for c in cols:
-        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        line = p["v"] + (n["v"] - p["v"]) * (F.col("_u") - p["u"]) / (n["u"] - p["u"])
-        value[c] = (F.when(F.col(c).isNotNull(), F.col(c))
-                    .when(p.isNotNull() & n.isNotNull(), line))
-        if edges:
-            value[c] = F.coalesce(value[c], p["v"], n["v"])
-    scratch = [f"{x}_{c}" for c in cols for x in ("_k", "_p", "_n")]
-    return out.withColumns(value).drop("_u", *scratch)
+    return out.withColumns(value).drop(*scratch)
 
 
 def first_max_label(probs: list[Column], labels=PROB_LABELS) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.functions.arrays import bind
 from panelspark.operators.segments import full_frame, rolled
 from panelspark.schema import PROB_LABELS, Series
 
@@ -199,12 +200,13 @@ def spikes(df: DataFrame, s: Series, col: str, n: int = 30, threshold: float = 6
     Exact medians of the last n rows; a frame is n values, whatever the series length.
     """
     def median(a):
-        x = F.array_sort(a)
-        return (F.get(x, F.expr(f"{(n - 1) // 2}")) + F.get(x, F.lit(n // 2))) / 2
+        return bind(F.array_sort(a), lambda x: (F.get(x, F.lit((n - 1) // 2)) + F.get(x, F.lit(n // 2))) / 2)
     def steps(w):
         return {"_f": F.when(F.count(col).over(full_frame(w, n)) == n, F.collect_list(col).over(full_frame(w, n)))}
     out = rolled(df, s, steps, back=n).filter(F.col("_f").isNotNull())
-    out = out.withColumn("median", median(F.col("_f")))
-    out = out.withColumn("mad", median(F.transform("_f", lambda v: F.abs(v - F.col("median")))))
+    both = bind(median(F.col("_f")), lambda m: F.struct(
+        m.alias("median"), median(F.transform("_f", lambda v: F.abs(v - m))).alias("mad")))
+    out = out.withColumn("_b", F.explode(F.array(both)))
+    out = out.withColumns({"median": F.col("_b.median"), "mad": F.col("_b.mad")})
     z = F.when(F.col("mad") > 0, 0.6745 * (F.col(col) - F.col("median")) / F.col("mad"))
-    return out.withColumn("robust_z", z).filter(F.abs("robust_z") > threshold).drop("_f")
+    return out.withColumn("robust_z", z).filter(F.abs("robust_z") > threshold).drop("_f", "_b")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.arrays import bind, total
 from panelspark.operators.stats import exact_percentiles, topk_index
 
 # Set-up of the study.
@@ -25,16 +26,15 @@ def last_query_weights(attention) -> Column:
     """(heads, queries, keys) weights to one vector: mean over heads of the last query's row."""
     a = F.col(attention) if isinstance(attention, str) else attention
     rows = F.transform(a, lambda head: F.element_at(head, -1))
-    total = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), rows[0],
-                        lambda acc, r: F.zip_with(acc, r, lambda x, y: x + y))
-    return F.transform(total, lambda x: x / F.size(rows))
+    summed = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), rows[0],
+                         lambda acc, r: F.zip_with(acc, r, lambda x, y: x + y))
+    return F.transform(summed, lambda x: x / F.size(a))
 
 
 def saliency(weights) -> Column:
     """Weights divided by their sum."""
     w = F.col(weights) if isinstance(weights, str) else weights
-    total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(w, lambda x: x / (total + EPS_SUM))
+    return bind(total(w) + EPS_SUM, lambda t: F.transform(w, lambda x: x / t))
 
 
 def mask_positions(seq, idx, strategy: str = "mean", vector: bool = False) -> Column:
@@ -47,16 +47,14 @@ def mask_positions(seq, idx, strategy: str = "mean", vector: bool = False) -> Co
     if strategy not in ("mean", "zero"):
         raise ValueError("strategy must be 'mean' or 'zero'")
     if vector:
-        if strategy == "zero":
-            rep = F.transform(s[0], lambda x: F.lit(0.0))
-        else:
-            total = F.aggregate(s, F.transform(s[0], lambda x: F.lit(0.0)),
-                                lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-            rep = F.transform(total, lambda x: x / F.size(s))
+        zeros = F.transform(s[0], lambda x: F.lit(0.0))
+        rep = zeros if strategy == "zero" else F.transform(
+            F.aggregate(s, zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)),
+            lambda x: x / F.size(s))
     else:
-        rep = (F.lit(0.0) if strategy == "zero"
-               else F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
-    return F.transform(s, lambda x, i: F.when(F.array_contains(idx, i), rep).otherwise(x))
+        rep = F.lit(0.0) if strategy == "zero" else total(s) / F.size(s)
+    return bind(rep, lambda r: F.transform(
+        s, lambda x, i: F.when(F.array_contains(idx, i), r).otherwise(x)))
 
 
 def shift(seq, d: int) -> Column:
@@ -80,16 +78,12 @@ def shuffle(seq, *seed: Column) -> Column:
 
 def expand_variants(df: DataFrame, keys: list[str], ks: list[int] = KS,
                     shifts: list[int] = SHIFTS, strategy: str = "mean",
-                    seed: int = SEED, partitions: int | None = None) -> DataFrame:
+                    seed: int = SEED) -> DataFrame:
     """One row per (window, variant, k) with the sequence that variant feeds the model.
 
-    `partitions` spreads the windows before they multiply, for inputs that come as few files.
-
     Variants: `base`; `delete_top`, `delete_rand`, `delete_least` mask k positions; `all_masked`
     and `insert` (all but the top k masked); `leave_out` masks position k; `shift_d`, `shuffle`.
     """
-    if partitions:
-        df = df.repartition(partitions, *keys, "window")
     n = F.size("seq")
     whose = [F.col(k) for k in (*keys, "window")]
     top, least = topk_index("sal", 10**9), topk_index("sal", 10**9, largest=False)

@@ -19,7 +19,8 @@ def temporal_split(df: DataFrame, s: Series, test: int = TEST_ROWS, val: int = V
     train the rest.
 
     Validation and test also get the `ctx` rows before them, so a row near a border appears once
-    per split it belongs to. Adds `split`.
+    per split it belongs to. Adds `split`, and the row's position in it, which windows over
+    (series, split) use as they are.
     """
     out = number_rows(df, s, ROW, "series_len")
     pos, n = F.col(ROW) - 1, F.col("series_len")
@@ -29,7 +30,11 @@ def temporal_split(df: DataFrame, s: Series, test: int = TEST_ROWS, val: int = V
         F.when(pos < val_at, F.lit("train")),
         F.when((pos >= F.greatest(val_at - ctx, F.lit(0))) & (pos < test_at), F.lit("val")),
         F.when(pos >= F.greatest(test_at - ctx, F.lit(0)), F.lit("test"))))
-    return out.withColumn("split", F.explode(names)).drop(ROW, "series_len")
+    out = out.withColumn("split", F.explode(names))
+    starts = {"train": F.lit(0), "val": F.greatest(val_at - ctx, F.lit(0)),
+              "test": F.greatest(test_at - ctx, F.lit(0))}
+    start = F.coalesce(*[F.when(F.col("split") == k, v) for k, v in starts.items()])
+    return out.withColumn(ROW, F.col(ROW) - start).drop("series_len")
 
 
 def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PRED_LEN,
@@ -39,7 +44,8 @@ def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PR
 
     One row per window: `window` (1-based), `start_t` the first forecast time, `x` and `y` the
     target's context and future, for each column in `cols` (scalar, vector or struct) the context
-    array `x_{col}`, and for each in `ahead` the future array `y_{col}`. Windows are cut inside segments that overlap by ctx + pred rows;
+    array `x_{col}`, and for each in `ahead` the future array `y_{col}`. `scale` is the mean
+    absolute target of the context (1 when zero or undefined), a window aggregate. Windows are cut inside segments that overlap by ctx + pred rows;
     prune columns first, the output is that much larger than the input.
     """
     cols, ahead = cols or [], ahead or []
@@ -54,12 +60,15 @@ def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PR
         # nulls stay in place: a struct is never null, so collect_list keeps its position
         return F.struct(F.col(c).alias("v"))
     out = seg.withColumns({
+        "_scale": F.avg(F.abs(F.col(target).cast("double"))).over(past),
         "x": F.collect_list(pack(target)).over(past), "y": F.collect_list(pack(target)).over(future),
         **{f"x_{c}": F.collect_list(pack(c)).over(past) for c in cols},
         **{f"y_{c}": F.collect_list(pack(c)).over(future) for c in ahead}})
     out = own_rows(out).filter((F.size("x") == ctx) & (F.size("y") == pred))
     arrays = ["x", "y", *[f"x_{c}" for c in cols], *[f"y_{c}" for c in ahead]]
+    m = F.col("_scale")
     return out.select(*s.keys, (F.col(ROW) - ctx).alias("window"), F.col(s.t).alias("start_t"),
+                      F.when(m > 0, m).otherwise(F.lit(1.0)).alias("scale"),
                       *[F.transform(a, lambda v: v["v"]).alias(a) for a in arrays])
 
 
@@ -112,7 +121,7 @@ def detoken(tok: Column, scale: Column, lo: float = LOW, hi: float = HIGH,
 
 def tokenize_windows(windows: DataFrame, scale: Column | None = None, **bins) -> DataFrame:
     """Tokens of context and future under one scale: the given one, or each window's own."""
-    out = windows.withColumn("scale", scale if scale is not None else window_scale("x"))
+    out = windows.withColumn("scale", scale) if scale is not None else windows
     return out.withColumns({f"{a}_tok": F.transform(a, lambda v: token(v, F.col("scale"), **bins))
                             for a in ("x", "y")})
 

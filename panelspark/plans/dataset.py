@@ -36,7 +36,8 @@ def build_dataset(bars: DataFrame, spec: DatasetSpec, s: Series, news: DataFrame
         news = fill_isolated(news, s.t)
     days = stage(shared_calendar(target, news, s.t, cutoff=cutoff), "calendar")
     features = [*spec.bar_cols, *(INDICATORS if tech else [])]
-    panel = stage(interpolate_time(reindex(rich.select(*s.keys, s.t, *features), s, days), s, features), "panel")
+    panel = stage(interpolate_time(reindex(rich.select(*s.keys, s.t, *features), s, days), s, features,
+                                   whole_rows=True), "panel")
     wide_ok = ~F.col("feature").isin(*spec.bar_cols) | (F.col("id") != spec.target_id)
     out = {
         "target": panel.filter(is_target).select(s.t, "id", *spec.bar_cols),

@@ -9,14 +9,13 @@ from panelspark.operators import evaluate as E
 from panelspark.operators import windows as X
 from panelspark.operators.indicators import difference
 from panelspark.schema import Series
-from panelspark.session import stage
+from panelspark.session import spread, stage
 
 
 def run_forecast(prices: DataFrame, s: Series, forecaster, price: str = "close",
                  mode: str = "log_diff", ctx: int = X.CTX_LEN, pred: int = X.PRED_LEN,
                  test: int = X.TEST_ROWS, val: int = X.VAL_ROWS, splits: tuple = ("test",),
-                 mc: int = 100, seed: int = 0, max_windows: int | None = None,
-                 partitions: int | None = None) -> dict[str, DataFrame]:
+                 mc: int = 100, seed: int = 0, max_windows: int | None = None) -> dict[str, DataFrame]:
     """Difference, split, window, forecast, return to prices, score.
 
     Scores are in price space: samples are rebuilt from the last raw context price, which is also
@@ -26,11 +25,11 @@ def run_forecast(prices: DataFrame, s: Series, forecaster, price: str = "close",
     keys = [*s.keys, "split"]
     both = difference(prices.select(*s.keys, s.t, F.col(price).alias("x"), F.col(price).alias("raw")), s, ["x"], mode)
     parts = X.temporal_split(stage(both, "differences"), s, test, val, ctx).filter(F.col("split").isin(*splits))
-    win = X.sliding_windows(stage(parts, "splits"), Series(tuple(keys), s.t), ctx, pred, "x", ["raw"], ["raw"])
+    win = X.sliding_windows(parts, Series(tuple(keys), s.t), ctx, pred, "x", ["raw"], ["raw"])
     if max_windows:
         win = E.limit_windows(win, max_windows)
     win = stage(win.withColumn("anchor", F.element_at("x_raw", -1)), "windows")
-    samples = E.forecast(win, keys, forecaster, pred, mc, seed, partitions)
+    samples = E.forecast(spread(win), keys, forecaster, pred, mc, seed)
     samples = E.clean_samples(samples, [*keys, "window"])
     samples = E.reconstruct(samples, win, keys, mode)
     truth = win.select(*keys, "window", F.col("anchor").alias("naive"),

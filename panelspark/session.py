@@ -30,6 +30,23 @@ def build_session(app: str = "panelspark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def local_conf(cpus: int | str = 8) -> dict[str, str]:
+    """Settings for one machine and small tables: as many shuffle partitions as cores, kept apart
+    even when small, because the work per row is high."""
+    return {"spark.sql.shuffle.partitions": str(cpus), "spark.ui.enabled": "false",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+            "spark.driver.memory": "8g"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a table that comes in a few files.
+
+    A table of many files already is spread, and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: `spark.checkpoint.dir` when the cluster names one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,10 +12,9 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from panelspark.session import build_session
+    from panelspark.session import build_session, local_conf
     s = build_session("tests", "local[8]", {
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g",
+        **local_conf(8),
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s

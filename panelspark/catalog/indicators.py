@@ -208,8 +208,8 @@ def difference(spark, sf):
     b = bars_hour(spark, sf).select("id", "t", F.col("close").alias("diff_close"),
                                     F.col("close").alias("log_close"),
                                     (F.col("low") - 50).alias("log_shifted"))
-    out = I.difference(b, HOUR, ["log_close", "log_shifted"], "log_diff")
-    out = I.difference(out, HOUR, ["diff_close"], "diff")
+    modes = {"log_close": "log_diff", "log_shifted": "log_diff", "diff_close": "diff"}
+    out = I.difference(b, HOUR, list(modes), modes)
     return out.select("id", "t", *[rnd(c).alias(c) for c in
                                    ("diff_close", "log_close", "log_shifted")])
 
@@ -269,13 +269,12 @@ def first_dates(spark, sf):
     return I.first_dates(_ship(spark, sf), DAY)
 
 
-@query("late_starters", """with f as (
+@query("late_starters", time="first_t", sql="""with f as (
   select cast(l_suppkey as varchar) id, min(cast(l_shipdate as date)) first_t from lineitem group by 1)
-select year(first_t) as year, count(*) n, string_agg(id, '|' order by id) ids
-from f where first_t > date '1995-01-05' group by 1""")
+select year(first_t) as year, id, first_t, count(*) over (partition by year(first_t)) n_in_year
+from f where first_t > date '1995-01-05'""")
 def late_starters(spark, sf):
-    out = I.late_starters(_ship(spark, sf), DAY, dt.date(1995, 1, 5))
-    return out.select("year", "n", F.array_join("ids", "|").alias("ids"))
+    return I.late_starters(_ship(spark, sf), DAY, dt.date(1995, 1, 5)).select("year", "id", "first_t", "n_in_year")
 
 
 def _ship(spark, sf):

@@ -234,33 +234,35 @@ def all_positive(s: Series, col: str, name: str) -> Running:
                    {name: F.min(f"_min_{name}").over(whole(s)) > 0})
 
 
-def difference(df: DataFrame, s: Series, cols: list[str], mode: str = "log_diff") -> DataFrame:
-    """`no_diff`, `diff` or `log_diff`, in place.
+def difference(df: DataFrame, s: Series, cols: list[str],
+               mode: str | dict[str, str] = "log_diff") -> DataFrame:
+    """`no_diff`, `diff` or `log_diff`, in place; one mode for all columns, or one per column.
 
     The log is used for a column of a series only when the whole column is positive there. The
     first row, which has no predecessor, takes the value of the second.
     """
-    if mode == "no_diff":
+    modes = {c: mode if isinstance(mode, str) else mode[c] for c in cols}
+    for m in modes.values():
+        if m not in ("no_diff", "diff", "log_diff"):
+            raise ValueError(f"unknown differencing mode {m!r}")
+    cols = [c for c in cols if modes[c] != "no_diff"]
+    if not cols:
         return df
-    if mode not in ("diff", "log_diff"):
-        raise ValueError(f"unknown differencing mode {mode!r}")
-    log = [all_positive(s, c, f"log_{c}") for c in cols] if mode == "log_diff" else []
-    df = running(df, s, row_numbers(s), *log)
+    log = [c for c in cols if modes[c] == "log_diff"]
+    df = running(df, s, row_numbers(s), *[all_positive(s, c, f"log_{c}") for c in log])
+
+    def value(c):
+        x = F.col(c).cast("double")
+        return F.when(F.col(f"log_{c}"), F.ln(x)).otherwise(x) if c in log else x
 
     def steps(w):
-        value = {}
-        for c in cols:
-            x = F.col(c).cast("double")
-            value[c] = F.when(F.col(f"log_{c}"), F.ln(x)).otherwise(x) if log else x
-        diff = {f"_d_{c}": value[c] - F.lag(value[c], 1).over(w) for c in cols}
-        fill = {f"_e_{c}": F.coalesce(F.col(f"_d_{c}"),
-                                      F.when(F.col(ROW) == 1, F.lead(f"_d_{c}", 1).over(w)))
+        diff = {f"_d_{c}": value(c) - F.lag(value(c), 1).over(w) for c in cols}
+        fill = {c: F.coalesce(F.col(f"_d_{c}"), F.when(F.col(ROW) == 1, F.lead(f"_d_{c}", 1).over(w)))
                 for c in cols}
         return [diff, fill]
 
     out = rolled(df, s, steps, back=1, ahead=1)
-    out = out.withColumns({c: F.col(f"_e_{c}") for c in cols})
-    return out.drop(*[f"{p}_{c}" for c in cols for p in ("_d", "_e", "log")])
+    return out.drop(*[f"_d_{c}" for c in cols], *[f"log_{c}" for c in log])
 
 
 def invert_difference(df: DataFrame, s: Series, col: str, anchor: str, mode: str,
@@ -282,10 +284,13 @@ def first_dates(df: DataFrame, s: Series) -> DataFrame:
 
 
 def late_starters(df: DataFrame, s: Series, bound) -> DataFrame:
-    """Series that start after `bound`: count and sorted ids per year."""
+    """Series that start after `bound`, one row each, with the number that start the same year.
+
+    The list stays long: a year may hold any number of series.
+    """
     late = first_dates(df, s).filter(F.col("first_t") > F.lit(bound))
-    return late.groupBy("year").agg(F.count(F.lit(1)).alias("n"),
-                                    F.array_sort(F.collect_set(s.key[0])).alias("ids"))
+    per_year = late.groupBy("year").agg(F.count(F.lit(1)).alias("n_in_year"))
+    return late.join(per_year, "year")
 
 
 def acf(df: DataFrame, s: Series, col: str, lags: list[int]) -> DataFrame:

@@ -76,13 +76,13 @@ p as (select *, last_value(case when close is not null then t end ignore nulls)
   first_value(close ignore nulls) over n vn from x
   window b as (partition by id order by t rows between unbounded preceding and current row),
          n as (partition by id order by t rows between current row and unbounded following))
-select id, t, round(coalesce(close, vp + (vn - vp) * (t - tp) / nullif(tn - tp, 0), vp, vn), 4) as close from p""")
+select id, t, round(coalesce(close, vp + (vn - vp) * ((t - tp) / nullif(tn - tp, 0)), vp, vn), 7) as close from p""")
 def reindex_interpolate(spark, sf):
     """Two markets' calendar for all series: rows on other dates never become anchors."""
     b = bars_day(spark, sf).select("id", "t", "close")
     cal = b.filter(F.col("id").isin("1-URGENT", "5-LOW")).select("t").distinct()
     out = C.interpolate_time(A.reindex(b, DAY, cal), DAY, ["close"])
-    return out.select("id", "t", rnd("close", 4).alias("close"))
+    return out.select("id", "t", rnd("close", 7).alias("close"))
 
 
 @query("ffill_bfill", time="t", sql=f"""with {GRID_SQL}

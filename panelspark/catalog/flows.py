@@ -42,7 +42,7 @@ p as (select *, last_value(case when v is not null then t end ignore nulls) over
   window b as (partition by id, feature order by t rows between unbounded preceding and current row),
          n as (partition by id, feature order by t rows between current row and unbounded following))
 select id || '_' || case when feature = 'rsi' then 'RSI' else feature end feature, t,
-  round(coalesce(v, vp + (vn - vp) * (t - tp) / nullif(tn - tp, 0), vp, vn), 5) as value from p
+  round(coalesce(v, vp + (vn - vp) * ((t - tp) / nullif(tn - tp, 0)), vp, vn), 7) as value from p
 where not (id = '1-URGENT' and feature = 'close')"""
 
 
@@ -53,7 +53,7 @@ def _dataset(spark, sf):
 @query("build_dataset_features", time="t", sql=BUILD)
 def build_dataset_features(spark, sf):
     out = _dataset(spark, sf)["global_features"].filter("feature like '%close' or feature like '%RSI'")
-    return out.select("feature", "t", rnd("value", 5).alias("value"))
+    return out.select("feature", "t", rnd("value", 7).alias("value"))
 
 
 @query("build_dataset_news", time="t", sql=BUILD.split("g as (select i.id")[0].rstrip().rstrip(",") + f""",

@@ -80,7 +80,8 @@ def running(df: DataFrame, s: Series, *what: Running) -> DataFrame:
     rows = df.withColumn(BUCKET, bucket_of(df, s))
     table = (rows.groupBy(*s.keys, BUCKET).agg(*[c.alias(n) for n, c in parts.items()])
              .select(*s.keys, BUCKET, *[c.alias(n) for n, c in state.items()]))
-    out = rows.join(table, [*s.keys, BUCKET])
+    # explicit, so that rows already placed by key alone are not left in one task per series
+    out = rows.repartition(*s.keys, BUCKET).join(table, [*s.keys, BUCKET])
     return out.withColumns(cols).drop(BUCKET, *[n for n in state if n.startswith("_")])
 
 
@@ -140,7 +141,7 @@ def segmented(df: DataFrame, s: Series, back: int = 0, ahead: int = 0,
                                    F.floor((pos + back) / size)))
     else:
         seg = home
-    out = df.withColumn(SEG, seg)
+    out = df.withColumn(SEG, seg).repartition(*s.keys, SEG)
     return out.withColumn(OWN, F.col(SEG) == home)
 
 

@@ -233,7 +233,7 @@ def relevant_features(corr: DataFrame, threshold: float = 0.25) -> DataFrame:
 
 
 def n_relevant(corr: DataFrame, threshold: float = 0.25) -> DataFrame:
-    return corr.agg(F.sum((F.abs("r") > threshold).cast("int")).alias("n_relevant"),
+    return corr.agg(F.count_if(F.abs("r") > threshold).alias("n_relevant"),
                     F.count(F.lit(1)).alias("n_total"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.segments import (
-    Running, by_bucket, earlier, fills, later, rolled, running, sums)
+    Running, earlier, fills, from_here, later, rolled, running, so_far, sums)
 from panelspark.schema import PROB_COLS, PROB_LABELS, Series
 
 
@@ -79,9 +79,7 @@ def interpolate_time(df: DataFrame, s: Series, cols: list[str], edges: bool = Tr
     """
     df = df.withColumn("_u", _time_number(df, s))
     groups = [list(cols)] if whole_rows else [[c] for c in cols]
-    w = by_bucket(s)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fore = w.rowsBetween(0, Window.unboundedFollowing)
+    back, fore = so_far(s), from_here(s)
     parts, state, ends, value, scratch = {}, {}, {}, {}, ["_u"]
     for i, group in enumerate(groups):
         there = F.col(group[0]).isNotNull()
@@ -89,9 +87,9 @@ def interpolate_time(df: DataFrame, s: Series, cols: list[str], edges: bool = Tr
         df = df.withColumn(known, F.when(there, F.struct(F.col("_u").alias("u"), *group)))
         parts[f"_l{i}"], parts[f"_f{i}"] = F.max_by(known, known + ".u"), F.min_by(known, known + ".u")
         state[f"_in{i}"] = F.last(f"_l{i}", ignorenulls=True).over(earlier(s))
-        state[f"_out{i}"] = F.first(f"_f{i}", ignorenulls=True).over(later(s))
+        state[f"_out{i}"] = F.last(f"_f{i}", ignorenulls=True).over(later(s))
         ends[prev] = F.coalesce(F.last(known, ignorenulls=True).over(back), F.col(f"_in{i}"))
-        ends[after] = F.coalesce(F.first(known, ignorenulls=True).over(fore), F.col(f"_out{i}"))
+        ends[after] = F.coalesce(F.last(known, ignorenulls=True).over(fore), F.col(f"_out{i}"))
         scratch += [known, prev, after]
         p, n = F.col(prev), F.col(after)
         share = (F.col("_u") - p["u"]) / (n["u"] - p["u"])

@@ -41,6 +41,21 @@ def by_bucket(s: Series) -> WindowSpec:
     return Window.partitionBy(*s.keys, BUCKET).orderBy(s.t)
 
 
+def so_far(s: Series) -> WindowSpec:
+    """Inside one bucket: from its start to this row."""
+    return by_bucket(s).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def from_here(s: Series) -> WindowSpec:
+    """Inside one bucket: this row and those after it, nearest last.
+
+    Ordered backwards so that the frame grows by one row at a time; a frame that ends at the last
+    row is evaluated from scratch for every row.
+    """
+    return (Window.partitionBy(*s.keys, BUCKET).orderBy(F.desc(s.t))
+            .rowsBetween(Window.unboundedPreceding, 0))
+
+
 def earlier(s: Series) -> WindowSpec:
     """Over the bucket table: all buckets before this one."""
     return (Window.partitionBy(*s.keys).orderBy(BUCKET)
@@ -48,9 +63,9 @@ def earlier(s: Series) -> WindowSpec:
 
 
 def later(s: Series) -> WindowSpec:
-    """Over the bucket table: all buckets after this one."""
-    return (Window.partitionBy(*s.keys).orderBy(BUCKET)
-            .rowsBetween(1, Window.unboundedFollowing))
+    """Over the bucket table: all buckets after this one, nearest last."""
+    return (Window.partitionBy(*s.keys).orderBy(F.desc(BUCKET))
+            .rowsBetween(Window.unboundedPreceding, -1))
 
 
 def whole(s: Series) -> WindowSpec:
@@ -97,16 +112,14 @@ def row_numbers(s: Series, row: str = ROW, count: str | None = None) -> Running:
 def fills(s: Series, cols: list[str]) -> Running:
     """Last seen value, else the next one; both searches cross bucket borders."""
     parts, state, out = {}, {}, {}
-    w = by_bucket(s)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fore = w.rowsBetween(0, Window.unboundedFollowing)
+    back, fore = so_far(s), from_here(s)
     for c in cols:
         seen = F.when(F.col(c).isNotNull(), F.col(s.t))
         parts[f"_l_{c}"], parts[f"_f_{c}"] = F.max_by(c, seen), F.min_by(c, seen)
         state[f"_in_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(earlier(s))
-        state[f"_out_{c}"] = F.first(f"_f_{c}", ignorenulls=True).over(later(s))
+        state[f"_out_{c}"] = F.last(f"_f_{c}", ignorenulls=True).over(later(s))
         out[c] = F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_in_{c}"),
-                            F.first(c, ignorenulls=True).over(fore), F.col(f"_out_{c}"))
+                            F.last(c, ignorenulls=True).over(fore), F.col(f"_out_{c}"))
     return Running(parts, state, out)
 
 
@@ -116,8 +129,7 @@ def sums(s: Series, col: str, name: str) -> Running:
     return Running(
         {part: F.sum(col)},
         {before: F.coalesce(F.sum(part).over(earlier(s)), F.lit(0))},
-        {name: F.sum(col).over(by_bucket(s).rowsBetween(Window.unboundedPreceding, 0))
-         + F.col(before)})
+        {name: F.sum(col).over(so_far(s)) + F.col(before)})
 
 
 def number_rows(df: DataFrame, s: Series, row: str = ROW, count: str | None = None) -> DataFrame:

@@ -51,24 +51,32 @@ def rolling_mean(x, w: WindowSpec, n: int = 60) -> Column:
 
 
 def rsi(delta, w: WindowSpec, n: int = 14) -> Column:
-    """Relative strength from plain means of gains and losses; 100 when nothing was lost."""
-    d = _c(delta)
-    gain = F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))
-    loss = F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))
-    up, down = when_full(F.avg(gain), d, w, n), when_full(F.avg(loss), d, w, n)
-    return F.when(down == 0, F.lit(100.0)).when(down.isNotNull(), 100 - 100 / (1 + up / down))
+    """Relative strength from plain means of gains and losses; 100 when nothing was lost.
+
+    100 - 100 / (1 + up / down) is 100 * up / (up + down), and up + down is the mean of |delta|.
+    Each window aggregate is used once: a repeated one would be computed again.
+    """
+    d, f = _c(delta), full_frame(w, n)
+    up = F.avg(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).over(f)
+    either = F.avg(F.abs(d)).over(f)
+    return F.when(F.count(d).over(f) == n, F.coalesce(F.try_divide(100 * up, either), F.lit(100.0)))
+
+
+def _in_range(high, low, x: Column, w: WindowSpec, n: int) -> Column:
+    """x over the width of the high-low range of n rows; null for an empty range or short frame."""
+    f = full_frame(w, n)
+    width = F.max(_c(high)).over(f) - F.min(_c(low)).over(f)
+    return F.when(F.count(_c(high) + _c(low)).over(f) == n, F.try_divide(x, width))
 
 
 def stochastic_k(high, low, close, w: WindowSpec, n: int = 14) -> Column:
     """Close within the high-low range of n rows, 0 to 100; null for an empty range."""
-    hi, lo = when_full(F.max(_c(high)), _c(high), w, n), when_full(F.min(_c(low)), _c(low), w, n)
-    return F.when(hi != lo, 100 * (_c(close) - lo) / (hi - lo))
+    return _in_range(high, low, 100 * (_c(close) - F.min(_c(low)).over(full_frame(w, n))), w, n)
 
 
 def williams_r(high, low, close, w: WindowSpec, n: int = 14) -> Column:
     """Distance of the close from the top of the range, -100 to 0; null for an empty range."""
-    hi, lo = when_full(F.max(_c(high)), _c(high), w, n), when_full(F.min(_c(low)), _c(low), w, n)
-    return F.when(hi != lo, -100 * (hi - _c(close)) / (hi - lo))
+    return _in_range(high, low, -100 * (F.max(_c(high)).over(full_frame(w, n)) - _c(close)), w, n)
 
 
 def ema_reach(span: float) -> int:
@@ -122,26 +130,39 @@ def enrich(df: DataFrame, s: Series, open_="open", high="high", low="low", close
     back = max(ema_reach(slow), ema_reach(fast), rsi_n + 1, k_n + d_n, roc_n, vol_n + 1)
 
     def steps(w):
+        # one column per distinct frame aggregate, then arithmetic on the columns; after the fill
+        # a frame is full when enough rows precede, except where a return divides by zero
+        top, bottom, width = F.col("_hi"), F.col("_lo"), F.col("_hi") - F.col("_lo")
+        full = F.col(ROW) >= k_n
+        frame = full_frame(w, rsi_n)
+        strength = F.try_divide(100 * F.avg(F.greatest("_delta", F.lit(0.0))).over(frame),
+                                F.avg(F.abs("_delta")).over(frame))
         return [
             {
-                "Movement": movement(open_, close, w),
-                "Daily_Return": daily_return(close, w),
-                "_delta": F.col(close) - lag1(close, w),
+                "_prev": lag1(close, w),
+                "_hi": F.max(high).over(full_frame(w, k_n)),
+                "_lo": F.min(low).over(full_frame(w, k_n)),
                 f"EMA_{fast}": ema(close, w, fast, back, size),
                 f"EMA_{slow}": ema(close, w, slow, back, size),
-                "Stoch_K": stochastic_k(high, low, close, w, k_n),
-                "Williams_R": williams_r(high, low, close, w, k_n),
                 "ROC": roc(close, w, roc_n),
             },
             {
-                "Volatility": volatility("Daily_Return", w, vol_n),
+                "Movement": F.try_divide(F.col(open_) - F.col("_prev"), F.col("_prev")),
+                "Daily_Return": (F.try_divide(F.col(close), F.col("_prev")) - 1) * 100,
+                "_delta": F.col(close) - F.col("_prev"),
                 "MACD": F.col(f"EMA_{fast}") - F.col(f"EMA_{slow}"),
-                "RSI": rsi("_delta", w, rsi_n),
+                "Stoch_K": F.when(full, F.try_divide(100 * (F.col(close) - bottom), width)),
+                "Williams_R": F.when(full, F.try_divide(-100 * (top - F.col(close)), width)),
+            },
+            {
+                "Volatility": volatility("Daily_Return", w, vol_n),
+                "RSI": F.when((F.col(ROW) > rsi_n) & F.col("_delta").isNotNull(),
+                              F.coalesce(strength, F.lit(100.0))),
                 "Stoch_D": rolling_mean("Stoch_K", w, d_n),
             },
         ]
 
-    out = rolled(df, s, steps, back=back, size=size).drop("_delta")
+    out = rolled(df, s, steps, back=back, size=size).drop("_prev", "_hi", "_lo", "_delta")
     out = out.withColumns(calendar_features(s.t))
     return out.dropna("any") if drop_nulls else out
 

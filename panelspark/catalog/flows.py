@@ -11,7 +11,6 @@ from panelspark.catalog import query
 from panelspark.catalog.indicators import ENRICH_SQL
 from panelspark.catalog.inputs import DAY, HOUR, SQL_DAY, SQL_HOUR, bars_day, bars_hour, rnd, table
 from panelspark.operators.evaluate import bootstrap
-from panelspark.operators.indicators import difference
 from panelspark.plans.dataset import build_dataset
 from panelspark.plans.forecast import run_forecast
 from panelspark.plans.selection import select_covariates

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog import query
 from panelspark.catalog.alignment import GRID_SQL, _grid
-from panelspark.catalog.indicators import ENRICH_OUT, ENRICH_SQL
-from panelspark.catalog.inputs import DAY, HOUR, SQL_DAY, SQL_HOUR, SQL_SCORED, bars_day, bars_hour, rnd, scored, table
+from panelspark.catalog.indicators import ENRICH_SQL
+from panelspark.catalog.inputs import HOUR, SQL_DAY, SQL_HOUR, SQL_SCORED, bars_day, bars_hour, rnd, scored, table
 from panelspark.operators import calendar as C
 from panelspark.operators import indicators as I
 from panelspark.operators import quality as Q
-from panelspark.operators.news import daily_news
 from panelspark.session import stage
 
 COLS = ["case", "rule", "severity", "ok", "n_bad", "n"]

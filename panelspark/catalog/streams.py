@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog import query
 from panelspark.catalog.indicators import W, ema_sql, rsi_sql
-from panelspark.catalog.inputs import SQL_HOUR, SQL_SCORED, bars_hour, rnd, scored, table
+from panelspark.catalog.inputs import SQL_HOUR, SQL_SCORED, bars_hour, rnd, scored
 from panelspark.catalog.news import articles
 from panelspark.operators.calendar import PROB_COLS
-from panelspark.session import shared_dir, stage
+from panelspark.session import shared_dir
 from panelspark.streaming.indicators import indicator_stream
 from panelspark.streaming.ingest import daily_news_stream, drain, ingest_stream
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import os
-import tempfile
+import threading
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ship_lock = threading.Lock()
+
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -47,15 +52,44 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context, so that functions named in it resolve there.
+
+    The archive lies in the driver's own Spark folder; executors fetch it from the driver, also those
+    that join later.
+    """
+    context = spark.sparkContext
+    with _ship_lock:
+        if getattr(context, "_panelspark_shipped", False):
+            return
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(context._temp_dir, "panelspark.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "panelspark")):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, root))
+        context.addPyFile(archive)
+        context._panelspark_shipped = True
+
+
+def shipped(fn: Callable) -> Callable:
+    """A query that ships the package before it plans anything."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf)
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: `spark.checkpoint.dir` when the cluster names one."""
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`, else the warehouse.
+
+    Both are folders that every executor reaches; a machine-local folder is never used.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = os.path.join(tempfile.gettempdir(), f"panelspark-{spark.sparkContext.applicationId}")
-    return own
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_panelspark_stage")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

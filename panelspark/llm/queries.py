@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import language, simhash
+from panelspark.llm import decontaminate, language, simhash
 from panelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.classes(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark")).withColumnRenamed(
+        "id", "doc_id")

@@ -1,15 +1,84 @@
-"""The corpus pipeline: language, near-duplicates, benchmark passages, personal data, tokens."""
+"""The corpus pipeline: language, near-duplicates, benchmark passages, personal data, tokens.
+
+Each stage is written as Parquet and read again as the next one's documents. All but the last keep
+the columns of documents. Rows without an id pass every stage; where a stage decides by id they
+are kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import decontaminate, language, personal, sentence_pieces, simhash
+from panelspark.llm.common import held_out, join_small, table
+from panelspark.session import ship, stage
+
+MIN_LANGUAGE_SCORE = 0.2
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; those without a letter or with a very low score go."""
+    ship(spark)
+    model = language.fit(docs.where(~held_out("doc_id")))
+    found = language.predict(docs, model, keep=tuple(docs.columns), names=("_lang", "_score"))
+    if model is None:
+        return docs
+    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(
+        docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the smallest id of their group of near-duplicates, once each."""
+    ship(spark)
+    found = stage(simhash.classes(docs), "classes")
+    lost = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    size = 16 * lost.count()
+    kept = join_small(docs, lost, "doc_id", size, "n_chars", "left_anti")
+    again = kept.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    repeated = again.count()
+    if not repeated:
+        return kept
+    once = join_small(kept, again, "doc_id", 16 * repeated, "n_chars", "left_semi").dropDuplicates(["doc_id"])
+    return join_small(kept, again, "doc_id", 16 * repeated, "n_chars", "left_anti").unionByName(once)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship(spark)
+    found = stage(decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")), "overlaps")
+    bad = found.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct()
+    return join_small(docs, bad, "doc_id", 16 * bad.count(), "n_chars", "left_anti")
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars is that of the new text."""
+    ship(spark)
+    out = personal.redact(docs, personal.fit(docs))
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document."""
+    ship(spark)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.digests(docs, model, keep_ids=True)
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("personal_data", redacted),
+    ("sentence_pieces", encoded),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # a string kernel, boosted trees and merges by score are not expressible
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, fn in STAGES:
-        docs = fn(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, fn in STAGES[:-1]:
+        docs = stage(fn(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

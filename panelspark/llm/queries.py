@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, language, simhash
+from panelspark.llm import decontaminate, language, personal, sentence_pieces, simhash
 from panelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,16 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark")).withColumnRenamed(
         "id", "doc_id")
+
+
+@query("op2_personal")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = personal.find(docs, personal.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op1_sentence_pieces")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -18,6 +18,7 @@ import hashlib
 import heapq
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -199,18 +200,25 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
     return map_rows(encoded.select(id_col, ids_col), run, f"`{id_col}` {kind}, text string")
 
 
-def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, keeping digests."""
+def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
+            keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, keeping digests
+    and, if asked, the ids."""
     def run(batch: pa.RecordBatch) -> pa.Table:
-        c, n, a, b = codec(model_file), [], [], []
+        c, n, a, b, kept = codec(model_file), [], [], [], []
         for text in strings(batch, text_col):
             ids, size, back = c.both(text)
             n.append(size)
             a.append(hashlib.sha256(ids.encode()).hexdigest())
             b.append(hashlib.sha256(back).hexdigest())
+            if keep_ids:
+                kept.append(np.fromstring(ids, dtype=np.int32, sep=" "))
         c.verify()
-        return pa.table([batch.column(id_col), pa.array(n, pa.int64()), pa.array(a, pa.string()),
-                         pa.array(b, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        cols = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        if keep_ids:
+            cols.append(pa.array(kept, pa.list_(pa.int32())))
+        return pa.table(cols, names=names)
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kind = dict(docs.dtypes)[id_col]
-    return map_rows(docs.select(id_col, text_col), run,
-                    f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text_col=text_col)
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_rows(docs.select(id_col, text_col), run, schema + ", ids array<int>" * keep_ids, text_col=text_col)

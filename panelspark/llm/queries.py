@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, language, personal, sentence_pieces, simhash
+from panelspark.llm import decontaminate, language, personal, sentence_pieces, simhash, top_k, toxicity
 from panelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,27 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_sentence_pieces")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out("doc_id"))))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+@query("op10_top_k", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+s as (
+  select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+where rank <= 5""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)

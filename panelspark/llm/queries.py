@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, language, personal, sentence_pieces, simhash, top_k, toxicity
+from panelspark.llm import decontaminate, language, licenses, personal, sentence_pieces, simhash, top_k, toxicity
 from panelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ select query_id, cast(rank as int) as rank, vec_id, score from (
 where rank <= 5""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return top_k.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_licenses", licenses.oracle())
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return licenses.scan(docs, licenses.idf(docs))

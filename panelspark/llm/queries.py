@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, language, licenses, personal, sentence_pieces, simhash, top_k, toxicity
+from panelspark.llm import decontaminate, html_text, language, licenses, personal, sentence_pieces, simhash, top_k, toxicity
 from panelspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return licenses.scan(docs, licenses.idf(docs))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html_text.extract(pages, html_text.fit(pages))

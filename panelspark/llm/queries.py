@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, html_text, language, licenses, personal, sentence_pieces, simhash, top_k, toxicity
+from panelspark.llm import decontaminate, html_text, language, licenses, personal, sentence_pieces, simhash, token_files, top_k, toxicity
 from panelspark.llm.common import held_out, table
+from panelspark.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +92,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     return html_text.extract(pages, html_text.fit(pages))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    rows = token_files.blocks(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2,
+                              id_bits=16)
+    return token_files.digests(stage(rows, "token-files"))

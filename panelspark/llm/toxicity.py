@@ -189,7 +189,7 @@ def _measured(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, kee
         auto = shared.value.automaton()
         for batch in batches:
             got = [measure(t, auto) for t in strings(batch, text_col)]
-            total, words = np.array([g[0] for g in got]), np.array([g[1] for g in got])
+            total, words = (np.array([g[k] for g in got], dtype=float) for k in (0, 1))
             score = 1 / (1 + np.exp(-np.clip(_inputs(total, words) @ shared.value.coef, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(total), pa.array(words),
                                               pa.array(score)], names=[*cols, "total", "words", "score"])

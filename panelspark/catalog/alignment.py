@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog import query
 from panelspark.catalog.inputs import (
-    DAY, SQL_DAY, SQL_HOUR, SQL_SCORED, bars_day, bars_hour, rnd, scored, table)
+    DAY, HOUR, SQL_DAY, SQL_HOUR, SQL_SCORED, bars_day, bars_hour, rnd, scored, table)
 from panelspark.functions.calendar import month_table
 from panelspark.operators import align as A
 from panelspark.operators import calendar as C
@@ -85,6 +85,17 @@ def reindex_interpolate(spark, sf):
     return out.select("id", "t", rnd("close", 7).alias("close"))
 
 
+@query("reindex_hourly", time="t", sql=f"""with {SQL_HOUR},
+cal as (select distinct t from bars_hour where hour(t) % 3 <> 1), ids as (select distinct id from bars_hour),
+grid as (select id, t from ids, cal)
+select g.id, g.t, round(b.close, 6) as close from grid g left join (select * from bars_hour where hour(t) % 7 <> 2) b using (id, t)""")
+def reindex_hourly(spark, sf):
+    """An hourly calendar with holes, for hourly series with other holes."""
+    b = bars_hour(spark, sf).select("id", "t", "close")
+    out = A.reindex(b.filter("hour(t) % 7 <> 2"), HOUR, b.filter("hour(t) % 3 <> 1").select("t"))
+    return out.select("id", "t", rnd("close").alias("close"))
+
+
 @query("ffill_bfill", time="t", sql=f"""with {GRID_SQL}
 select id, t, round(coalesce(
   last_value(close ignore nulls) over (partition by id order by t rows between unbounded preceding and current row),
@@ -158,6 +169,22 @@ def fill_isolated_news(spark, sf):
                       F.coalesce("filled", F.lit(1)).alias("filled"), "label")
 
 
+@query("fill_isolated_probs_only", time="date", sql=f"""with {SQL_SCORED},
+d as (select date, avg(prob_positive) p, avg(prob_negative) n, avg(prob_neutral) u, count(*) c from scored group by 1),
+h as (select a.date + 1 date, (a.p + b.p) / 2 p, (a.n + b.n) / 2 n, (a.u + b.u) / 2 u, null c
+      from d a join d b on b.date = a.date + 2 where a.date + 1 not in (select date from d)),
+x as (select * from d union all select * from h)
+select date, round(p, 6) prob_positive, round(n, 6) prob_negative, round(u, 6) prob_neutral,
+  coalesce(c, -1) n_articles from x""")
+def fill_isolated_probs_only(spark, sf):
+    """News without vectors; a column of its own is kept and null on added days."""
+    daily = scored(spark, sf).groupBy("date").agg(*[F.avg(c).alias(c) for c in C.PROB_COLS],
+                                                  F.count(F.lit(1)).alias("n_articles"))
+    out = C.fill_isolated(daily.withColumn("label", F.lit(None).cast("string")), "date")
+    return out.select("date", *[rnd(c).alias(c) for c in C.PROB_COLS],
+                      F.coalesce("n_articles", F.lit(-1)).alias("n_articles"))
+
+
 @query("dense_vectors", time="date", sql=f"""with {SQL_SCORED}, e as (select date, min(vec_id) vec_id from scored group by 1),
 c as (select cast(unnest(generate_series(date '2024-01-01', date '2024-03-01', interval 1 day)) as date) date),
 v as (select c.date, s.embedding from c left join e using (date) left join scored s on s.vec_id = e.vec_id)

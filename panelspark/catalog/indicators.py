@@ -95,6 +95,27 @@ def ema(spark, sf):
     return out.select("id", "t", *[rnd(f"ema_{n}").alias(f"ema_{n}") for n in (3, 12, 26)])
 
 
+EMA_HOLES = "case when t = first_t or hour(t) % 5 = 2 or hour(t) in (7, 8) then null else close end"
+
+
+@query("ema_with_nulls", time="t", sql=f"""with {SQL_HOUR},
+f as (select *, min(t) over (partition by id) first_t from bars_hour),
+x as (select id, t, {EMA_HOLES} v from f),
+g as (select *, list(v) over (partition by id order by t rows unbounded preceding) vs from x)
+select id, t, {", ".join(f"""round(list_reduce(list_transform(vs, lambda y: {{'m': y, 'o': cast(1 as double)}}),
+  lambda s, y: case when s.m is null then y
+    when y.m is null then {{'m': s.m, 'o': s.o * {1 - 2 / (n + 1)!r}}}
+    else {{'m': (s.m * s.o * {1 - 2 / (n + 1)!r} + y.m * {2 / (n + 1)!r}) / (s.o * {1 - 2 / (n + 1)!r} + {2 / (n + 1)!r}),
+           'o': cast(1 as double)}} end).m, 6) ema_{n}""" for n in (3, 12))}
+from g""")
+def ema_with_nulls(spark, sf):
+    """Leading and inner holes: the mean starts at the first value and is held over holes."""
+    b = running(bars_hour(spark, sf).select("id", "t", "close"), HOUR, I.first_valid(HOUR, "t", "first_t"))
+    b = stage(b.select("id", "t", F.expr(EMA_HOLES).alias("v")), "holes")
+    out = I.add_ema(I.add_ema(b, HOUR, "v", 3, "ema_3"), HOUR, "v", 12, "ema_12")
+    return out.select("id", "t", rnd("ema_3").alias("ema_3"), rnd("ema_12").alias("ema_12"))
+
+
 @query("indicator_macd", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round({ema_sql("close", 12)} - {ema_sql("close", 26)}, 6) macd from bars_hour""")
 def macd(spark, sf):
@@ -224,15 +245,16 @@ from d window w as (partition by id order by t rows unbounded preceding)"""
 
 @query("invert_difference", time="t", sql=INVERT_SQL)
 def invert_difference(spark, sf):
-    """Differences turned back into levels from each series' first price, both ways in one pass."""
+    """Differences turned back into levels from each series' first price, both ways."""
     b = running(bars_hour(spark, sf).select("id", "t", "close"), HOUR, row_numbers(HOUR),
                 I.first_valid(HOUR, "close", "anchor"))
     b = rolled(b, HOUR, lambda w: {
         "d": F.coalesce(F.col("close") - I.lag1("close", w), F.lit(0.0)),
         "l": F.coalesce(F.ln("close") - F.ln(I.lag1("close", w)), F.lit(0.0))}, back=1)
-    b = running(stage(b, "differences"), HOUR, sums(HOUR, "d", "sd"), sums(HOUR, "l", "sl"))
-    return b.select("id", "t", rnd(F.col("anchor") + F.col("sd"), 4).alias("from_diff"),
-                    rnd(F.col("anchor") * F.exp("sl"), 4).alias("from_log"))
+    b = stage(b, "differences")
+    b = I.invert_difference(b, HOUR, "d", "anchor", "diff", "from_diff")
+    b = I.invert_difference(b, HOUR, "l", "anchor", "log_diff", "from_log")
+    return b.select("id", "t", rnd("from_diff", 4).alias("from_diff"), rnd("from_log", 4).alias("from_log"))
 
 
 @query("direction", time="t", sql=f"""with {SQL_DAY},

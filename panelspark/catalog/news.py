@@ -13,7 +13,7 @@ from panelspark.functions.topics import Topic
 from panelspark.operators import calendar as C
 from panelspark.operators import news as N
 from panelspark.operators.align import encode_label
-from panelspark.session import spread, stage
+from panelspark.session import stage
 from panelspark.sources.articles import latest_batch
 
 KEYWORDS = ["the", "the of", "and", "ing", "on", "or", "ther", "in that", "of", "er"]
@@ -30,7 +30,7 @@ def articles(spark, sf):
     day = F.expr("date_add(date'2024-01-01', cast(doc_id * doc_id % 61 as int))")
     def kw(name, value):
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.when(d % 11 != 0, F.col("text")).alias("abstract"),
         F.when(d % 22 != 0, F.concat(F.lit("On the "), "source")).alias("headline"),
         F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("pub_date"),
@@ -61,7 +61,7 @@ tagged as (select *, {KW_SQL} kws,
   list_filter(list_distinct([source, tag]), lambda x: x in ({listed(TAGS_BROAD)})) broad,
   list_filter(list_distinct([source, tag]), lambda x: x in ({listed(TAGS_TIGHT)})) tight from passed),
 kept as (select *, list_sort(list_distinct(list_concat(broad, tight))) tags,
-  case when len(broad) > 0 and len(kws) >= 1 then 'both' when len(tight) > 0 then 'tag_only'
+  case when len(broad) > 0 and len(kws) >= 1 then 'both' when len(tight) > 0 then 'nyt_only'
        when len(kws) >= 2 then 'kw_only' end bucket from tagged),
 arts as (select *, case when list_has_any(kws, [{listed(TOPIC.specific_keywords)}])
   or list_has_any(tags, [{listed(TOPIC.specific_tags)}]) then 'metal' else 'economy' end category
@@ -84,7 +84,7 @@ def article_text_query(spark, sf):
 
 @query("matched_keywords", f"""select doc_id, array_to_string({KW_SQL}, '|') hits from documents""")
 def matched_keywords_query(spark, sf):
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.array_join(matched_keywords(F.col("text"), KEYWORDS), "|").alias("hits"))
 
 
@@ -106,7 +106,7 @@ def filter_articles(spark, sf):
 
 @query("article_slots", f"""with {ART_SQL}
 select strftime(date, '%Y-%m-%d') date, row_number() over (partition by date order by
-  case bucket when 'both' then 0 when 'tag_only' then 1 else 2 end, doc_id) slot, doc_id, md5(text) digest from arts""")
+  case bucket when 'both' then 0 when 'nyt_only' then 1 else 2 end, doc_id) slot, doc_id, md5(text) digest from arts""")
 def article_slots(spark, sf):
     """The wide headline table in its long form: day, position, text."""
     kept = stage(N.filter_articles(articles(spark, sf), TOPIC), "articles")
@@ -219,7 +219,7 @@ select doc_id, total n_tokens, round(p / (p + g + u), 6) prob_positive, round(g
   round(u / (p + g + u), 6) prob_neutral from n""")
 def score_text(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = N.score_text(spread(d), N.lexicon_scorer(WORDS))
+    out = N.score_text(d, N.lexicon_scorer(WORDS))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("long")
     return out.select("doc_id", total.alias("n_tokens"), *[rnd(c).alias(c) for c in C.PROB_COLS])
 

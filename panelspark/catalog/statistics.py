@@ -34,18 +34,29 @@ def describe_column(spark, sf):
     return _rounded(S.describe(table(spark, sf, "lineitem"), [], "l_extendedprice"), 4)
 
 
-@query("exact_quantiles_by_group", """select l_returnflag flag, q, round(quantile_cont(l_extendedprice, q), 4) as value
+QUANTILES_SQL = """select l_returnflag flag, q, round(quantile_cont(l_extendedprice, q), 4) as value
 from lineitem, (values (0.0::double), (0.05), (0.5), (0.9), (0.999), (1.0)) t(q) group by 1, 2""".replace(
     "quantile_cont(l_extendedprice, q)", """case q when 0.0 then quantile_cont(l_extendedprice, 0.0)
   when 0.05 then quantile_cont(l_extendedprice, 0.05) when 0.5 then quantile_cont(l_extendedprice, 0.5)
   when 0.9 then quantile_cont(l_extendedprice, 0.9) when 0.999 then quantile_cont(l_extendedprice, 0.999)
-  else quantile_cont(l_extendedprice, 1.0) end"""))
+  else quantile_cont(l_extendedprice, 1.0) end""")
+
+
+@query("exact_quantiles_by_group", QUANTILES_SQL)
 def exact_quantiles_by_group(spark, sf):
     li = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")
     out = S.exact_percentiles(li, ["flag"], "l_extendedprice", [0.0, 0.05, 0.5, 0.9, 0.999, 1.0])
     return out.select("flag", "q", rnd("value", 4).alias("value"))
 
 
+@query("exact_quantiles_sketch", QUANTILES_SQL)
+def exact_quantiles_sketch(spark, sf):
+    """The same where a sketch brackets the ranks: it is coarse, so that small tables need it, too."""
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    out = S.exact_percentiles(li, ["flag"], "l_extendedprice", [0.0, 0.05, 0.5, 0.9, 0.999, 1.0], accuracy=1_000)
+    return out.select("flag", "q", rnd("value", 4).alias("value"))
+
+
 @query("value_shares", """with d as (select unnest(['R', 'A', 'N', 'X']) as value), c as (select l_returnflag as value, count(*) n from lineitem group by 1)
 select d.value, coalesce(n, 0) n, round(coalesce(n, 0) / cast(sum(coalesce(n, 0)) over () as double), 6) as share from d left join c using (value)""")
 def value_shares(spark, sf):
@@ -175,6 +186,22 @@ def corr_matrix_scaled(spark, sf):
     return _corr(spark, sf, ddof_scale=True, block=6).select("f1", "f2", rnd("r").alias("r"))
 
 
+HOLES_SQL = f"""{SQL_DAY}, long_ as (select t, id || '_' || feature feature, value
+  from (select id, t, open, high, low, close from bars_day) unpivot (value for feature in (open, high, low, close))
+  where (dayofyear(t) + length(id) + length(feature)) % 4 <> 0)"""
+
+
+@query("corr_matrix_with_holes", f"""with {HOLES_SQL}
+select a.feature f1, b.feature f2, round(corr(a.value, b.value), 6) + 0.0 r from long_ a join long_ b using (t)
+group by 1, 2 having count(*) >= 2""")
+def corr_matrix_with_holes(spark, sf):
+    """Every feature lacks dates of its own; a pair counts the dates that both have."""
+    x = A.to_long(bars_day(spark, sf), DAY, FEATS)
+    x = x.filter("(dayofyear(t) + length(id) + length(feature)) % 4 <> 0")
+    x = x.select("t", F.concat_ws("_", "id", "feature").alias("feature"), "value")
+    return S.corr_matrix(stage(x, "features"), block=7).filter("r is not null").select("f1", "f2", rnd("r").alias("r"))
+
+
 @query("row_softmax", f"""with {LONG_SQL}, t as (select * from cm where f2 like '%close'),
 e as (select f1, f2, exp((r - max(r) over (partition by f1)) / 0.1) e from t)
 select f1, f2, round(e / sum(e) over (partition by f1), 6) attention from e""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.segments import Running, earlier, running, so_far
+from panelspark.operators.segments import BUCKET, Running, bucket_of, bucket_step, earlier, running, so_far
 from panelspark.schema import Series
 
 PRICES = ("open", "high", "low", "close", "volume")
@@ -58,16 +58,19 @@ def common_trading(a: DataFrame, b: DataFrame, flagged: DataFrame, flag: str = "
 
 
 def reindex(df: DataFrame, s: Series, calendar: DataFrame) -> DataFrame:
-    """Exactly the calendar's dates for every series; rows on other dates are dropped.
+    """Exactly the calendar's times for every series; rows at other times are dropped.
 
-    Each series unfolds to the days of the calendar's span, then keeps those in the calendar, so
-    the work is series x days by construction and every join is on equality.
+    The calendar's own distinct times are packed by bucket, a bounded number each. Every series
+    unfolds to the buckets of the calendar's span, meets the packed times by equality and unfolds
+    them, so any spacing is kept and no row meets all others.
     """
-    lo = calendar.agg(F.min(s.t).alias("v")).scalar()
-    hi = calendar.agg(F.max(s.t).alias("v")).scalar()
-    days = (df.select(*s.keys).distinct().withColumns({"_lo": lo, "_hi": hi})
-            .select(*s.keys, F.explode(F.expr("sequence(_lo, _hi, interval 1 day)")).alias(s.t)))
-    grid = days.join(calendar.select(s.t), s.t, "left_semi")
+    packed = (calendar.select(s.t).distinct().withColumn(BUCKET, bucket_of(calendar, s))
+              .groupBy(BUCKET).agg(F.collect_list(s.t).alias("_times")))
+    span = packed.agg(F.min(BUCKET).alias("lo"), F.max(BUCKET).alias("hi"))
+    buckets = (df.select(*s.keys).distinct()
+               .withColumns({"_lo": span.select("lo").scalar(), "_hi": span.select("hi").scalar()})
+               .select(*s.keys, F.explode(F.expr(f"sequence(_lo, _hi, {bucket_step(calendar, s)})")).alias(BUCKET)))
+    grid = buckets.join(packed, BUCKET).select(*s.keys, F.explode("_times").alias(s.t))
     return grid.join(df, [*s.keys, s.t], "left")
 
 

@@ -26,10 +26,13 @@ def days_between(df: DataFrame, t: str, start: Column | None = None,
 
 
 def series_days(df: DataFrame, s: Series) -> DataFrame:
-    """Every day of the span of the whole table, for each series.
+    """Every day of the span of the whole table, for each series; `t` must be a date.
 
-    Bounds are a scalar subquery, so no row of one side meets every row of the other.
+    Bounds are a scalar subquery, so no row of one side meets every row of the other. For another
+    spacing, `reindex` takes the times themselves.
     """
+    if dict(df.dtypes)[s.t] != "date":
+        raise TypeError(f"{s.t}: days need a date; use reindex with a calendar of times")
     bounds = df.agg(F.min(s.t).alias("lo"), F.max(s.t).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     return (df.select(*s.keys).distinct().withColumns({"_lo": lo, "_hi": hi})
@@ -119,8 +122,10 @@ def fill_isolated(news: DataFrame, t: str = "t", probs=PROB_COLS, labels=PROB_LA
 
     Longer gaps stay. Each day announces itself to the following and the preceding day, so the
     neighbours meet by an aggregate on the day; no calendar is needed. A table without
-    probability columns comes back unchanged.
+    probability columns comes back unchanged, one without the vector column is filled without it;
+    other columns are kept and null on the added days.
     """
+    vector = vector if vector in news.columns else None
     if not set(probs) <= set(news.columns):
         return news
     real = news.filter(F.col(probs[0]).isNotNull())
@@ -140,8 +145,7 @@ def fill_isolated(news: DataFrame, t: str = "t", probs=PROB_COLS, labels=PROB_LA
         cols[vector] = mean_vector(F.col(f"p.{vector}"), F.col(f"n.{vector}"))
     filled = hole.select(t, *[e.alias(c) for c, e in cols.items()])
     filled = filled.withColumn(label, first_max_label([F.col(c) for c in probs], labels))
-    keep = [t, label, *probs, *([vector] if vector else [])]
-    return real.select(*keep).unionByName(filled.select(*keep))
+    return real.unionByName(filled, allowMissingColumns=True)
 
 
 def zero_vector(dim: int | Column) -> Column:

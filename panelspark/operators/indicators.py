@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.calendar import calendar_features
 from panelspark.operators.segments import (
-    ROW, SEG, SEGMENT_ROWS, Running, fills, full_frame, number_rows, rolled, row_numbers, running,
-    sums, when_full, whole)
+    ROW, SEG, SEGMENT_ROWS, Running, earlier, fills, full_frame, number_rows, rolled, row_numbers,
+    running, so_far, sums, when_full, whole)
 from panelspark.schema import Series
 from panelspark.session import stage
 
@@ -91,7 +91,8 @@ def ema(x, w: WindowSpec, span: float, back: int, size: int = SEGMENT_ROWS) -> C
     The recurrence is unrolled: with d = 1 - weight and j the position inside the segment, the
     mean is d^j times a running sum of weight * x * d^-j, a plain running window sum. Short
     spans, where d^-j would overflow inside a segment, fold over the few rows that still matter.
-    The segment must carry `back >= ema_reach(span)` rows of context.
+    The segment must carry `back >= ema_reach(span)` rows of context, and x no nulls: `add_ema` takes
+    series with holes.
     """
     reach = ema_reach(span)
     if back < reach:
@@ -173,18 +174,67 @@ def indicator(df: DataFrame, s: Series, name: str, expr, back: int,
     return rolled(df, s, lambda w: {name: expr(w)}, back=back, size=size)
 
 
+def _ema_steps(col: str, spans: dict[str, float], w: WindowSpec, back: int, size: int) -> list[dict[str, Column]]:
+    """Exponential means over rows that have a value, `_gap` rows after the one before.
+
+    A value g rows after the last one counts weight / (d^g + weight), the mean so far the rest. With
+    L the running sum of the logarithms of the latter, the mean is e^L times a running sum, as in
+    `ema`; short spans fold over the rows that still matter.
+    """
+    gap = F.when(F.col(ROW) > F.greatest(F.col(SEG) * size - back + 1, F.lit(1)), F.col("_gap"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    logs, means = {}, {}
+    for name, span in spans.items():
+        weight = 2 / (span + 1)
+        decay = 1 - weight
+        if decay <= 0:
+            means[name] = F.col(col)
+        elif (size + back) * -math.log(decay) < 600:
+            old = F.pow(F.lit(decay), gap)
+            kept = F.coalesce(old / (old + weight), F.lit(0.0))
+            # a hole of many rows takes the mean so far out, whatever its length
+            level = F.coalesce(F.sum(F.when(gap.isNotNull(), F.log(F.greatest(kept, F.lit(1e-18))))).over(so_far), F.lit(0.0))
+            logs[f"_L_{name}"] = level
+            means[name] = (F.col(f"_L_{name}"), F.col(col) * (1 - kept))
+        else:
+            past = F.collect_list(F.struct(F.col(col).alias("x"), gap.alias("g"))).over(full_frame(w, ema_reach(span)))
+            means[name] = F.aggregate(F.slice(past, 2, ema_reach(span)), past[0]["x"], lambda acc, v: (
+                acc * F.pow(F.lit(decay), v["g"]) + v["x"] * weight) / (F.pow(F.lit(decay), v["g"]) + weight))
+    last = {n: F.exp(m[0]) * F.sum(m[1] * F.exp(-m[0])).over(so_far) if isinstance(m, tuple) else m
+            for n, m in means.items()}
+    return [logs, last] if logs else [last]
+
+
+def _ema_columns(df: DataFrame, s: Series, col: str, spans: dict[str, float], size: int) -> DataFrame:
+    """Exponential means that start at the first value and hold over nulls, whose rows still age them."""
+    back = max(ema_reach(span) for span in spans.values())
+    numbered = number_rows(df, s, "_pos").withColumn("_x", F.col(col).cast("double"))
+    known = numbered.filter(F.col("_x").isNotNull())
+    out = rolled(known, s, lambda w: [{"_gap": F.col("_pos") - F.lag("_pos", 1).over(w)},
+                                      *_ema_steps("_x", spans, w, back, size)], back=back, size=size)
+    out = out.drop("_gap", *[f"_L_{n}" for n in spans])
+    every = out.unionByName(numbered.filter(F.col("_x").isNull()), allowMissingColumns=True)
+    held = running(every, s, *[_hold(s, n) for n in spans])
+    return held.drop("_pos", "_x")
+
+
+def _hold(s: Series, col: str) -> Running:
+    """The last seen value."""
+    seen = F.when(F.col(col).isNotNull(), F.col(s.t))
+    return Running({f"_l_{col}": F.max_by(col, seen)},
+                   {f"_in_{col}": F.last(f"_l_{col}", ignorenulls=True).over(earlier(s))},
+                   {col: F.coalesce(F.last(col, ignorenulls=True).over(so_far(s)), F.col(f"_in_{col}"))})
+
+
 def add_ema(df: DataFrame, s: Series, col: str, span: float, name: str | None = None,
             size: int = SEGMENT_ROWS) -> DataFrame:
-    back = ema_reach(span)
-    return indicator(df, s, name or f"EMA_{span}", lambda w: ema(col, w, span, back, size),
-                     back, size)
+    return _ema_columns(df, s, col, {name or f"EMA_{span}": span}, size)
 
 
 def add_macd(df: DataFrame, s: Series, col: str, fast: int = 12, slow: int = 26,
              size: int = SEGMENT_ROWS) -> DataFrame:
-    back = max(ema_reach(slow), ema_reach(fast))
-    return indicator(df, s, "MACD", lambda w: ema(col, w, fast, back, size)
-                     - ema(col, w, slow, back, size), back, size)
+    out = _ema_columns(df, s, col, {"_fast": fast, "_slow": slow}, size)
+    return out.withColumn("MACD", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
 
 
 def add_rsi(df: DataFrame, s: Series, col: str, n: int = 14) -> DataFrame:

@@ -17,7 +17,7 @@ from panelspark.operators.segments import number_rows
 from panelspark.schema import PROB_COLS, PROB_LABELS, Series
 
 # Priority of the three buckets.
-BUCKETS = ("both", "tag_only", "kw_only")
+BUCKETS = ("both", "nyt_only", "kw_only")
 
 
 # ── filter ──────────────────────────────────────────────────────────────────

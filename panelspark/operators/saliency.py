@@ -156,21 +156,23 @@ def jaccard_topk(df: DataFrame, keys: list[str], sets: str, k: int,
                  name: str = "jaccard") -> DataFrame:
     """Mean pairwise Jaccard of sets of size k; 1 for a single set.
 
-    No pair is formed. Each set emits its 2^k subsets; a subset seen c times is shared by
-    c(c-1)/2 pairs, so the subset counts give the number of pairs for each size of intersection
-    by inclusion and exclusion. Work is linear in the sets and combines map-side.
+    No pair is formed. Equal sets are merged first, with their count. Each distinct set emits its
+    2^k subsets; a subset seen c times is shared by c(c-1)/2 pairs, so the subset counts give the
+    number of pairs for each size of intersection by inclusion and exclusion. Work is linear in the
+    distinct sets and combines map-side.
     """
-    if not 1 <= k <= 12:
-        raise ValueError("k must be between 1 and 12")
+    if k < 1:
+        raise ValueError("k must be positive")
     weight = [sum((-1) ** (m - j) * math.comb(m, j) * j / (2 * k - j) for j in range(m + 1))
               for m in range(k + 1)]
     sized = F.array_sort(F.array_distinct(sets))
     sized = F.when(F.size(sized) == k, sized).otherwise(F.raise_error(F.lit(f"sets must have {k} members")))
-    bits = df.select(*keys, sized.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))).alias("_m"))
+    merged = df.select(*keys, sized.alias("_s")).groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_sets"))
+    bits = merged.select(*keys, "_s", "_sets", F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))).alias("_m"))
     parts = F.array_compact(F.array(*[
         F.when(F.col("_m").bitwiseAND(F.lit(1 << i)) != 0, F.get("_s", F.lit(i))) for i in range(k)]))
-    counts = bits.select(*keys, parts.alias("_sub")).groupBy(*keys, "_sub").agg(
-        F.count(F.lit(1)).cast("double").alias("_c"))
+    counts = bits.select(*keys, "_sets", parts.alias("_sub")).groupBy(*keys, "_sub").agg(
+        F.sum("_sets").cast("double").alias("_c"))
     pairs = F.col("_c") * (F.col("_c") - 1) / 2
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weight]), F.size("_sub") + 1)
     out = counts.groupBy(*keys).agg(F.sum(pairs * w).alias("_j"),

@@ -36,6 +36,15 @@ def bucket_of(df: DataFrame, s: Series) -> Column:
     raise TypeError(f"{s.t}: need a date, timestamp or integer, got {dtype.simpleString()}")
 
 
+def bucket_step(df: DataFrame, s: Series) -> str:
+    """SQL of the distance between neighbouring buckets."""
+    dtype = df.schema[s.t].dataType
+    if isinstance(dtype, T.IntegralType):
+        return "1"
+    unit = s.bucket or ("year" if isinstance(dtype, T.DateType) else "day")
+    return f"interval 1 {unit}"
+
+
 def by_bucket(s: Series) -> WindowSpec:
     """Order inside one bucket."""
     return Window.partitionBy(*s.keys, BUCKET).orderBy(s.t)

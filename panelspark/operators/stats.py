@@ -19,7 +19,8 @@ def exact_percentiles(df: DataFrame, by: list[str], col: str, qs: list[float],
     group outgrows. Here a mergeable sketch brackets each wanted rank, rows below the bracket are
     only counted, and the few rows inside it, already merged by value, are ranked. The sketch is
     off by at most n / accuracy ranks and the bracket reaches 4 n / accuracy either way, so from
-    n = accuracy on both neighbours of the rank are inside; smaller groups are kept whole.
+    n = accuracy on both neighbours of the rank are inside; the bracket of a smaller group is the
+    group. A rank outside its bracket raises.
     """
     x = F.col(col).cast("double")
     src = df.filter(x.isNotNull()).select(*by, x.alias("_x"))
@@ -52,9 +53,13 @@ def exact_percentiles(df: DataFrame, by: list[str], col: str, qs: list[float],
     lo, hi = F.floor(h) + 1, F.ceil(h) + 1
     hit = ranked.groupBy(*by, "q", "_n").agg(
         F.min(F.when(F.col("_end") >= lo, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_end") >= hi, F.col("_v"))).alias("_z"))
+        F.min(F.when(F.col("_end") >= hi, F.col("_v"))).alias("_z"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"))
     frac = h - F.floor(h)
-    return hit.select(*by, "q", (F.col("_a") + (F.col("_z") - F.col("_a")) * frac).alias(name))
+    inside = (F.col("_below") < lo) & F.col("_z").isNotNull()
+    value = F.when(inside, F.col("_a") + (F.col("_z") - F.col("_a")) * frac).otherwise(
+        F.raise_error(F.lit("a quantile's rank is outside its bracket")).cast("double"))
+    return hit.select(*by, "q", value.alias(name))
 
 
 def describe(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -178,13 +183,14 @@ def zscore(df: DataFrame, by: str = "feature", value: str = "value",
 
 
 def corr_matrix(df: DataFrame, t: str = "t", feature: str = "feature", value: str = "value",
-                block: int = 512, dates_per_chunk: int = 512,
+                block: int = 512, dates_per_chunk: int = 4096,
                 ddof_scale: bool = False) -> DataFrame:
-    """Pearson of every pair of features, long `(f1, f2, r)`, f1 and f2 over all features.
+    """Pearson of every pair of features over the dates that have both, long `(f1, f2, r)`.
 
-    Z-scores are cut into (chunk of dates x block of features) tiles; each pair of blocks multiplies as
-    two small matrices inside a task and only block-sized partial sums are shuffled, so no date
-    ever unfolds into pairs of rows. Every feature must have a value on every date.
+    Z-scores are cut into (chunk of dates x block of features) tiles. Each pair of blocks multiplies
+    as small matrices inside a task: values, squares and presence, so that a hole counts for the
+    pairs it is in alone. Only block-sized partial sums are shuffled, and no date ever unfolds into
+    pairs of rows. Pairs without two common dates have a null, constants a zero.
     `ddof_scale` keeps the factor (T-1)/T of a product of sample z-scores divided by T.
     """
     z = zscore(df.select(t, F.col(feature).alias("feature"), F.col(value).cast("double").alias("value")))
@@ -198,24 +204,32 @@ def corr_matrix(df: DataFrame, t: str = "t", feature: str = "feature", value: st
     z = z.withColumn("_o", F.explode(F.expr("sequence(0L, _blocks - 1)")))
     z = z.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
     z = z.select("_c", "_i", "_j", "_b", F.col(t).alias("_t"), "feature", "z")
+    sums = ["n", "x", "y", "xx", "yy", "xy"]
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        wide = pdf.pivot(index="_t", columns="feature", values="z").fillna(0.0)
+        wide = pdf.pivot(index="_t", columns="feature", values="z")
         side = pdf.drop_duplicates("feature").set_index("feature")["_b"]
         fi, fj = [f for f in wide.columns if side[f] == i], [f for f in wide.columns if side[f] == j]
-        g = wide[fi].to_numpy().T @ wide[fj].to_numpy()
+        a, b = wide[fi].to_numpy(dtype=float).T, wide[fj].to_numpy(dtype=float)
+        here, there = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        got = [here @ there, a @ there, here @ b, (a * a) @ there, here @ (b * b), a @ b]
         return pd.DataFrame({"f1": np.repeat(np.array(fi, dtype=object), len(fj)),
                              "f2": np.tile(np.array(fj, dtype=object), len(fi)),
-                             "s": g.ravel(), "mirror": i != j})
+                             **{k: g.ravel() for k, g in zip(sums, got)}, "mirror": i != j})
 
-    parts = z.groupBy("_c", "_i", "_j").applyInPandas(product, "f1 string, f2 string, s double, mirror boolean")
-    total = parts.groupBy("f1", "f2", "mirror").agg(F.sum("s").alias("s"))
+    schema = "f1 string, f2 string, " + ", ".join(f"{k} double" for k in sums) + ", mirror boolean"
+    parts = z.groupBy("_c", "_i", "_j").applyInPandas(product, schema)
+    total = parts.groupBy("f1", "f2", "mirror").agg(*[F.sum(k).alias(k) for k in sums])
     both = F.explode(F.when(F.col("mirror"), F.array(
         F.struct("f1", "f2"), F.struct(F.col("f2").alias("f1"), F.col("f1").alias("f2"))))
         .otherwise(F.array(F.struct("f1", "f2"))))
-    div = n if ddof_scale else n - 1
-    return total.select(both.alias("p"), "s").select("p.f1", "p.f2", (F.col("s") / div).alias("r"))
+    n, x, y, xx, yy, xy = (F.col(k) for k in sums)
+    vx, vy = xx - x * x / n, yy - y * y / n
+    r = F.when(F.least(vx, vy) > 1e-9 * n, (xy - x * y / n) / F.sqrt(vx * vy)).otherwise(F.lit(0.0))
+    r = F.when(n >= 2, r * (n - 1) / n if ddof_scale else r)
+    return total.select(both.alias("p"), r.alias("r")).select("p.f1", "p.f2", "r")
 
 
 def row_softmax(df: DataFrame, by: str = "f1", value: str = "r", temp: float = 0.1,

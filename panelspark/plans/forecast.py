@@ -9,7 +9,7 @@ from panelspark.operators import evaluate as E
 from panelspark.operators import windows as X
 from panelspark.operators.indicators import difference
 from panelspark.schema import Series
-from panelspark.session import spread, stage
+from panelspark.session import stage
 
 
 def run_forecast(prices: DataFrame, s: Series, forecaster, price: str = "close",
@@ -29,7 +29,7 @@ def run_forecast(prices: DataFrame, s: Series, forecaster, price: str = "close",
     if max_windows:
         win = E.limit_windows(win, max_windows)
     win = stage(win.withColumn("anchor", F.element_at("x_raw", -1)), "windows")
-    samples = E.forecast(spread(win), keys, forecaster, pred, mc, seed)
+    samples = E.forecast(win, keys, forecaster, pred, mc, seed)
     samples = E.clean_samples(samples, [*keys, "window"])
     samples = E.reconstruct(samples, win, keys, mode)
     truth = win.select(*keys, "window", F.col("anchor").alias("naive"),

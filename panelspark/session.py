@@ -43,15 +43,6 @@ def local_conf(cpus: int | str = 8) -> dict[str, str]:
             "spark.driver.memory": "8g"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a table that comes in a few files.
-
-    A table of many files already is spread, and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once a context, so that functions named in it resolve there.
 

@@ -84,7 +84,7 @@ def test_gate_is_case_and_null_safe(spark):
 
 
 @pytest.mark.parametrize("broad,tight,kws,want", [
-    (["x"], ["y"], ["k"], "both"), (["x"], ["y"], [], "tag_only"), ([], ["y"], ["k"], "tag_only"),
+    (["x"], ["y"], ["k"], "both"), (["x"], ["y"], [], "nyt_only"), ([], ["y"], ["k"], "nyt_only"),
     ([], [], ["k", "l"], "kw_only"), ([], [], ["k"], None), (["x"], [], [], None)])
 def test_bucket_priority(spark, broad, tight, kws, want):
     df = spark.createDataFrame([(broad, tight, kws)], "b array<string>, t array<string>, k array<string>")

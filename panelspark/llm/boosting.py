@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import stage
+
 _IF = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 
 
@@ -103,15 +105,13 @@ def fit(rows: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7) -> Boos
 
     The rows are a bounded sample already; the calibration rows are collected.
     """
-    rows = rows.select(array_to_vector("features").alias("features"), "label", "held").persist()
+    rows = stage(rows.select("features", "label", "held"), "examples").withColumn("features", array_to_vector("features"))
     counts = {r[0]: r[1] for r in rows.where("not held").groupBy("label").count().collect()}
     if len(counts) < 2:
-        rows.unpersist()
         return constant(max(counts, key=counts.get, default=0.0))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(rows.where("not held"))
     out = _parse(model.toDebugString, list(model.treeWeights))
     held = rows.where("held").select("features", "label").collect()
-    rows.unpersist()
     if held:
         out = calibrate(out, np.array([r[0].toArray() for r in held]), np.array([r[1] for r in held]))
     return out

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import bounded_sample, strings
+from panelspark.session import stage
 
 MAX_TRAIN = 20_000
 MAX_LEXICON = 4_096
@@ -158,14 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = bounded_sample(labels.where(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).alias("y")), "id", max_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(3))).persist()
+    rows = stage(rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(3))), "labelled-sample")
     n = {(r[0], r[1]): r[2] for r in rows.groupBy(F.expr("part > 0"), "y").count().collect()}
     n1, n0 = n.get((True, 1), 0), n.get((True, 0), 0)
     if not n1 or not n0:
         total = sum(n.values())
         share = sum(v for (_, y), v in n.items() if y == 1) / total if total else 0.0
         bias = np.log((share + 1e-6) / (1 - share + 1e-6))
-        rows.unpersist()
         return Lexicon({}, exceptions, np.array([bias, 0.0, 0.0]))
     least = max(3, round(0.005 * n1))
     learn = rows.where("part > 0")
@@ -173,7 +173,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     neg = {r[0]: r[1] for r in _counts(learn.where("y = 0"), set(pos)).collect()}
     out = Lexicon(_entries(pos, neg, n1, n0), exceptions)
     got = _measured(rows.where("part = 0"), out, "id", "text", ("y",)).select("y", "total", "words").collect()
-    rows.unpersist()
     y, total, words = (np.array([float(r[k]) for r in got]) for k in range(3))
     if len(y):
         out.coef = _logistic(_inputs(total, words), y)

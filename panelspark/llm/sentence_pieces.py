@@ -5,7 +5,7 @@ from left to right; the best pair is merged, its new neighbours enter the agenda
 skipped. Symbols that are no piece become byte pieces. A merge never crosses the start of a run of
 space marks (no piece has a mark after another character) nor a character that is in no longer
 piece, such as a line break; so texts are cut there and each unit is encoded once per worker, in a
-cache of bounded size. Units that enter the cache are checked against the sentencepiece library, in
+cache of two halves of bounded size. Units that enter the cache are checked against the sentencepiece library, in
 one call per Arrow batch; a difference raises.
 
 Defined results: null is read as empty; an empty text is the end id alone and decodes to an empty
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from panelspark.llm.common import map_rows, strings
 
 MARK = "▁"
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
 LONG_UNIT = 64
 
 
@@ -51,9 +51,9 @@ class Codec:
         inner = {ch for p in self.ids if len(p) > 1 for ch in p}
         if any(MARK in p.lstrip(MARK) for p in self.ids) or "\n" in inner:
             raise ValueError("a piece crosses the start of a word or a line break")
-        self.line = self.merge("\n")
-        self.known: dict[tuple[bool, str], tuple[tuple[int, ...], str, bytes]] = {}
-        self.fresh: list[tuple[bool, str, tuple[int, ...]]] = []
+        self.line = " ".join(map(str, self.merge("\n")))
+        self.lead, self.bare = _Units(self, MARK), _Units(self, "")
+        self.fresh: list[tuple[str, str, tuple[int, ...]]] = []
 
     def merge(self, unit: str) -> tuple[int, ...]:
         """Ids of a unit, by merging the best adjacent pair until none is a piece."""
@@ -93,35 +93,9 @@ class Codec:
                     ids.append(one)
         return tuple(ids)
 
-    def unit(self, lead: bool, text: str) -> tuple[tuple[int, ...], str, bytes]:
-        """(ids, ids as text, decoded bytes) of a unit; `lead`: a space mark precedes it."""
-        got = self.known.get((lead, text))
-        if got is None:
-            ids = self.merge(MARK + text if lead else text)
-            got = ids, " ".join(map(str, ids)), b"".join([self.out[i] for i in ids])
-            if len(text) <= LONG_UNIT:
-                if len(self.known) >= CACHE_UNITS:
-                    self.known.clear()
-                self.known[lead, text] = got
-            self.fresh.append((lead, text, ids))
-        return got
-
-    def units(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        known, out = self.known, []
-        for word in text.replace(MARK, " ").split(" ") if text else ():
-            got = known.get((True, word))
-            if got is not None:
-                out.append(got)
-            elif "\n" in word:
-                first, *rest = word.split("\n")
-                out.append(self.unit(True, first))
-                for part in rest:
-                    out.append((self.line, " ".join(map(str, self.line)), b"\n"))
-                    if part:
-                        out.append(self.unit(False, part))
-            else:
-                out.append(self.unit(True, word))
-        return out
+    def units(self, text: str) -> list[tuple[str, bytes]]:
+        """The units of a text in which no marks follow each other."""
+        return list(map(self.lead.__getitem__, text.replace(MARK, " ").split(" "))) if text else []
 
     def spaced(self, text: str) -> bool:
         """Whether marks follow each other, so that they may merge."""
@@ -130,23 +104,21 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, with the end id."""
-        if self.spaced(text):
-            return [*self.runs(text), self.end]
-        return [i for u in self.units(text) for i in u[0]] + [self.end]
+        return list(map(int, self.both(text)[0].split(" ")))
 
-    def runs(self, text: str) -> list[int]:
-        """Ids of a text with runs of marks: each run and the word after it are one unit."""
+    def runs(self, text: str) -> list[tuple[str, bytes]]:
+        """The units of any text: each run of marks and the word after it, and each line break."""
         marked = MARK + text.replace(" ", MARK)
-        ids, start, n = [], 0, len(marked)
+        out, start, n = [], 0, len(marked)
         for k in range(1, n + 1):
             if k == n or marked[k] == MARK and marked[k - 1] != MARK or "\n" in marked[k - 1:k + 1]:
                 part = marked[start:k]
                 if part[0] == MARK and part[1:2] != MARK and len(part) > 1:
-                    ids.extend(self.unit(True, part[1:])[0])
+                    out.append(self.lead[part[1:]])
                 else:
-                    ids.extend(self.unit(False, part)[0])
+                    out.append(self.bare[part])
                 start = k
-        return ids
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks are spaces, the first one is dropped, bytes are read as UTF-8."""
@@ -155,25 +127,50 @@ class Codec:
 
     def both(self, text: str) -> tuple[str, int, bytes]:
         """(ids with the end id as text, their number, decoded text as UTF-8), through units."""
-        if self.spaced(text):
-            ids = self.encode(text)
-            return " ".join(map(str, ids)), len(ids), self.decode(ids).encode()
-        got = self.units(text)
-        ids = " ".join([*[u[1] for u in got], str(self.end)])
-        return ids, ids.count(" ") + 1, b"".join([u[2] for u in got]).removeprefix(b" ")
+        got = self.runs(text) if self.spaced(text) else self.units(text)
+        ids = " ".join([*[u[0] for u in got], str(self.end)])
+        return ids, ids.count(" ") + 1, b"".join([u[1] for u in got]).removeprefix(b" ")
 
     def verify(self) -> None:
         """Compare what was merged since the last call with the library."""
         fresh, self.fresh = self.fresh, []
-        line = len(self.line) + 1
-        given = [text if lead else "\n" + text for lead, text, _ in fresh]
-        for (lead, text, ids), want in zip(fresh, self.library.encode(given, num_threads=1)):
-            if list(ids) != (want if lead else want[line:]) and (lead or text):
-                if lead and not text and want == []:
-                    continue
+        before = len(self.line.split(" ")) + 1  # of a line break put first: its ids and a mark's
+        given = [text if mark else "\n" + text for mark, text, _ in fresh]
+        for (mark, text, ids), want in zip(fresh, self.library.encode(given, num_threads=1)):
+            if text and list(ids) != (want if mark else want[before:]):
                 raise ValueError(f"merged ids differ from the library's for {text!r}: {ids} {want}")
 
 
+class _Units(dict):
+    """(ids as text, decoded bytes) of units that `mark` precedes."""
+
+    def __init__(self, owner: Codec, mark: str):
+        super().__init__()
+        self.owner, self.mark, self.older = owner, mark, {}
+
+    def __missing__(self, text: str) -> tuple[str, bytes]:
+        owner = self.owner
+        if self.mark and "\n" in text:
+            first, *rest = text.split("\n")
+            got = [self[first]]
+            for part in rest:
+                got.append((owner.line, b"\n"))
+                if part:
+                    got.append(owner.bare[part])
+            return " ".join([g[0] for g in got]), b"".join([g[1] for g in got])
+        got = self.older.get(text)
+        if got is None:
+            ids = owner.merge(self.mark + text)
+            got = " ".join(map(str, ids)), b"".join([owner.out[i] for i in ids])
+            owner.fresh.append((self.mark, text, ids))
+        if len(text) <= LONG_UNIT:
+            if len(self) >= CACHE_UNITS:  # units that are still in use come back from the older half
+                self.older = dict(self)
+                self.clear()
+            self[text] = got
+        return got
+
+
 @cache
 def codec(model_file: str) -> Codec:
     return Codec(model_file)

@@ -14,7 +14,7 @@ from panelspark.catalog.news import articles
 from panelspark.operators.calendar import PROB_COLS
 from panelspark.session import shared_dir
 from panelspark.streaming.indicators import indicator_stream
-from panelspark.streaming.ingest import daily_news_stream, drain, ingest_stream
+from panelspark.streaming.ingest import daily_news_stream, drain, ingest_stream, open_days
 
 
 def _folder(spark, name):
@@ -34,13 +34,15 @@ select date, round(avg(prob_positive), 6) prob_positive, round(avg(prob_negative
   round(avg(prob_neutral), 6) prob_neutral, round(avg(cast(embedding[1] as double)), 6) + 0.0 e1, count(*) n_articles,
   case when avg(prob_positive) >= avg(prob_negative) and avg(prob_positive) >= avg(prob_neutral) then 'positive'
        when avg(prob_negative) >= avg(prob_neutral) then 'negative' else 'neutral' end as label
-from scored group by 1 having date + 1 <= (select max(date) from scored) - 2""")
+from scored group by 1""")
 def stream_daily_news(spark, sf):
-    """Days the watermark has closed: all but those within two days of the newest article."""
-    src = _stream_of(scored(spark, sf).withColumn("ts", F.col("date").cast("timestamp")), "scored")
+    """Days the watermark has closed, and the flush of those still open at the end of the input."""
+    rows = scored(spark, sf).withColumn("ts", F.col("date").cast("timestamp")).drop("date")
+    src = _stream_of(rows, "scored")
     out = _folder(spark, "daily")
     drain(daily_news_stream(src, "ts"), out, _folder(spark, "daily-checkpoint"))
-    d = spark.read.parquet(out)
+    closed = spark.read.parquet(out)
+    d = closed.unionByName(open_days(rows, closed, "ts"))
     return d.select("date", *[rnd(c).alias(c) for c in PROB_COLS],
                     rnd(F.get("embedding", F.lit(0))).alias("e1"), "n_articles", "label")
 

@@ -46,13 +46,30 @@ def daily_news_stream(df: DataFrame, ts: str, delay: str = "2 days", vector: str
                       probs=PROB_COLS, labels=PROB_LABELS) -> DataFrame:
     """Daily mean embedding, mean probabilities and label; a day is final once the watermark passed it.
 
-    State is one running aggregate per open day, combined map-side like the batch form.
+    State is one running aggregate per open day, combined map-side like the batch form. `open_days`
+    gives the days that are still open when the input ends.
     """
+    out = df.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("_w")).agg(*_daily(vector, probs))
+    return _labelled(out.withColumn("date", F.to_date(F.col("_w.start"))).drop("_w"), probs, labels)
+
+
+def open_days(rows: DataFrame, closed: DataFrame, ts: str, vector: str | None = "embedding",
+              probs=PROB_COLS, labels=PROB_LABELS) -> DataFrame:
+    """The same for the days that the stream has not closed: the flush at the end of the input.
+
+    `rows` are all rows of the source, `closed` what the stream has put out. Only days that miss there
+    are aggregated, so a flush costs the last days alone when rows are laid out by time.
+    """
+    left = rows.withColumn("date", F.to_date(ts)).join(closed.select("date").distinct(), "date", "left_anti")
+    return _labelled(left.groupBy("date").agg(*_daily(vector, probs)), probs, labels)
+
+
+def _daily(vector: str | None, probs) -> list:
     aggs = [F.avg(p).alias(p) for p in probs]
     if vector:
         aggs.append(mean_embedding(vector).alias(vector))
-    out = (df.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("_w"))
-           .agg(*aggs, F.count(F.lit(1)).alias("n_articles")))
-    return (out.withColumns({"date": F.to_date(F.col("_w.start")),
-                             "label": first_max_label([F.col(p) for p in probs], labels)})
-            .drop("_w"))
+    return [*aggs, F.count(F.lit(1)).alias("n_articles")]
+
+
+def _labelled(days: DataFrame, probs, labels) -> DataFrame:
+    return days.withColumn("label", first_max_label([F.col(p) for p in probs], labels))

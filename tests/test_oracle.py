@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import check
 
+LARGER = "/root/testdata/sf0.01"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
@@ -14,7 +15,10 @@ QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 def test_query(name, spark, duck, sf_dir):
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLE:
-        assert check.compare(df, duck, ORACLE[name], allow_empty=True) is None
+        diff = check.compare(df, duck, ORACLE[name])
+        if diff == "no rows":  # too few rows for this query: the next larger tables must have some
+            diff = check.compare(QUERIES[name](spark, LARGER), check.connect(LARGER), ORACLE[name])
+        assert diff is None
     else:
         assert df.count() > 0
 

@@ -52,11 +52,12 @@ def quality_indicator_ranges(spark, sf):
 
 @query("quality_nulls_by_mask", f"with {GRID_SQL}, m as (select *, case when close is not null then 1 else 0 end flag from full_) " + " union all ".join(
     [rule("panel", f"null_only_where_closed:{c}", "FAIL", cnt(f"{c} is null and flag = 1"), "count(*)", "m") for c in ("open", "high", "close")]
-    + [rule("panel", "flag_01:trading_day", "FAIL", "0", "count(*)", "m")]))
+    + [rule("panel", "flag_01:odd_flag", "FAIL", cnt("flag + dayofmonth(t) % 2 > 1"), "count(*)", "m")]))
 def quality_nulls_by_mask(spark, sf):
     g = C.trading_day(_grid(spark, sf))
     closed = F.col("trading_day") == 0
-    rules = [Q.null_only_where(c, closed, "closed") for c in ("open", "high", "close")] + [Q.flag_01("trading_day")]
+    rules = [Q.null_only_where(c, closed, "closed") for c in ("open", "high", "close")] + [Q.flag_01("odd_flag")]
+    g = g.withColumn("odd_flag", F.col("trading_day") + F.dayofmonth("t") % 2)  # 2 on some days
     return Q.check(g, rules, "panel")
 
 
@@ -64,18 +65,23 @@ def quality_nulls_by_mask(spark, sf):
 
 @query("quality_news", f"with {SQL_SCORED} " + " union all ".join([
     rule("news", "range:prob_positive", "FAIL", cnt("prob_positive not between 0 and 1"), "count(prob_positive)", "scored"),
-    rule("news", "label_iff_prob:label", "FAIL", "0", "count(*)", "scored"),
-    rule("news", "label_domain:label", "FAIL", "0", "count(*)", "scored"),
+    rule("news", "label_iff_prob:label", "FAIL", cnt("vec_id % 7 = 0"), "count(*)", "scored"),
+    rule("news", "label_domain:label", "FAIL", cnt("vec_id % 7 <> 0 and vec_id % 11 = 0"), cnt("vec_id % 7 <> 0"), "scored"),
     rule("news", "embedding_present:embedding", "FAIL", cnt("embedding is null"), "count(*)", "scored"),
     rule("news", "embedding_dim:embedding", "FAIL", cnt("len(embedding) <> 64"), "count(embedding)", "scored"),
-    rule("news", "embedding_finite:embedding", "FAIL", "0", "count(embedding)", "scored"),
+    rule("news", "embedding_finite:odd_vector", "FAIL", cnt("vec_id % 13 in (0, 1, 2)"), "count(embedding)", "scored"),
     rule("news", "embedding_norm:embedding", "WARN", cnt("sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) <= 1.2"), "count(embedding)", "scored")]))
 def quality_news(spark, sf):
     s = scored(spark, sf)
-    s = s.withColumn("label", C.first_max_label([F.col(c) for c in C.PROB_COLS]))
+    label = C.first_max_label([F.col(c) for c in C.PROB_COLS])
+    odd = F.when(F.expr("vec_id % 13 = 0"), F.lit(float("inf"))).when(F.expr("vec_id % 13 = 1"), F.lit(float("nan")))
+    s = s.withColumns({  # rows that break each rule
+        "label": F.when(F.expr("vec_id % 7 <> 0"), F.when(F.expr("vec_id % 11 = 0"), "mixed").otherwise(label)),
+        "odd_vector": F.when(F.expr("vec_id % 13 < 3"), F.array_append(F.col("embedding").cast("array<double>"), odd))
+        .otherwise(F.col("embedding").cast("array<double>"))})
     rules = [Q.in_range("prob_positive", 0, 1), Q.label_iff_prob(), Q.label_domain(),
              Q.embedding_present("embedding", F.col("label").isNotNull()), Q.embedding_dim("embedding", 64),
-             Q.embedding_finite("embedding"), Q.embedding_norm("embedding", 1.2)]
+             Q.embedding_finite("odd_vector"), Q.embedding_norm("embedding", 1.2)]
     return Q.check(s, rules, "news")
 
 
@@ -102,12 +108,20 @@ def quality_relations(spark, sf):
     return out
 
 
-@query("quality_schema")
+@query("quality_schema", "with days as (select distinct cast(o_orderdate as date) t from orders) " + " union all ".join([
+    *(rule("features", f"has_column:{c}", "FAIL", "0", "1", "(select 1)") for c in ("t", "sin_dow", "cos_doy")),
+    rule("features", "has_column:sin_year", "FAIL", "1", "1", "(select 1)"),
+    rule("features", "lacks_column:trading_day", "FAIL", "0", "1", "(select 1)"),
+    rule("features", "lacks_column:day_close", "FAIL", "1", "1", "(select 1)"),
+    rule("features", "no_price_derived_columns", "FAIL", "1", "8", "(select 1)"),
+    rule("features", "no_null:t", "FAIL", cnt("t is null"), "count(*)", "days")]))
 def quality_schema(spark, sf):
-    """Required, forbidden and price-derived columns of the calendar features of real days."""
+    """Required, forbidden and price-derived columns of the calendar features of real days; a column
+    misses and one is derived from prices."""
     days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("t")).distinct()
-    feats = days.withColumns(I.calendar_features("t"))
-    return Q.schema_checks(spark, feats, "features", ["t", "sin_dow", "cos_doy"], ["trading_day"], True).unionByName(
+    feats = days.withColumns(I.calendar_features("t")).withColumn("day_close", F.lit(0.0))
+    return Q.schema_checks(spark, feats, "features", ["t", "sin_dow", "cos_doy", "sin_year"],
+                           ["trading_day", "day_close"], True).unionByName(
         Q.check(feats, [Q.no_null("t")], "features"))
 
 

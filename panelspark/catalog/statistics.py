@@ -252,6 +252,16 @@ def embedding_pca_variance(spark, sf):
     return out.agg(*[F.var_samp(c).alias(c) for c in pcs]).unpivot([], pcs, "component", "variance")
 
 
+@query("embedding_pca_trace", """select count(*) n_components, round(sum(v), 6) variance from (
+  select i, var_samp(cast(x as double)) v from (select generate_subscripts(embedding, 1) i, unnest(embedding) x from embeddings) group by i)""")
+def embedding_pca_trace(spark, sf):
+    """All components together hold the variance of the vectors."""
+    pcs = [f"pc{i + 1}" for i in range(64)]
+    out = S.embedding_pca(scored(spark, sf), ["vec_id"], "embedding", 64)
+    var = out.agg(*[F.var_samp(c).alias(c) for c in pcs]).unpivot([], pcs, "component", "variance")
+    return var.agg(F.count("*").alias("n_components"), F.round(F.sum("variance"), 6).alias("variance"))
+
+
 @query("dataset_summary", time="first_t last_t", sql=f"""with {SQL_DAY}
 select 'bars' as "table", count(*) n_rows, cast(min(t) as timestamp) first_t, cast(max(t) as timestamp) last_t, 0 n_null, cast(0 as double) null_pct from bars_day
 union all select 'orders', count(*), min(o_orderdate), max(o_orderdate), cast(sum(cast(o_totalprice < 2000 as int)) as bigint),

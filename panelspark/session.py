@@ -26,13 +26,15 @@ SESSION_CONF = {
 
 def build_session(app: str = "panelspark", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with UTC time, adaptive execution and dynamic partition overwrite."""
+    """A session with UTC time, adaptive execution and dynamic partition overwrite, and the package on its workers."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for k, v in {**SESSION_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def local_conf(cpus: int | str = 8) -> dict[str, str]:

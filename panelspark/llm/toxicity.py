@@ -66,11 +66,11 @@ def fold(text: str) -> str:
 
 
 def parts(text: str) -> set[str]:
-    """Words (with spaces around) and beginnings of words (with a space before) of a text."""
+    """Words (with spaces around) and beginnings of words, whole ones included (a space before), of a text."""
     words = set(fold(text).split())
     out = {f" {w} " for w in words}
     for w in words:
-        out.update(f" {w[:k]}" for k in range(3, min(len(w), 10)))
+        out.update(f" {w[:k]}" for k in range(3, min(len(w), 9) + 1))
     return out
 
 

@@ -8,7 +8,7 @@ of documents in the block: the document's id, its number in the part, how many o
 A block is read without any other, so reading is as parallel as there are blocks.
 
 Texts are cut at spaces and line breaks, where the tokenizer never joins, and the library encodes
-each distinct unit once per worker, in a cache of bounded size.
+each distinct unit once per worker, in a cache of two halves of bounded size.
 
 Defined results: null is read as empty, which is the end id alone; documents with equal ids stand
 side by side in the order of their texts, a null id stands first; repeated rows are documents of
@@ -46,20 +46,24 @@ class Units(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer  # reads the setting when it is first used
         self.library = Tokenizer.from_file(tokenizer_file)
+        self.older: dict[str, bytes] = {}
         super().__init__({"": b""})
 
     def __missing__(self, unit: str) -> bytes:
-        body = unit[:-1]
-        # Letters and one sign after them are separate words to the tokenizer; it lower-cases.
-        if unit.isascii() and body.isalpha() and unit[-1] in ".,!?;:":
-            got = self[body.lower()] + self[unit[-1]]
-        elif unit.isascii() and unit.isalpha() and not unit.islower():
-            got = self[unit.lower()]
-        else:
-            ids = self.library.encode(unit, add_special_tokens=False).ids
-            got = np.array(ids, dtype="<u4").tobytes()
+        got = self.older.get(unit)
+        if got is None:
+            body = unit[:-1]
+            # Letters and one sign after them are separate words to the tokenizer; it lower-cases.
+            if unit.isascii() and body.isalpha() and unit[-1] in ".,!?;:":
+                got = self[body.lower()] + self[unit[-1]]
+            elif unit.isascii() and unit.isalpha() and not unit.islower():
+                got = self[unit.lower()]
+            else:
+                ids = self.library.encode(unit, add_special_tokens=False).ids
+                got = np.array(ids, dtype="<u4").tobytes()
         if len(unit) <= LONG_UNIT:
-            if len(self) >= CACHE_UNITS:
+            if len(self) >= CACHE_UNITS:  # units that are still in use come back from the older half
+                self.older = dict(self)
                 self.clear()
                 self[""] = b""
             self[unit] = got

@@ -112,7 +112,7 @@ def ema_with_nulls(spark, sf):
     """Leading and inner holes: the mean starts at the first value and is held over holes."""
     b = running(bars_hour(spark, sf).select("id", "t", "close"), HOUR, I.first_valid(HOUR, "t", "first_t"))
     b = stage(b.select("id", "t", F.expr(EMA_HOLES).alias("v")), "holes")
-    out = I.add_ema(I.add_ema(b, HOUR, "v", 3, "ema_3"), HOUR, "v", 12, "ema_12")
+    out = I.add_emas(b, HOUR, "v", {"ema_3": 3, "ema_12": 12})
     return out.select("id", "t", rnd("ema_3").alias("ema_3"), rnd("ema_12").alias("ema_12"))
 
 

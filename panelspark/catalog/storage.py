@@ -10,11 +10,14 @@ from panelspark.catalog import query
 from panelspark.catalog.inputs import SQL_DAY, bars_day, rnd, table
 from panelspark.catalog.news import ART_SQL, TOPIC, articles
 from panelspark.catalog.saliency import _records
+from panelspark.operators import align as A
 from panelspark.operators import news as N
-from panelspark.session import shared_dir
+from panelspark.operators.windows import assert_aligned
+from panelspark.schema import numeric_only
+from panelspark.session import shared_dir, stage
 from panelspark.sources import sinks
 from panelspark.sources.articles import flatten_articles, read_articles
-from panelspark.sources.bars import read_messy_bars, read_panel
+from panelspark.sources.bars import read_bars, read_messy_bars, read_panel
 from panelspark.sources.inspect import inspect_tables, require
 
 
@@ -112,3 +115,36 @@ def read_nested_articles(spark, sf):
 @query("inspect_tables")
 def inspect(spark, sf):
     return inspect_tables({n: table(spark, sf, n) for n in ("orders", "embeddings", "labels")})
+
+
+@query("column_diff", """with a as (select column_name c from (describe documents)), b as (select column_name c from (describe labels))
+select 'only_a' side, c as "column" from a where c not in (select c from b) union all
+select 'only_b', c from b where c not in (select c from a)""")
+def column_diff(spark, sf):
+    return A.column_diff(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("numeric_only", "select doc_id, n_chars, lang from documents")
+def numeric(spark, sf):
+    return numeric_only(table(spark, sf, "documents"), keep=("lang",))
+
+
+@query("read_bars", time="t", sql=f"""with {SQL_DAY}
+select t, round(open, 4) as open, round(high, 4) high, round(low, 4) low, round(close, 4) as close, volume from bars_day""")
+def read_bar_files(spark, sf):
+    """A folder of bar CSV files with a header; the id is the file's name."""
+    path = _path(spark, "bar-files")
+    bars_day(spark, sf).select(*[F.col(c).alias("Date" if c == "t" else c.capitalize()) for c in (
+        "t", "open", "high", "low", "close", "volume")]).write.option("header", True).csv(path)
+    require(spark, path, "the bar download")
+    out = read_bars(spark, path).filter("id is not null")
+    return out.select("t", *[rnd(c, 4).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+@query("aligned_streams", time="t", sql=f"with {SQL_DAY} select id, t, round(close, 4) as close, volume from bars_day")
+def aligned_streams(spark, sf):
+    """Two streams of one key set, checked before they are put together."""
+    b = stage(bars_day(spark, sf).select("id", "t", "close", "volume"), "streams")
+    prices, volumes = b.select("id", "t", "close"), b.select("id", "t", "volume")
+    assert_aligned(prices, volumes, ["id", "t"])
+    return prices.join(volumes, ["id", "t"]).select("id", "t", rnd("close", 4).alias("close"), "volume")

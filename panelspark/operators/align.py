@@ -136,10 +136,11 @@ def reconcile(ours: DataFrame, vendor: DataFrame, mapping: DataFrame, t: str = "
     })
 
 
-def column_diff(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
-    """Columns only one of two tables has."""
-    return {"only_a": sorted(set(a.columns) - set(b.columns)),
-            "only_b": sorted(set(b.columns) - set(a.columns))}
+def column_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, column): columns that only one of two tables has."""
+    rows = [("only_a", c) for c in a.columns if c not in b.columns]
+    rows += [("only_b", c) for c in b.columns if c not in a.columns]
+    return a.sparkSession.createDataFrame(rows, "side string, column string")
 
 
 def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:

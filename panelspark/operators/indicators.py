@@ -205,8 +205,12 @@ def _ema_steps(col: str, spans: dict[str, float], w: WindowSpec, back: int, size
     return [logs, last] if logs else [last]
 
 
-def _ema_columns(df: DataFrame, s: Series, col: str, spans: dict[str, float], size: int) -> DataFrame:
-    """Exponential means that start at the first value and hold over nulls, whose rows still age them."""
+def add_emas(df: DataFrame, s: Series, col: str, spans: dict[str, float],
+             size: int = SEGMENT_ROWS) -> DataFrame:
+    """Exponential means that start at the first value and hold over nulls, whose rows still age them.
+
+    The input is read several times: pass a table, or `stage` it first, and give all spans at once.
+    """
     back = max(ema_reach(span) for span in spans.values())
     numbered = number_rows(df, s, "_pos").withColumn("_x", F.col(col).cast("double"))
     known = numbered.filter(F.col("_x").isNotNull())
@@ -228,12 +232,12 @@ def _hold(s: Series, col: str) -> Running:
 
 def add_ema(df: DataFrame, s: Series, col: str, span: float, name: str | None = None,
             size: int = SEGMENT_ROWS) -> DataFrame:
-    return _ema_columns(df, s, col, {name or f"EMA_{span}": span}, size)
+    return add_emas(df, s, col, {name or f"EMA_{span}": span}, size)
 
 
 def add_macd(df: DataFrame, s: Series, col: str, fast: int = 12, slow: int = 26,
              size: int = SEGMENT_ROWS) -> DataFrame:
-    out = _ema_columns(df, s, col, {"_fast": fast, "_slow": slow}, size)
+    out = add_emas(df, s, col, {"_fast": fast, "_slow": slow}, size)
     return out.withColumn("MACD", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
 
 

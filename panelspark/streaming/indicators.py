@@ -6,8 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelspark.operators.indicators import add_emas, add_rsi
+from panelspark.schema import Series
+from panelspark.session import stage
+
 STATE = "last_t double, last_close double, fast double, slow double, deltas array<double>"
 
 
@@ -16,8 +21,8 @@ def indicator_stream(bars: DataFrame, key: str = "id", t: str = "t", close: str
     """EMA pair, MACD and RSI per bar, equal to the batch forms.
 
     State per series: the last bar, both means and the last n differences. Bars of one trigger are
-    put in time order; a bar not newer than the state comes out with `late` set and no values, so
-    the caller can divert it. Cap a trigger with the source's maxFilesPerTrigger.
+    put in time order; a bar not newer than the state comes out with `late` set and no values;
+    `repaired` gives the series that had one anew. Cap a trigger with the source's maxFilesPerTrigger.
     """
     types = dict(bars.dtypes)
     out = (f"`{key}` {types[key]}, `{t}` {types[t]}, `{close}` double, ema_fast double, "
@@ -50,3 +55,17 @@ def indicator_stream(bars: DataFrame, key: str = "id", t: str = "t", close: str
 
     return bars.select(key, t, close).groupBy(key).applyInPandasWithState(
         update, out, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def repaired(emitted: DataFrame, s: Series, close: str = "close", fast: int = 12, slow: int = 26,
+             n: int = 14) -> DataFrame:
+    """What the stream has put out, with series that had a late bar computed anew in batch.
+
+    Late bars come out of the stream with their price, so the emitted rows hold every bar. Only the
+    affected series are read again; their rows keep `late`.
+    """
+    hit = emitted.filter("late").select(*s.keys).distinct()
+    bars = stage(emitted.join(hit, s.keys, "left_semi").select(*s.keys, s.t, close, "late"), "late-series")
+    again = stage(add_emas(bars, s, close, {"ema_fast": fast, "ema_slow": slow}), "late-means")
+    again = add_rsi(again, s, close, n).withColumnRenamed("RSI", "rsi").withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
+    return emitted.join(hit, s.keys, "left_anti").unionByName(again.select(emitted.columns))

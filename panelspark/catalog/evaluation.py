@@ -257,16 +257,11 @@ def forecast_persistence(spark, sf):
     return out.select("id", "window", "horizon", "sample", rnd("value").alias("value"))
 
 
-def _truth(win):
-    steps_ = win.select("id", "window", "start_t", F.posexplode("y").alias("i", "truth"), F.element_at("x", -1).alias("naive"))
-    return steps_.select("id", "window", (F.col("i") + 1).alias("horizon"), "truth", "naive")
-
-
 @query("forecast_bootstrap_scores")
 def forecast_bootstrap_scores(spark, sf):
     """The whole scoring chain on sampled paths: windows, samples, scores, run summary per series."""
     win = stage(_win(spark, sf), "windows")
-    s = E.score_steps(E.forecast(win, ["id"], E.bootstrap, PRED, mc=100, seed=7), _truth(win), ["id"])
+    s = E.score_ensembles(E.forecast_ensembles(win, ["id"], E.bootstrap, PRED, mc=100, seed=7))
     w = stage(E.per_window_metrics(s, ["id"]), "window-metrics")
     out = E.summarise(w, ["id"], h=PRED)
     return out.select("id", "windows_evaluated", "crps", "mse", "mse_naive", "mse_skill_vs_naive",

@@ -129,7 +129,11 @@ def score_steps(samples: DataFrame, truth: DataFrame, by: list[str]) -> DataFram
     `truth(keys.., window, horizon, truth, naive[, t])`. Adds quantiles, interval ends, losses,
     CRPS, PIT, and one calibration indicator per grid level.
     """
-    s = ensembles(samples, by).join(truth, [*by, "window", "horizon"])
+    return score_ensembles(ensembles(samples, by).join(truth, [*by, "window", "horizon"]))
+
+
+def score_ensembles(s: DataFrame) -> DataFrame:
+    """The same for steps that hold their sorted members `ens`, their `truth` and `naive` forecast."""
     y, med = F.col("truth"), F.col("median")
     ends = {"median": array_quantile("ens", 0.5), "q10": array_quantile("ens", 0.1),
             "q50": array_quantile("ens", 0.5), "q90": array_quantile("ens", 0.9)}
@@ -276,6 +280,53 @@ def forecast(windows: DataFrame, keys: list[str], fn: Callable[[np.ndarray, int,
     return src.mapInPandas(run, f"{schema}, window bigint, horizon int, sample int, value double")
 
 
+def forecast_ensembles(windows: DataFrame, keys: list[str], fn: Callable[[np.ndarray, int, int, int], np.ndarray],
+                       pred: int, mc: int = 100, seed: int = 0, mode: str = "no_diff", anchor: str | None = None,
+                       truth: str = "y") -> DataFrame:
+    """Steps ready for `score_ensembles`: (keys, window, horizon, ens, truth, naive).
+
+    Members never leave the batch that draws them: what is not finite takes the mean of the window's
+    finite members, differences are summed along the horizon onto the anchor, members are sorted, and
+    one row per step comes out with its truth. The same draws as `forecast`; without an anchor column
+    the last context value is the naive forecast.
+    """
+    if mode != "no_diff" and anchor is None:
+        raise ValueError("differences need an anchor column")
+    types = dict(windows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    base = F.col(anchor) if anchor else F.element_at("x", -1)
+    src = windows.select(*keys, "window", "x", F.col(truth).alias("_truth"), base.cast("double").alias("_naive"),
+                         F.pmod(F.xxhash64(*keys, "window", F.lit(seed)), F.lit(2**31)).alias("draw_seed"))
+
+    def members(x, own, naive) -> np.ndarray:
+        d = np.asarray(fn(np.asarray(x, dtype=float), pred, mc, int(own)), dtype=float)
+        if d.shape != (mc, pred):
+            raise ValueError(f"forecaster returned {d.shape}, wanted {(mc, pred)}")
+        good = np.isfinite(d)
+        if not good.all():
+            d = np.where(good, d, d[good].mean() if good.any() else np.nan)
+        if mode == "log_diff":
+            d = naive * np.exp(d.cumsum(axis=1))
+        elif mode != "no_diff":
+            d = naive + d.cumsum(axis=1)
+        return np.sort(d, axis=0)
+
+    def run(frames, rows_at_once=256):
+        for pdf in frames:
+            for at in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[at:at + rows_at_once]
+                ens, real = [], []
+                for x, own, naive, y in zip(part["x"], part["draw_seed"], part["_naive"], part["_truth"]):
+                    d = members(x, own, naive)
+                    ens += [c[~np.isnan(c)] for c in d.T]
+                    real += list(y)
+                out = part[[*keys, "window"]].loc[part.index.repeat(pred)]
+                yield out.assign(horizon=np.tile(np.arange(1, pred + 1, dtype="int32"), len(part)), ens=ens, truth=real,
+                                 naive=np.repeat(part["_naive"].to_numpy(), pred))
+
+    return src.mapInPandas(run, f"{schema}, window bigint, horizon int, ens array<double>, truth double, naive double")
+
+
 def persistence(x: np.ndarray, pred: int, mc: int, seed: int) -> np.ndarray:
     """The last value, in every member."""
     return np.full((mc, pred), x[-1])

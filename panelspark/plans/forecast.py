@@ -29,13 +29,8 @@ def run_forecast(prices: DataFrame, s: Series, forecaster, price: str = "close",
     if max_windows:
         win = E.limit_windows(win, max_windows)
     win = stage(win.withColumn("anchor", F.element_at("x_raw", -1)), "windows")
-    samples = E.forecast(win, keys, forecaster, pred, mc, seed)
-    samples = E.clean_samples(samples, [*keys, "window"])
-    samples = E.reconstruct(samples, win, keys, mode)
-    truth = win.select(*keys, "window", F.col("anchor").alias("naive"),
-                       F.posexplode("y_raw").alias("_i", "truth"))
-    truth = truth.select(*keys, "window", (F.col("_i") + 1).alias("horizon"), "truth", "naive")
-    steps = stage(E.score_steps(samples, truth, keys), "steps")
+    drawn = E.forecast_ensembles(win, keys, forecaster, pred, mc, seed, mode, "anchor", "y_raw")
+    steps = stage(E.score_ensembles(drawn), "steps")
     per_window = stage(E.per_window_metrics(steps, keys), "window-metrics")
     return {"windows": win, "steps": steps, "forecasts": E.forecast_table(steps, keys),
             "per_window": per_window, "summary": E.summarise(per_window, keys, pred)}

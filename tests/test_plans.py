@@ -73,6 +73,31 @@ def test_article_text_is_searched_once(spark, sf_dir):
     assert "Generate explode" in text
 
 
+def test_members_meet_no_exchange_before_their_scores(spark):
+    """Guard, rebuild and sort happen where members are drawn, and give what the long form gives."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from panelspark.operators import evaluate as E
+
+    def draw(x, pred, mc, seed):
+        out = E.bootstrap(x, pred, mc, seed)
+        out[seed % mc, 0] = np.nan
+        return out
+    rows = [("a", w, [float(v * v % 7 + w) for v in range(9)], [1.0, 2.0, 3.0], 10.0 + w) for w in range(40)]
+    win = spark.createDataFrame(rows, "id string, window bigint, x array<double>, y array<double>, anchor double")
+    steps = win.select("id", "window", F.col("anchor").alias("naive"), F.posexplode("y").alias("i", "truth"))
+    truth = steps.select("id", "window", (F.col("i") + 1).alias("horizon"), "truth", "naive")
+    for mode in ("diff", "log_diff"):
+        short = E.score_ensembles(E.forecast_ensembles(win, ["id"], draw, 3, 20, 5, mode, "anchor"))
+        assert "Exchange" not in plan(short)
+        long_ = E.clean_samples(E.forecast(win, ["id"], draw, 3, 20, 5), ["id", "window"])
+        long_ = E.score_steps(E.reconstruct(long_, win, ["id"], mode), truth, ["id"])
+        key = ["id", "window", "horizon"]
+        a, b = (d.orderBy(*key).select(*key, "crps", "mse", "wis80", "pit").toPandas() for d in (short, long_))
+        assert len(a) == 120 and np.allclose(a.iloc[:, 3:], b.iloc[:, 3:], rtol=1e-9)
+
+
 def test_nothing_pins_results_to_executors():
     import pathlib
     root = pathlib.Path(entry.__file__).parent / "panelspark"

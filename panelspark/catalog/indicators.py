@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog import query
 from panelspark.catalog.inputs import DAY, HOUR, SQL_DAY, SQL_HOUR, bars_day, bars_hour, rnd
 from panelspark.operators import indicators as I
-from panelspark.operators.segments import rolled, row_numbers, running, sums
+from panelspark.operators.segments import rolled, row_numbers, running
 from panelspark.session import stage
 
 W = "over (partition by id order by t)"

@@ -28,7 +28,7 @@ from panelspark.session import stage
 
 SEED_WORDS = 5
 COVERAGE = 0.5
-MAX_FILTER_BITS = 1 << 29
+MAX_FILTER_BITS = 1 << 27
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:

@@ -181,8 +181,10 @@ def parse(source: str) -> Page:
             continue
         if name in RAW and source[gt - 1] != "/":
             end = low.find(f"</{name}", gt + 1)
-            end = n if end < 0 else low.find(">", end)
-            if name != "head" or end < n:
+            while end >= 0 and low[end + 2 + len(name):end + 3 + len(name)].isalnum():  # a longer name
+                end = low.find(f"</{name}", end + 1)
+            end = low.find(">", end) if end >= 0 else -1
+            if end >= 0 or name != "head":  # a head that never closes hides nothing
                 pos = n if end < 0 else end + 1
             buffer.append(" ")
             continue

@@ -335,6 +335,8 @@ def test_parser_repairs():
     assert blocks("<ul><li>1<li>2<ul><li>3</ul><li>4</ul>") == ["1", "2", "3", "4"]
     assert blocks("a < b <!-- c --> d <!-- e") == ["a < b d"]
     assert blocks("<a href='x>y</a><p>z") in (["y", "z"], ["z"])
+    assert blocks("<head><title>t</title><body><header>h</header><p>x") == ["h", "x"]
+    assert blocks("<head><title>t</title></head><body>y") == ["y"]
     assert blocks("<p " * 2000) == [] and blocks("") == []
 
 

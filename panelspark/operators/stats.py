@@ -73,7 +73,9 @@ def describe(df: DataFrame, by: list[str], col: str) -> DataFrame:
         F.min(col).alias("min"), F.max(col).alias("max"))
     if by:
         return base.join(wide, by)
-    return base.withColumns({n: wide.select(n).scalar() for n in qs.values()})
+    # one subquery brings all quartiles
+    return (base.withColumn("_q", wide.select(F.struct(*qs.values())).scalar())
+            .withColumns({n: F.col("_q")[n] for n in qs.values()}).drop("_q"))
 
 
 def describe_series(df: DataFrame, s: Series, col: str) -> DataFrame:
@@ -125,10 +127,11 @@ def histogram(df: DataFrame, col: str, bins: int, lo: Column, hi: Column,
 
 
 def clipped_range(df: DataFrame, col: str, low_q: float, high_q: float) -> tuple[Column, Column]:
-    """Two scalars: the quantiles a histogram is clipped to."""
-    q = exact_percentiles(df, [], col, [low_q, high_q])
-    return (q.filter(F.col("q") == low_q).select("value").scalar(),
-            q.filter(F.col("q") == high_q).select("value").scalar())
+    """The quantiles a histogram is clipped to: two fields of one scalar."""
+    q = exact_percentiles(df, [], col, [low_q, high_q]).agg(F.struct(
+        F.max(F.when(F.col("q") == low_q, F.col("value"))).alias("lo"),
+        F.max(F.when(F.col("q") == high_q, F.col("value"))).alias("hi")))
+    return q.scalar()["lo"], q.scalar()["hi"]
 
 
 def year_histogram(df: DataFrame, t: str, first: int, last: int) -> DataFrame:
@@ -153,14 +156,15 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """chi-square, Cramer's V without bias correction, n; one row.
 
-    Only the contingency cells, one per pair of categories, are ever joined.
+    Only cells that occur are needed: chi-square is n (sum of n_ij^2 / (row_i column_j) - 1).
     """
-    cells = crosstab(df, a, b)
-    n = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    e = (F.sum("n").over(Window.partitionBy(a)) * F.sum("n").over(Window.partitionBy(b)) / n)
-    stat = (cells.withColumn("_e", e).agg(
-        F.sum((F.col("n") - F.col("_e")) * (F.col("n") - F.col("_e")) / F.col("_e")).alias("chi2"),
-        F.sum("n").alias("n"), F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_k")))
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(
+        F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("_row", F.sum("n").over(Window.partitionBy(a)))
+    cells = cells.withColumn("_column", F.sum("n").over(Window.partitionBy(b)))
+    stat = cells.agg(F.sum(F.col("n") * F.col("n") / (F.col("_row") * F.col("_column"))).alias("_s"),
+                     F.sum("n").alias("n"), F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_k"))
+    stat = stat.withColumn("chi2", F.greatest(F.col("n") * (F.col("_s") - 1), F.lit(0.0)))
     small = F.least(F.col("_r") - 1, F.col("_k") - 1)
     return stat.select("n", "chi2", F.when(small > 0, F.sqrt(F.col("chi2") / F.col("n") / small))
                        .otherwise(F.lit(0.0)).alias("cramers_v"))

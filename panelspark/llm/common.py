@@ -37,11 +37,6 @@ def bounded_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFram
     return picked.orderBy(h, key).limit(n)
 
 
-def is_small(rows: int, bytes_per_row: int) -> bool:
-    """Whether a side of a join may be broadcast."""
-    return rows * bytes_per_row <= BROADCAST_BYTES
-
-
 def join_small(big: DataFrame, small: DataFrame, on: str, small_bytes: int, salt_by: str,
                how: str = "inner") -> DataFrame:
     """Join a big table with a usually small one on a key that may be hot.

@@ -394,6 +394,79 @@ def test_top_k_evaluates_until_exact(spark):
         assert [(-a, b) for a, b in zip(mine.score, mine.vec_id)] == want
 
 
+# Helpers
+
+def test_join_beyond_the_broadcast_bound_gives_the_same_rows(spark):
+    from panelspark.llm.common import BROADCAST_BYTES, join_small
+    big = spark.createDataFrame([(k, 1 if k % 3 else k) for k in range(200)] + [(None, None)], "r long, k long")
+    small = spark.createDataFrame([(k, k * k) for k in range(0, 100, 5)] + [(1, 7), (1, 8)], "k long, v long")
+    for how in ("inner", "left_anti", "left_semi"):
+        a, b = (sorted(map(str, join_small(big, small, "k", size, "r", how).collect())) for size in (1, BROADCAST_BYTES + 1))
+        assert a == b and a
+
+
+def test_bounded_sample_does_not_depend_on_partitions(spark):
+    from panelspark.llm.common import bounded_sample
+    rows = spark.range(5000).withColumnRenamed("id", "k")
+    a, b = ({r[0] for r in bounded_sample(d, "k", 100).collect()} for d in (rows, rows.repartition(9)))
+    assert a == b and len(a) == 100
+    assert bounded_sample(rows.limit(0), "k", 100).count() == 0
+
+
+# Odd tables
+
+def test_odd_and_empty_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns with clashing names."""
+    from pyspark.sql import functions as F
+    rows = [(1, "Hello world this is a test of the thing and more words here", "en", "s", 1), (None, "null id", "en", None, None),
+            (2, None, None, None, None), (3, "", "en", "x", 0), (4, " \n ", "en", "x", 0), (5, "x" * 50_000, "fr", "y", 1),
+            (1, "Hello world this is a test of the thing and more words here", "en", "s", 1), (8, "a b c", "de", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for c in ("score", "fp", "seeds", "id", "words", "component_id", "lang_pred", "ids", "item_id", "root", "y", "part"):
+        docs = docs.withColumn(c, docs.n_chars)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0), (8, 1), (None, 1)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "hello world this is a test of the thing"), (2, "a b c"), (3, None), (4, ""), (2, "a b c")],
+                                  "item_id long, text string").withColumn("words", F.lit(2))
+    for d in (docs, docs.limit(0)):
+        n = d.count()
+        assert language.predict(d, language.fit(d)).count() == n
+        assert simhash.classes(d).count() == n
+        assert personal.find(d, personal.fit(d)).count() == n
+        assert sentence_pieces.digests(d, MODEL).count() == n
+        assert sentence_pieces.decode(sentence_pieces.encode(d, MODEL), MODEL).count() == n
+        assert licenses.scan(d, licenses.idf(d)).count() == n
+        for some in (labels, labels.limit(0)):
+            assert toxicity.score(d, toxicity.fit(d, some)).count() == n
+        assert token_files.digests(token_files.blocks(d, public_tokenizers.path("word_bpe_49k.json"), 2, 16)).count() == n
+        assert decontaminate.overlaps(d, items.limit(0)).count() == 0
+        pairs = {(r.id, r.item_id) for r in decontaminate.overlaps(d, items).collect()}
+        assert pairs == ({(1, 1), (8, 2)} if n else set())
+    got = {r.doc_id: r for r in simhash.classes(docs).collect()}
+    assert got[2].component_id == got[3].component_id == got[4].component_id == 2 and got[1].component_id == 1
+    kept = spark.createDataFrame(rows, schema)
+    for name, fn in corpus_pipeline.STAGES:
+        kept = fn(spark, kept, "/root/testdata/sf0.001")
+        assert name == "sentence_pieces" or kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "8", "None"]
+
+
+def test_odd_pages_and_vectors(spark):
+    from pyspark.sql import functions as F
+    pages = spark.createDataFrame([(1, "u", "<body><article><p>Hi there all of you.</p></article>"), (2, "u", None), (3, None, ""),
+                                   (None, "x", "<p>open <b>x <script>"), (4, "u", "<div "), (5, "u", "<!-- never")],
+                                  "page_id long, url string, html string").withColumn("text", F.lit(1))
+    for p in (pages, pages.limit(0)):
+        assert html_text.extract(p, html_text.fit(p)).count() == p.count()
+    vectors = spark.createDataFrame(
+        [(0, [1.0, 2.0]), (50, None), (1, [1.0, None]), (2, [float("nan"), 1.0]), (3, [0.5]), (4, []), (100, [1.0, 2.0]),
+         (100, [1.0, 2.0]), (None, [1.0]), (7, [float("inf")])], "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.search(vectors, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 100, 327_680), (0, 2, 100, 327_680), (0, 3, 3, 32_768), (0, 4, 4, 0),
+                   (100, 1, 0, 327_680), (100, 2, 3, 32_768), (100, 3, 4, 0)]
+    assert top_k.search(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
 # Pipeline
 
 def test_pipeline_against_brute_force(spark, sf_dir, texts):

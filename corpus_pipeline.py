@@ -15,17 +15,15 @@ from panelspark.llm import decontaminate, language, personal, sentence_pieces, s
 from panelspark.llm.common import held_out, join_small, table
 from panelspark.session import ship, stage
 
-MIN_LANGUAGE_SCORE = 0.2
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without a letter or with a very low score go."""
+    """Documents whose language is identified; those without a letter or with a score below the fit's bound go."""
     ship(spark)
     model = language.fit(docs.where(~held_out("doc_id")))
     found = language.predict(docs, model, keep=tuple(docs.columns), names=("_lang", "_score"))
     if model is None:
         return docs
-    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(
+    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= model.lowest)).select(
         docs.columns)
 
 

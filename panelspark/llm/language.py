@@ -11,6 +11,11 @@ in `DIM` slots by a hash. Whole texts are read, in batches.
 Defined results: null text, empty text and text without a letter give `und` with score 0; ties
 between languages go to the first by name; rows that repeat are predicted alike; with no labelled
 row every text is `und`; extra columns are ignored.
+
+The outputs of the k one-versus-rest fits sum to 2 - k, so the winner's score is never below 1 / k;
+a bound that rejects must come from the fit. `Model.lowest` is the score that at most the share
+REJECTED of the labelled rows of the fit falls short of. Fewer rows than 1 / REJECTED - 1 tell
+nothing of so rare a score: then it is 0 and rejects nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ DIM = 1 << 14
 MAX_TRAIN = 2_000
 LANDMARKS = 128
 RIDGE = 1e-3
+REJECTED = 0.005
 UNKNOWN = "und"
 
 
@@ -38,6 +44,7 @@ class Model:
     landmarks: np.ndarray  # DIM x m, presence / sqrt(own number)
     weights: np.ndarray    # m x languages
     bias: np.ndarray
+    lowest: float = 0.0    # a text with a lower score is in none of the languages
 
 
 @cache
@@ -103,7 +110,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     centred = phi - centre
     gram = centred.T @ centred + RIDGE * len(got) * np.eye(phi.shape[1])
     w = np.linalg.solve(gram, centred.T @ (target - level))
-    return Model(langs, np.ascontiguousarray(base.T), (root @ w).astype(np.float32), level - centre @ w)
+    bias = level - centre @ w
+    return Model(langs, np.ascontiguousarray(base.T), (root @ w).astype(np.float32), bias,
+                 _lowest(((phi @ w + bias).max(axis=1) + 1) / 2))
+
+
+def _lowest(scores: np.ndarray) -> float:
+    """The bound of the winning score, from those of labelled rows; rounding never rejects a row on it."""
+    rank = int(REJECTED * (len(scores) + 1))
+    return float(np.sort(np.clip(scores, 0, 1))[rank - 1]) - 1e-5 if rank else 0.0
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),

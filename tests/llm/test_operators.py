@@ -349,6 +349,24 @@ def test_language_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_pipeline_rejects_unlearned_languages_and_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = ["Przykładowy tekst po polsku, który nie był nigdy uczony przez ten model.", "zzzz 9999", "a 123 !!!",
+               "Это текст на русском языке, который никогда не изучался.", "0x3f ## @@ q", " qwxz qwxz kjkj",
+               "这是一个从未学习过的语言的文本", "Ez egy magyar nyelvű szöveg, amelyet soha nem tanult meg a modell."]
+    more = spark.createDataFrame([(10**9 + k, t, None, None, len(t)) for k, t in enumerate(strange)], docs.schema)
+    kept = {r[0] for r in corpus_pipeline.known_language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    clean = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert not any(i >= 10**9 for i in kept)
+    assert len(kept) >= 0.985 * len(clean)
+
+
+def test_language_bound_of_small_fits():
+    assert language._lowest(np.array([0.9, 0.6, 1.0])) == 0
+    scores = np.linspace(0.3, 1, 1000)
+    assert (scores < language._lowest(scores)).sum() == 4
+
+
 def test_kernel_equals_sets_of_grams():
     texts = ["Aé, b!", "zz zz", "", "one two, one", "12 34"]
 

@@ -7,7 +7,9 @@ both, so every distinct fingerprint meets all its near ones on equal variants.
 The shuffle is on the variants' leading bits: a fingerprint is sent to each prefix that some of its
 variants have, with the number of flips the prefix took, and the task of a prefix unfolds the rest
 of the ball. That ships 1 + t + t(t-1)/2 rows per distinct fingerprint for a prefix of t bits instead
-of all 2,081 variants. All fingerprints that hold one variant are within 2 * RADIUS of each other;
+of all 2,081 variants. A prefix whose fingerprints would unfold to more than MOST variants is split:
+its rows alone are sent on to longer prefixes, SPLIT bits at a time, until each group keeps the bound
+or the prefix is a whole variant, whose ball holds at most 2,081 fingerprints. All fingerprints that hold one variant are within 2 * RADIUS of each other;
 they are linked as a chain, verified, and reduced to a forest, so no pairs of a group are listed.
 Equal fingerprints are one node from the start; a group of copies is one row here, whatever its size.
 
@@ -20,7 +22,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelspark.llm.common import map_rows, strings
+from panelspark.llm.common import join_small, map_rows, strings
 from panelspark.llm.components import components, forest
 from panelspark.session import stage
 
@@ -37,6 +39,8 @@ BITS = 64
 RADIUS = 2
 WORDS = 4
 SEED = 42
+MOST = 1 << 22  # variants unfolded for one prefix, by one task at a time
+SPLIT = 8
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -102,6 +106,49 @@ def _send(distinct: DataFrame, t: int) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "prefix long, fp long, flips tinyint")
 
 
+def _send_on(sent: DataFrame, t: int, more: int) -> DataFrame:
+    """Rows of prefixes of t bits, sent to the prefixes of t + more bits that their variants have."""
+    low = BITS - t - more
+    masks = [np.concatenate([_masks(low, low + more, k) for k in range(left + 1)]) for left in range(RADIUS + 1)]
+    taken = [np.concatenate([np.full(len(_masks(low, low + more, k)), k, dtype=np.int8) for k in range(left + 1)])
+             for left in range(RADIUS + 1)]
+    inside = np.uint64((1 << more) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("prefix", "fp"))
+            flips = batch.column("flips").to_numpy()
+            for used in range(RADIUS + 1):
+                mine, left = np.flatnonzero(flips == used), RADIUS - used
+                for k in range(0, len(mine), 2048):
+                    at = mine[k:k + 2048]
+                    bits = (fp[at][:, None] ^ masks[left]) >> np.uint64(low) & inside
+                    to = (prefix[at] << np.uint64(more))[:, None] | bits
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to.reshape(-1).view(np.int64)),
+                         pa.array(np.repeat(fp[at], len(masks[left])).view(np.int64)),
+                         pa.array(np.tile(taken[left] + np.int8(used), len(at)))], names=["prefix", "fp", "flips"])
+    return sent.select("prefix", "fp", "flips").mapInArrow(run, "prefix long, fp long, flips tinyint")
+
+
+def _bounded(sent: DataFrame, t: int, most: int) -> list[tuple[DataFrame, int]]:
+    """Parts (rows, prefix bits) of what is sent: no prefix of a part unfolds to more than `most` variants,
+    unless it is a whole variant. Together the parts meet wherever the rows sent did."""
+    parts = []
+    while t < BITS:
+        rest = BITS - t
+        size = F.when(F.col("flips") == 0, 1 + rest + rest * (rest - 1) // 2).when(F.col("flips") == 1, 1 + rest).otherwise(1)
+        hot = stage(sent.groupBy("prefix").agg(F.sum(size).alias("n")).where(F.col("n") > most).select("prefix"), "hot")
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        parts.append((join_small(sent, hot, "prefix", 16 * n_hot, "fp", "left_anti"), t))
+        more = min(SPLIT, rest)
+        sent = stage(_send_on(join_small(sent, hot, "prefix", 16 * n_hot, "fp", "left_semi"), t, more), "sent")
+        t += more
+    return [*parts, (sent, t)]
+
+
 def _meet(prefix: int, fps: np.ndarray, flips: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints sent to a prefix: chains of those that hold an equal variant."""
     rest = np.uint64((1 << (BITS - t)) - 1)
@@ -112,7 +159,7 @@ def _meet(prefix: int, fps: np.ndarray, flips: np.ndarray, t: int) -> tuple[np.n
         keys.append(((fps[mine] & rest)[:, None] ^ masks).reshape(-1))
         owners.append(np.repeat(mine, len(masks)))
     key, owner = np.concatenate(keys), np.concatenate(owners).astype(np.uint64)
-    if len(fps) <= 1 << t:
+    if len(fps) <= 1 << t and t < BITS:
         packed = np.sort(key << np.uint64(t) | owner)
         key, owner = packed >> np.uint64(t), packed & np.uint64((1 << t) - 1)
     else:
@@ -125,17 +172,19 @@ def _meet(prefix: int, fps: np.ndarray, flips: np.ndarray, t: int) -> tuple[np.n
     return forest(a[near].view(np.int64), b[near].view(np.int64))
 
 
-def links(distinct: DataFrame, t: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, t: int | None = None, most: int = MOST) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) at most 2 * RADIUS bits apart."""
-    bits = t or prefix_bits(distinct.count())
+    first = t or prefix_bits(distinct.count())
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        a, b = _meet(key[0].as_py(), group.column("fp").to_numpy().view(np.uint64),
-                     group.column("flips").to_numpy(), bits)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def met(sent: DataFrame, bits: int) -> DataFrame:
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            group = group.combine_chunks()
+            a, b = _meet(key[0].as_py(), group.column("fp").to_numpy().view(np.uint64),
+                         group.column("flips").to_numpy(), bits)
+            return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return sent.groupBy("prefix").applyInArrow(run, "a long, b long")
 
-    return _send(distinct, bits).groupBy("prefix").applyInArrow(run, "a long, b long")
+    return reduce(DataFrame.unionByName, [met(*part) for part in _bounded(_send(distinct, first), first, most)])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -262,6 +262,32 @@ def test_simhash_links_over_any_split(spark):
         assert (groups == 1).all() and len(set(label.values())) == len(set(root))
 
 
+def test_simhash_hot_prefixes_are_split(spark):
+    from pyspark.sql import functions as F
+    rnd = np.random.default_rng(6)
+    fps = {int(c) for c in rnd.integers(0, 2**63, 30, dtype=np.uint64)}
+    for _ in range(400):  # near copies of one centre, all in its prefix
+        x = 0xF0F0_1234_5678_9ABC
+        for b in rnd.choice(40, 3, replace=False).tolist():
+            x ^= 1 << b
+        fps.add(x)
+    fps = np.array(sorted(fps), dtype=np.uint64)
+    rows = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
+    for most in (2_000, 100_000):
+        parts = simhash._bounded(simhash._send(rows, 8), 8, most)
+        assert len(parts) > 1
+        for sent, t in parts:
+            r = simhash.BITS - t
+            each = F.when(F.col("flips") == 0, 1 + r + r * (r - 1) // 2).when(F.col("flips") == 1, 1 + r).otherwise(1)
+            top = sent.groupBy("prefix").agg(F.sum(each).alias("n")).agg(F.max("n")).first()[0] or 0
+            assert top <= (most if t < simhash.BITS else 2_081)
+        found = components(simhash.links(rows, 8, most)).collect()
+        label = {int(v): int(v) for v in fps.view(np.int64)} | {r[0]: r[1] for r in found}
+        root = union_find(len(fps), np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4).tolist())
+        groups = pd.Series([label[int(v)] for v in fps.view(np.int64)]).groupby(root).nunique()
+        assert (groups == 1).all() and len(set(label.values())) == len(set(root))
+
+
 def test_components_of_chain_and_star(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 400)] + [(5000, 5000)]
     got = dict(components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect())

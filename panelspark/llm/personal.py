@@ -4,7 +4,8 @@ Base spans follow fixed patterns and checks and are always kept. Generators prop
 overlapping spans of the same four kinds in looser forms (spelled-out addresses, numbers without an
 international prefix, other separators). Boosted trees rate each by its format and its context; the
 rating is calibrated on rows kept out of the fit, and a candidate is taken from THRESHOLD on, the
-likelier first, when it overlaps no span taken before it.
+likelier first, when it overlaps no span taken before it. The text between base spans is scanned by
+itself, and numbers are proposed as every window of consecutive groups of digits that fits a kind.
 
 The trees learn from the corpus itself: spans that pass the base checks, and the same spans
 rewritten in looser forms in their places, are positive; spans that fail the checks, and numbers of
@@ -20,6 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -90,35 +94,72 @@ _DOT = r"(?:\.|\s{0,3}[\[({<]\s{0,2}(?:dot|DOT|\.)\s{0,2}[\])}>]\s{0,3})"
 _LOOSE_MAIL = re.compile(rf"({_AT}|@)[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}}){{1,6}}")
 _LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,3}){3}(?![0-9])"
                        r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")
-_LOOSE_NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{1,19}\)?(?:[ ./ ‐-―-]{1,2}\(?[0-9]{1,6}\)?){0,7}(?![0-9A-Za-z])")
-
-
-def candidates(text: str) -> list[Span]:
-    """Overlapping proposals of the generators, whether they are base spans or not."""
-    out = set()
-    if "@" in text or "at" in text or "AT" in text:
-        for m in _LOOSE_MAIL.finditer(text):
-            start = m.start()
-            while start > 0 and m.start() - start < 64 and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
-                start -= 1
-            if start < m.start():
-                out.add((start, 0, m.end()))
-    if any(c in text for c in ("[.]", "(.)", " . ", ":")):
-        out |= {(m.start(), 1, m.end()) for m in _LOOSE_IP.finditer(text)}
-    for m in _LOOSE_NUMBER.finditer(text):
-        n = len(_digits(m[0]))
-        if 7 <= n <= 15:
-            out.add((m.start(), 3, m.end()))
-        if 13 <= n <= 19:
-            out.add((m.start(), 2, m.end()))
-    return sorted(out)
+_GROUP = re.compile(r"\(?[0-9]+\)?")
+_BETWEEN = re.compile(r"[ ./ ‐-―-]{1,2}")
+MAX_DIGITS = 19
+
+
+def _numbers(text: str, low: int, high: int) -> Iterator[Span]:
+    """Every window of consecutive groups of digits in text[low:high] whose digits number as a kind's do.
+
+    A window holds at most MAX_DIGITS digits, so the windows are linear in the groups.
+    """
+    run: list[tuple[int, int, int, bool]] = []  # starts and ends of the groups before, their digits, whether one may start
+    for m in _GROUP.finditer(text, low, high):
+        start, end = m.span()
+        if text[start] == "(" and text[start - 1:start].isalnum():
+            start += 1
+        n = end - start - (text[start] == "(") - (text[end - 1] == ")")
+        closed = not text[end:end + 1].isalnum()
+        if not closed and text[end - 1] == ")":
+            end, closed = end - 1, True
+        if run and not _BETWEEN.fullmatch(text, run[-1][1], start):
+            run = []
+        run.append((start, end, n, not text[start - 1:start].isalnum() or start == 0))
+        if not closed:
+            run = []
+            continue
+        total = 0
+        for k in range(len(run) - 1, -1, -1):
+            first, _, size, opens = run[k]
+            total += size
+            if total > MAX_DIGITS:
+                run = run[k + 1:]
+                break
+            if opens:
+                if 7 <= total <= 15:
+                    yield first, 3, end
+                if 13 <= total:
+                    yield first, 2, end
+
+
+def candidates(text: str, taken: Iterable[Span] = ()) -> Iterator[Span]:
+    """Overlapping proposals of the generators in the text between the spans taken (by start), each once."""
+    mails = "@" in text or "at" in text or "AT" in text
+    ips = any(c in text for c in ("[.]", "(.)", " . ", ":"))
+    low = 0
+    for a, _, b in (*taken, (len(text), 0, 0)):
+        if mails:
+            for m in _LOOSE_MAIL.finditer(text, low, a):
+                start = m.start()
+                while start > low and m.start() - start < 64 and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+                    start -= 1
+                if start < m.start():
+                    yield start, 0, m.end()
+        if ips:
+            for m in _LOOSE_IP.finditer(text, low, a):
+                yield m.start(), 1, m.end()
+        yield from _numbers(text, low, a)
+        low = max(low, b)
 
 
 _HINT = [re.compile(p, re.I) for p in (
     r"mail|contact|write|schreib|correo|courriel", r"phone|tel|call|fax|mobile|handy|whatsapp|number",
     r"card|visa|master|credit|kart|pay|tarjeta|carte", r"\bip\b|addr|host|server|login|from",
     r"vers|licen|isbn|issn|page|seite|art\b|no\.|\bv$|sec|fig|\$|€|eur|usd|id\b")]
-N_FEATURES = 26
+_LEFT = re.compile(r"[0-9]+\)?[ ./-]{1,2}$")
+_RIGHT = re.compile(r"[ ./-]{1,2}\(?([0-9]+)")
+N_FEATURES = 31
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -129,11 +170,14 @@ def features(text: str, span: Span) -> list[float]:
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
     signs = {c for c in s if not c.isalnum()}
     prev, nxt = before[-1:] or " ", after[:1] or " "
+    left, right = _LEFT.search(before), _RIGHT.match(after)
     return [float(v) for v in (
         *(kind == k for k in range(4)), len(s), len(digits), len(groups), max(groups), min(groups), groups[-1],
         len(signs), s[0] == "(", "." in s, "-" in s, " " in s, luhn(digits) if digits else 0,
         len(set(digits)), sum(c.isalpha() for c in s), prev.isspace(), prev == "+", nxt.isspace() or nxt in ".,;:)!?",
-        *(bool(h.search(before)) for h in _HINT))]
+        *(bool(h.search(before)) for h in _HINT),
+        len(_digits(left[0])) if left else 0, len(right[1]) if right else 0, groups[0], max(groups[1:-1], default=0),
+        groups[-2] if len(groups) > 1 else 0)]
 
 
 def _loosened(text: str, span: Span, pick: int) -> list[tuple[str, Span, float]]:
@@ -160,14 +204,30 @@ def _loosened(text: str, span: Span, pick: int) -> list[tuple[str, Span, float]]
                  (f"{n[:3]} {n[3:6]} {n[6:]}", 1.0)]
         forms += [(f"{year}-{k:02}-{k + 10}", 0.0), (f"{k + 9}/{k:02}/{year}", 0.0), (f"{year}-{year + k}", 0.0),
                   (f"{d[:7]}", 0.0), (f"{k}.{k}.{year} {k + 9}.{k + 20}", 0.0), (n, 0.0), (f"{k} 000 000", 0.0)]
+    # Numbers beside the span: windows that take some of them, or leave some of the span, are negative.
     out = []
-    for form, label in forms:
-        changed = text[:start] + form + text[end:]
-        out += [(changed, c, label) for c in candidates(changed[: start + len(form) + 40])
-                if c[1] == kind and c[0] <= start + 1 and c[2] >= start + len(form) - 1 and c[0] >= start - 64]
+    for at, (form, label) in enumerate(forms):
+        turn = [(pick + start + 3 * at + j) % len(_BESIDE) for j in (0, 4, 8)] if kind >= 2 and label else []
+        for before, after in (("", ""), *(_BESIDE[j] for j in turn)):
+            changed = text[:start] + before + form + after + text[end:]
+            a = start + len(before)
+            b = a + len(form)
+            for c in candidates(changed[:b + 40]):
+                if kind < 2:
+                    if c[1] == kind and c[0] <= a + 1 and c[2] >= b - 1 and c[0] >= a - 64:
+                        out.append((changed, c, label))
+                elif c[1] >= 2 and c[0] < b and a < c[2]:
+                    if kind == 3 and c[1] == 3 and _digits(changed[c[0]:c[2]]) == d[-10:] != _digits(form):
+                        continue  # the national number in an international one: neither right nor wrong
+                    exact = c[1] == kind and abs(c[0] - a) <= 1 and abs(c[2] - b) <= 1
+                    out.append((changed, c, label if exact else 0.0))
     return out
 
 
+_BESIDE = [("12.05.2024 ", ""), ("", " 2023-11-30"), ("10 12 2024 09 30 ", ""), ("1 2 3 4 5 6 ", ""), ("17 ", " 4"),
+           ("", " 1 2 3"), ("2021 ", ""), ("3.5 ", " 250"), ("11/02/2022 14.30 ", ""), ("", " 8080"), ("600 20 ", "")]
+
+
 def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """(features, label, held) from a bounded sample of documents that hold a digit or an at sign."""
     rows = bounded_sample(docs.where(F.col(text_col).rlike("[0-9@]")).select(id_col, text_col), id_col, max_docs)
@@ -177,8 +237,7 @@ def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
         for key, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col)):
             pick = int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:4], "little")
             taken = base_spans(text)
-            made = [(text, c, 0.0) for c in candidates(text)
-                    if not any(a < c[2] and c[0] < b for a, _, b in taken)] if taken else []
+            made = [(text, c, 0.0) for c in candidates(text, taken)] if taken else []
             for span in taken[:20]:
                 lo = max(0, span[0] - 80)
                 near = text[lo:span[2] + 80]
@@ -199,16 +258,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 def all_spans(text: str, model: boosting.Boosted, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, each by start and kind."""
     taken = base_spans(text)
-    free = [c for c in candidates(text) if not any(a < c[2] and c[0] < b for a, _, b in taken)]
-    if not free:
-        return taken, taken
-    p = model.probability(np.array([features(text, c) for c in free]))
+    likely, proposed = [], candidates(text, taken)
+    while part := list(islice(proposed, 4096)):
+        p = model.probability(np.array([features(text, c) for c in part]))
+        likely += [(-q, c[0] - c[2], c) for q, c in zip(p.tolist(), part) if q >= threshold]
     added: list[Span] = []
-    for k in sorted(range(len(free)), key=lambda k: (-p[k], free[k])):
-        if p[k] < threshold:
-            break
-        if not any(a < free[k][2] and free[k][0] < b for a, _, b in added):
-            added.append(free[k])
+    for _, _, c in sorted(likely):  # the likelier, then the longer first; those added are by start and apart
+        at = bisect(added, c)
+        if (at == 0 or added[at - 1][2] <= c[0]) and (at == len(added) or c[2] <= added[at][0]):
+            added.insert(at, c)
     return taken, sorted([*taken, *added])
 
 

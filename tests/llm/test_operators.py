@@ -122,6 +122,21 @@ def test_personal_adds_loose_forms(spark, sf_dir):
     assert not any("1999" in s or "2.0" in s for s in spans)
 
 
+def test_personal_numbers_beside_others(spark):
+    cases = ["On 12.05.2024 312-555-7713 was busy.", "Call 97.51.17.173 312-555-7713 now.", "At 10 12 2024 09 30 312-555-7713 again.",
+             "See 1 2 3 4 5 7 312 555 7713 there.", "(312) 555-7713 1999", "x(312) 555-7713y 312-555-7713"]
+    for t in cases:
+        got = {(t[a:b], k) for a, k, b in personal.candidates(t, personal.base_spans(t))}
+        assert any(s in ("312-555-7713", "312 555 7713", "(312) 555-7713") and k == 3 for s, k in got), t
+    dense = "12 " * 20_000
+    found = list(personal.candidates(dense))
+    assert len(found) == len(set(found)) <= 20 * 20_000
+    model = personal.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for t in ("Please call me on 12.05.2024 312-555-7713 or later.", "The host is 97.51.17.173 312-555-7713 for help.",
+              "Phone: 10 12 2024 09 30 312-555-7713 today.", "on 17 312-555-7713 we met"):
+        assert "312-555-7713" in [t[a:b] for a, _, b in personal.all_spans(t, model)[1]], t
+
+
 # 3: decontamination
 
 def plain_cover(doc, item, least=5):

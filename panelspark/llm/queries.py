@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, html_text, language, licenses, personal, sentence_pieces, simhash, token_files, top_k, toxicity
+from panelspark.llm import byte_pairs, decontaminate, html_text, language, licenses, personal, sentence_pieces, simhash, token_files, top_k, toxicity
 from panelspark.llm.common import held_out, table
 from panelspark.session import stage
 
@@ -99,3 +99,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     rows = token_files.blocks(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2,
                               id_bits=16)
     return token_files.digests(stage(rows, "token-files"))
+
+
+@query("op13_byte_pairs")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_pairs.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -177,7 +177,7 @@ class Tree:
                 met = met.unionByName(_meet(rest, found, ["_g", "_chunk"], 4000 * found.count()))
             if table is self.tables[0]:
                 return met
-            found = stage(self.below(met, columns), "paths").withColumnRenamed("key", "_chunk")
+            found = stage(self.below(met, columns), "paths").drop("node").withColumnRenamed("key", "_chunk")
 
     def below(self, subtrees: DataFrame, columns: list[str]) -> DataFrame:
         """(_g, key, node, path, columns) of every node at the foot of subtrees that know the path above them."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_pairs, decontaminate, html_text, language, licenses, merkle, personal, sentence_pieces, simhash, token_files, top_k, toxicity
+from panelspark.llm import byte_pairs, decontaminate, html_text, language, licenses, merkle, personal, sentence_pieces, simhash, token_files, top_k, toxicity, va_file
 from panelspark.llm.common import held_out, table
 from panelspark.session import stage
 
@@ -111,3 +111,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     more = F.col("n_chars").cast("decimal(20,0)") + 1
     return merkle.manifest(table(spark, sf, "documents"), changed=tampered, changes={"n_chars": more})
+
+
+@query("op11_centroids", va_file.oracle())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return va_file.inertia(va_file.clustered(table(spark, sf, "embeddings")))

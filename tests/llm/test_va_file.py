@@ -82,6 +82,6 @@ def test_few_equal_and_no_vectors(spark):
 
 
 def test_sums_beyond_a_long_are_null(spark):
-    rows = [(1, [2.0 ** 18.9] * 16), (2, [-(2.0 ** 18.9)] * 16), (3, [0.0] * 16)] * 12
+    rows = [(1, [2.0 ** 18.9] * 16), (2, [-(2.0 ** 18.9)] * 16), (3, [0.0] * 16)] * 24
     got = va_file.inertia(va_file.clustered(frame(spark, rows), 1, 1, 16)).collect()
-    assert len(got) == 36 and {r.inertia for r in got} == {None}
+    assert len(got) == 72 and {r.inertia for r in got} == {None}

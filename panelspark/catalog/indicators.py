@@ -89,9 +89,8 @@ def volatility(spark, sf):
 select id, t, round({ema_sql("close", 12)}, 6) ema_12, round({ema_sql("close", 26)}, 6) ema_26,
   round({ema_sql("close", 3)}, 6) ema_3 from bars_hour""")
 def ema(spark, sf):
-    back = max(I.ema_reach(n) for n in (3, 12, 26))
-    out = rolled(bars_hour(spark, sf), HOUR,
-                 lambda w: {f"ema_{n}": I.ema("close", w, n, back) for n in (3, 12, 26)}, back=back)
+    bars = stage(bars_hour(spark, sf).select("id", "t", "close"), "closes")
+    out = I.add_emas(bars, HOUR, "close", {f"ema_{n}": n for n in (3, 12, 26)})
     return out.select("id", "t", *[rnd(f"ema_{n}").alias(f"ema_{n}") for n in (3, 12, 26)])
 
 
@@ -119,7 +118,7 @@ def ema_with_nulls(spark, sf):
 @query("indicator_macd", time="t", sql=f"""with {SQL_HOUR}
 select id, t, round({ema_sql("close", 12)} - {ema_sql("close", 26)}, 6) macd from bars_hour""")
 def macd(spark, sf):
-    return I.add_macd(bars_hour(spark, sf), HOUR, "close").select("id", "t", rnd("MACD").alias("macd"))
+    return I.add_macd(stage(bars_hour(spark, sf).select("id", "t", "close"), "closes"), HOUR, "close").select("id", "t", rnd("MACD").alias("macd"))
 
 
 @query("indicator_rsi", time="t", sql=f"""with {SQL_HOUR},

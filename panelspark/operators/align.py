@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.segments import BUCKET, Running, bucket_of, bucket_step, earlier, running, so_far
+from panelspark.operators.segments import BUCKET, Carry, Running, bucket_of, bucket_step, running, so_far
 from panelspark.schema import Series
 
 PRICES = ("open", "high", "low", "close", "volume")
@@ -103,7 +103,7 @@ def count_between(points: DataFrame, spans: DataFrame, s: Series,
                          .withColumn("_span", F.lit(0))))
     both = both.groupBy(*s.keys, s.t).agg(F.max("_span").alias("_span"), F.sum("_n").alias("_n"))
     start = F.when(F.col("_span") == 1, F.col(s.t))
-    last = Running({"_mx": F.max(start)}, {"_prev": F.max("_mx").over(earlier(s))},
+    last = Running({"_mx": F.max(start)}, {"_prev": Carry("_mx", "max")},
                    {"_start": F.coalesce(F.max(start).over(so_far(s)), F.col("_prev"))})
     return (running(both, s, last).filter(F.col("_start").isNotNull())
             .groupBy(*s.keys, F.col("_start").alias(s.t)).agg(F.sum("_n").alias(name)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.segments import (
-    Running, earlier, fills, from_here, later, rolled, running, so_far, sums)
+    Carry, Running, fills, from_here, rolled, running, so_far, sums)
 from panelspark.schema import PROB_COLS, PROB_LABELS, Series
 
 
@@ -89,8 +89,8 @@ def interpolate_time(df: DataFrame, s: Series, cols: list[str], edges: bool = Tr
         known, prev, after = f"_k{i}", f"_p{i}", f"_n{i}"
         df = df.withColumn(known, F.when(there, F.struct(F.col("_u").alias("u"), *group)))
         parts[f"_l{i}"], parts[f"_f{i}"] = F.max_by(known, known + ".u"), F.min_by(known, known + ".u")
-        state[f"_in{i}"] = F.last(f"_l{i}", ignorenulls=True).over(earlier(s))
-        state[f"_out{i}"] = F.last(f"_f{i}", ignorenulls=True).over(later(s))
+        state[f"_in{i}"] = Carry(f"_l{i}", "last")
+        state[f"_out{i}"] = Carry(f"_f{i}", "first", "after")
         ends[prev] = F.coalesce(F.last(known, ignorenulls=True).over(back), F.col(f"_in{i}"))
         ends[after] = F.coalesce(F.last(known, ignorenulls=True).over(fore), F.col(f"_out{i}"))
         scratch += [known, prev, after]

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.calendar import calendar_features
 from panelspark.operators.segments import (
-    ROW, SEG, SEGMENT_ROWS, Running, earlier, fills, full_frame, number_rows, rolled, row_numbers,
-    running, so_far, sums, when_full, whole)
+    ROW, SEGMENT_ROWS, Carry, Running, by_bucket, fills, full_frame, number_rows, rolled, row_numbers,
+    running, so_far, state_after, states_before, sums, when_full)
 from panelspark.schema import Series
 from panelspark.session import stage
 
@@ -79,36 +77,17 @@ def williams_r(high, low, close, w: WindowSpec, n: int = 14) -> Column:
     return _in_range(high, low, -100 * (F.max(_c(high)).over(full_frame(w, n)) - _c(close)), w, n)
 
 
-def ema_reach(span: float) -> int:
-    """Rows after which a weight of an exponential mean falls below double precision."""
-    decay = 1 - 2 / (span + 1)
-    return 1 if decay <= 0 else math.ceil(math.log(1e-16) / math.log(decay))
-
+def _ema_maps(x: Column, span: float, gap: Column | None = None, first: Column | None = None) -> tuple[Column, Column]:
+    """An exponential mean as an affine recurrence: weight 2/(span+1) on the newest value, seeded with the first.
 
-def ema(x, w: WindowSpec, span: float, back: int, size: int = SEGMENT_ROWS) -> Column:
-    """Exponential mean, seeded with the first value, weight 2/(span+1) on the newest.
-
-    The recurrence is unrolled: with d = 1 - weight and j the position inside the segment, the
-    mean is d^j times a running sum of weight * x * d^-j, a plain running window sum. Short
-    spans, where d^-j would overflow inside a segment, fold over the few rows that still matter.
-    The segment must carry `back >= ema_reach(span)` rows of context, and x no nulls: `add_ema` takes
-    series with holes.
+    A value g rows after the last one counts weight / (d^g + weight), the mean so far the rest.
     """
-    reach = ema_reach(span)
-    if back < reach:
-        raise ValueError(f"span {span} needs {reach} rows of context, the segment has {back}")
-    weight, x = 2 / (span + 1), _c(x)
-    decay = 1 - weight
-    if decay <= 0:
-        return x
-    if (size + back) * -math.log(decay) < 600:
-        j = (F.col(ROW) - F.greatest(F.col(SEG) * size - back + 1, F.lit(1))).cast("double")
-        scaled = F.when(j == 0, x).otherwise(x * weight) / F.pow(F.lit(decay), j)
-        running = F.sum(scaled).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return running * F.pow(F.lit(decay), j)
-    past = F.collect_list(x).over(full_frame(w, reach))
-    return F.aggregate(F.slice(past, 2, reach), past[0],
-                       lambda acc, v: acc * decay + v * weight)
+    weight = 2 / (span + 1)
+    if gap is None:
+        return F.lit(1 - weight), F.when(first, x).otherwise(x * weight)
+    old = F.pow(F.lit(max(1 - weight, 0.0)), gap)
+    kept = F.coalesce(old / (old + weight), F.lit(0.0))
+    return kept, x * (1 - kept)
 
 
 # ── the enrichment bundle ───────────────────────────────────────────────────
@@ -122,13 +101,15 @@ def enrich(df: DataFrame, s: Series, open_="open", high="high", low="low", close
            size: int = SEGMENT_ROWS) -> DataFrame:
     """Fill, then every indicator and the calendar encodings, then drop incomplete rows.
 
-    All indicators share one exchange and one sort; a segment carries as many earlier rows as
-    the slower exponential mean needs.
+    All indicators share one exchange and one sort. The filled rows are written once, for they are read
+    twice: by the exponential means, whose states before each segment go beside it, and by the rest.
     """
     price = [open_, high, low, close]
-    df = running(df.withColumns({c: F.col(c).cast("double") for c in price}), s,
-                 row_numbers(s), fills(s, price))
-    back = max(ema_reach(slow), ema_reach(fast), rsi_n + 1, k_n + d_n, roc_n, vol_n + 1)
+    df = stage(running(df.withColumns({c: F.col(c).cast("double") for c in price}), s,
+                       row_numbers(s), fills(s, price)), "filled")
+    back = max(rsi_n + 1, k_n + d_n, roc_n, vol_n + 1)
+    maps = {f"EMA_{n}": _ema_maps(F.col(close), n, first=F.col(ROW) == 1) for n in (fast, slow)}
+    means = stage(states_before(df, s, maps, size), "means")
 
     def steps(w):
         # one column per distinct frame aggregate, then arithmetic on the columns; after the fill
@@ -143,8 +124,7 @@ def enrich(df: DataFrame, s: Series, open_="open", high="high", low="low", close
                 "_prev": lag1(close, w),
                 "_hi": F.max(high).over(full_frame(w, k_n)),
                 "_lo": F.min(low).over(full_frame(w, k_n)),
-                f"EMA_{fast}": ema(close, w, fast, back, size),
-                f"EMA_{slow}": ema(close, w, slow, back, size),
+                **{n: state_after(s, n, *ab, size) for n, ab in maps.items()},
                 "ROC": roc(close, w, roc_n),
             },
             {
@@ -163,7 +143,7 @@ def enrich(df: DataFrame, s: Series, open_="open", high="high", low="low", close
             },
         ]
 
-    out = rolled(df, s, steps, back=back, size=size).drop("_prev", "_hi", "_lo", "_delta")
+    out = rolled(df, s, steps, back=back, size=size, beside=means).drop("_prev", "_hi", "_lo", "_delta")
     out = out.withColumns(calendar_features(s.t))
     return out.dropna("any") if drop_nulls else out
 
@@ -174,50 +154,23 @@ def indicator(df: DataFrame, s: Series, name: str, expr, back: int,
     return rolled(df, s, lambda w: {name: expr(w)}, back=back, size=size)
 
 
-def _ema_steps(col: str, spans: dict[str, float], w: WindowSpec, back: int, size: int) -> list[dict[str, Column]]:
-    """Exponential means over rows that have a value, `_gap` rows after the one before.
-
-    A value g rows after the last one counts weight / (d^g + weight), the mean so far the rest. With
-    L the running sum of the logarithms of the latter, the mean is e^L times a running sum, as in
-    `ema`; short spans fold over the rows that still matter.
-    """
-    gap = F.when(F.col(ROW) > F.greatest(F.col(SEG) * size - back + 1, F.lit(1)), F.col("_gap"))
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    logs, means = {}, {}
-    for name, span in spans.items():
-        weight = 2 / (span + 1)
-        decay = 1 - weight
-        if decay <= 0:
-            means[name] = F.col(col)
-        elif (size + back) * -math.log(decay) < 600:
-            old = F.pow(F.lit(decay), gap)
-            kept = F.coalesce(old / (old + weight), F.lit(0.0))
-            # a hole of many rows takes the mean so far out, whatever its length
-            level = F.coalesce(F.sum(F.when(gap.isNotNull(), F.log(F.greatest(kept, F.lit(1e-18))))).over(so_far), F.lit(0.0))
-            logs[f"_L_{name}"] = level
-            means[name] = (F.col(f"_L_{name}"), F.col(col) * (1 - kept))
-        else:
-            past = F.collect_list(F.struct(F.col(col).alias("x"), gap.alias("g"))).over(full_frame(w, ema_reach(span)))
-            means[name] = F.aggregate(F.slice(past, 2, ema_reach(span)), past[0]["x"], lambda acc, v: (
-                acc * F.pow(F.lit(decay), v["g"]) + v["x"] * weight) / (F.pow(F.lit(decay), v["g"]) + weight))
-    last = {n: F.exp(m[0]) * F.sum(m[1] * F.exp(-m[0])).over(so_far) if isinstance(m, tuple) else m
-            for n, m in means.items()}
-    return [logs, last] if logs else [last]
-
-
 def add_emas(df: DataFrame, s: Series, col: str, spans: dict[str, float],
              size: int = SEGMENT_ROWS) -> DataFrame:
     """Exponential means that start at the first value and hold over nulls, whose rows still age them.
 
-    The input is read several times: pass a table, or `stage` it first, and give all spans at once.
+    Every row counts, however far back: rows are affine maps of the mean so far, composed by
+    segments. The input is read several times: pass a table, or `stage` it first, and give all spans at once.
     """
-    back = max(ema_reach(span) for span in spans.values())
     numbered = number_rows(df, s, "_pos").withColumn("_x", F.col(col).cast("double"))
     known = numbered.filter(F.col("_x").isNotNull())
-    out = rolled(known, s, lambda w: [{"_gap": F.col("_pos") - F.lag("_pos", 1).over(w)},
-                                      *_ema_steps("_x", spans, w, back, size)], back=back, size=size)
-    out = out.drop("_gap", *[f"_L_{n}" for n in spans])
-    every = out.unionByName(numbered.filter(F.col("_x").isNull()), allowMissingColumns=True)
+    w = by_bucket(s)
+    before = Running({"_last": F.max("_pos")}, {"_far": Carry("_last", "max")},
+                     {"_gap": F.col("_pos") - F.coalesce(F.lag("_pos", 1).over(w), F.col("_far"))})
+    known = stage(running(known, s, row_numbers(s), before), "known")
+    maps = {n: _ema_maps(F.col("_x"), span, F.col("_gap")) for n, span in spans.items()}
+    out = rolled(known, s, lambda _: {n: state_after(s, n, *ab, size) for n, ab in maps.items()}, size=size,
+                 beside=stage(states_before(known, s, maps, size), "means"))
+    every = out.drop("_gap").unionByName(numbered.filter(F.col("_x").isNull()), allowMissingColumns=True)
     held = running(every, s, *[_hold(s, n) for n in spans])
     return held.drop("_pos", "_x")
 
@@ -226,7 +179,7 @@ def _hold(s: Series, col: str) -> Running:
     """The last seen value."""
     seen = F.when(F.col(col).isNotNull(), F.col(s.t))
     return Running({f"_l_{col}": F.max_by(col, seen)},
-                   {f"_in_{col}": F.last(f"_l_{col}", ignorenulls=True).over(earlier(s))},
+                   {f"_in_{col}": Carry(f"_l_{col}", "last")},
                    {col: F.coalesce(F.last(col, ignorenulls=True).over(so_far(s)), F.col(f"_in_{col}"))})
 
 
@@ -291,8 +244,7 @@ def cum_return(df: DataFrame, s: Series, ret: str, name: str = "cum_return") ->
 def first_valid(s: Series, col: str, name: str) -> Running:
     """First non-null value of the series."""
     seen = F.when(F.col(col).isNotNull(), F.col(s.t))
-    return Running({f"_fv_{name}": F.min_by(col, seen), f"_ft_{name}": F.min(seen)},
-                   {name: F.min_by(f"_fv_{name}", f"_ft_{name}").over(whole(s))})
+    return Running({f"_fv_{name}": F.min_by(col, seen)}, {name: Carry(f"_fv_{name}", "first", "all")})
 
 
 def normalise_first(df: DataFrame, s: Series, col: str, name: str) -> DataFrame:
@@ -305,8 +257,7 @@ def normalise_first(df: DataFrame, s: Series, col: str, name: str) -> DataFrame:
 # ── differencing ────────────────────────────────────────────────────────────
 def all_positive(s: Series, col: str, name: str) -> Running:
     """Whether the whole column of the series is positive."""
-    return Running({f"_min_{name}": F.min(col)},
-                   {name: F.min(f"_min_{name}").over(whole(s)) > 0})
+    return Running({f"_min_{name}": F.min(col)}, {name: Carry(f"_min_{name}", "min", "all", lambda c: c > 0)})
 
 
 def difference(df: DataFrame, s: Series, cols: list[str],

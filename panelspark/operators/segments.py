@@ -4,7 +4,11 @@ A plain `Window.partitionBy(id)` sends every row of a series to one task, so a s
 a third of the data becomes the job. Two schemes replace it:
 
 * running state (row numbers, sums, fills): rows are partitioned by (key, calendar bucket); one
-  small row per bucket carries the state of all earlier buckets into it;
+  small row per bucket carries the state of all earlier buckets into it. Buckets themselves stand in
+  runs of `FAN`, runs in runs of runs: the state is reduced up this tree and handed down it, so that
+  no task holds all buckets of a series either;
+* affine recurrences (exponential means): each row maps the state y to a * y + b; maps compose, first
+  in a segment, then over segments in the same kind of tree;
 * bounded look-back (rolling statistics, sliding windows): rows are numbered, cut into segments
   of a fixed number of rows, and each segment also receives the few rows before and after it
   that its frames reach into. Segment size is exact whatever the spacing of the rows.
@@ -12,6 +16,7 @@ a third of the data becomes the job. Two schemes replace it:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -22,6 +27,9 @@ from panelspark.schema import Series
 
 BUCKET, ROW, SEG, OWN = "_bucket", "_row", "_seg", "_own"
 SEGMENT_ROWS = 2048
+FAN = 1024
+FAN_MAPS = 256
+PIECE = 16
 
 
 def bucket_of(df: DataFrame, s: Series) -> Column:
@@ -65,32 +73,87 @@ def from_here(s: Series) -> WindowSpec:
             .rowsBetween(Window.unboundedPreceding, 0))
 
 
-def earlier(s: Series) -> WindowSpec:
-    """Over the bucket table: all buckets before this one."""
-    return (Window.partitionBy(*s.keys).orderBy(BUCKET)
-            .rowsBetween(Window.unboundedPreceding, -1))
-
-
-def later(s: Series) -> WindowSpec:
-    """Over the bucket table: all buckets after this one, nearest last."""
-    return (Window.partitionBy(*s.keys).orderBy(F.desc(BUCKET))
-            .rowsBetween(Window.unboundedPreceding, -1))
-
+@dataclass(frozen=True)
+class Carry:
+    """What a bucket knows of the others: `how` (sum, min, max, first, last) of a part, over the buckets
+    `side` (before, after, all) of it. Nulls are passed over; `then` turns the result into the state."""
 
-def whole(s: Series) -> WindowSpec:
-    """Over the bucket table: every bucket of the series."""
-    return Window.partitionBy(*s.keys)
+    part: str
+    how: str
+    side: str = "before"
+    then: Callable[[Column], Column] = lambda c: c
 
 
 @dataclass(frozen=True)
 class Running:
-    """A running quantity: aggregates of one bucket, the state built from them, row columns."""
+    """A running quantity: aggregates of one bucket, what is carried of them, row columns."""
 
     parts: dict[str, Column]
-    state: dict[str, Column]
+    state: dict[str, Carry] = field(default_factory=dict)
     cols: dict[str, Column] = field(default_factory=dict)
 
 
+def bucket_number(df: DataFrame, s: Series) -> Column:
+    """An integer that rises with the bucket; neighbouring buckets are at least 1 and at most a few apart."""
+    if isinstance(df.schema[s.t].dataType, T.IntegralType):
+        return F.col(BUCKET).cast("long")
+    unit = (s.bucket or ("year" if isinstance(df.schema[s.t].dataType, T.DateType) else "day")).lower()
+    days = {"year": 365, "quarter": 90, "month": 28, "week": 7, "day": 1}
+    if unit in days:
+        return F.floor(F.unix_date(F.col(BUCKET).cast("date")) / days[unit])
+    seconds = {"hour": 3_600, "minute": 60, "second": 1}[unit]
+    return F.floor(F.unix_seconds(F.col(BUCKET).cast("timestamp")) / seconds)
+
+
+def _levels(df: DataFrame, s: Series) -> int:
+    """Levels of runs above the buckets: coarse units are few, fine ones and integers need one more."""
+    if isinstance(df.schema[s.t].dataType, T.IntegralType):
+        return 2
+    return 1 if (s.bucket or "day").lower() in ("year", "quarter", "month", "week", "day") else 2
+
+
+_OVER = {"sum": F.sum, "min": F.min, "max": F.max,
+         "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True)}
+_BOTH = {"sum": lambda near, far: F.coalesce(near + far, near, far), "min": F.least, "max": F.greatest,
+         "first": lambda near, far: F.coalesce(near, far), "last": lambda near, far: F.coalesce(near, far)}
+
+
+def _reduced(part: str, how: str, at: str) -> Column:
+    if how in ("first", "last"):
+        seen = F.when(F.col(part).isNotNull(), F.col(at))
+        return (F.min_by if how == "first" else F.max_by)(part, seen)
+    return _OVER[how](part)
+
+
+def carried(table: DataFrame, keys: list[str], at: str, state: dict[str, Carry], levels: int) -> DataFrame:
+    """The table with the state of each of its rows; `at` is an integer that orders the rows of a key.
+
+    A run is FAN numbers of `at`. Each run becomes one row of the table above, whose state is found first.
+    """
+    parts = list(dict.fromkeys((c.part, c.how) for c in state.values()))
+    run, top = f"_bucket_run{levels}", levels == 0
+    group = keys if top else [*keys, run]
+    rows = table if top else table.withColumn(run, F.floor(F.col(at) / FAN))
+    w = Window.partitionBy(*group).orderBy(at)
+    frames = {"before": w.rowsBetween(Window.unboundedPreceding, -1),
+              "after": Window.partitionBy(*group).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1),
+              "all": w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)}
+    if not top:
+        above = rows.groupBy(*group).agg(*[_reduced(p, h, at).alias(f"{p}_{h}") for p, h in parts])
+        above = carried(above, keys, run, {n: Carry(f"{c.part}_{c.how}", c.how, c.side) for n, c in state.items()}, levels - 1)
+        above = above.select(*group, *[F.col(n).alias(f"_far{n}") for n in state])
+    near = {}
+    for n, c in state.items():
+        # read backwards, the nearest of the later rows comes last
+        how = {"first": "last", "last": "first"}.get(c.how, c.how) if c.side == "after" else c.how
+        near[n] = _OVER[how](c.part).over(frames[c.side])
+    if top:
+        return rows.withColumns(near)
+    rows = rows.withColumns({n: e for n, e in near.items() if state[n].side != "all"}).join(above, group)
+    out = {n: F.col(f"_far{n}") if c.side == "all" else _BOTH[c.how](F.col(n), F.col(f"_far{n}")) for n, c in state.items()}
+    return rows.withColumns(out).drop(run, *[f"_far{n}" for n in state])
+
+
 def running(df: DataFrame, s: Series, *what: Running) -> DataFrame:
     """Add running quantities, all of them in one pass over the bucket table.
 
@@ -102,18 +165,24 @@ def running(df: DataFrame, s: Series, *what: Running) -> DataFrame:
     state = {n: c for r in what for n, c in r.state.items()}
     cols = {n: c for r in what for n, c in r.cols.items()}
     rows = df.withColumn(BUCKET, bucket_of(df, s))
-    table = (rows.groupBy(*s.keys, BUCKET).agg(*[c.alias(n) for n, c in parts.items()])
-             .select(*s.keys, BUCKET, *[c.alias(n) for n, c in state.items()]))
+    table = rows.groupBy(*s.keys, BUCKET).agg(*[c.alias(n) for n, c in parts.items()])
+    if state:
+        table = carried(table.withColumn("_bucket_at", bucket_number(df, s)), s.keys, "_bucket_at", state, _levels(df, s))
+    table = table.select(*s.keys, BUCKET, *[c.then(F.col(n)).alias(n) for n, c in state.items()])
     # explicit, so that rows already placed by key alone are not left in one task per series
     out = rows.repartition(*s.keys, BUCKET).join(table, [*s.keys, BUCKET])
     return out.withColumns(cols).drop(BUCKET, *[n for n in state if n.startswith("_")])
 
 
+def or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0))
+
+
 def row_numbers(s: Series, row: str = ROW, count: str | None = None) -> Running:
     """1-based position in the series, and optionally the series length."""
-    state = {"_before": F.coalesce(F.sum("_rows").over(earlier(s)), F.lit(0))}
+    state = {"_before": Carry("_rows", "sum", then=or_zero)}
     if count:
-        state[count] = F.sum("_rows").over(whole(s))
+        state[count] = Carry("_rows", "sum", "all")
     return Running({"_rows": F.count(F.lit(1))}, state,
                    {row: F.row_number().over(by_bucket(s)) + F.col("_before")})
 
@@ -125,8 +194,8 @@ def fills(s: Series, cols: list[str]) -> Running:
     for c in cols:
         seen = F.when(F.col(c).isNotNull(), F.col(s.t))
         parts[f"_l_{c}"], parts[f"_f_{c}"] = F.max_by(c, seen), F.min_by(c, seen)
-        state[f"_in_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(earlier(s))
-        state[f"_out_{c}"] = F.last(f"_f_{c}", ignorenulls=True).over(later(s))
+        state[f"_in_{c}"] = Carry(f"_l_{c}", "last")
+        state[f"_out_{c}"] = Carry(f"_f_{c}", "first", "after")
         out[c] = F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_in_{c}"),
                             F.last(c, ignorenulls=True).over(fore), F.col(f"_out_{c}"))
     return Running(parts, state, out)
@@ -137,7 +206,7 @@ def sums(s: Series, col: str, name: str) -> Running:
     part, before = f"_part_{name}", f"_before_{name}"
     return Running(
         {part: F.sum(col)},
-        {before: F.coalesce(F.sum(part).over(earlier(s)), F.lit(0))},
+        {before: Carry(part, "sum", then=or_zero)},
         {name: F.sum(col).over(so_far(s)) + F.col(before)})
 
 
@@ -176,18 +245,90 @@ def own_rows(df: DataFrame, *drop: str) -> DataFrame:
     return df.filter(OWN).drop(SEG, OWN, *drop)
 
 
+# ── affine recurrences ──────────────────────────────────────────────────────
+def _then(maps: Column, name: str, y: Column) -> Column:
+    """The state after an array of maps."""
+    return F.aggregate(maps, y, lambda acc, m: acc * m[f"a_{name}"] + m[f"b_{name}"])
+
+
+def _together(maps: Column, name: str) -> list[Column]:
+    """The one map that an array of maps composes to."""
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    both = F.aggregate(maps, start, lambda acc, m: F.struct(
+        (acc["a"] * m[f"a_{name}"]).alias("a"), (acc["b"] * m[f"a_{name}"] + m[f"b_{name}"]).alias("b")))
+    return [both["a"].alias(f"a_{name}"), both["b"].alias(f"b_{name}")]
+
+
+def _before(maps: DataFrame, keys: list[str], at: str, names: list[str], levels: int) -> DataFrame:
+    """(keys, at, y_name): the state before each map of a table (keys, at, a_name, b_name), zero before the first.
+
+    Runs of FAN_MAPS maps compose to one row of the table above, whose state is found first.
+    """
+    run = f"_run{levels}"
+    group = keys if levels == 0 else [*keys, run]
+    rows = maps if levels == 0 else maps.withColumn(run, F.floor(F.col(at) / FAN_MAPS))
+    packed = rows.groupBy(*group).agg(F.sort_array(F.collect_list(
+        F.struct(at, *[f"{x}_{n}" for n in names for x in "ab"]))).alias("_maps"))
+    if levels == 0:
+        packed = packed.withColumns({f"y_{n}": F.lit(0.0) for n in names})
+    else:
+        above = packed.select(*group, *[c for n in names for c in _together(F.col("_maps"), n)])
+        packed = packed.join(_before(above, keys, run, names, levels - 1), group)
+
+    def state(m, i):
+        return F.struct(m[at].alias(at), *[_then(F.slice(F.col("_maps"), F.lit(1), i), n, F.col(f"y_{n}")).alias(f"y_{n}")
+                                           for n in names])
+    return packed.select(*keys, F.explode(F.transform("_maps", state)).alias("_s")).select(*keys, "_s.*")
+
+
+def states_before(rows: DataFrame, s: Series, maps: dict[str, tuple[Column, Column]], size: int = SEGMENT_ROWS,
+                  row: str = ROW) -> DataFrame:
+    """(key, segment, states): for each segment the state before each of its pieces of PIECE rows.
+
+    `rows` are numbered; `maps` names the factor and the summand of each recurrence in a row, which
+    start from zero before the first row. A segment's rows are one bounded array.
+    """
+    names = list(maps)
+    narrow = rows.select(*s.keys, F.floor((F.col(row) - 1) / size).alias(SEG), row,
+                         *[c.cast("double").alias(f"{x}_{n}") for n, ab in maps.items() for x, c in zip("ab", ab)])
+    packed = narrow.groupBy(*s.keys, SEG).agg(F.sort_array(F.collect_list(
+        F.struct(row, *[f"{x}_{n}" for n in names for x in "ab"]))).alias("_maps"))
+    whole = packed.select(*s.keys, SEG, *[c for n in names for c in _together(F.col("_maps"), n)])
+    first = packed.join(_before(whole, s.keys, SEG, names, 2), [*s.keys, SEG])
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_maps") / PIECE).cast("int") - 2, F.lit(0)))
+
+    def onward(n):
+        start = F.array(F.col(f"y_{n}"))
+        return F.aggregate(pieces, start, lambda acc, p: F.concat(acc, F.array(_then(
+            F.slice(F.col("_maps"), p * PIECE + 1, F.lit(PIECE)), n, F.element_at(acc, -1)))))
+    return first.select(*s.keys, SEG, *[onward(n).alias(f"_y_{n}") for n in names])
+
+
+def state_after(s: Series, name: str, a: Column, b: Column, size: int = SEGMENT_ROWS, row: str = ROW) -> Column:
+    """The recurrence's state after a row of a segment that was joined with `states_before`."""
+    place = F.col(row) - 1 - F.col(SEG) * size
+    piece = F.floor(place / PIECE).cast("int")
+    w = Window.partitionBy(*s.keys, SEG, piece).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    maps = F.collect_list(F.struct(a.cast("double").alias(f"a_{name}"), b.cast("double").alias(f"b_{name}"))).over(w)
+    return F.when(place.between(0, size - 1), _then(maps, name, F.get(f"_y_{name}", piece)))
+
+
 def rolled(df: DataFrame, s: Series, exprs, back: int = 0, ahead: int = 0,
-           size: int = SEGMENT_ROWS, keep_row: bool = False) -> DataFrame:
+           size: int = SEGMENT_ROWS, beside: DataFrame | None = None) -> DataFrame:
     """Add columns computed over a bounded reach.
 
     `exprs(w)` gets the segment window and returns one dict of columns, or a list of dicts that
-    are added one after the other. All of them share one exchange and one sort.
+    are added one after the other. All of them share one exchange and one sort. `beside` holds one
+    row per (key, segment) whose columns the expressions may use.
     """
     out = segmented(df, s, back, ahead, size)
+    if beside is not None:
+        out = out.join(beside, [*s.keys, SEG], "left")
     steps = exprs(in_segment(s))
     for step in steps if isinstance(steps, list) else [steps]:
         out = out.withColumns(step)
-    return own_rows(out) if keep_row else own_rows(out, ROW)
+    extra = [] if beside is None else [c for c in beside.columns if c not in (*s.keys, SEG)]
+    return own_rows(out, ROW, *extra)
 
 
 def full_frame(w: WindowSpec, n: int) -> WindowSpec:

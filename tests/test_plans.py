@@ -52,6 +52,20 @@ def test_indicators_share_one_exchange(spark):
     assert len(by_bucket) <= 3
 
 
+def test_no_task_holds_all_buckets_of_a_series(spark):
+    """A million buckets of one key: windows and groups over them are keyed by a run as well, and runs are short."""
+    from panelspark.operators import segments as G
+    s = Series(("id",), "t", "1")
+    table = spark.range(1_000_000).select(F.lit("a").alias("id"), F.col("id").alias("_at"), F.lit(1).alias("_rows"))
+    out = G.carried(table, s.keys, "_at", {"_before": G.Carry("_rows", "sum"), "all_": G.Carry("_rows", "sum", "all")}, 2)
+    specs = re.findall(r"windowspecdefinition\(([^)]*?) (?:ASC|DESC)", plan(out))
+    assert specs and sum("_run" in x for x in specs) >= 3
+    # what is keyed by the series alone is the uppermost table, a row for each FAN * FAN buckets
+    assert out.where("coalesce(_before, 0) <> _at or all_ <> 1000000").count() == 0
+    runs = table.groupBy(F.floor(F.col("_at") / G.FAN)).count()
+    assert runs.agg(F.max("count")).first()[0] <= G.FAN and runs.count() <= 1_000_000 / G.FAN + 1
+
+
 def test_projection_and_ids_reach_the_scan(spark, sf_dir):
     df = read_panel(spark, f"{sf_dir}/orders.parquet", ["1-URGENT"], ["o_totalprice"], "o_orderpriority", "o_orderdate")
     text = plan(df)

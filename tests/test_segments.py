@@ -43,14 +43,71 @@ def test_row_numbers(spark, bucket):
     assert out.filter("n <> want or len_ <> wl").count() == 0 and out.count() == 678
 
 
+@pytest.fixture(params=[None, 3])
+def fan(request, monkeypatch):
+    """Runs of the library's length, and runs so short that the trees have all their levels."""
+    if request.param:
+        monkeypatch.setattr(G, "FAN", request.param)
+        monkeypatch.setattr(G, "FAN_MAPS", request.param)
+
+
 @pytest.mark.parametrize("size", [7, 64, 2048])
-def test_ema_matches_pandas_for_any_segment_size(spark, size):
+def test_ema_matches_pandas_for_any_segment_size(spark, size, fan):
     s = Series(("id",), "t", "year")
     df = hot(spark)
-    for span in (1, 2, 12, 26):
-        got = I.add_ema(df, s, "x", span, "e", size).orderBy("id", "t").toPandas()
+    spans = {"e1": 1, "e2": 2, "e12": 12, "e26": 26, "e_near_1": 1.001}
+    got = I.add_emas(df, s, "x", spans, size).orderBy("id", "t").toPandas()
+    for name, span in spans.items():
         want = got.groupby("id")["x"].transform(lambda v: v.ewm(span=span, adjust=False).mean())
-        assert np.allclose(got["e"], want, rtol=1e-12, atol=0)
+        assert np.allclose(got[name], want, rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("first", [1e12, 1e200])
+def test_every_row_counts_in_an_ema(spark, first):
+    """A first value far above the rest still counts hundreds of rows later, in segments far from its own."""
+    rows = [("a", k, first if k == 0 else 1.0 + k % 3) for k in range(700)]
+    df = spark.createDataFrame(rows, "id string, t long, x double")
+    got = I.add_emas(df, Series(), "x", {"e5": 5, "e26": 26, "e400": 400}, 32).orderBy("t").toPandas()
+    for span in (5, 26, 400):
+        want = got["x"].ewm(span=span, adjust=False).mean()
+        assert np.allclose(got[f"e{span}"], want, rtol=1e-11, atol=0)
+
+
+@pytest.mark.parametrize("size", [5, 2048])
+def test_ema_with_holes_of_any_length(spark, size, fan):
+    rng = np.random.default_rng(4)
+    x = [float(rng.lognormal()) if k % 97 < 60 and rng.random() < 0.6 and not 300 < k < 900 else None for k in range(1200)]
+    x[1] = 1e12
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(x)], "id string, t long, x double")
+    got = I.add_emas(df, Series(("id",), "t", "100"), "x", {"e3": 3, "e30": 30}, size).orderBy("t").toPandas()
+    for span in (3, 30):
+        want = got["x"].ewm(span=span, adjust=False).mean()
+        assert np.allclose(got[f"e{span}"].astype(float), want, rtol=1e-11, atol=0, equal_nan=True)
+
+
+@pytest.mark.parametrize("unit", ["second", "hour", "day", "week", "month", "quarter", "year"])
+def test_state_crosses_runs_of_buckets(spark, unit, fan):
+    """Sums, fills and first values through a tree of buckets equal those of one window."""
+    rng = np.random.default_rng(len(unit))
+    rows = []
+    for i, n in (("hot", 300), ("b", 20), ("one", 1)):
+        step = {"second": 1, "hour": 1800, "day": 40_000}.get(unit, 2_000_000)
+        at = dt.datetime(1969, 6, 1) + dt.timedelta(hours=int(rng.integers(20)))
+        for _ in range(n):
+            at += dt.timedelta(seconds=int(rng.integers(1, step * 3)))
+            rows.append((i, at, None if rng.random() < 0.7 else float(rng.integers(100)), float(rng.integers(9) - 4)))
+    df = spark.createDataFrame(rows, "id string, t timestamp_ntz, x double, y double")
+    s = Series(("id",), "t", unit)
+    got = G.running(df.withColumn("f", F.col("x")), s, G.row_numbers(s, "n", "len_"), G.fills(s, ["f"]), G.sums(s, "y", "total"),
+                    I.first_valid(s, "x", "first_x"), I.all_positive(s, "y", "pos")).orderBy("id", "t").toPandas()
+    assert len(got) == 321
+    for _, p in got.groupby("id"):
+        assert (p["n"] == np.arange(1, len(p) + 1)).all() and (p["len_"] == len(p)).all()
+        assert np.allclose(p["f"].astype(float), p["x"].astype(float).ffill().bfill(), equal_nan=True)
+        assert np.allclose(p["total"], p["y"].cumsum())
+        known = p["x"].dropna()
+        assert (p["first_x"] == known.iloc[0]).all() if len(known) else p["first_x"].isna().all()
+        assert (p["pos"] == (p["y"].min() > 0)).all()
 
 
 @pytest.mark.parametrize("size", [5, 2048])

@@ -109,7 +109,7 @@ def enrich(df: DataFrame, s: Series, open_="open", high="high", low="low", close
                        row_numbers(s), fills(s, price)), "filled")
     back = max(rsi_n + 1, k_n + d_n, roc_n, vol_n + 1)
     maps = {f"EMA_{n}": _ema_maps(F.col(close), n, first=F.col(ROW) == 1) for n in (fast, slow)}
-    means = stage(states_before(df, s, maps, size), "means")
+    means = states_before(df, s, maps, size)
 
     def steps(w):
         # one column per distinct frame aggregate, then arithmetic on the columns; after the fill
@@ -169,7 +169,7 @@ def add_emas(df: DataFrame, s: Series, col: str, spans: dict[str, float],
     known = stage(running(known, s, row_numbers(s), before), "known")
     maps = {n: _ema_maps(F.col("_x"), span, F.col("_gap")) for n, span in spans.items()}
     out = rolled(known, s, lambda _: {n: state_after(s, n, *ab, size) for n, ab in maps.items()}, size=size,
-                 beside=stage(states_before(known, s, maps, size), "means"))
+                 beside=states_before(known, s, maps, size))
     every = out.drop("_gap").unionByName(numbered.filter(F.col("_x").isNull()), allowMissingColumns=True)
     held = running(every, s, *[_hold(s, n) for n in spans])
     return held.drop("_pos", "_x")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.schema import Series
+from panelspark.session import stage
 
 BUCKET, ROW, SEG, OWN = "_bucket", "_row", "_seg", "_own"
 SEGMENT_ROWS = 2048
@@ -94,22 +95,25 @@ class Running:
 
 
 def bucket_number(df: DataFrame, s: Series) -> Column:
-    """An integer that rises with the bucket; neighbouring buckets are at least 1 and at most a few apart."""
+    """The calendar piece a row falls in as an integer: each piece has one of its own, and they rise with it."""
+    bucket = bucket_of(df, s)
     if isinstance(df.schema[s.t].dataType, T.IntegralType):
-        return F.col(BUCKET).cast("long")
+        return bucket
     unit = (s.bucket or ("year" if isinstance(df.schema[s.t].dataType, T.DateType) else "day")).lower()
     days = {"year": 365, "quarter": 90, "month": 28, "week": 7, "day": 1}
     if unit in days:
-        return F.floor(F.unix_date(F.col(BUCKET).cast("date")) / days[unit])
+        return F.floor(F.unix_date(bucket.cast("date")) / days[unit])
     seconds = {"hour": 3_600, "minute": 60, "second": 1}[unit]
-    return F.floor(F.unix_seconds(F.col(BUCKET).cast("timestamp")) / seconds)
+    return F.floor(F.unix_seconds(bucket.cast("timestamp")) / seconds)
 
 
-def _levels(df: DataFrame, s: Series) -> int:
-    """Levels of runs above the buckets: coarse units are few, fine ones and integers need one more."""
-    if isinstance(df.schema[s.t].dataType, T.IntegralType):
-        return 2
-    return 1 if (s.bucket or "day").lower() in ("year", "quarter", "month", "week", "day") else 2
+def _levels(table: DataFrame, at: str, fan: int) -> int:
+    """Levels of runs above a table, so that the uppermost has at most `fan` rows of a key."""
+    ends = table.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    span, levels = (ends.hi or 0) // fan - (ends.lo or 0) // fan, 0
+    while span:
+        levels, span = levels + 1, span // fan
+    return levels
 
 
 _OVER = {"sum": F.sum, "min": F.min, "max": F.max,
@@ -133,7 +137,8 @@ def carried(table: DataFrame, keys: list[str], at: str, state: dict[str, Carry],
     parts = list(dict.fromkeys((c.part, c.how) for c in state.values()))
     run, top = f"_bucket_run{levels}", levels == 0
     group = keys if top else [*keys, run]
-    rows = table if top else table.withColumn(run, F.floor(F.col(at) / FAN))
+    # placed once: the row of the table above and the windows read the same exchange
+    rows = table if top else table.withColumn(run, F.floor(F.col(at) / FAN)).repartition(*group)
     w = Window.partitionBy(*group).orderBy(at)
     frames = {"before": w.rowsBetween(Window.unboundedPreceding, -1),
               "after": Window.partitionBy(*group).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1),
@@ -157,17 +162,18 @@ def carried(table: DataFrame, keys: list[str], at: str, state: dict[str, Carry],
 def running(df: DataFrame, s: Series, *what: Running) -> DataFrame:
     """Add running quantities, all of them in one pass over the bucket table.
 
-    The bucket table has one row per (key, bucket), combined map-side. The input is read twice,
-    once narrowed to what the aggregates need: pass a table, or `stage` an expensive plan first,
-    and combine quantities in one call instead of chaining calls.
+    The bucket table has one row per (key, bucket), combined map-side, and is written; the tree over it is
+    as deep as its longest series needs. The input is read twice, once narrowed to what the aggregates
+    need: pass a table, or `stage` an expensive plan first, and combine quantities in one call.
     """
     parts = {n: c for r in what for n, c in r.parts.items()}
     state = {n: c for r in what for n, c in r.state.items()}
     cols = {n: c for r in what for n, c in r.cols.items()}
-    rows = df.withColumn(BUCKET, bucket_of(df, s))
+    rows = df.withColumn(BUCKET, bucket_number(df, s))
     table = rows.groupBy(*s.keys, BUCKET).agg(*[c.alias(n) for n, c in parts.items()])
     if state:
-        table = carried(table.withColumn("_bucket_at", bucket_number(df, s)), s.keys, "_bucket_at", state, _levels(df, s))
+        table = stage(table, "buckets")
+        table = carried(table, s.keys, BUCKET, state, _levels(table, BUCKET, FAN))
     table = table.select(*s.keys, BUCKET, *[c.then(F.col(n)).alias(n) for n, c in state.items()])
     # explicit, so that rows already placed by key alone are not left in one task per series
     out = rows.repartition(*s.keys, BUCKET).join(table, [*s.keys, BUCKET])
@@ -251,12 +257,14 @@ def _then(maps: Column, name: str, y: Column) -> Column:
     return F.aggregate(maps, y, lambda acc, m: acc * m[f"a_{name}"] + m[f"b_{name}"])
 
 
-def _together(maps: Column, name: str) -> list[Column]:
-    """The one map that an array of maps composes to."""
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    both = F.aggregate(maps, start, lambda acc, m: F.struct(
+def _together(maps: Column, name: str, start: Column) -> Column:
+    """The one map that a map and then an array of maps compose to."""
+    return F.aggregate(maps, start, lambda acc, m: F.struct(
         (acc["a"] * m[f"a_{name}"]).alias("a"), (acc["b"] * m[f"a_{name}"] + m[f"b_{name}"]).alias("b")))
-    return [both["a"].alias(f"a_{name}"), both["b"].alias(f"b_{name}")]
+
+
+def _identity() -> Column:
+    return F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
 
 
 def _before(maps: DataFrame, keys: list[str], at: str, names: list[str], levels: int) -> DataFrame:
@@ -272,7 +280,8 @@ def _before(maps: DataFrame, keys: list[str], at: str, names: list[str], levels:
     if levels == 0:
         packed = packed.withColumns({f"y_{n}": F.lit(0.0) for n in names})
     else:
-        above = packed.select(*group, *[c for n in names for c in _together(F.col("_maps"), n)])
+        above = packed.select(*group, *[_together(F.col("_maps"), n, _identity()).alias(n) for n in names])
+        above = above.select(*group, *[F.col(n)[x].alias(f"{x}_{n}") for n in names for x in "ab"])
         packed = packed.join(_before(above, keys, run, names, levels - 1), group)
 
     def state(m, i):
@@ -286,22 +295,28 @@ def states_before(rows: DataFrame, s: Series, maps: dict[str, tuple[Column, Colu
     """(key, segment, states): for each segment the state before each of its pieces of PIECE rows.
 
     `rows` are numbered; `maps` names the factor and the summand of each recurrence in a row, which
-    start from zero before the first row. A segment's rows are one bounded array.
+    start from zero before the first row. A segment's rows are one bounded array; what its pieces
+    compose to is written, and the tree over the segments is as deep as the longest series needs.
     """
     names = list(maps)
     narrow = rows.select(*s.keys, F.floor((F.col(row) - 1) / size).alias(SEG), row,
                          *[c.cast("double").alias(f"{x}_{n}") for n, ab in maps.items() for x, c in zip("ab", ab)])
     packed = narrow.groupBy(*s.keys, SEG).agg(F.sort_array(F.collect_list(
         F.struct(row, *[f"{x}_{n}" for n in names for x in "ab"]))).alias("_maps"))
-    whole = packed.select(*s.keys, SEG, *[c for n in names for c in _together(F.col("_maps"), n)])
-    first = packed.join(_before(whole, s.keys, SEG, names, 2), [*s.keys, SEG])
-    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_maps") / PIECE).cast("int") - 2, F.lit(0)))
 
     def onward(n):
-        start = F.array(F.col(f"y_{n}"))
-        return F.aggregate(pieces, start, lambda acc, p: F.concat(acc, F.array(_then(
+        """The maps from the segment's start to that of each piece, and to the segment's end."""
+        pieces = F.sequence(F.lit(0), F.ceil(F.size("_maps") / PIECE).cast("int") - 1)
+        return F.aggregate(pieces, F.array(_identity()), lambda acc, p: F.concat(acc, F.array(_together(
             F.slice(F.col("_maps"), p * PIECE + 1, F.lit(PIECE)), n, F.element_at(acc, -1)))))
-    return first.select(*s.keys, SEG, *[onward(n).alias(f"_y_{n}") for n in names])
+    pieces = stage(packed.select(*s.keys, SEG, *[onward(n).alias(f"_p_{n}") for n in names]), "pieces")
+    levels = _levels(pieces, SEG, FAN_MAPS)
+    whole = pieces.select(*s.keys, SEG, *[F.element_at(f"_p_{n}", -1)[x].alias(f"{x}_{n}") for n in names for x in "ab"])
+    first = pieces.join(_before(whole, s.keys, SEG, names, levels), [*s.keys, SEG])
+
+    def states(n):
+        return F.transform(f"_p_{n}", lambda m: m["a"] * F.col(f"y_{n}") + m["b"]).alias(f"_y_{n}")
+    return first.select(*s.keys, SEG, *[states(n) for n in names])
 
 
 def state_after(s: Series, name: str, a: Column, b: Column, size: int = SEGMENT_ROWS, row: str = ROW) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from panelspark.catalog import query
 from panelspark.catalog.indicators import ENRICH_SQL
 from panelspark.catalog.inputs import DAY, HOUR, SQL_DAY, SQL_HOUR, bars_day, bars_hour, rnd, table
+from panelspark.functions.calendar import calendar_features
+from panelspark.operators import windows as X
 from panelspark.operators.evaluate import bootstrap
 from panelspark.plans.dataset import build_dataset
-from panelspark.plans.forecast import run_forecast
+from panelspark.plans.forecast import run_forecast, run_stream_forecast
 from panelspark.plans.selection import select_covariates
 from panelspark.schema import DatasetSpec
 
@@ -88,6 +90,62 @@ def forecast_run_bootstrap(spark, sf):
                                  "mse_skill_vs_naive", "dm_test.stat", "dm_test.p_value")
 
 
+def lean(w, pred, mc, seed):
+    """Tokens that follow every stream: the last token, moved up the horizon with the first covariate's
+    direction, by the number of days with news, and on days that the calendar marks; members one bin apart."""
+    up = 1 if w.covariates[-1, 0] > w.covariates[0, 0] else -1
+    path = w.tokens[-1] + up * np.arange(1, pred + 1) + int(w.news.any(axis=1).sum()) + 5 * (w.known[:, 0] > 0.1)
+    return path[None, :] + np.arange(mc)[:, None] - mc // 2
+
+
+_STEP = X._step(X.LOW, X.HIGH, X.N_TOKENS, X.N_SPECIAL)
+_BINS = X.N_TOKENS - X.N_SPECIAL - 1
+STREAMS_SQL = f"""with {SQL_DAY}, nd as (select distinct date '1998-01-01' + cast((vec_id * vec_id % 61) * 2 as int) t from embeddings),
+k0 as (select id, t, close, high, close - lag(close) over w d, row_number() over w rn, count(*) over (partition by id) c
+  from bars_day window w as (partition by id order by t)),
+k as (select * exclude (d), coalesce(d, lead(d) over (partition by id order by rn)) x from k0),
+tr as (select id, avg(abs(x)) g from k where rn <= c - 200 group by 1),
+te as (select * exclude (rn, c), row_number() over (partition by id order by rn) rn, count(*) over (partition by id) c
+  from k where rn > greatest(greatest(c - 100, 0) - 30, 0)),
+f as (select te.*, if(nd.t is null, 0, 1) news, tr.g from te left join nd on nd.t = te.t left join tr on tr.id = te.id),
+cx as (select id, rn, c, t, close, x, high, lag(high, 29) over w first_high, avg(abs(x)) over v own, g, sum(news) over v n_news
+  from f window w as (partition by id order by rn), v as (partition by id order by rn rows between 29 preceding and current row)),
+w as (select *, {{scale}} scale from cx where rn >= 30 and rn + 7 <= c),
+st as (select w.id, w.rn w, b.rn - w.rn h, w.close anchor, b.close truth, w.scale,
+    least(greatest(floor((w.x / w.scale - {X.LOW!r}) / {_STEP!r} + 0.5) + 1, 1), {_BINS}) + {X.N_SPECIAL}
+    + if(w.high > w.first_high, 1, -1) * (b.rn - w.rn) + w.n_news + if(sin((isodow(b.t) - 1) * 2 * pi() / 7) > 0.1, 5, 0) tok
+  from w join te b on b.id = w.id and b.rn between w.rn + 1 and w.rn + 7),
+m as (select id, w, h, truth, tok, scale, anchor + sum(median) over (partition by id, w order by h rows unbounded preceding) median from (
+    select *, (least(greatest(tok - {X.N_SPECIAL + 1}, 0), {_BINS - 1}) * {_STEP!r} + {X.LOW!r}) * scale median from st)),
+pw as (select id, w, avg(pow(truth - median, 2)) mse, avg(abs(truth - median)) mae, sum(tok) tok, max(scale) scale from m group by 1, 2)
+select id, 'test' split, count(*) windows_evaluated, round(ln(avg(mse)), 6) log_mse, round(avg(mae), 2) mae,
+  cast(sum(tok) as bigint) token_sum, round(avg(scale), 4) mean_scale from pw group by 1"""
+
+
+def _streams(spark, sf, **how):
+    bars = bars_day(spark, sf)
+    days = bars.select("t").distinct()
+    known = days.withColumns(calendar_features("t"))
+    out = run_stream_forecast(bars, DAY, lean, covariates=bars.select("id", "t", "high", "low"), known=known, news=_news(spark, sf),
+                              dim=64, mode="diff", ctx=30, test=100, val=100, mc=3, **how)
+    tokens = out["steps"].groupBy("id", "split").agg(F.sum(F.get("tokens", F.lit(1))).alias("token_sum"),
+                                                     rnd(F.avg("scale"), 4).alias("mean_scale"))
+    return out["summary"].join(tokens, ["id", "split"]).select("id", "split", "windows_evaluated", rnd(F.ln("mse")).alias("log_mse"),
+                                                             rnd("mae", 2).alias("mae"), "token_sum", "mean_scale")
+
+
+@query("forecast_run_covariates", STREAMS_SQL.format(scale="if(own > 0, own, 1)"))
+def forecast_run_covariates(spark, sf):
+    """Target, covariates, calendar and news reach the forecaster; its tokens are decoded with each window's scale."""
+    return _streams(spark, sf)
+
+
+@query("forecast_run_global_scale", STREAMS_SQL.format(scale="if(g > 0, g, 1)"))
+def forecast_run_global_scale(spark, sf):
+    """The same with one scale a series, taken from its training rows."""
+    return _streams(spark, sf, global_scale=True)
+
+
 SEL = f"""with {SQL_HOUR}, f as (select t, id || '_' || feature feature, value from (select id, t, open, high, low, close from bars_hour)
   unpivot (value for feature in (open, high, low, close))),
 days as (select t from f where feature like '%close' group by 1), nm as (select distinct feature from f),

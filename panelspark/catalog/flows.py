@@ -13,6 +13,7 @@ from panelspark.catalog.inputs import DAY, HOUR, SQL_DAY, SQL_HOUR, bars_day, ba
 from panelspark.functions.calendar import calendar_features
 from panelspark.operators import windows as X
 from panelspark.operators.evaluate import bootstrap
+from panelspark.operators.indicators import INDICATORS
 from panelspark.plans.dataset import build_dataset
 from panelspark.plans.forecast import run_forecast, run_stream_forecast
 from panelspark.plans.selection import select_covariates
@@ -30,21 +31,23 @@ def _news(spark, sf):
     return daily_news(e, "t")
 
 
+FEATURES = ["open", "high", "low", "close", *INDICATORS]
 BUILD = f"""with {SQL_DAY}, base as (select * from bars_day), {ENRICH_SQL},
-rich as (select id, t, open, close, RSI from c where Movement is not null and Daily_Return is not null and Volatility is not null
+rich as (select id, t, open, high, low, close, Movement, Daily_Return, Volatility, e12 EMA_12, e26 EMA_26, e12 - e26 MACD, RSI, Stoch_K,
+  Stoch_D, Williams_R, ROC from c where Movement is not null and Daily_Return is not null and Volatility is not null
   and RSI is not null and Stoch_K is not null and Stoch_D is not null and Williams_R is not null and ROC is not null),
 {DAILY}, nf as (select t from nd union select a.t + 1 from nd a join nd b on b.t = a.t + 2),
 tg as (select t from rich where id = '1-URGENT'), sp as (select min(t) lo, max(t) hi from tg),
 cal as (select t from (select t from tg union select t from nf, sp where t between lo and hi) where t < date '1999-06-01'),
-g as (select i.id, cal.t, r.close, r.RSI rsi, r.open from (select distinct id from rich) i cross join cal left join rich r on r.id = i.id and r.t = cal.t),
-long_ as (select id, t, feature, v from g unpivot include nulls (v for feature in (close, rsi))),
+g as (select i.id, cal.t, r.* exclude (id, t) from (select distinct id from rich) i cross join cal left join rich r on r.id = i.id and r.t = cal.t),
+long_ as (select id, t, feature, v from g unpivot include nulls (v for feature in ({", ".join(FEATURES)}))),
 p as (select *, last_value(case when v is not null then t end ignore nulls) over b tp, last_value(v ignore nulls) over b vp,
   first_value(case when v is not null then t end ignore nulls) over n tn, first_value(v ignore nulls) over n vn from long_
   window b as (partition by id, feature order by t rows between unbounded preceding and current row),
          n as (partition by id, feature order by t rows between current row and unbounded following))
-select id || '_' || case when feature = 'rsi' then 'RSI' else feature end feature, t,
-  round(coalesce(v, vp + (vn - vp) * ((t - tp) / nullif(tn - tp, 0)), vp, vn), 7) as value from p
-where not (id = '1-URGENT' and feature = 'close')"""
+select id || '_' || feature feature, t,
+  round(coalesce(v, vp + (vn - vp) * ((t - tp) / nullif(tn - tp, 0)), vp, vn), 5) + 0.0 as value from p
+where not (id = '1-URGENT' and feature in ('open', 'high', 'low', 'close'))"""
 
 
 def _dataset(spark, sf):
@@ -53,11 +56,11 @@ def _dataset(spark, sf):
 
 @query("build_dataset_features", time="t", sql=BUILD)
 def build_dataset_features(spark, sf):
-    out = _dataset(spark, sf)["global_features"].filter("feature like '%close' or feature like '%RSI'")
-    return out.select("feature", "t", rnd("value", 7).alias("value"))
+    """Every feature of every series on the shared calendar."""
+    return _dataset(spark, sf)["global_features"].select("feature", "t", rnd("value", 5).alias("value"))
 
 
-@query("build_dataset_news", time="t", sql=BUILD.split("g as (select i.id")[0].rstrip().rstrip(",") + f""",
+@query("build_dataset_news", time="t", sql=BUILD.split("g as (select i.id, cal")[0].rstrip().rstrip(",") + f""",
 nn as (select t, p from nd union all select a.t + 1, (a.p + b.p) / 2 from nd a join nd b on b.t = a.t + 2)
 select cal.t, round(p, 6) prob_positive, 64 dim from cal left join nn using (t)""")
 def build_dataset_news(spark, sf):

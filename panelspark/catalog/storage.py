@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog import query
 from panelspark.catalog.inputs import SQL_DAY, bars_day, rnd, table
 from panelspark.catalog.news import ART_SQL, TOPIC, articles
-from panelspark.catalog.saliency import _records
+from panelspark.catalog.saliency import RECORDS, _records, record_values
 from panelspark.operators import align as A
 from panelspark.operators import news as N
 from panelspark.operators.windows import assert_aligned
@@ -25,23 +25,27 @@ def _path(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+IDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PRICES = ["open", "high", "low", "close"]
+
+
 @query("store_long_panel", time="t", sql=f"""with {SQL_DAY}
-select id, t, round(close, 4) as close from bars_day where id in ('1-URGENT', '5-LOW')""")
+select id, t, {", ".join(f"round({c}, 4) as {c}" for c in PRICES)}, volume from bars_day""")
 def store_long_panel(spark, sf):
-    """Written by series; the read prunes to two folders and one column."""
+    """Written by series and read back whole."""
     path = _path(spark, "long-panel")
     sinks.write_long_panel(bars_day(spark, sf), path)
     require(spark, path, "write_long_panel")
-    return read_panel(spark, path, ["1-URGENT", "5-LOW"], ["close"], t="t").select(
-        "id", "t", rnd("close", 4).alias("close"))
+    return read_panel(spark, path, IDS, [*PRICES, "volume"], t="t").select(
+        "id", "t", *[rnd(c, 4).alias(c) for c in PRICES], "volume")
 
 
 @query("store_wide_panel", time="t", sql=f"""with {SQL_DAY}
-select t, round(max(case when id = '1-URGENT' then close end), 4) urgent, round(max(case when id = '5-LOW' then close end), 4) low from bars_day group by t""")
+select t, {", ".join(f"round(max(case when id = '{i}' then close end), 4) as {i[2:].lower().replace(' ', '_')}" for i in IDS)} from bars_day group by t""")
 def store_wide_panel(spark, sf):
     path = _path(spark, "wide-panel")
-    sinks.write_wide_panel(bars_day(spark, sf), path, ["1-URGENT", "5-LOW"])
-    return spark.read.parquet(path).select("t", rnd(F.col("`1-URGENT`"), 4).alias("urgent"), rnd(F.col("`5-LOW`"), 4).alias("low"))
+    sinks.write_wide_panel(bars_day(spark, sf), path, IDS)
+    return spark.read.parquet(path).select("t", *[rnd(F.col(f"`{i}`"), 4).alias(i[2:].lower().replace(" ", "_")) for i in IDS])
 
 
 @query("store_articles_by_day", f"""with {ART_SQL}
@@ -76,15 +80,15 @@ def store_json_summary(spark, sf):
     return spark.read.schema(row.schema).json(path).select("n", "metrics.mean", "metrics.top")
 
 
-@query("append_study_records", """select count(*) * 2 n, count(distinct vec_id) windows, 5 n_ks from embeddings""")
+@query("append_study_records", f"select r.*, copy from ({RECORDS}) r, (select unnest([1, 2]) as copy)")
 def append_study_records(spark, sf):
+    """Records written, read, appended once more with another base score, and read back whole."""
     path = _path(spark, "records")
-    rec = _records(spark, sf)
-    sinks.append_records(rec, path)
-    sinks.append_records(sinks.read_records(spark, path), path)
-    back = sinks.read_records(spark, path)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("window").alias("windows"),
-                    F.max(F.size("ks")).cast("long").alias("n_ks"))
+    sinks.append_records(_records(spark, sf), path)
+    again = sinks.read_records(spark, path).withColumn("base_crps", -F.col("base_crps"))
+    sinks.append_records(again, path)
+    back = sinks.read_records(spark, path).withColumn("copy", F.when(F.col("base_crps") < 0, 2).otherwise(1))
+    return record_values(back.withColumn("base_crps", F.abs("base_crps")), "copy")
 
 
 @query("read_messy_csv", time="Date", sql="""select cast(o_orderdate as date) as "Date", o_totalprice as "Close" from orders where o_orderkey % 7 <> 0""")

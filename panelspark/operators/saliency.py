@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +68,8 @@ def shift(seq, d: int) -> Column:
 def hashed_order(n: Column, *seed: Column) -> Column:
     """Positions 0..n-1 in an order fixed by the seed, the same on every retry."""
     pos = F.sequence(F.lit(0), n - 1)
-    keyed = F.transform(pos, lambda i: F.struct(F.xxhash64(*seed, i).alias("h"), i.alias("i")))
+    keyed = F.transform(pos, lambda i: F.struct(F.md5(F.concat_ws(":", *[c.cast("string") for c in seed], i.cast("string"))
+                                                      .cast("binary")).alias("h"), i.alias("i")))
     return F.transform(F.array_sort(keyed), lambda p: p["i"])
 
 
@@ -138,6 +140,76 @@ def score_variants(variants: DataFrame, keys: list[str],
         "space": F.lit(space)}).drop("_all")
 
 
+def study_scores(df: DataFrame, keys: list[str], fn: Callable[[list], list[float]], ks: list[int] = KS,
+                 shifts: list[int] = SHIFTS, strategy: str = "mean", seed: int = SEED, only: tuple[str, ...] | None = None,
+                 space: str = "difference") -> DataFrame:
+    """`expand_variants` and `score_variants` in one: a window goes to the task once, as its values and ranks.
+
+    A masked variant is a threshold on a rank array (by weight, by least weight, by a hash), so nothing of
+    it is written, shuffled or sent but its score, and `delta` is taken where the base score is. `only`
+    names the variants wanted (`shift` means all shifts); all, if not given.
+    """
+    if strategy not in ("mean", "zero"):
+        raise ValueError("strategy must be 'mean' or 'zero'")
+    def wanted(name: str) -> bool:
+        return only is None or name in only or name.startswith("shift_") and "shift" in only
+    n, whose = F.size("seq"), [F.col(k) for k in (*keys, "window")]
+    none = F.array().cast("array<int>")
+    orders = {"_top": topk_index("sal", 10**9), "_least": topk_index("sal", 10**9, largest=False) if wanted("delete_least") else none,
+              "_mixed": hashed_order(n, *whose, F.lit(seed)) if wanted("shuffle") else none,
+              **{f"_rand{k}": hashed_order(n, *whose, F.lit(seed), F.lit(k)) for k in ks if wanted("delete_rand")}}
+    types = dict(df.dtypes)
+    src = df.select(*keys, "window", F.col("seq").cast("array<double>").alias("seq"), F.col("sal").cast("array<double>").alias("sal"),
+                    *[e.cast("array<int>").alias(c) for c, e in orders.items()])
+    cols = [*keys, "window"]
+    schema = (", ".join(f"`{c}` {types[c]}" for c in cols) + ", variant string, k int, sal double, score double, "
+              "base double, delta double, space string")
+
+    def variants(r) -> list[tuple]:
+        x, size = r["seq"], len(r["seq"])
+        held = 0.0 if strategy == "zero" or not size else x.mean()
+        out = [("base", 0, None, x), ("all_masked", 0, None, np.full(size, held))]
+
+        def masked(name, k, places):
+            y = x.copy()
+            y[places] = held
+            out.append((name, k, None, y))
+        for k in ks:
+            for name, order, part in (("delete_top", "_top", slice(k)), ("delete_rand", f"_rand{k}", slice(k)),
+                                      ("delete_least", "_least", slice(k)), ("insert", "_top", slice(k, None))):
+                if wanted(name):
+                    masked(name, k, r[order][part])
+        if wanted("leave_out"):
+            for k in range(size):
+                masked("leave_out", k, [k])
+                out[-1] = ("leave_out", k, r["sal"][k], out[-1][3])
+        out += [(f"shift_{d}", 0, None, np.roll(x, d)) for d in shifts if wanted(f"shift_{d}")]
+        if wanted("shuffle"):
+            out.append(("shuffle", 0, None, x[r["_mixed"]]))
+        return out
+
+    def run(frames, rows_at_once=256):
+        for pdf in frames:
+            for at in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[at:at + rows_at_once]
+                per = [variants(r) for r in part.to_dict("records")]
+                every = [v for vs in per for v in vs]
+                score = np.asarray(fn([v[3] for v in every]), dtype=float)
+                count = [len(vs) for vs in per]
+                first = np.repeat(np.cumsum([0, *count[:-1]]), count)
+                out = part[cols].loc[part.index.repeat(count)].reset_index(drop=True)
+                name = np.array([v[0] for v in every], dtype=object)
+                out = out.assign(variant=name, k=np.array([v[1] for v in every], dtype="int32"),
+                                 sal=np.array([np.nan if v[2] is None else v[2] for v in every]), score=score, base=score[first],
+                                 delta=np.where(name == "insert", score[np.minimum(first + 1, len(score) - 1)] - score, score - score[first]),
+                                 space=space)
+                keep = np.array([wanted(v) for v in name], dtype=bool)
+                yield out[keep]
+
+    scored = src.mapInPandas(run, schema)
+    return scored.withColumn("sal", F.when(~F.isnan("sal"), F.col("sal")))
+
+
 def average_rank(col: str, w_keys: list[str]) -> Column:
     """Rank with ties at their mean, within the keys."""
     w = Window.partitionBy(*w_keys)

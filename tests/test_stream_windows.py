@@ -22,21 +22,25 @@ def tables(spark, n=N):
     x = {i: rng.normal(size=n) for i in "ab"}
     target = spark.createDataFrame([(i, day[k], float(x[i][k]), float(x[i][k]) + 50) for i in "ab" for k in range(n)],
                                    "id string, t date, x double, raw double")
-    cov = spark.createDataFrame([(i, day[k], float(k), float(ord(i))) for i in "ab" for k in range(n)], "id string, t date, c double, d int" .replace("int", "double"))
+    cov = spark.createDataFrame([(i, day[k], float(k), float(ord(i))) for i in "ab" for k in range(n)], "id string, t date, c double, d double")
     shared = spark.createDataFrame([(day[k], float(-k)) for k in range(n)], "t date, g double")
     known = spark.createDataFrame([(day[k], float(k % 7)) for k in range(n)], "t date, dow double")
     news = spark.createDataFrame([(day[k], [float(k), 1.0]) for k in range(0, n, 4)], "t date, embedding array<double>")
     return x, target, cov, shared, known, news
 
 
-def look(w, pred, mc, seed):
-    """Fails in the task unless every stream is the slice it should be."""
-    first = int(w.covariates[0, 0])
-    assert w.covariates[:, 0].tolist() == [float(first + k) for k in range(CTX)]
-    assert len(set(w.covariates[:, 1])) == 1 and (w.covariates[:, 2] == -w.covariates[:, 0]).all()
-    assert w.known[:, 0].tolist() == [float((first + CTX + k) % 7) for k in range(PRED)]
-    assert w.news.tolist() == [[float(k), 1.0] if k % 4 == 0 else [0.0, 0.0] for k in range(first, first + CTX)]
-    return np.tile(w.tokens[-1] + np.arange(pred), (mc, 1)) + np.arange(mc)[:, None]
+def looking():
+    ctx, ahead = CTX, PRED
+
+    def look(w, pred, mc, seed):
+        """Fails in the task unless every stream is the slice it should be."""
+        first = int(w.covariates[0, 0])
+        assert w.covariates[:, 0].tolist() == [float(first + k) for k in range(ctx)]
+        assert len(set(w.covariates[:, 1])) == 1 and (w.covariates[:, 2] == -w.covariates[:, 0]).all()
+        assert w.known[:, 0].tolist() == [float((first + ctx + k) % 7) for k in range(ahead)]
+        assert w.news.tolist() == [[float(k), 1.0] if k % 4 == 0 else [0.0, 0.0] for k in range(first, first + ctx)]
+        return np.tile(w.tokens[-1] + np.arange(pred), (mc, 1)) + np.arange(mc)[:, None]
+    return look
 
 
 @pytest.mark.parametrize("size", [4, 512])
@@ -45,7 +49,7 @@ def test_windows_hold_the_slices_of_every_stream(spark, size, mode):
     x, target, cov, shared, known, news = tables(spark)
     s = Series()
     panel = M.join_streams(target, s, cov, shared, known, news, dim=2)
-    got = M.forecast_streams(panel, s, look, CTX, PRED, 3, mode=mode, keep_tokens=True, size=size).collect()
+    got = M.forecast_streams(panel, s, looking(), CTX, PRED, 3, mode=mode, keep_tokens=True, size=size).collect()
     assert len(got) == 2 * (N - CTX - PRED + 1) * PRED
     for r in got:
         i = r.window - 1 + CTX
@@ -80,8 +84,10 @@ def test_absent_streams_and_short_series(spark):
     _, target, *_ = tables(spark, CTX + PRED)
     panel = M.join_streams(target, Series())
 
+    ctx, ahead = CTX, PRED
+
     def fn(w, pred, mc, seed):
-        assert w.covariates.shape == (CTX, 0) and w.known.shape == (PRED, 0) and w.news.shape == (CTX, 0)
+        assert w.covariates.shape == (ctx, 0) and w.known.shape == (ahead, 0) and w.news.shape == (ctx, 0)
         return np.full((mc, pred), w.tokens[-1])
     assert M.forecast_streams(panel, Series(), fn, CTX, PRED, 2).count() == 2 * PRED
     assert M.forecast_streams(panel.where("t < '2024-01-09'"), Series(), fn, CTX, PRED, 2).count() == 0

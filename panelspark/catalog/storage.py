@@ -134,15 +134,15 @@ def numeric(spark, sf):
 
 
 @query("read_bars", time="t", sql=f"""with {SQL_DAY}
-select t, round(open, 4) as open, round(high, 4) high, round(low, 4) low, round(close, 4) as close, volume from bars_day""")
+select id, t, round(open, 4) as open, round(high, 4) high, round(low, 4) low, round(close, 4) as close, volume from bars_day""")
 def read_bar_files(spark, sf):
     """A folder of bar CSV files with a header; the id is the file's name."""
     path = _path(spark, "bar-files")
-    bars_day(spark, sf).select(*[F.col(c).alias("Date" if c == "t" else c.capitalize()) for c in (
-        "t", "open", "high", "low", "close", "volume")]).write.option("header", True).csv(path)
+    sinks.write_bar_files(bars_day(spark, sf).select("id", *[F.col(c).alias("Date" if c == "t" else c.capitalize()) for c in (
+        "t", "open", "high", "low", "close", "volume")]), path)
     require(spark, path, "the bar download")
-    out = read_bars(spark, path).filter("id is not null")
-    return out.select("t", *[rnd(c, 4).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    out = read_bars(spark, path)
+    return out.select("id", "t", *[rnd(c, 4).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 @query("aligned_streams", time="t", sql=f"with {SQL_DAY} select id, t, round(close, 4) as close, volume from bars_day")

@@ -104,5 +104,6 @@ def _named_by_month(spark, landing):
         for i, part in enumerate(fs.listStatus(month.getPath())):
             if part.getPath().getName().endswith(".json"):
                 target = jvm.org.apache.hadoop.fs.Path(f"{flat}/articles-{name[2:]}-{i}.json")
-                jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, target, False, conf)
+                if not fs.rename(part.getPath(), target):
+                    raise OSError(f"cannot name {part.getPath()}")
     return flat

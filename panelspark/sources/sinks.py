@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,28 @@ def write_wide_panel(df: DataFrame, path: str, ids: list[str], value: str = "clo
     align_outer(df, ids, key, t, value).write.mode("overwrite").parquet(path)
 
 
+def write_bar_files(df: DataFrame, path: str, key: str = "id") -> None:
+    """A folder of one CSV file per series, named after it, as `read_bars` reads it.
+
+    Series are written in parallel, one file each; the driver only renames the finished files.
+    """
+    spark = df.sparkSession
+    df.repartition(key).write.mode("overwrite").option("header", True).partitionBy(key).csv(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if not folder.isDirectory() or "=" not in name:
+            continue
+        for part in fs.listStatus(folder.getPath()):
+            if part.getPath().getName().endswith(".csv"):
+                series = unquote(name.split("=", 1)[1])
+                if not fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(root, f"{series}.csv")):
+                    raise OSError(f"cannot name the file of {series}")
+        fs.delete(folder.getPath(), True)
+
+
 def write_articles_json(df: DataFrame, path: str, day: str = "date") -> None:
     """JSON by day; writing a day again replaces that day only."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -52,6 +52,24 @@ def join_small(big: DataFrame, small: DataFrame, on: str, small_bytes: int, salt
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, salt_by: str, hot: int = 1 << 17) -> DataFrame:
+    """Join a big table with one row per key, whose `_n` is the number of the key's rows in the big table.
+
+    Keys of more than `hot` rows are split: their rows are spread over ceil(_n / hot) salts and the small row
+    is repeated once for each. There are at most (rows / hot) such keys.
+    """
+    split = small.where(F.col("_n") > hot).select(key, F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
+    n = split.count()
+    if not n:
+        return big.join(small.drop("_n"), key)
+    if 24 * n <= BROADCAST_BYTES:
+        split = F.broadcast(split)
+    salt = F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_parts")).cast("int"), F.lit(0))
+    left = big.join(split, key, "left").withColumn("_salt", salt).drop("_parts")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / hot), F.lit(1)).cast("int") - 1)))
+    return left.join(right.drop("_n"), [key, "_salt"]).drop("_salt")
+
+
 def pieces(batch: pa.RecordBatch, rows: int, text_col: str | None = None,
            size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and, but for a single longer row, `size` bytes of a text column."""

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import join_counted
 from panelspark.session import stage
 
 
@@ -50,16 +51,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
     Large: each node links its larger neighbours to the smallest of its neighbours and itself.
     Small: the same for its smaller neighbours and itself. The smallest neighbour is an aggregate
-    that combines before the shuffle; a node with very many links is then split by the join.
+    that combines before the shuffle; the links of a node with very many are then split over salts.
     """
     if large:
         arcs = links.select(F.col("b").alias("n"), F.col("a").alias("o")).union(
             links.select(F.col("a").alias("n"), F.col("b").alias("o")))
-        low = arcs.groupBy("n").agg(F.least(F.min("o"), F.first("n")).alias("m"))
-        out = arcs.where("o > n").join(low, "n").select(F.col("o").alias("a"), F.col("m").alias("b"))
+        low = stage(arcs.groupBy("n").agg(F.least(F.min("o"), F.first("n")).alias("m"), F.count("*").alias("_n")), "lowest")
+        out = join_counted(arcs.where("o > n"), low, "n", "o").select(F.col("o").alias("a"), F.col("m").alias("b"))
     else:
-        low = links.groupBy("a").agg(F.min("b").alias("m"))
-        out = links.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
+        low = stage(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")), "lowest")
+        out = join_counted(links, low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
@@ -71,10 +72,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = stage(_shrink(pairs.distinct()).distinct(), "links")
-    before = None
+    size = now.count()
     while True:
-        now = stage(_star(_star(now, large=True), large=False), "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == before or not state[0]:
+        before, before_size = now, size
+        now = stage(_star(stage(_star(before, large=True), "links"), large=False), "links")
+        size = now.count()
+        # sets of equal size are equal when one holds the other
+        if size == before_size and now.join(before, ["a", "b"], "left_anti").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state

@@ -3,9 +3,11 @@
 Seeds are runs of five words that a document and a benchmark item share. Documents are scanned once
 against a Bloom filter of the benchmark's seeds, whose size is bounded; what passes it is joined
 with the seeds themselves. For every pair that shares a seed, the words around the seeds are tiled:
-running Karp-Rabin hashes find the longest matches of unmarked words, they are marked and the
-search goes on with shorter ones down to the seed length. The share of the item's words that tiles
-cover, in whatever order, is its coverage.
+running Karp-Rabin hashes find the matches of unmarked words, the longest is marked (of equals the first
+in the text, then in the item), what it leaves of other matches waits for its turn, and the search goes
+on with shorter ones down to the seed length. The share of the item's words that tiles
+cover, in whatever order, is its coverage. Pairs whose shared seeds cannot reach the coverage
+are dropped before any words are joined to them.
 
 Defined results: null and empty texts share nothing; an item of fewer words than a seed must occur
 whole; an item without words matches nothing; repeated rows and repeated items are reported once
@@ -15,6 +17,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,25 +60,46 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
             places.setdefault(h, []).append(p)
         at, h = runs(0, size)
         hit = np.isin(h, np.fromiter(places, dtype=np.uint64, count=len(places)))
-        matches = []
+        matches = []  # from their first word on
         for t, key in zip(at[hit].tolist(), h[hit].tolist()):
             for p in places[key]:
+                if t and p and text[t - 1] == item[p - 1] and free[0][t - 1] and free[1][p - 1]:
+                    continue
                 n = 0
                 while (t + n < len(text) and p + n < len(item) and text[t + n] == item[p + n]
                        and free[0][t + n] and free[1][p + n]):
                     n += 1
                 if n >= size:
-                    matches.append((n, t, p))
-        marked = False
-        for n, t, p in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free[0][t:t + n].all() and free[1][p:p + n].all():
+                    matches.append((-n, t, p))
+        heapq.heapify(matches)
+        while matches:
+            n, t, p = heapq.heappop(matches)
+            n = -n
+            open_ = free[0][t:t + n] & free[1][p:p + n]
+            if open_.all():
                 free[0][t:t + n] = free[1][p:p + n] = False
                 found.append((n, t, p))
-                marked = True
-        if not marked:
-            if size == least:
-                return found
-            size = max(least, size // 2)
+                continue
+            # what a longer tile has left of the match waits for its turn
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+            for first, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if end - first >= size:
+                    heapq.heappush(matches, (first - end, t + first, p + first))
+        if size == least:
+            return found
+        size = max(least, size // 2)
+
+
+def reachable(text: np.ndarray, item: np.ndarray, least: int) -> int:
+    """Words of the item in some run of `least` words that the text holds too: no tiling covers more."""
+    least = max(1, min(least, len(item)))
+    if len(text) < least or not len(item):
+        return 0
+    shared = np.isin(windows(item, least), windows(text, least))
+    reach = np.zeros(len(item) + 1, dtype=np.int64)
+    np.add.at(reach, np.flatnonzero(shared), 1)
+    np.add.at(reach, np.flatnonzero(shared) + least, -1)
+    return int((np.cumsum(reach)[:-1] > 0).sum())
 
 
 def _item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -98,11 +122,12 @@ def _item_seeds(words: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for one in pieces(batch, 1):
                 h = one.column("item_words").flatten().to_numpy().view(np.uint64)
-                seed = np.unique(windows(h, min(k, len(h))))
+                seed, times = np.unique(windows(h, min(k, len(h))), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [one.column("item_id").take(pa.array(np.zeros(len(seed), np.int64))),
-                     pa.array(seed.view(np.int64))], names=["item_id", "seed"])
-    return words.mapInArrow(run, f"item_id {kind}, seed long")
+                     pa.array(seed.view(np.int64)), pa.array(times, pa.int64()),
+                     pa.array(np.full(len(seed), len(h)), pa.int64())], names=["item_id", "seed", "times", "n_words"])
+    return words.mapInArrow(run, f"item_id {kind}, seed long, times long, n_words long")
 
 
 def _probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,14 +198,16 @@ def _scan(docs: DataFrame, bloom: np.ndarray, lengths: list[int], reach: int, id
                     text_col=text_col)
 
 
-def _tile(pairs: DataFrame, least: int) -> DataFrame:
+def _tile(pairs: DataFrame, least: int, coverage: float) -> DataFrame:
+    """Tilings of pairs; one that cannot reach the coverage is left untiled, with nothing covered."""
     types = dict(pairs.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         total, covered, count, longest = [], [], [], []
         for text, item in zip(batch.column("words"), batch.column("item_words")):
             p = item.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            got = tiles(text.values.to_numpy(zero_copy_only=False).view(np.uint64), p, least)
+            t = text.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            got = tiles(t, p, least) if reachable(t, p, least) >= coverage * len(p) else []
             total.append(len(p))
             covered.append(sum(g[0] for g in got))
             count.append(len(got))
@@ -204,10 +231,13 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         F.least(F.size("item_words"), F.lit(seed_words)).alias("n")).distinct().collect()]
     hits = stage(_scan(docs, _filter(seeds, n), sorted(lengths) or [seed_words], (size[2] or 0) + seed_words,
                        id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "seed-hits")
-    found = join_small(hits.select("rid", F.explode("seeds").alias("seed")), seeds, "seed", 24 * n, "rid")
-    pairs = found.select("rid", "item_id").distinct().join(hits.select("rid", "id", "words"), "rid")
+    found = join_small(hits.select("rid", F.explode(F.array_distinct("seeds")).alias("seed")), seeds, "seed", 24 * n, "rid")
+    # a pair that shares too few seeds for the coverage, such as a boilerplate line, carries no words anywhere
+    most = F.sum("times") * F.least(F.max("n_words"), F.lit(seed_words))
+    pairs = found.groupBy("rid", "item_id").agg(most.alias("_most"), F.min("n_words").alias("_n")).where(
+        F.col("_most") >= coverage * F.col("_n")).select("rid", "item_id").join(hits.select("rid", "id", "words"), "rid")
     pairs = join_small(pairs, item_words, "item_id", 8 * (size[1] or 0) + 64 * size[0], "rid")
-    tiled = _tile(pairs.select("id", "item_id", "words", "item_words"), seed_words)
+    tiled = _tile(pairs.select("id", "item_id", "words", "item_words"), seed_words, coverage)
     share = F.col("n_covered") / F.col("n_words")
     best = tiled.where(share >= coverage).groupBy("id", "item_id").agg(
         F.max(F.struct(share.alias("coverage"), "n_words", "n_covered", "n_tiles", "longest")).alias("m"))

@@ -113,6 +113,8 @@ def parse(source: str) -> Page:
     page = Page(nodes, [], [], [])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; number of the block node, -1 for inline ones
     at_node = [0]
+    places: dict[str, list[int]] = {}  # where in the stack elements of a name are open, the root left out
+    blocks: list[int] = []             # where block elements are
     buffer: list[str] = []
     linked, in_link = 0, 0
     low = source.lower()
@@ -135,11 +137,25 @@ def parse(source: str) -> Page:
         nonlocal in_link
         while len(stack) > depth:
             name, node = stack.pop()
+            if stack:
+                places[name].pop()
             if node >= 0:
                 flush()
                 at_node.pop()
+                if stack:
+                    blocks.pop()
             in_link -= name == "a"
 
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if node >= 0:
+            blocks.append(len(stack))
+        stack.append((name, node))
+
+    def last(names) -> int:
+        """The innermost open element of some names; 0 if none is open."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     pos, n = 0, len(source)
     while pos < n:
         lt = source.find("<", pos)
@@ -170,14 +186,10 @@ def parse(source: str) -> Page:
         pos = gt + 1
         nodes[at_node[-1]].tags += 1
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if name not in BLOCK and stack[k][1] >= 0:
-                    break
-                if name == "p" and stack[k][0] in SCOPE:
-                    break
+            # an inline end tag does not reach out of a block, that of a paragraph not out of a container
+            wall = last(SCOPE) if name == "p" else 0 if name in BLOCK else blocks[-1] if blocks else 0
+            if last((name,)) > wall:
+                pop_to(last((name,)))
             continue
         if name in RAW and source[gt - 1] != "/":
             end = low.find(f"</{name}", gt + 1)
@@ -198,13 +210,9 @@ def parse(source: str) -> Page:
             continue
         if name in BLOCK:
             flush()
-            ends = CLOSES.get(name, {"p"}) if name in CLOSES else {"p"}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends or stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPE and stack[k][0] not in ends:
-                    break
+            ends = CLOSES.get(name, set()) | {"p"}
+            if last(ends) > last(SCOPE - ends):
+                pop_to(last(ends))
             tokens: tuple[str, ...] = ()
             attrs = source[m.end():gt]
             if attrs:
@@ -213,10 +221,10 @@ def parse(source: str) -> Page:
             parent = at_node[-1]
             nodes.append(Node(name, parent, nodes[parent].depth + 1, tokens))
             nodes[parent].children.append(me)
-            stack.append((name, me))
+            push(name, me)
             at_node.append(me)
         else:
-            stack.append((name, -1))
+            push(name, -1)
             in_link += name == "a"
     pop_to(0)
     for k, block in enumerate(page.blocks):

@@ -13,9 +13,9 @@ between languages go to the first by name; rows that repeat are predicted alike;
 row every text is `und`; extra columns are ignored.
 
 The outputs of the k one-versus-rest fits sum to 2 - k, so the winner's score is never below 1 / k;
-a bound that rejects must come from the fit. `Model.lowest` is the score that at most the share
-REJECTED of the labelled rows of the fit falls short of. Fewer rows than 1 / REJECTED - 1 tell
-nothing of so rare a score: then it is 0 and rejects nothing.
+a bound that rejects must come from the fit. `Model.lowest` is the quantile REJECTED of the winning
+scores of the n labelled rows of the fit, interpolated between rows, less the share 1 / sqrt(n), for few rows
+tell little of so rare a score: one row rejects nothing, 2,000 lower the quantile by 2 %.
 """
 
 from __future__ import annotations
@@ -117,8 +117,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def _lowest(scores: np.ndarray) -> float:
     """The bound of the winning score, from those of labelled rows; rounding never rejects a row on it."""
-    rank = int(REJECTED * (len(scores) + 1))
-    return float(np.sort(np.clip(scores, 0, 1))[rank - 1]) - 1e-5 if rank else 0.0
+    bound = np.quantile(np.clip(scores, 0, 1), REJECTED) * (1 - 1 / np.sqrt(len(scores)))
+    return max(0.0, float(bound) - 1e-5)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),

@@ -187,9 +187,11 @@ class _Models:
 
 
 def encode(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
-    """The coded form of each block of ids below 2^id_bits."""
+    """The coded form of each block of ids below 2^id_bits; an empty block has the coder's ends alone, other ids raise."""
     if not blocks:
         return []
+    if any(len(b) and (int(b.max()) >> id_bits or int(b.min()) < 0) for b in blocks):
+        raise ValueError(f"an id does not fit {id_bits} bits")
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     size = np.array([len(blocks[k]) for k in order])
     ids = np.zeros((int(size[0]), len(blocks)), dtype=np.int64)

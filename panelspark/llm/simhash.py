@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelspark.llm.common import join_small, map_rows, strings
+from panelspark.llm.common import join_counted, join_small, map_rows, strings
 from panelspark.llm.components import components, forest
 from panelspark.session import stage
 
@@ -65,13 +65,15 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = WORDS) -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
+                 words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, keep) for every row; fp is the fingerprint's 64 bits as a signed long."""
     def run(batch: pa.RecordBatch) -> pa.Table:
         fps = np.array([fingerprint(t, words) for t in strings(batch, text_col)], dtype=np.uint64)
-        return pa.table([batch.column(id_col), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
-    kind = dict(docs.dtypes)[id_col]
-    return map_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long", text_col=text_col)
+        return pa.table([batch.column(id_col), pa.array(fps.view(np.int64)), *(batch.column(c) for c in keep)],
+                        names=[id_col, "fp", *keep])
+    types = dict(docs.dtypes)
+    schema = ", ".join([f"`{id_col}` {types[id_col]}", "fp long", *(f"`{c}` {types[c]}" for c in keep)])
+    return map_rows(docs.select(id_col, text_col, *keep), run, schema, text_col=text_col)
 
 
 @cache
@@ -188,13 +190,17 @@ def links(distinct: DataFrame, t: int | None = None, most: int = MOST) -> DataFr
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            words: int = WORDS) -> DataFrame:
-    """(id, fp, component_id) for every row: component_id is the smallest id of its class."""
-    rows = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = stage(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
+            words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, component_id, root, keep) for every row: component_id is the smallest id of its class.
+
+    `root` names the class itself, a fingerprint of it; classes whose rows share an id may have equal
+    smallest ids. `keep` are columns carried along.
+    """
+    rows = stage(fingerprints(docs, id_col, text_col, words, keep), "fingerprints")
+    nodes = stage(rows.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("_n")), "nodes")
     found = components(links(nodes.select("fp")))
     rooted = stage(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-                   .select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(member, "fp").select(id_col, "fp", "component_id")
+                   .select("fp", "low", F.col("_n").alias("_rows"), F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("_n")), "class-ids")
+    member = stage(join_counted(rooted, lowest, "root", "fp").select("fp", "component_id", "root", F.col("_rows").alias("_n")), "members")
+    return join_counted(rows, member, "fp", id_col).select(id_col, "fp", "component_id", "root", *keep)

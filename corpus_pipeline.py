@@ -1,8 +1,8 @@
 """The corpus pipeline: language, near-duplicates, benchmark passages, personal data, tokens.
 
 Each stage is written as Parquet and read again as the next one's documents. All but the last keep
-the columns of documents. Rows without an id pass every stage; where a stage decides by id they
-are kept.
+the columns of documents. Where a stage decides about documents, it does so by id and text, so that
+documents that share an id stand for themselves; rows without an id are kept there.
 """
 
 from __future__ import annotations
@@ -20,34 +20,52 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is identified; those without a letter or with a score below the fit's bound go."""
     ship(spark)
     model = language.fit(docs.where(~held_out("doc_id")))
-    found = language.predict(docs, model, keep=tuple(docs.columns), names=("_lang", "_score"))
     if model is None:
         return docs
-    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= model.lowest)).select(
-        docs.columns)
+    names = ("_language_found", "_language_score")
+    found = language.predict(docs, model, keep=tuple(docs.columns), names=names)
+    return found.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= model.lowest)).select(docs.columns)
+
+
+KEY = "_document_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key that tells documents apart whose ids repeat: the id and a hash of the text; null without an id."""
+    text = F.lower(F.hex(F.xxhash64(F.coalesce("text", F.lit("")))))
+    return docs.withColumn(KEY, F.when(F.col("doc_id").isNotNull(), F.concat(F.col("doc_id").cast("string"), F.lit(":"), text)))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Documents whose key is not among `bad`."""
+    return join_small(keyed(docs), bad, KEY, 64 * bad.count(), "n_chars", "left_anti").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the smallest id of their group of near-duplicates, once each."""
+    """One document of each group of near-duplicates: of its smallest id, the one of the smallest key.
+
+    Documents of one id and different texts are told apart; of rows that agree in id and text one stays.
+    """
     ship(spark)
-    found = stage(simhash.classes(docs), "classes")
-    lost = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    size = 16 * lost.count()
-    kept = join_small(docs, lost, "doc_id", size, "n_chars", "left_anti")
-    again = kept.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    repeated = again.count()
-    if not repeated:
+    found = simhash.classes(keyed(docs), keep=(KEY,)).where("doc_id is not null")
+    found = stage(found.select("root", "doc_id", KEY), "classes")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", KEY))[KEY].alias(KEY))
+    lost = stage(found.select(KEY).distinct().join(first.select(KEY), KEY, "left_anti"), "lost")
+    kept = without(docs, lost)
+    again = stage(found.groupBy(KEY).count().where("count > 1").select(KEY).join(lost, KEY, "left_anti"), "repeated")
+    n = again.count()
+    if not n:
         return kept
-    once = join_small(kept, again, "doc_id", 16 * repeated, "n_chars", "left_semi").dropDuplicates(["doc_id"])
-    return join_small(kept, again, "doc_id", 16 * repeated, "n_chars", "left_anti").unionByName(once)
+    more = keyed(kept)
+    once = join_small(more, again, KEY, 64 * n, "n_chars", "left_semi").dropDuplicates([KEY])
+    return join_small(more, again, KEY, 64 * n, "n_chars", "left_anti").unionByName(once).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship(spark)
-    found = stage(decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")), "overlaps")
-    bad = found.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct()
-    return join_small(docs, bad, "doc_id", 16 * bad.count(), "n_chars", "left_anti")
+    found = decontaminate.overlaps(keyed(docs), table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return without(docs, stage(found.select(F.col("id").alias(KEY)).where(f"{KEY} is not null").distinct(), "overlaps"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,9 +13,10 @@ between languages go to the first by name; rows that repeat are predicted alike;
 row every text is `und`; extra columns are ignored.
 
 The outputs of the k one-versus-rest fits sum to 2 - k, so the winner's score is never below 1 / k;
-a bound that rejects must come from the fit. `Model.lowest` is the quantile REJECTED of the winning
-scores of the n labelled rows of the fit, interpolated between rows, less the share 1 / sqrt(n), for few rows
-tell little of so rare a score: one row rejects nothing, 2,000 lower the quantile by 2 %.
+a bound that rejects must come from the fit, and the caller chooses it. `Model.bound` is the quantile
+REJECTED of the winning scores of the n labelled rows of the fit, interpolated between rows, less the share
+1 / sqrt(n), for few rows tell little of so rare a score: one row rejects nothing, 2,000 lower the quantile
+by 2 %. `Model.lowest` is the strict order statistic, which fewer rows than 1 / REJECTED - 1 do not have: then it is 0.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class Model:
     landmarks: np.ndarray  # DIM x m, presence / sqrt(own number)
     weights: np.ndarray    # m x languages
     bias: np.ndarray
-    lowest: float = 0.0    # a text with a lower score is in none of the languages
+    lowest: float = 0.0    # the order statistic of the winning scores in the fit
+    bound: float = 0.0     # a text with a lower score is in none of the languages
 
 
 @cache
@@ -111,12 +113,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     gram = centred.T @ centred + RIDGE * len(got) * np.eye(phi.shape[1])
     w = np.linalg.solve(gram, centred.T @ (target - level))
     bias = level - centre @ w
-    return Model(langs, np.ascontiguousarray(base.T), (root @ w).astype(np.float32), bias,
-                 _lowest(((phi @ w + bias).max(axis=1) + 1) / 2))
+    scores = ((phi @ w + bias).max(axis=1) + 1) / 2
+    return Model(langs, np.ascontiguousarray(base.T), (root @ w).astype(np.float32), bias, _lowest(scores), smooth_bound(scores))
 
 
 def _lowest(scores: np.ndarray) -> float:
-    """The bound of the winning score, from those of labelled rows; rounding never rejects a row on it."""
+    """The order statistic that at most the share REJECTED falls short of; 0 for too few rows to have one."""
+    rank = int(REJECTED * (len(scores) + 1))
+    return float(np.sort(np.clip(scores, 0, 1))[rank - 1]) - 1e-5 if rank else 0.0
+
+
+def smooth_bound(scores: np.ndarray) -> float:
+    """A bound of the winning score for any number of labelled rows; rounding never rejects a row on it."""
     bound = np.quantile(np.clip(scores, 0, 1), REJECTED) * (1 - 1 / np.sqrt(len(scores)))
     return max(0.0, float(bound) - 1e-5)
 

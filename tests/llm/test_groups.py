@@ -111,7 +111,7 @@ def test_end_tags_keep_their_reach():
 def test_language_bound_has_no_threshold_in_rows():
     r = np.random.default_rng(0)
     scores = 1 - r.exponential(0.03, 2000)
-    bounds = [language._lowest(scores[:n]) for n in (1, 10, 100, 150, 198, 199, 200, 1000, 2000)]
+    bounds = [language.smooth_bound(scores[:n]) for n in (1, 10, 100, 150, 198, 199, 200, 1000, 2000)]
     assert bounds[0] == 0 and all(0 < b < 1 for b in bounds[1:])
     assert max(abs(a - b) for a, b in zip(bounds[4:7], bounds[5:7])) < 0.01
 

@@ -24,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return docs
     names = ("_language_found", "_language_score")
     found = language.predict(docs, model, keep=tuple(docs.columns), names=names)
-    return found.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= model.lowest)).select(docs.columns)
+    return found.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= model.bound)).select(docs.columns)
 
 
 KEY = "_document_key"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from panelspark.session import stage
 
+HELD_ROWS = 100_000
+
 _IF = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 
 
@@ -27,6 +29,7 @@ class Boosted:
     weights: np.ndarray
     slope: float = 2.0
     offset: float = 0.0
+    thresholds: dict[int, float] = field(default_factory=dict)  # by group: the probability to select from
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -100,23 +103,47 @@ def calibrate(model: Boosted, x: np.ndarray, label: np.ndarray) -> Boosted:
     return model
 
 
-def fit(rows: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7) -> Boosted:
-    """Fit on rows of (features array<double>, label 0.0 or 1.0, held boolean); held rows calibrate.
+def fit(rows: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7, group: str | None = None,
+        precision: float = 0.99) -> Boosted:
+    """Fit on rows of (features array<double>, label 0.0 or 1.0, held boolean[, group int]); held rows calibrate.
 
-    The rows are a bounded sample already; the calibration rows are collected.
+    The rows come from a bounded sample; of the held ones at most about HELD_ROWS are collected, chosen by
+    a hash of their features. With `group` each group gets the lowest threshold from which on the held
+    rows reach the precision.
     """
-    rows = stage(rows.select("features", "label", "held"), "examples").withColumn("features", array_to_vector("features"))
-    counts = {r[0]: r[1] for r in rows.where("not held").groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return constant(max(counts, key=counts.get, default=0.0))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(rows.where("not held"))
+    cols = ["features", "label", "held", *([group] if group else [])]
+    rows = stage(rows.select(*cols), "examples")
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("held", "label").count().collect()}
+    fitted = {label: n for (held, label), n in counts.items() if not held}
+    if len(fitted) < 2:
+        return constant(max(fitted, key=fitted.get, default=0.0))
+    vectors = rows.where("not held").select(array_to_vector("features").alias("features"), "label")
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(vectors)
     out = _parse(model.toDebugString, list(model.treeWeights))
-    held = rows.where("held").select("features", "label").collect()
+    parts = -(-sum(n for (held, _), n in counts.items() if held) // HELD_ROWS)
+    held = rows.where("held").where(F.pmod(F.xxhash64("features"), F.lit(max(1, parts))) == 0).select(*cols).collect()
     if held:
-        out = calibrate(out, np.array([r[0].toArray() for r in held]), np.array([r[1] for r in held]))
+        x, y = np.array([r[0] for r in held]), np.array([r[1] for r in held])
+        out = calibrate(out, x, y)
+        if group:
+            p, of = out.probability(x), np.array([r[3] for r in held])
+            out.thresholds = {int(g): lowest_threshold(p[of == g], y[of == g], precision) for g in np.unique(of)}
     return out
 
 
+def lowest_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The lowest probability, at least one half, from which on the share of label 1 is at least `precision`.
+
+    One more row is counted that is right with the calibrated probability itself, so that few rows alone do not
+    prove a precision; 2 if no probability has it.
+    """
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    last = np.append(p[order][1:] != p[order][:-1], True)  # rows of equal probability go together
+    good = last & (hits + p[order] >= precision * (np.arange(1, len(p) + 1) + 1)) & (p[order] >= 0.5)
+    return float(p[order][np.flatnonzero(good)[-1]]) if good.any() else 2.0
+
+
 def calibration_part(key: str, parts: int = 4) -> Column:
     """Whether a row's hash puts it into the calibration part."""
     return F.pmod(F.xxhash64(F.lit(11), key), F.lit(parts)) == 0

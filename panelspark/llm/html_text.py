@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from panelspark.llm import boosting
 from panelspark.llm.common import bounded_sample, map_rows, strings
 
+SPREAD = 64
 MAX_PAGES = 400
 
 BLOCK = frozenset(
@@ -359,7 +360,8 @@ def examples(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 held += [pick % 4 == 0] * len(label)
         return pa.table([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(held, pa.bool_())],
                         names=["features", "label", "held"])
-    return map_rows(rows, run, "features array<double>, label double, held boolean", rows=32, text_col=html_col)
+    # the sample comes out of its limit as one partition
+    return map_rows(rows.repartition(SPREAD, id_col), run, "features array<double>, label double, held boolean", rows=32, text_col=html_col)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",

@@ -3,14 +3,15 @@
 Base spans follow fixed patterns and checks and are always kept. Generators propose further,
 overlapping spans of the same four kinds in looser forms (spelled-out addresses, numbers without an
 international prefix, other separators). Boosted trees rate each by its format and its context; the
-rating is calibrated on rows kept out of the fit, and a candidate is taken from THRESHOLD on, the
+rating is calibrated on rows kept out of the fit, where each kind also gets its threshold, the lowest
+rating from which on PRECISION of the held candidates are right. Candidates from their threshold on are taken, the
 likelier first, when it overlaps no span taken before it. The text between base spans is scanned by
 itself, and numbers are proposed as every window of consecutive groups of digits that fits a kind.
 
 The trees learn from the corpus itself: spans that pass the base checks, and the same spans
 rewritten in looser forms in their places, are positive; spans that fail the checks, and numbers of
 other uses put in their places, are negative. At most MAX_DOCS documents are used, chosen by a hash
-of their id.
+of their id, and MAX_SPANS rewritten spans of each; everything else reads whole texts.
 
 Defined results: null is read as empty and has no span; matches that fail a check are dropped and
 not retried; repeated rows give repeated results; without any candidate nothing is added; an empty
@@ -31,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import boosting
-from panelspark.llm.common import bounded_sample, map_rows, strings
+from panelspark.llm.common import bounded_sample, map_rows, pieces, strings
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS = 4_000
-THRESHOLD = 0.97
+MAX_SPANS = 20  # base spans of one document that the fit rewrites
+SPREAD = 64
+PRECISION = 0.99
+THRESHOLD = 0.97  # for kinds without held rows
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -229,39 +233,45 @@ _BESIDE = [("12.05.2024 ", ""), ("", " 2023-11-30"), ("10 12 2024 09 30 ", ""),
 
 
 def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(features, label, held) from a bounded sample of documents that hold a digit or an at sign."""
+    """(features, label, held, kind) from a bounded sample of documents that hold a digit or an at sign."""
     rows = bounded_sample(docs.where(F.col(text_col).rlike("[0-9@]")).select(id_col, text_col), id_col, max_docs)
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        x, y, held = [], [], []
-        for key, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col)):
-            pick = int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:4], "little")
-            taken = base_spans(text)
-            made = [(text, c, 0.0) for c in candidates(text, taken)] if taken else []
-            for span in taken[:20]:
-                lo = max(0, span[0] - 80)
-                near = text[lo:span[2] + 80]
-                made += _loosened(near, (span[0] - lo, span[1], span[2] - lo), pick)
-            for t, c, label in made:
-                x.append(features(t, c))
-                y.append(label)
-                held.append(pick % 4 == 0)
-        return pa.table([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(held, pa.bool_())],
-                        names=["features", "label", "held"])
-    return map_rows(rows, run, "features array<double>, label double, held boolean", text_col=text_col)
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> boosting.Boosted:
-    return boosting.fit(examples(docs, id_col, text_col, max_docs))
-
-
-def all_spans(text: str, model: boosting.Boosted, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
+    def made(key, text: str, pick: int) -> Iterator[tuple[str, Span, float]]:
+        taken = base_spans(text)
+        if taken:
+            yield from ((text, c, 0.0) for c in candidates(text, taken))
+        for span in taken[:MAX_SPANS]:
+            lo = max(0, span[0] - 80)
+            yield from _loosened(text[lo:span[2] + 80], (span[0] - lo, span[1], span[2] - lo), pick)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                key, text = piece.column(id_col)[0].as_py(), strings(piece, text_col)[0]
+                pick = int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:4], "little")
+                found = made(key, text, pick)
+                while part := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([features(t, c) for t, c, _ in part], pa.list_(pa.float64())),
+                         pa.array([label for *_, label in part], pa.float64()), pa.array([pick % 4 == 0] * len(part), pa.bool_()),
+                         pa.array([c[1] for _, c, _ in part], pa.int32())], names=["features", "label", "held", "kind"])
+    # the sample comes out of its limit as one partition
+    return rows.repartition(SPREAD, id_col).mapInArrow(run, "features array<double>, label double, held boolean, kind int")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS,
+        precision: float = PRECISION) -> boosting.Boosted:
+    return boosting.fit(examples(docs, id_col, text_col, max_docs), group="kind", precision=precision)
+
+
+def all_spans(text: str, model: boosting.Boosted, threshold: float | None = None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, each by start and kind."""
     taken = base_spans(text)
     likely, proposed = [], candidates(text, taken)
     while part := list(islice(proposed, 4096)):
         p = model.probability(np.array([features(text, c) for c in part]))
-        likely += [(-q, c[0] - c[2], c) for q, c in zip(p.tolist(), part) if q >= threshold]
+        likely += [(-q, c[0] - c[2], c) for q, c in zip(p.tolist(), part)
+                   if q >= (model.thresholds.get(c[1], THRESHOLD) if threshold is None else threshold)]
     added: list[Span] = []
     for _, _, c in sorted(likely):  # the likelier, then the longer first; those added are by start and apart
         at = bisect(added, c)
@@ -275,7 +285,7 @@ def told(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, model: boosting.Boosted, id_col: str = "doc_id", text_col: str = "text",
-         threshold: float = THRESHOLD) -> DataFrame:
+         threshold: float | None = None) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_spans, spans) of every row; the counts are of base spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -294,7 +304,7 @@ def find(docs: DataFrame, model: boosting.Boosted, id_col: str = "doc_id", text_
     return map_rows(docs.select(id_col, text_col), run, schema, text_col=text_col)
 
 
-def redact(docs: DataFrame, model: boosting.Boosted, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, model: boosting.Boosted, text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """All columns of every row; each run of overlapping spans of the text is replaced by `<kind>`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

@@ -71,7 +71,7 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, salt_by: str, hot:
 
 
 def pieces(batch: pa.RecordBatch, rows: int, text_col: str | None = None,
-           size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+           size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and, but for a single longer row, `size` bytes of a text column."""
     if text_col is None:
         ends = range(rows, batch.num_rows + rows, rows)

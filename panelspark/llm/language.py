@@ -152,4 +152,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
         return pa.table([*cols, pa.array(lang, pa.string()), pa.array(np.asarray(score, dtype=float))],
                         names=[*keep, *names])
 
-    return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), run, schema, text_col=text_col)
+    return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), run, schema, rows=64, text_col=text_col)

@@ -250,7 +250,7 @@ def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
                 key, text = piece.column(id_col)[0].as_py(), strings(piece, text_col)[0]
                 pick = int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:4], "little")
                 found = made(key, text, pick)
-                while part := list(islice(found, 4096)):
+                while part := list(islice(found, 1024)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([features(t, c) for t, c, _ in part], pa.list_(pa.float64())),
                          pa.array([label for *_, label in part], pa.float64()), pa.array([pick % 4 == 0] * len(part), pa.bool_()),
@@ -268,7 +268,7 @@ def all_spans(text: str, model: boosting.Boosted, threshold: float | None = None
     """(base spans, all spans) of a text, each by start and kind."""
     taken = base_spans(text)
     likely, proposed = [], candidates(text, taken)
-    while part := list(islice(proposed, 4096)):
+    while part := list(islice(proposed, 1024)):
         p = model.probability(np.array([features(text, c) for c in part]))
         likely += [(-q, c[0] - c[2], c) for q, c in zip(p.tolist(), part)
                    if q >= (model.thresholds.get(c[1], THRESHOLD) if threshold is None else threshold)]

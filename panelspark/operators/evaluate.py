@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.student import t_p_value
-from panelspark.operators.segments import ROW, number_rows
+from panelspark.operators.segments import lagged_products, row_numbers, running, series_totals
 from panelspark.schema import Series
-from panelspark.session import stage
 
 # Interval levels, calibration grid, guards against division by zero.
 ALPHAS = {50: 0.5, 80: 0.2, 90: 0.1}
@@ -207,27 +206,21 @@ def dm_test(losses: DataFrame, by: list[str], loss1: str = "mse", loss2: str = "
             h: int = 1, order: str = "window") -> DataFrame:
     """Diebold-Mariano on per-window losses: mean difference over its Newey-West deviation.
 
-    Windows are numbered; each difference is sent to the h - 1 positions after it and meets its
-    partner by an equality join, h rows per window.
+    Differences are centred in the pass that numbers the windows; the products up to h - 1 positions
+    apart are summed in overlapping segments, one exchange whatever h.
     """
+    windows = Series(tuple(by), order)
     d = losses.select(*by, order, (F.col(loss1) - F.col(loss2)).alias("_d"))
-    d = stage(number_rows(d, Series(tuple(by), order)).select(*by, ROW, "_d"), "loss-differences")
-    stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"),
-                               F.var_pop("_d").alias("_g0"))
-    out = stats.withColumn("_cov", F.lit(0.0))
-    if h > 1:
-        means = stats.select(*by, "mean_diff")
-        c = d.join(means, by) if by else d.withColumn("mean_diff", means.scalar())
-        c = c.select(*by, ROW, (F.col("_d") - F.col("mean_diff")).alias("_b"))
-        past = c.select(*by, "_b", F.col(ROW).alias("_r"),
-                        F.explode(F.sequence(F.lit(1), F.lit(h - 1))).alias("_k"))
-        past = past.select(*by, "_b", "_k", (F.col("_r") + F.col("_k")).alias(ROW))
-        cov = (c.withColumnRenamed("_b", "_a").join(past, [*by, ROW]).groupBy(*by)
-               .agg(F.sum(2 * (1 - F.col("_k") / h) * F.col("_a") * F.col("_b")).alias("_s")))
-        out = stats.join(cov, by, "left") if by else stats.withColumn("_s", cov.scalar())
-        out = out.withColumn("_cov", F.coalesce("_s", F.lit(0.0)) / F.col("n"))
+    d = running(d, windows, row_numbers(windows, count="n"), series_totals(windows, "_d", "d"))
+    d = d.withColumn("_c", F.col("_d") - F.col("d_mean")).withColumnRenamed("d_mean", "mean_diff")
+    sums = lagged_products(d, windows, "_c", list(range(h)), ["n", "d_count", "mean_diff"])
+    part = F.when(F.col("lag") == 0, F.col("total"))
+    out = sums.groupBy(*by).agg(
+        F.coalesce(F.first("n"), F.lit(0)).alias("n"), F.first("mean_diff").alias("mean_diff"),
+        F.try_divide(F.max(part), F.first("d_count")).alias("_g0"),
+        (F.sum(F.when(F.col("lag") > 0, 2 * (1 - F.col("lag") / h) * F.col("total")).otherwise(0.0)) / F.first("n")).alias("_cov"))
     var = F.col("_g0") + F.col("_cov")
-    under = var / F.col("n") + EPS_SKILL
+    under = F.try_divide(var, F.col("n")) + EPS_SKILL
     stat = F.when(under > 0, F.col("mean_diff") / F.sqrt(F.greatest(under, F.lit(0.0))))
     out = out.withColumn("stat", stat)
     out = out.withColumn("p_value", t_p_value("stat", F.greatest(F.col("n") - 1, F.lit(1)).cast("double")))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.calendar import calendar_features
 from panelspark.operators.segments import (
-    ROW, SEGMENT_ROWS, Carry, Running, by_bucket, fills, full_frame, number_rows, rolled, row_numbers,
-    running, so_far, state_after, states_before, sums, when_full)
+    ROW, SEGMENT_ROWS, Carry, Running, by_bucket, fills, full_frame, lagged_products, number_rows, rolled,
+    row_numbers, running, series_totals, so_far, state_after, states_before, sums, when_full)
 from panelspark.schema import Series
 from panelspark.session import stage
 
@@ -322,23 +322,17 @@ def late_starters(df: DataFrame, s: Series, bound) -> DataFrame:
 def acf(df: DataFrame, s: Series, col: str, lags: list[int]) -> DataFrame:
     """Autocorrelation at the given lags with the 1.96/sqrt(n) band.
 
-    Rows are numbered once and written, each row is sent to the row `lag` positions later (an equi-join on
-    position), and centred products are summed with map-side partials.
+    Rows get their number and the mean of their series in one pass, are centred, and meet the rows
+    `lag` positions before in overlapping segments. A constant series has the value null; a lag without
+    a pair of rows is left out.
     """
     x = df.filter(F.col(col).isNotNull()).select(*s.keys, s.t, F.col(col).alias("_x"))
-    x = stage(number_rows(x, s), "numbered")
-    stats = x.groupBy(*s.keys).agg(F.avg("_x").alias("_mean"), F.count(F.lit(1)).alias("n"),
-                                   (F.var_pop("_x") * F.count(F.lit(1))).alias("_ss"))
-    here = x.select(*s.keys, ROW, F.col("_x").alias("_a"))
-    past = x.select(*s.keys, F.explode(F.array([F.lit(k) for k in lags])).alias("lag"),
-                    F.col(ROW).alias("_r"), F.col("_x").alias("_b"))
-    past = past.withColumn(ROW, F.col("_r") + F.col("lag")).drop("_r")
-    # sum (a-m)(b-m) = sum ab - m (sum a + sum b) + pairs * m^2, so the mean joins after the sums
-    sums = (here.join(past, [*s.keys, ROW]).groupBy(*s.keys, "lag")
-            .agg(F.sum(F.col("_a") * F.col("_b")).alias("_ab"), F.sum("_a").alias("_sa"),
-                 F.sum("_b").alias("_sb"), F.count(F.lit(1)).alias("_k")))
-    m = F.col("_mean")
-    num = F.col("_ab") - m * (F.col("_sa") + F.col("_sb")) + F.col("_k") * m * m
-    return sums.join(stats, s.keys).select(
-        *s.keys, "lag", "n", F.when(F.col("_ss") > 0, num / F.col("_ss")).alias("acf"),
-        (1.96 / F.sqrt(F.col("n"))).alias("band"))
+    x = running(x, s, row_numbers(s), series_totals(s, "_x", "x"))
+    x = x.withColumn("_c", F.col("_x") - F.col("x_mean"))
+    x = x.withColumn("_varies", F.col("x_min") < F.col("x_max")).withColumnRenamed("x_count", "n")
+    sums = lagged_products(x, s, "_c", sorted({0, *lags}), ["n", "_varies"])
+    per = sums.groupBy(*s.keys).agg(F.first("n").alias("n"), F.first("_varies").alias("_varies"),
+                                    F.map_from_entries(F.collect_list(F.struct("lag", "total"))).alias("_by"))
+    out = per.withColumn("lag", F.explode(F.array(*[F.lit(int(k)) for k in lags]))).filter(F.col("lag") < F.col("n"))
+    return out.select(*s.keys, "lag", "n", F.when(F.col("_varies"), F.col("_by")[F.col("lag")] / F.col("_by")[0]).alias("acf"),
+                      (1.96 / F.sqrt(F.col("n"))).alias("band"))

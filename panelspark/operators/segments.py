@@ -11,7 +11,8 @@ a third of the data becomes the job. Two schemes replace it:
   in a segment, then over segments in the same kind of tree;
 * bounded look-back (rolling statistics, sliding windows): rows are numbered, cut into segments
   of a fixed number of rows, and each segment also receives the few rows before and after it
-  that its frames reach into. Segment size is exact whatever the spacing of the rows.
+  that its frames reach into. Segment size is exact whatever the spacing of the rows;
+* lagged products: the same segments as arrays, multiplied with themselves inside the task.
 """
 
 from __future__ import annotations
@@ -328,6 +329,53 @@ def state_after(s: Series, name: str, a: Column, b: Column, size: int = SEGMENT_
     return F.when(place.between(0, size - 1), _then(maps, name, F.get(f"_y_{name}", piece)))
 
 
+# ── lagged products ─────────────────────────────────────────────────────────
+def series_totals(s: Series, col: str, name: str) -> Running:
+    """On every row: the non-null count, mean, least and greatest value of the whole series, from the bucket table."""
+    n, total = f"_n_{name}", f"_t_{name}"
+    parts = {n: F.count(col), total: F.sum(F.col(col).cast("double")), f"_a_{name}": F.min(col), f"_z_{name}": F.max(col)}
+    state = {f"_all{n}": Carry(n, "sum", "all"), f"_all{total}": Carry(total, "sum", "all"),
+             f"_least_{name}": Carry(f"_a_{name}", "min", "all"), f"_most_{name}": Carry(f"_z_{name}", "max", "all")}
+    return Running(parts, state, {
+        f"{name}_count": F.col(f"_all{n}"), f"{name}_mean": F.try_divide(f"_all{total}", f"_all{n}"),
+        f"{name}_min": F.col(f"_least_{name}"), f"{name}_max": F.col(f"_most_{name}")})
+
+
+def lagged_products(df: DataFrame, s: Series, col: str, lags: list[int], carry: list[str],
+                    size: int = SEGMENT_ROWS, row: str = ROW) -> DataFrame:
+    """(keys, lag, total, carry): the sum of x(i) * x(i - lag) over each numbered series.
+
+    Overlap-save: a segment's values and the last `max(lags)` values before it are one array, whose
+    products with itself moved by each lag are summed inside the task; one exchange whatever the lags.
+    Segments grow with the largest lag, so that a row is sent at most twice. A missing value
+    counts as zero, and a lag as long as the series has the sum 0. `carry` names columns that are equal in
+    all rows of a series.
+    """
+    if not lags or min(lags) < 0:
+        raise ValueError("lags must be non-negative and not empty")
+    reach = max(lags)
+    size = max(size, reach)
+    cut = segmented(df.select(*s.keys, row, F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("_x"), *carry),
+                    s, back=reach, size=size, row=row)
+    packed = cut.groupBy(*s.keys, SEG).agg(
+        F.sort_array(F.collect_list(F.struct(row, "_x"))).alias("_rows"),
+        F.count(F.when(~F.col(OWN), True)).cast("int").alias("_old"), *[F.first(c).alias(c) for c in carry])
+    # a segment past the end of the series holds only what it was sent
+    packed = packed.filter(F.size("_rows") > F.col("_old")).select(
+        *s.keys, *carry, F.col("_rows._x").alias("_x"), "_old")
+
+    def total(lag: Column) -> Column:
+        start = F.greatest(F.col("_old"), lag)
+        now = F.slice("_x", start + 1, F.greatest(F.size("_x") - start, F.lit(0)))
+        then = F.slice("_x", start - lag + 1, F.greatest(F.size("_x") - start, F.lit(0)))
+        return F.aggregate(F.zip_with(now, then, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    every = F.transform(F.array(*[F.lit(int(k)) for k in lags]),
+                        lambda k: F.struct(k.alias("lag"), total(k).alias("total")))
+    out = packed.select(*s.keys, *carry, F.explode(every).alias("_l")).select(*s.keys, *carry, "_l.*")
+    return out.groupBy(*s.keys, "lag").agg(F.sum("total").alias("total"), *[F.first(c).alias(c) for c in carry])
+
+
 def rolled(df: DataFrame, s: Series, exprs, back: int = 0, ahead: int = 0,
            size: int = SEGMENT_ROWS, beside: DataFrame | None = None) -> DataFrame:
     """Add columns computed over a bounded reach.

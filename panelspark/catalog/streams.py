@@ -13,7 +13,8 @@ from panelspark.catalog.inputs import HOUR, SQL_HOUR, SQL_SCORED, bars_hour, rnd
 from panelspark.catalog.news import articles
 from panelspark.operators.calendar import PROB_COLS
 from panelspark.session import shared_dir
-from panelspark.streaming.indicators import indicator_stream, repaired
+from panelspark.streaming.indicators import (
+    indicator_stream, open_bars, ordered_indicator_stream, repaired, timers)
 from panelspark.streaming.ingest import daily_news_stream, drain, ingest_stream, open_days
 
 
@@ -71,6 +72,27 @@ def stream_indicators_late(spark, sf):
     return found.select("id", "t", *[rnd(c).alias(c) for c in ("ema_fast", "ema_slow", "rsi")])
 
 
+@query("stream_indicators_ordered", time="t", sql=f"""with {SQL_HOUR}, d as (select *, close - lag(close) {W} delta from bars_hour)
+select id, t, round({ema_sql("close", 12)}, 6) ema_fast, round({ema_sql("close", 26)}, 6) ema_slow, round({rsi_sql("delta", 14)}, 6) rsi, false late from d""")
+def stream_indicators_ordered(spark, sf):
+    """Bars come in three parts, some bars of a part's last month one part later; timers put them in order."""
+    bars = bars_hour(spark, sf).select("id", "t", "close")
+    src, out, checkpoint = (_folder(spark, f"ordered-{n}") for n in ("bars", "indicators", "checkpoint"))
+    cuts = [F.lit(c).cast("timestamp") for c in ("1994-06-01", "1996-06-01")]
+    part = sum(((F.col("t") >= c).cast("int") for c in cuts), F.lit(0))
+    slow = (F.length("id") % 2 == 0) & (F.hour("t") % 6 == 1)
+    month_before = [(F.col("t") >= c - F.expr("interval 30 days")) & (F.col("t") < c) for c in cuts]
+    arrives = part + (slow & (month_before[0] | month_before[1])).cast("int")
+    with timers(spark):
+        for i in range(3):
+            bars.filter(arrives == i).write.mode("append").parquet(src)
+            rows = spark.readStream.schema(bars.schema).parquet(src)
+            drain(ordered_indicator_stream(rows, delay="60 days"), out, checkpoint)
+    emitted = spark.read.parquet(out)
+    found = emitted.unionByName(open_bars(bars, emitted))
+    return found.select("id", "t", *[rnd(c).alias(c) for c in ("ema_fast", "ema_slow", "rsi")], "late")
+
+
 @query("stream_article_ingest", """select '2024-01' batch_month, count(*) n, count(distinct doc_id) n_articles from documents
 where doc_id * doc_id % 61 < 31 union all
 select '2024-02', count(*), count(distinct doc_id) from documents where doc_id * doc_id % 61 between 31 and 59""")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.arrays import bind, total
 from panelspark.operators.stats import exact_percentiles, topk_index
+from panelspark.session import stage
 
 # Set-up of the study.
 KS = [1, 2, 3, 5, 8, 10, 15, 20, 25, 30]
@@ -224,22 +225,37 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, name: str = "rho")
     return r.groupBy(*keys).agg(F.when(spread, F.corr("_a", "_b")).alias(name))
 
 
+SUBSET_K = 10
+BLOCK_SETS = 1024
+MEMBERS_AT_ONCE = 4096
+
+
 def jaccard_topk(df: DataFrame, keys: list[str], sets: str, k: int,
                  name: str = "jaccard") -> DataFrame:
     """Mean pairwise Jaccard of sets of size k; 1 for a single set.
 
-    No pair is formed. Equal sets are merged first, with their count. Each distinct set emits its
-    2^k subsets; a subset seen c times is shared by c(c-1)/2 pairs, so the subset counts give the
-    number of pairs for each size of intersection by inclusion and exclusion. Work is linear in the
-    distinct sets and combines map-side.
+    Equal sets are merged first, with their count, and no pair of sets becomes a row. The parameter k chooses
+    between two exact ways: up to SUBSET_K shared subsets are counted (`_by_subsets`), beyond it 2^k subsets
+    would be too many and blocks of distinct sets are multiplied (`_by_blocks`).
     """
     if k < 1:
         raise ValueError("k must be positive")
-    weight = [sum((-1) ** (m - j) * math.comb(m, j) * j / (2 * k - j) for j in range(m + 1))
-              for m in range(k + 1)]
     sized = F.array_sort(F.array_distinct(sets))
     sized = F.when(F.size(sized) == k, sized).otherwise(F.raise_error(F.lit(f"sets must have {k} members")))
     merged = df.select(*keys, sized.alias("_s")).groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_sets"))
+    out = (_by_subsets if k <= SUBSET_K else _by_blocks)(merged, keys, k)
+    return out.select(*keys, F.when(F.col("_p") > 0, F.col("_j") / F.col("_p")).otherwise(F.lit(1.0)).alias(name))
+
+
+def _by_subsets(merged: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, _j, _p): summed Jaccard and number of pairs, from counts of subsets.
+
+    Each distinct set emits its 2^k subsets; a subset seen c times is shared by c(c-1)/2 pairs, so the
+    subset counts give the number of pairs for each size of intersection by inclusion and exclusion.
+    Work is linear in the distinct sets and combines map-side.
+    """
+    weight = [sum((-1) ** (m - j) * math.comb(m, j) * j / (2 * k - j) for j in range(m + 1))
+              for m in range(k + 1)]
     bits = merged.select(*keys, "_s", "_sets", F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))).alias("_m"))
     parts = F.array_compact(F.array(*[
         F.when(F.col("_m").bitwiseAND(F.lit(1 << i)) != 0, F.get("_s", F.lit(i))) for i in range(k)]))
@@ -247,9 +263,55 @@ def jaccard_topk(df: DataFrame, keys: list[str], sets: str, k: int,
         F.sum("_sets").cast("double").alias("_c"))
     pairs = F.col("_c") * (F.col("_c") - 1) / 2
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weight]), F.size("_sub") + 1)
-    out = counts.groupBy(*keys).agg(F.sum(pairs * w).alias("_j"),
-                                    F.max(F.when(F.size("_sub") == 0, pairs)).alias("_p"))
-    return out.select(*keys, F.when(F.col("_p") > 0, F.col("_j") / F.col("_p")).otherwise(F.lit(1.0)).alias(name))
+    return counts.groupBy(*keys).agg(F.sum(pairs * w).alias("_j"),
+                                     F.max(F.when(F.size("_sub") == 0, pairs)).alias("_p"))
+
+
+def _by_blocks(merged: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, _j, _p) from shared-member counts of blocks of distinct sets.
+
+    Distinct sets are spread by hash over as many blocks as their number needs. A task gets two blocks,
+    builds the incidence of their joint members and counts shared members by matrix products, some
+    members at a time; only two sums leave it. Memory is bounded by the block, rows sent by distinct sets x blocks.
+    """
+    merged = stage(merged, "distinct-sets")
+    many = merged.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("_blocks"))
+    rows = merged.join(many, keys) if keys else merged.withColumn("_blocks", many.scalar())
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("_s"), F.col("_blocks")).cast("int"))
+    # a block meets every other one once, and itself
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select(*keys, "_s", F.col("_sets").cast("double").alias("_sets"), F.least("_own", "_other").alias("_lo"),
+                       F.greatest("_own", "_other").alias("_hi"), (F.col("_own") <= F.col("_other")).alias("_first"))
+    kinds = dict(merged.dtypes)
+
+    def sums(group, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.unique(np.concatenate(pdf["_s"].to_numpy()), return_inverse=True)[1].reshape(len(pdf), k)
+        count, first = pdf["_sets"].to_numpy(), pdf["_first"].to_numpy()
+        within = group[-2] == group[-1]
+        left, right = (at, at) if within else (at[first], at[~first])
+        a, b = (count, count) if within else (count[first], count[~first])
+        shared = np.zeros((len(left), len(right)), dtype="float32")
+        for low in range(0, int(at.max()) + 1, MEMBERS_AT_ONCE):
+            shared += _incidence(left, low) @ _incidence(right, low).T
+        shared = shared.astype("float64")
+        j = a @ (shared / (2 * k - shared)) @ b
+        p = a.sum() * b.sum()
+        if within:
+            # ordered pairs, and each set with itself, are taken back
+            j, p = (j - a.sum()) / 2, (p - a.sum()) / 2
+        return pd.DataFrame([(*group[:-2], j, p)], columns=[*keys, "_j", "_p"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "_j double", "_p double"])
+    per = rows.groupBy(*keys, "_lo", "_hi").applyInPandas(sums, schema)
+    return per.groupBy(*keys).agg(F.sum("_j").alias("_j"), F.sum("_p").alias("_p"))
+
+
+def _incidence(members: np.ndarray, low: int) -> np.ndarray:
+    """Rows of sets, columns of the members numbered from `low` on."""
+    out = np.zeros((len(members), MEMBERS_AT_ONCE), dtype="float32")
+    row, col = np.nonzero((members >= low) & (members < low + MEMBERS_AT_ONCE))
+    out[row, members[row, col] - low] = 1
+    return out
 
 
 def study_records(scored: DataFrame, keys: list[str], jaccard: DataFrame | None = None) -> DataFrame:

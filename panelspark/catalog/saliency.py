@@ -135,6 +135,14 @@ def jaccard_topk(spark, sf):
     return L.jaccard_topk(s, ["g"], "top", 5).select("g", rnd("jaccard").alias("jaccard"))
 
 
+@query("jaccard_top30", f"""with {ST}, se as (select w % 20 g, w, list(i) l from rk where r_top <= 30 group by 1, 2),
+pr as (select a.g, len(list_intersect(a.l, b.l)) n from se a join se b on a.g = b.g and a.w < b.w)
+select g, round(avg(n / (60.0 - n)), 6) jaccard from pr group by 1""")
+def jaccard_top30(spark, sf):
+    s = study(spark, sf).select((F.col("window") % 20).alias("g"), topk_index("sal", 30).alias("top"))
+    return L.jaccard_topk(s, ["g"], "top", 30).select("g", rnd("jaccard").alias("jaccard"))
+
+
 def _records(spark, sf):
     """Records of every window; stability compares the strongest weights with the largest signed values."""
     s = stage(scored(spark, sf), "variants")

@@ -79,7 +79,7 @@ def shipped(fn: Callable) -> Callable:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: `spark.checkpoint.dir`, else the warehouse.
 
-    Both are folders that every executor reaches; a machine-local folder is never used.
+    Whether executors share the warehouse is up to the cluster; set `spark.checkpoint.dir` where they do not.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_panelspark_stage")

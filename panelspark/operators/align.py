@@ -9,6 +9,7 @@ from panelspark.operators.segments import BUCKET, Carry, Running, bucket_of, buc
 from panelspark.schema import Series
 
 PRICES = ("open", "high", "low", "close", "volume")
+SALTS, COPIES = 16, 4_096
 
 
 def clean_prefix(c) -> Column:
@@ -144,9 +145,24 @@ def column_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows only one of two tables has, duplicates counted."""
-    return (a.exceptAll(b).withColumn("side", F.lit("only_a"))
-            .unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b"))))
+    """Rows only one of two tables has, duplicates counted.
+
+    Rows of `a` count up and rows of `b` down, once for both sides. They are dealt out before they are
+    counted, so that a task holds its share of the rows and not all those of an input file's split; copies
+    are first counted apart by where they came from, so that a row with many copies is no one task's work.
+    """
+    cols = a.columns
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    both = both.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for by in ([*cols, "_salt"], cols):
+        both = both.repartition(tasks, *[F.col(f"`{c}`") for c in by]).groupBy(
+            *[F.col(f"`{c}`") for c in by]).agg(F.sum("_n").alias("_n"))
+    left = both.filter("_n <> 0").withColumn("side", F.when(F.col("_n") > 0, "only_a").otherwise("only_b"))
+    # copies unfold in two steps, so that no array is as long as their number
+    left = left.withColumns({"_n": F.abs("_n"), "_k": F.explode(F.expr(f"sequence(0L, (abs(_n) - 1) div {COPIES})"))})
+    left = left.withColumn("_c", F.explode(F.expr(f"sequence(1L, least({COPIES}L, _n - _k * {COPIES}))")))
+    return left.select(*[F.col(f"`{c}`") for c in cols], "side")
 
 
 def to_unit(df: DataFrame, factors: DataFrame, value: str = "close",

@@ -120,3 +120,14 @@ def test_nothing_pins_results_to_executors():
         text = f.read_text()
         for word in banned:
             assert word not in text, (f, word)
+
+
+def test_row_differences_count_nothing_before_rows_are_dealt(spark, sf_dir):
+    """No counting table grows with an input file's split, and copies by the thousand unfold."""
+    from panelspark.operators.align import row_diff
+    below = plan(QUERIES["row_differences"](spark, sf_dir)).split("== Initial Plan ==")[-1].rsplit("Exchange", 1)[1]
+    assert "Scan parquet" in below and "Aggregate" not in below
+    a = spark.range(9_000).select(F.when(F.col("id") > 0, "x").alias("v"), F.lit(1).alias("w"))
+    b = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), (None, 1), (None, 1), (None, 1)], "v string, w int")
+    got = {tuple(r[:3]): r[3] for r in row_diff(a, b).groupBy("v", "w", "side").count().collect()}
+    assert got == {("x", 1, "only_a"): 8_997, ("x", 2, "only_b"): 1, (None, 1, "only_b"): 2}

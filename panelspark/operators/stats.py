@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.schema import Series
+from panelspark.session import stage
+
+SALTS = 16
 
 
 # ── exact quantiles of groups of any size ───────────────────────────────────
@@ -40,7 +43,13 @@ def exact_percentiles(df: DataFrame, by: list[str], col: str, qs: list[float],
     brackets = stats.select(*by, "_n", F.explode(wanted).alias("_b")).select(
         *by, "_n", F.col("_b.q").alias("q"), F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
     packed = brackets.groupBy(*by).agg(F.collect_list(F.struct("q", "_lo", "_hi", "_n")).alias("_w"))
-    joined = src.join(packed, by) if by else src.withColumn("_w", packed.scalar())
+    if by:
+        # written, they have a size that Spark knows and are mostly sent to all tasks; groups too many for
+        # that meet their brackets in parts, so that no task holds a whole group
+        packed = stage(packed, "brackets").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = src.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int")).join(packed, [*by, "_salt"])
+    else:
+        joined = src.withColumn("_w", packed.scalar())
     # a value sorts to one of: below the bracket (counted only) or inside it (kept)
     place = F.explode(F.filter("_w", lambda b: F.col("_x") <= b["_hi"]))
     inside = joined.select(*by, "_x", place.alias("_b")).select(

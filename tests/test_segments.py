@@ -187,6 +187,25 @@ def test_exact_percentiles_beyond_the_sketch(spark, accuracy):
             assert got[(g, q)] == pytest.approx(np.quantile(part["x"], q), abs=1e-9)
 
 
+def test_no_task_holds_a_group_of_exact_percentiles(spark):
+    """Brackets go to the rows; where they are too many for that, a group's rows are spread over salts."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double").alias("x"))
+    want = df.toPandas().groupby("g").x.quantile([0.25, 0.9])
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set(key, limit)
+            out = S.exact_percentiles(df, ["g"], "x", [0.25, 0.9])
+            text = out._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in text.split("\n") if "SortMergeJoin" in line]
+            assert all("_salt" in line for line in joins) and bool(joins) == (limit == "-1")
+            for g, q, v in out.collect():
+                assert v == pytest.approx(want[(g, q)], abs=1e-9)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_correlation_matrix_in_blocks(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 9)); x[:, 3] = x[:, 1] * 2 + 0.1 * x[:, 3]

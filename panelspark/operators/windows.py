@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.align import row_diff
 from panelspark.operators.segments import ROW, in_segment, number_rows, own_rows, segmented
 from panelspark.schema import Series
 
@@ -75,8 +76,7 @@ def sliding_windows(df: DataFrame, s: Series, ctx: int = CTX_LEN, pred: int = PR
 def assert_aligned(a: DataFrame, b: DataFrame, on: list[str]) -> None:
     """Raise unless both tables have exactly the same keys."""
     ka, kb = a.select(*on), b.select(*on)
-    extra = ka.exceptAll(kb).limit(1).count() + kb.exceptAll(ka).limit(1).count()
-    if extra:
+    if row_diff(ka, kb).limit(1).count():
         raise ValueError(f"streams are not aligned on {on}")
 
 

@@ -9,7 +9,7 @@ from panelspark.operators.segments import BUCKET, Carry, Running, bucket_of, buc
 from panelspark.schema import Series
 
 PRICES = ("open", "high", "low", "close", "volume")
-SALTS, COPIES = 16, 4_096
+SALTS, COPIES, TASK_ROWS = 16, 4_096, 1 << 21
 
 
 def clean_prefix(c) -> Column:
@@ -148,13 +148,13 @@ def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows only one of two tables has, duplicates counted.
 
     Rows of `a` count up and rows of `b` down, once for both sides. They are dealt out before they are
-    counted, so that a task holds its share of the rows and not all those of an input file's split; copies
+    counted, TASK_ROWS a task, so that none holds all rows of an input file's split; copies
     are first counted apart by where they came from, so that a row with many copies is no one task's work.
     """
     cols = a.columns
     both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
     both = both.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // TASK_ROWS))
     for by in ([*cols, "_salt"], cols):
         both = both.repartition(tasks, *[F.col(f"`{c}`") for c in by]).groupBy(
             *[F.col(f"`{c}`") for c in by]).agg(F.sum("_n").alias("_n"))

@@ -1,14 +1,18 @@
 """An adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
 A block starts from fresh models. The ids of a block are coded one after the other; blocks are
-coded side by side, one NumPy lane each.
+coded side by side, one NumPy lane each, LANES at a time.
 
-Order-2, order-1 and order-0 models each predict the next id: the id last seen after the same two
-ids, after the same one id, and the prevalent id. The coder first codes which prediction holds:
-order 2, else order 1, else order 0, else none. Its distribution mixes three adaptive ones, kept by
-the confidence of the order-2 and of the order-1 prediction and by the last outcome; the mixing
-weights follow what each of them gave to the outcome. When none holds, the id is coded by an
-adaptive order-0 distribution of its leading bits and evenly for the rest.
+Order-2 and order-1 models each predict the next id: the id last seen after the same two ids and
+after the same one id. The coder first codes which prediction holds: order 2, else order 1, else
+none. Its distribution mixes three adaptive ones, kept by the confidence of the order-2 prediction,
+by that of the order-1 prediction and by none; the mixing weights follow what each of them gave to
+the outcomes. When none holds, the id is coded by the order-0 model: an adaptive distribution of
+its class, then evenly within it. A class holds the ids between two half powers of two, since the
+ids of a learned vocabulary ascend as their frequency falls.
+
+The predictions learn from every id, the distributions are made anew from their counts after 8, 16
+and 32 ids and then after every 64 ids, which costs a lane little and the decoder repeats.
 
 All arithmetic is on integers, so that decoding is exact on any machine. The coder keeps a low end
 and a range of 64 bits and puts out words of 32 bits.
@@ -16,247 +20,308 @@ and a range of 64 bits and puts out words of 32 bits.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
-TABLE_BITS = 9
-LEADING_BITS = 4
-RATE = 5
+LANES = 2_048
+TABLE_BITS = 7
+EVENT_BITS = 9
+CLASS_BITS = 9
+REFRESH = 64
+_DEEP = 32 - EVENT_BITS - CLASS_BITS  # bits within a class that the step of its id has room for
 _U = np.uint64
 _LOW = _U(2**32 - 1)
 _S32 = _U(32)
+_MASK = 1023
+_PARTS = 12  # probabilities before they are mixed
+
+
+@cache
+def _classes(id_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first id, bits within) of each class, and a last entry for an id that a prediction gave."""
+    edges = sorted({min(b, 1 << id_bits) for e in range(id_bits + 1) for b in ((1 << e) - 1, (3 << e >> 1) - 1)} | {1 << id_bits})
+    bits = [(b - a - 1).bit_length() for a, b in zip(edges, edges[1:])]
+    return np.array([*edges[:-1], 0], dtype=np.int64), np.array([*bits, 0], dtype=np.int64)
+
+
+@cache
+def _class_of(id_bits: int) -> np.ndarray:
+    first = _classes(id_bits)[0][:-1]
+    return np.repeat(np.arange(len(first), dtype=np.uint8), np.diff(np.append(first, 1 << id_bits)))
+
+
+def _class(ids: np.ndarray, id_bits: int) -> np.ndarray:
+    if id_bits <= 20:
+        return _class_of(id_bits).take(ids)
+    return (np.searchsorted(_classes(id_bits)[0][:-1], ids, "right") - 1).astype(np.uint8)
 
 
 class _Coder:
     """Range coding in lanes; `words` are read when decoding, written otherwise."""
 
-    def __init__(self, lanes: int, words: np.ndarray, decoding: bool):
+    def __init__(self, words: np.ndarray, decoding: bool):
+        lanes, self.width = words.shape
         self.low = np.zeros(lanes, dtype=_U)
         self.range = np.full(lanes, 2**64 - 1, dtype=_U)
-        self.words, self.used = words, np.zeros(lanes, dtype=np.int64)
+        self.words = words.reshape(-1)
+        self.used = np.arange(lanes) * self.width
+        self.decoding = decoding
         if decoding:
-            self.code = (words[:, 0].astype(_U) << _S32) | words[:, 1].astype(_U)
+            self.code = (words[:, 0].astype(_U) << _S32) | words[:, 1]
             self.used += 2
 
-    def step(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray, shift: int, decoding: bool) -> None:
-        """Narrow to [start, start + size) of 2^shift; put out, or take in, a word where needed."""
-        unit = self.range[lane] >> _U(shift)
-        low = self.low[lane] + start * unit
-        width = size * unit
+    def resize(self, lanes: int) -> None:
+        """Code only the first lanes from here on; views, so that the rest keep their ends."""
+        self.now = [a[:lanes] for a in (self.low, self.range, self.used)]
+        self.now.append(self.code[:lanes] if self.decoding else None)
+
+    def settle(self) -> None:
+        """Put out, or take in, a word where the range has become narrow."""
+        low, width, used, code = self.now
         need = np.flatnonzero(width <= _LOW)
         if len(need):
-            lo, wi = low[need], width[need]
-            cross = (lo ^ (lo + wi - _U(1))) >> _S32 != 0  # the leading word isn't settled: stay below its change
-            wi = np.where(cross, _U(2**32) - (lo & _LOW), wi)
-            which = need if isinstance(lane, slice) else lane[need]
-            at = self.used[which]
-            if decoding:
-                self.code[which] = (self.code[which] << _S32) | self.words[which, at].astype(_U)
+            lo, wi = low.take(need), width.take(need)
+            cross = np.flatnonzero((lo ^ (lo + (wi - _U(1)))) > _LOW)  # the leading word isn't settled: stay below its change
+            if len(cross):
+                wi[cross] = _U(2**32) - (lo[cross] & _LOW)
+            at = used.take(need)
+            if self.decoding:
+                code[need] = (code.take(need) << _S32) | self.words.take(at)
             else:
-                self.words[which, at] = (lo >> _S32).astype(np.uint32)
-            self.used[which] = at + 1
+                self.words[at] = lo >> _S32
+            used[need] = at + 1
             low[need], width[need] = lo << _S32, wi << _S32
-        self.low[lane], self.range[lane] = low, width
-
-    def target(self, lane: np.ndarray | slice, shift: int) -> np.ndarray:
-        value = (self.code[lane] - self.low[lane]) // (self.range[lane] >> _U(shift))
-        return np.minimum(value, _U((1 << shift) - 1)).astype(np.int64)
 
     def finish(self) -> None:
-        rows = np.arange(len(self.low))
         for k in (0, 1):
-            self.words[rows, self.used] = (self.low >> _S32 if k == 0 else self.low & _LOW).astype(np.uint32)
+            self.words[self.used] = self.low >> _S32 if k == 0 else self.low & _LOW
             self.used += 1
 
 
-_ONE = 1 << 16
-_FIELD = 21  # three limits of 16 bits share one word, with room for weights of five bits
-_FIELDS = tuple(range(0, 3 * _FIELD, _FIELD))
-_DECAY = np.int64(sum(((1 << 16 - RATE) - 1) << f for f in _FIELDS))
-_EVEN = sum((k + 1) * _ONE // 4 << f for k, f in enumerate(_FIELDS))
-# What a distribution of four outcomes gains when outcome e occurs: it moves its limits above e up.
-_GAIN = np.array([sum((_ONE - 64 if k >= e else 32) >> RATE << f for k, f in enumerate(_FIELDS)) for e in range(4)])
-WEIGHT_EVERY = 8
-
-
 class _Models:
-    def __init__(self, lanes: int, id_bits: int):
-        self.row = np.arange(lanes)
-        self.shift = max(0, id_bits - LEADING_BITS)
-        self.second = np.zeros(lanes << TABLE_BITS, dtype=np.int32)  # id * 4 + confidence
-        self.first = np.zeros(lanes << TABLE_BITS, dtype=np.int32)
-        self.limits = [np.full(lanes * n, _EVEN, dtype=np.int64) for n in (8, 4, 4)]
-        self.weight = [np.full(lanes, _ONE // 3, dtype=np.int64) for _ in range(2)]
-        n = (1 << LEADING_BITS) + 1
-        self.lead = np.tile(np.arange(n, dtype=np.int32) * (_ONE // (n - 1)), (lanes, 1))
-        step = np.arange(n, dtype=np.int32)
-        self.lead_goal = np.stack([step + (step > s) * np.int32(_ONE - (n - 1)) for s in range(n - 1)])
-        self.lead_goal[:, -1] = _ONE
-        for name in ("usual", "votes", "last", "before", "before2"):
-            setattr(self, name, np.zeros(lanes, np.int64))
+    def __init__(self, lanes: int, id_bits: int, decoding: bool):
+        self.lanes, self.decoding = lanes, decoding
+        self.first_id, self.bits = _classes(id_bits)
+        self.none = len(self.bits) - 1  # the class of an id that a prediction gave
+        self.table1 = np.zeros(lanes << TABLE_BITS, dtype=np.int32)  # id * 4 + confidence
+        self.table2 = np.zeros(lanes << TABLE_BITS, dtype=np.int32)
+        self.seen = np.zeros((4, 4, 3, lanes), dtype=np.int32)  # by confidence of order 2, of order 1, outcome
+        self.total = [np.ones((n, 3, lanes), dtype=np.int32) for n in (4, 4, 1)]
+        self.given = [np.full((n, 3, lanes), (1 << _PARTS) // 3, dtype=np.int32) for n in (4, 4, 1)]
+        self.weight = [np.full(lanes, 85, dtype=np.int64) for _ in range(3)]
+        self.seen_class = np.zeros((self.none + 1, lanes), dtype=np.int32)
+        self.class_span = np.empty((self.none + 1, lanes), dtype=np.int32)  # start * 1024 + size
+        self.class_span[-1] = 1 << CLASS_BITS
         self.steps = 0
+        self.before, self.carried = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.spans()
         self.resize(lanes)
 
     def resize(self, lanes: int) -> None:
-        """Keep only the first lanes; blocks are in descending order of length."""
-        self.row = self.row[:lanes]
-        for name in ("usual", "votes", "last", "before", "before2"):
-            setattr(self, name, getattr(self, name)[:lanes])
-        self.weight = [w[:lanes] for w in self.weight]
-        self.base, self.row4, self.row8 = self.row << TABLE_BITS, self.row * 4, self.row * 8
-        self.bounds = np.zeros((5, lanes), dtype=np.int64)
-        self.bounds[4] = _ONE
-        self._weigh()
-
-    def _weigh(self) -> None:
-        self.share = [w >> 11 for w in self.weight]
-        self.share.append(32 - self.share[0] - self.share[1])
+        """Code only the first lanes from here on; blocks are in descending order of length."""
+        self.row = np.arange(lanes)
+        self.row32 = self.row.astype(np.int32)
+        self.base = self.row.astype(np.uint32) << np.uint32(TABLE_BITS)
+        self.before, self.carried = self.before[:lanes], self.carried[:lanes]
 
     def predict(self) -> None:
-        mask = (1 << TABLE_BITS) - 1
-        h = self.before * 0x9E3779B1
-        self.slot1 = self.base + ((h >> 15) & mask)
-        h += self.before2 * 0x85EBCA6B
-        self.slot2 = self.base + ((h >> 13) & mask)
-        s1, s2 = self.first.take(self.slot1), self.second.take(self.slot2)
-        self.p1, self.p2 = s1 >> 2, s2 >> 2
-        self.c1, self.c2 = s1 & 3, s2 & 3
-        self.at = [self.row8 + (self.c2 * 2 + (self.p1 == self.p2)), self.row4 + self.c1, self.row4 + self.last]
-        self.own = [m.take(a) for m, a in zip(self.limits, self.at)]
-        mixed = self.own[0] * self.share[0]
-        mixed += self.own[1] * self.share[1]
-        mixed += self.own[2] * self.share[2]
-        for k, f in enumerate(_FIELDS):  # the k + 1 keeps every outcome possible
-            np.add((mixed >> (f + 5)) & 0xFFFF, k + 1, out=self.bounds[k + 1])
-
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        out = np.where(ids == self.usual, 2, 3)
-        out[ids == self.p1] = 1
-        out[ids == self.p2] = 0
-        return out
-
-    def span(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = event * len(self.row) + self.row
-        flat = self.bounds.reshape(-1)
-        start = flat.take(at)
-        return start.view(_U), (flat.take(at + len(self.row)) - start).view(_U)
-
-    def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
-        self.steps += 1
-        if self.steps % WEIGHT_EVERY == 0:
-            given = [np.where(event == 3, _ONE, (o >> (np.minimum(event, 2) * _FIELD)) & 0xFFFF)
-                     - np.where(event == 0, 0, (o >> (np.maximum(event - 1, 0) * _FIELD)) & 0xFFFF) for o in self.own]
-            mean = sum(g * s for g, s in zip(given, self.share)) >> 5
-            for k in (0, 1):
-                w = self.weight[k]
-                self.weight[k] = np.clip(w + (w * (given[k] - mean) >> 17), 2048, 30_000)
-            self._weigh()
-        gain = _GAIN.take(event)
-        for m, at, own in zip(self.limits, self.at, self.own):
-            m[at] = own - ((own >> RATE) & _DECAY) + gain
-        self.last = event
+        h = self.before * np.uint32(0x9E3779B1)
+        self.slot1 = ((h >> np.uint32(32 - TABLE_BITS)) + self.base).astype(np.intp)
+        h += self.carried
+        self.slot2 = ((h >> np.uint32(32 - TABLE_BITS)) + self.base).astype(np.intp)
+        self.s1, self.s2 = self.table1.take(self.slot1), self.table2.take(self.slot2)
+        self.cell = (((self.s2 & 3) << 2) | (self.s1 & 3)) * np.int32(3 * self.lanes) + self.row32
+
+    def learn(self, event_at: np.ndarray, class_at: np.ndarray, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        self.seen.reshape(-1)[event_at] += 1
+        self.seen_class.reshape(-1)[class_at] += 1
         fresh = ids << 2
-        old1 = (self.p1 << 2) + np.minimum(self.c1 + 1, 3)
-        self.first[self.slot1] = np.where(ids == self.p1, old1, np.where(self.c1 > 1, old1 - self.c1, fresh))
-        self.second[self.slot2] = np.where(event == 0, (self.p2 << 2) + np.minimum(self.c2 + 1, 3), fresh)
-        votes = self.votes + np.where(ids == self.usual, 1, -1)
-        self.usual = np.where(votes < 0, ids, self.usual)
-        self.votes = np.abs(votes)
-        self.before2, self.before = self.before, ids
-
-    def lead_span(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rest = ids & ((1 << self.shift) - 1)
-        at = lane * self.lead.shape[1] + (ids >> self.shift)
-        flat = self.lead.reshape(-1)
-        start = flat.take(at).astype(np.int64)
-        size = flat.take(at + 1) - start
-        return ((start << self.shift) + rest * size).view(_U), size.view(_U)
-
-    def lead_find(self, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
-        high = target >> self.shift
-        lead = (self.lead[lane, 1:] <= high[:, None]).sum(axis=1)
-        start, end = self.lead[lane, lead].astype(np.int64), self.lead[lane, lead + 1].astype(np.int64)
-        return (lead << self.shift) + (target - (start << self.shift)) // (end - start)
-
-    def lead_learn(self, lane: np.ndarray, ids: np.ndarray) -> None:
-        own = self.lead.take(lane, axis=0)
-        goal = self.lead_goal.take(ids >> self.shift, axis=0)
-        goal -= own
-        goal >>= RATE
-        own += goal
-        self.lead[lane] = own
+        self.table1[self.slot1] = np.where(hit1, np.minimum(self.s1 + 1, self.s1 | 3), fresh)
+        self.table2[self.slot2] = np.where(hit2, np.minimum(self.s2 + 1, self.s2 | 3), fresh)
+        self.carried = self.before * np.uint32(0x85EBCA6B)
+        self.before = ids.view(np.uint32)
+        self.steps += 1
+        if self.steps % REFRESH == 0 or self.steps in (8, 16, 32):
+            self.count()
+            self.spans()
+
+    def count(self) -> None:
+        by2, by1 = self.seen.sum(axis=1, dtype=np.int32), self.seen.sum(axis=0, dtype=np.int32)
+        fresh = [by2, by1, by2.sum(axis=0, dtype=np.int32, keepdims=True)]
+        self.seen[:] = 0
+        gave = [w * (f * g).sum(axis=(0, 1), dtype=np.int64) for w, f, g in zip(self.weight, fresh, self.given)]
+        every = np.maximum(sum(gave), 1)
+        for k in (0, 1):
+            self.weight[k] = 8 + gave[k] * 232 // every
+        self.weight[2] = 256 - self.weight[0] - self.weight[1]
+        for k, f in enumerate(fresh):
+            self.total[k] += f
+            self.given[k] = (self.total[k] << _PARTS) // self.total[k].sum(axis=1, dtype=np.int32, keepdims=True)
+
+    def spans(self) -> None:
+        """Distributions from the counts; every outcome and class stays possible."""
+        w2, w1, w0 = (w.astype(np.int32) for w in self.weight)
+        mixed = (self.given[0] * w2)[:, None] + (self.given[1] * w1 + self.given[2] * w0)
+        every = 1 << EVENT_BITS
+        a, b = (1 + (mixed[:, :, e] * (every - 3) >> _PARTS + 8) for e in (0, 1))
+        self.event_span = np.stack([a, (a << 10) | b, ((a + b) << 10) | (every - a - b)], axis=2)
+        counts = self.seen_class[:-1] * 4 + 1
+        upto = np.cumsum(counts, axis=0, dtype=np.int32)
+        n = self.none
+        upto = upto * np.int32((1 << CLASS_BITS) - n) // upto[-1]
+        upto += np.arange(1, n + 1, dtype=np.int32)[:, None]
+        span = self.class_span[:-1]
+        span[0] = upto[0]
+        span[1:] = (upto[:-1] << 10) | (upto[1:] - upto[:-1])
+        if self.decoding:
+            mark = np.zeros((1 << CLASS_BITS, self.lanes), dtype=np.uint8)
+            mark.reshape(-1)[upto[:-1] * np.int64(self.lanes) + np.arange(self.lanes)] = 1
+            for above, here in zip(mark, mark[1:]):  # faster than accumulate along the first axis
+                here += above
+            self.class_at = mark
 
 
 def encode(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
     """The coded form of each block of ids below 2^id_bits; an empty block has the coder's ends alone, other ids raise."""
-    if not blocks:
-        return []
     if any(len(b) and (int(b.max()) >> id_bits or int(b.min()) < 0) for b in blocks):
         raise ValueError(f"an id does not fit {id_bits} bits")
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    size = np.array([len(blocks[k]) for k in order])
-    ids = np.zeros((int(size[0]), len(blocks)), dtype=np.int64)
-    for lane, k in enumerate(order):
-        ids[:len(blocks[k]), lane] = blocks[k]
-    m = _Models(len(blocks), id_bits)
-    # A step narrows by 16 bits at most for the outcome and 16 + shift bits for the id.
-    words = np.zeros((len(blocks), int(size[0]) * 2 + 4), dtype=np.uint32)
-    c = _Coder(len(blocks), words, False)
-    lanes = len(blocks)
-    for t in range(int(size[0])):
-        live = int(np.searchsorted(-size, -t, "left"))
-        if live < lanes:
-            lanes = live
-            m.resize(lanes)
-        now = ids[t, :lanes]
-        m.predict()
-        event = m.outcome(now)
-        c.step(slice(0, lanes), *m.span(event), 16, False)
-        miss = np.flatnonzero(event == 3)
-        if len(miss):
-            c.step(miss, *m.lead_span(miss, now[miss]), 16 + m.shift, False)
-            m.lead_learn(miss, now[miss])
-        m.learn(event, now)
-    c.finish()
     out: list[bytes] = [b""] * len(blocks)
-    for lane, k in enumerate(order):
-        out[k] = words[lane, :c.used[lane]].astype("<u4").tobytes()
+    for a in range(0, len(order), LANES):
+        some = order[a:a + LANES]
+        for k, coded in zip(some, _encode([blocks[k] for k in some], id_bits)):
+            out[k] = coded
     return out
 
 
+def _live(sizes: list[int]) -> list[int]:
+    """How many blocks, in descending order of length, have an id at each place."""
+    return np.searchsorted(-np.array(sizes), -np.arange(sizes[0]), "left").tolist()
+
+
+def _encode(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
+    live = _live([len(b) for b in blocks])
+    ids = np.zeros((len(blocks), len(live)), dtype=np.int32)
+    for lane, b in enumerate(blocks):
+        ids[lane, :len(b)] = b
+    ids = np.ascontiguousarray(ids.T)
+    m = _Models(len(blocks), id_bits, False)
+    deep = int(m.bits.max()) > _DEEP
+    c = _Coder(np.zeros((len(blocks), (1 + deep) * len(live) + 4), dtype=np.uint32), False)
+    lanes = 0
+    for t, n in enumerate(live):
+        if n != lanes:
+            lanes = n
+            m.resize(n)
+            c.resize(n)
+        now = ids[t, :n]
+        m.predict()
+        hit1, hit2 = (m.s1 >> 2) == now, (m.s2 >> 2) == now
+        missed = ~(hit1 | hit2)
+        event_at = m.cell + (missed * np.int64(2 * m.lanes) + (hit1 > hit2) * np.int64(m.lanes))
+        kind = np.where(missed, _class(now, id_bits), m.none)
+        class_at = kind * np.int64(m.lanes) + m.row
+        event, span = m.event_span.reshape(-1).take(event_at), m.class_span.reshape(-1).take(class_at)
+        size = event & _MASK
+        start = ((event >> 10) << CLASS_BITS) + (span >> 10) * size
+        rest = (now - m.first_id.take(kind)) * missed
+        low, width = c.now[:2]
+        unit = width >> _U(EVENT_BITS + CLASS_BITS)
+        low += start.astype(_U) * unit
+        unit *= (size * (span & _MASK)).astype(_U)
+        bits = m.bits.take(kind)
+        if deep:
+            below = np.maximum(bits - _DEEP, 0)
+            bits -= below
+            unit >>= bits.view(_U)
+            low += (rest >> below).view(_U) * unit
+            width[:] = unit
+            c.settle()
+            unit = width >> below.view(_U)
+            rest &= (1 << below) - 1
+        else:
+            unit >>= bits.view(_U)
+        low += rest.view(_U) * unit
+        width[:] = unit
+        c.settle()
+        m.learn(event_at, class_at, now, hit1, hit2)
+    c.finish()
+    words, begin = c.words.astype("<u4", copy=False), np.arange(len(blocks)) * c.width
+    return [words[a:b].tobytes() for a, b in zip(begin.tolist(), c.used.tolist())]
+
+
 def decode(coded: list[bytes], sizes: list[int], id_bits: int) -> list[np.ndarray]:
     """The ids of coded blocks with the given numbers of ids."""
-    if not coded:
-        return []
     order = sorted(range(len(coded)), key=lambda k: -sizes[k])
-    size = np.array([sizes[k] for k in order])
-    width = max(len(b) // 4 for b in coded) + 4
-    words = np.zeros((len(coded), width), dtype=np.uint32)
-    for lane, k in enumerate(order):
-        w = np.frombuffer(coded[k], dtype="<u4")
-        words[lane, :len(w)] = w
-    m, c = _Models(len(coded), id_bits), _Coder(len(coded), words, True)
-    ids = np.zeros((int(size[0]), len(coded)), dtype=np.int64)
-    lanes = len(coded)
-    for t in range(int(size[0])):
-        live = int(np.searchsorted(-size, -t, "left"))
-        if live < lanes:
-            lanes = live
-            m.resize(lanes)
-        m.predict()
-        every = slice(0, lanes)
-        target = c.target(every, 16)
-        event = (m.bounds[1:4] <= target).sum(axis=0)
-        c.step(every, *m.span(event), 16, True)
-        now = np.where(event == 0, m.p2, np.where(event == 1, m.p1, m.usual))
-        miss = np.flatnonzero(event == 3)
-        if len(miss):
-            found = m.lead_find(miss, c.target(miss, 16 + m.shift))
-            c.step(miss, *m.lead_span(miss, found), 16 + m.shift, True)
-            m.lead_learn(miss, found)
-            now[miss] = found
-        m.learn(event, now)
-        ids[t, :lanes] = now
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(coded)
-    for lane, k in enumerate(order):
-        out[k] = ids[:size[lane], lane]
+    for a in range(0, len(order), LANES):
+        some = order[a:a + LANES]
+        for k, ids in zip(some, _decode([coded[k] for k in some], [sizes[k] for k in some], id_bits)):
+            out[k] = ids
     return out
+
+
+def _decode(coded: list[bytes], sizes: list[int], id_bits: int) -> list[np.ndarray]:
+    live = _live(sizes)
+    words = np.zeros((len(coded), max(len(b) // 4 for b in coded) + 4), dtype=np.uint32)
+    for lane, b in enumerate(coded):
+        w = np.frombuffer(b, dtype="<u4")
+        words[lane, :len(w)] = w
+    m, c = _Models(len(coded), id_bits, True), _Coder(words, True)
+    deep = int(m.bits.max()) > _DEEP
+    ids = np.zeros((len(live), len(coded)), dtype=np.int32)
+    top = _U((1 << EVENT_BITS + CLASS_BITS) - 1)
+    lanes = 0
+    for t, n in enumerate(live):
+        if n != lanes:
+            lanes = n
+            m.resize(n)
+            c.resize(n)
+        m.predict()
+        low, width, _, code = c.now
+        unit = width >> _U(EVENT_BITS + CLASS_BITS)
+        left = code - low
+        target = np.minimum(left // unit, top).astype(np.int32)
+        spans = m.event_span.reshape(-1)
+        want = target >> CLASS_BITS
+        event_at = m.cell + np.int64(m.lanes)
+        middle = spans.take(event_at)
+        begin = middle >> 10
+        hit2 = want < begin
+        missed = want >= begin + (middle & _MASK)
+        event_at += (missed * np.int64(m.lanes) - hit2 * np.int64(m.lanes))
+        event = spans.take(event_at)
+        size = event & _MASK
+        begin = (event >> 10) << CLASS_BITS
+        place = (target - begin) // size
+        kind = np.where(missed, m.class_at.reshape(-1).take(place * np.int64(m.lanes) + m.row), m.none)
+        class_at = kind * np.int64(m.lanes) + m.row
+        span = m.class_span.reshape(-1).take(class_at)
+        gone = (begin + (span >> 10) * size).astype(_U) * unit
+        low += gone
+        left -= gone
+        unit *= (size * (span & _MASK)).astype(_U)
+        bits = m.bits.take(kind)
+        below = np.maximum(bits - _DEEP, 0) if deep else None
+        if deep:
+            bits -= below
+        unit >>= bits.view(_U)
+        rest = np.minimum(left // unit, ((1 << bits) - 1).view(_U))
+        low += rest * unit
+        width[:] = unit
+        c.settle()
+        if deep:
+            unit = width >> below.view(_U)
+            more = np.minimum((code - low) // unit, ((1 << below) - 1).view(_U))
+            low += more * unit
+            width[:] = unit
+            c.settle()
+            rest = (rest << below.view(_U)) | more
+        literal = m.first_id.take(kind) + rest.view(np.int64)
+        p1, p2 = m.s1 >> 2, m.s2 >> 2
+        now = np.where(missed, literal.astype(np.int32), np.where(hit2, p2, p1))
+        m.learn(event_at, class_at, now, p1 == now, hit2)
+        ids[t, :n] = now
+    ids = np.ascontiguousarray(ids.T)
+    return [ids[lane, :s].astype(np.int64) for lane, s in enumerate(sizes)]

@@ -17,7 +17,9 @@ their own; an empty table gives an empty folder of the same schema; extra column
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -29,48 +31,222 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import range_coder
-from panelspark.llm.common import join_small, pieces, strings
+from panelspark.llm.common import join_small, pieces
 
 BLOCK_IDS = 1_024
-GROUP_BLOCKS = 8_192
+GROUP_BLOCKS = 4_096
 CACHE_UNITS = 400_000
-LONG_UNIT = 64
 
 _POLY = 0xEDB88320
 
 
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_GAP, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte of UTF-8, and what it becomes in a lower-cased plain unit."""
+    kind, lower = np.full(256, _ODD, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    kind[33:127] = _SIGN
+    kind[[ord("'"), ord("<")]] = _ODD  # contractions, special tokens
+    kind[ord("0"):ord("9") + 1] = _DIGIT
+    kind[ord("a"):ord("z") + 1] = kind[ord("A"):ord("Z") + 1] = _LETTER
+    kind[0xC3] = kind[0x80:0xC0] = _LETTER  # from À to ÿ
+    kind[[ord(" "), ord("\n")]] = _GAP
+    lower[ord("A"):ord("Z") + 1] += 32
+    lower[0x80:0x9F] += 32
+    return kind, lower
+
+
+_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_KIND, _LOWER = (a.tobytes() for a in _byte_kinds())
+_UNITS = bytes(_GAP if b in b" \n" else _ODD for b in range(256))
+
+
+def cut(texts: pa.Array, plain: bool) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in a row, and the place after the last word of each text.
+
+    Units are cut at spaces and line breaks. A plain unit, of letters from A to ÿ, digits and most signs of ASCII,
+    is lower-cased and cut on into runs of letters, single digits and runs of signs. Others stay as they are.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = pa.concat_arrays([texts]).buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0]:edges[-1]] if data is not None and len(texts) else np.empty(0, np.uint8)
+    edges = edges - edges[0] if len(edges) else np.zeros(1, np.int64)
+    n = len(raw)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    whole = raw.tobytes()
+    kind = np.frombuffer(bytearray(whole.translate(_KIND if plain else _UNITS)), np.uint8)
+    sign = np.flatnonzero((raw == 0x97) | (raw == 0xB7))  # × and ÷ after the byte of the letters
+    kind[sign[raw[sign - 1] == 0xC3]] = _ODD
+    first = np.zeros(n + 1, dtype=bool)
+    first[edges] = True
+    full = kind != _GAP
+    change = np.empty(n, dtype=bool)
+    change[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=change[1:])
+    change |= kind == _DIGIT
+    change |= first[:n]
+    change &= full
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        begins = full.copy()  # of units
+        begins[1:] &= ~full[:-1] | first[1:n]
+        at = np.flatnonzero(begins)
+        which = np.unique(np.searchsorted(at, odd, "right") - 1)
+        mark = np.zeros(n + 1, dtype=np.int8)
+        mark[at[which]] += 1
+        mark[np.append(at, n)[which + 1]] -= 1  # the next unit: gaps before it don't count
+        inside = np.cumsum(mark[:n], dtype=np.int8).view(bool)
+        change = np.where(inside, begins, change)
+        lower = np.frombuffer(whole.translate(_LOWER), np.uint8)
+        words = np.where(inside, raw, lower).tobytes().translate(None, b" \n")
+    else:
+        words = whole.translate(_LOWER, b" \n")
+    ends = np.append(np.flatnonzero(change[full]), len(words)).astype(np.int32)
+    return (pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(words)]),
+            np.searchsorted(np.flatnonzero(change), edges[1:]))
+
+
 class Units(dict):
-    """Ids of units of text as bytes of little-endian unsigned 32-bit integers."""
+    """The number of each known word of `cut`; number k has `length[k]` ids from `start[k]` in `flat`.
+
+    The library encodes new words of letters side by side in one text, where just the last id of a word ends
+    it, and other words one by one. For a file that does not cut and lower-case as `cut` does, words are whole units.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer  # reads the setting when it is first used
+        from tokenizers import Tokenizer, pre_tokenizers  # reads the setting when it is first used
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.older: dict[str, bytes] = {}
-        super().__init__({"": b""})
-
-    def __missing__(self, unit: str) -> bytes:
-        got = self.older.get(unit)
-        if got is None:
-            body = unit[:-1]
-            # Letters and one sign after them are separate words to the tokenizer; it lower-cases.
-            if unit.isascii() and body.isalpha() and unit[-1] in ".,!?;:":
-                got = self[body.lower()] + self[unit[-1]]
-            elif unit.isascii() and unit.isalpha() and not unit.islower():
-                got = self[unit.lower()]
-            else:
-                ids = self.library.encode(unit, add_special_tokens=False).ids
-                got = np.array(ids, dtype="<u4").tobytes()
-        if len(unit) <= LONG_UNIT:
-            if len(self) >= CACHE_UNITS:  # units that are still in use come back from the older half
-                self.older = dict(self)
-                self.clear()
-                self[""] = b""
-            self[unit] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        with open(tokenizer_file, encoding="utf-8") as f:
+            made = json.load(f)
+        suffix = made["model"].get("end_of_word_suffix")
+        steps = [n.get("type") for n in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(c.get("pattern"), c.get("use_regex")) for c in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.splits = (steps == ["NFC", "Replace", "Lowercase"] and cuts == [({"Regex": _CUT}, None), (None, False)]
+                       and made["post_processor"] is None and made["model"]["type"] == "BPE" and bool(suffix)
+                       and not made["model"].get("dropout") and all("<" in t["content"] for t in made["added_tokens"]))
+        if self.splits:
+            self.words = Tokenizer.from_file(tokenizer_file)
+            self.words.normalizer = None  # words are normal already
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            shown = {b: level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)}
+            self.shown = [(chr(b), c) for b, c in shown.items() if chr(b) != c and b >= 0x9F]
+            self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+            self.ends[[k for t, k in made["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.new: list[str] = []
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.flat, self.filled = np.empty(1 << 16, dtype=np.uint32), 0
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = k = len(self)
+        self.new.append(unit)
+        return k
+
+    def add(self, ids: list[list[int]], keys: list) -> None:
+        self.update(zip(keys, range(len(self), len(self) + len(keys))))
+        self._room()
+        self._store([self[k] for k in keys], np.array([len(x) for x in ids]), np.array([i for x in ids for i in x]))
+
+    def _room(self) -> None:
+        more = len(self) - len(self.start)
+        self.start, self.length = (np.append(a, np.zeros(more, np.int64)) for a in (self.start, self.length))
+
+    def _store(self, numbers: list[int] | np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        upto = np.cumsum(lengths)
+        self.start[numbers], self.length[numbers] = self.filled + upto - lengths, lengths
+        if self.filled + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(len(self.flat) + len(ids), np.uint32))
+        self.flat[self.filled:self.filled + len(ids)] = ids
+        self.filled += len(ids)
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units in a row, and the place after each."""
+        lengths = self.length.take(numbers)
+        upto = np.cumsum(lengths)
+        at = np.repeat(self.start.take(numbers) - (upto - lengths), lengths)
+        at += np.arange(len(at))
+        return self.flat.take(at), upto
+
+    def _ask(self, asked: list[str]) -> None:
+        """Units as they are, each by itself."""
+        for k in range(0, len(asked), 4096):
+            some = asked[k:k + 4096]
+            ids = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            self._store([self[u] for u in some], np.array([len(x) for x in ids]), np.array([i for x in ids for i in x]))
+
+    def _shown(self, row: str) -> str:
+        """Lower-case letters from a to ÿ as the letters that the tokenizer has for their bytes."""
+        if not row.isascii():
+            row = row.encode().decode("latin-1")
+            for byte, letter in self.shown:
+                row = row.replace(byte, letter)
+        return row
+
+    def _ask_words(self, asked: list[str]) -> None:
+        rows = [self._shown(" ".join(asked[k:k + 64])) for k in range(0, len(asked), 64)]
+        ids = np.array([i for e in self.words.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], dtype=np.int64)
+        ends = np.flatnonzero(self.ends.take(ids)) + 1
+        if len(ends) != len(asked):
+            raise ValueError(f"{len(asked)} words, {len(ends)} ends of words")
+        self._store([self[u] for u in asked], np.diff(ends, prepend=0), ids)
+
+    def learn(self) -> None:
+        """Find the ids of the new words."""
+        words, self.new = self.new, []
+        self._room()
+        letters, others = [], words
+        if self.splits:
+            letters, others = [], []
+            for w in words:
+                (letters if _WORD(w) else others).append(w)
+        if letters:
+            self._ask_words(letters)
+        if others:
+            self._ask(others)
+
+    def forget(self) -> None:
+        """Keep the words of more than one batch, at most half as many as the cache holds."""
+        uses, keys = self.uses, list(self)
+        kept = np.flatnonzero(uses > 1)
+        kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[:CACHE_UNITS // 2]])
+        lengths, (ids, _) = self.length[kept], self._ids(kept)
+        names = [keys[k] for k in kept.tolist()]
+        self.clear()
+        fresh = [k for k, u in enumerate(names) if u not in self]
+        if len(fresh) < len(names):
+            edge = np.append(0, np.cumsum(lengths))
+            ids = np.concatenate([ids[edge[k]:edge[k + 1]] for k in fresh] or [ids[:0]])
+            names, lengths = [names[k] for k in fresh], lengths[fresh]
+        self.update(zip(names, range(len(self), len(self) + len(names))))
+        self._room()
+        self._store(np.arange(len(self) - len(names), len(self)), lengths, ids)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, an end id after each, in a row, and the number of ids of each text."""
+        if len(self) > CACHE_UNITS:
+            self.forget()
+        if end_id not in self:  # a key that no text has
+            self.add([[end_id]], [end_id])
+        words, ends = cut(texts, self.splits)
+        coded = words.dictionary_encode()
+        numbers = np.fromiter(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
+        if self.new:
+            self.learn()
+        self.uses = np.append(self.uses, np.zeros(len(self) - len(self.uses), np.int64))
+        self.uses[numbers] += 1
+        numbers = np.insert(numbers.take(coded.indices.to_numpy()), ends, self[end_id])
+        ids, upto = self._ids(numbers)
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 @cache
@@ -90,50 +266,45 @@ def blocks(docs: DataFrame, tokenizer_file: str, end_id: int, id_bits: int, id_c
     """The rows of the files: documents sorted by id, encoded, cut into blocks and coded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known = TaskContext.get().partitionId(), units(tokenizer_file)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        held: list[tuple[int | None, int, bytes]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # ids of documents, numbers of their ids, their ids
         size = ordinal = block = 0
 
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, block
+        def cut_blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, ordinal, block
             if not size:
                 return
-            ids = np.frombuffer(b"".join(h[2] for h in held), dtype="<u4")
-            take = len(ids) if last else len(ids) // BLOCK_IDS * BLOCK_IDS
-            edges = list(range(0, take, BLOCK_IDS))
-            parts = [ids[k:min(k + BLOCK_IDS, take)] for k in edges]
-            sums = [zlib.crc32(p.tobytes()) for p in parts]
-            coded = range_coder.encode(parts, id_bits)
-            per = [([], [], []) for _ in edges]
-            at, rest = 0, []
-            for doc, number, data in held:
-                n = len(data) // 4
-                a, b = at, at + n
-                while a < min(b, take):
-                    k = a // BLOCK_IDS
-                    stop = min(b, (k + 1) * BLOCK_IDS, take)
-                    for column, v in zip(per[k], (doc, number, stop - a)):
-                        column.append(v)
-                    a = stop
-                if b > take:
-                    rest.append((doc, number, data[4 * (max(take, at) - at):]))
-                at = b
-            rows = [[part] * len(edges), list(range(block, block + len(edges))), [len(p) for p in parts],
-                    [id_bits] * len(edges), coded, sums, *(list(c) for c in zip(*per))]
-            block += len(edges)
-            held, size = rest, len(ids) - take
-            yield from pa.table([pa.array(r, f.type) for r, f in zip(rows, _ARROW)], schema=_ARROW).to_batches(1024)
+            docs, sizes = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            ids = np.concatenate([h[2] for h in held])
+            take = size if last else size // BLOCK_IDS * BLOCK_IDS
+            edges = np.arange(0, take, BLOCK_IDS)
+            parts = [ids[k:min(k + BLOCK_IDS, take)] for k in edges.tolist()]
+            upto = np.cumsum(sizes)
+            begin = np.unique(np.concatenate([edges, (upto - sizes)[upto - sizes < take]]))
+            doc = np.searchsorted(upto, begin, "right")
+            rows = pa.array(np.append(np.searchsorted(begin, edges), len(begin)), pa.int32())
+            n = len(edges)
+            columns = [np.full(n, part), block + np.arange(n), [len(p) for p in parts], np.full(n, id_bits),
+                       range_coder.encode(parts, id_bits), [zlib.crc32(p.astype("<u4", copy=False)) for p in parts]]
+            lists = [docs.take(pa.array(doc)), pa.array(ordinal + doc, pa.int64()),
+                     pa.array(np.diff(np.append(begin, take)), pa.int32())]
+            block += n
+            done = int(np.searchsorted(upto, take, "right"))
+            ordinal += done
+            left = sizes[done:].copy()
+            if len(left):
+                left[0] = upto[done] - take
+            held, size = [(docs[done:], left, ids[take:].copy())], size - take
+            yield from pa.Table.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _ARROW)),
+                                             *(pa.ListArray.from_arrays(rows, v) for v in lists)], schema=_ARROW).to_batches(1024)
 
         for batch in batches:
-            for piece in pieces(batch, 256, text_col):
-                for doc, text in zip(piece.column(id_col).to_pylist(), strings(piece, text_col)):
-                    data = known.encode(text) + end
-                    held.append((doc, ordinal, data))
-                    size += len(data) // 4
-                    ordinal += 1
+            for piece in pieces(batch, 1024, text_col, 4 << 20):
+                ids, sizes = known.encode(piece.column(text_col), end_id)
+                held.append((piece.column(id_col), sizes, ids))
+                size += len(ids)
                 if size >= BLOCK_IDS * GROUP_BLOCKS:
-                    yield from cut(False)
-        yield from cut(True)
+                    yield from cut_blocks(False)
+        yield from cut_blocks(True)
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     return rows.repartitionByRange(id_col).sortWithinPartitions(id_col, text_col).mapInArrow(run, _BLOCKS)
@@ -144,53 +315,62 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_bits:
     blocks(docs, tokenizer_file, end_id, id_bits, id_col, text_col).write.parquet(path)
 
 
-def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
-    rows = batch.to_pylist()
-    for bits in {r["id_bits"] for r in rows}:
-        mine = [r for r in rows if r["id_bits"] == bits]
-        found = range_coder.decode([r["payload"] for r in mine], [r["n_ids"] for r in mine], bits)
-        for r, ids in zip(mine, found):
-            data = ids.astype("<u4")
-            if zlib.crc32(data.tobytes()) != r["checksum"]:
-                raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
-            yield r, data
+def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the blocks in a row, the edges of the pieces of documents in them, and the block of each piece."""
+    columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "block", "n_ids", "id_bits", "checksum")}
+    payloads, sizes = batch.column("payload").to_pylist(), columns["n_ids"].tolist()
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(payloads)
+    for bits in np.unique(columns["id_bits"]).tolist():
+        mine = np.flatnonzero(columns["id_bits"] == bits).tolist()
+        for k, ids in zip(mine, range_coder.decode([payloads[k] for k in mine], [sizes[k] for k in mine], bits)):
+            found[k] = ids
+    ids = np.concatenate([np.empty(0, np.int64), *found]).astype("<u4")
+    at = 0
+    for k, (n, checksum) in enumerate(zip(sizes, columns["checksum"].tolist())):
+        if zlib.crc32(ids[at:at + n]) != checksum:
+            raise ValueError(f"block {columns['block'][k]} of part {columns['part'][k]} is damaged")
+        at += n
+    pieces_of = np.diff(batch.column("sizes").offsets.to_numpy())
+    return ids, np.append(0, np.cumsum(batch.column("sizes").flatten().to_numpy())), np.repeat(np.arange(len(sizes)), pieces_of)
 
 
 @cache
-def _shift(length: int) -> tuple[int, ...]:
-    """The map of a crc32 register over `length` zero bytes: what each of its 32 bits becomes."""
-    step = [_POLY if k == 0 else 1 << (k - 1) for k in range(32)]  # one zero bit
-    out = [1 << k for k in range(32)]
-    n = 8 * length
-
-    def apply(m, v):
-        r, k = 0, 0
-        while v:
-            if v & 1:
-                r ^= m[k]
-            v >>= 1
-            k += 1
-        return r
-    while n:
-        if n & 1:
-            out = [apply(step, v) for v in out]
-        step = [apply(step, v) for v in step]
-        n >>= 1
-    return tuple(out)
+def _longer(power: int) -> np.ndarray:
+    """What 2^power zero bytes more make of a crc32 register, by each of its four bytes."""
+    if power:
+        half = _longer(power - 1)
+        return np.stack([_moved(row, half) for row in half])
+    table = np.arange(256, dtype=np.uint32)
+    out = [table << np.uint32(8 * k) for k in range(4)]
+    for _ in range(8):
+        out = [(r >> np.uint32(1)) ^ (r & np.uint32(1)) * np.uint32(_POLY) for r in out]
+    return np.stack(out)
+
+
+def _moved(crc: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = table[0].take(crc & np.uint32(255))
+    for k in (1, 2, 3):
+        out = out ^ table[k].take((crc >> np.uint32(8 * k)) & np.uint32(255))
+    return out
+
+
+def _joined(crc: np.ndarray, length: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """crc32 of concatenations of parts in a row, each from its first part, by the parts' crc32 and length in bytes."""
+    upto = np.cumsum(length)
+    after = np.repeat(np.append(upto[begin[1:] - 1], upto[-1]), np.diff(np.append(begin, len(crc)))) - upto
+    crc = crc.astype(np.uint32)
+    for power in range(int(after.max()).bit_length()):
+        at = np.flatnonzero(after >> power & 1)
+        crc[at] = _moved(crc[at], _longer(power))
+    return np.bitwise_xor.reduceat(crc, begin)
 
 
 def joined_crc(parts: list[tuple[int, int]]) -> int:
     """crc32 of a concatenation from each part's crc32 and length in bytes, in order."""
-    total = 0
-    for crc, length in parts:
-        moved, k, m = 0, 0, _shift(length)
-        while total:
-            if total & 1:
-                moved ^= m[k]
-            total >>= 1
-            k += 1
-        total = moved ^ crc
-    return total
+    if not parts:
+        return 0
+    crc, length = (np.array(x, dtype=np.int64) for x in zip(*parts))
+    return int(_joined(crc, length, np.zeros(1, np.int64))[0])
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -198,15 +378,15 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, GROUP_BLOCKS):
-                for r, ids in _decoded(piece):
-                    edge = np.cumsum([0, *r["sizes"]])
-                    n = len(r["sizes"])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["part"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int64()),
-                         pa.array(edge[:-1], pa.int32()), pa.array(r["doc_ids"], pa.int64()),
-                         pa.array(r["ordinals"], pa.int64()),
-                         pa.array([ids[a:b] for a, b in zip(edge, edge[1:])], pa.list_(pa.int64()))],
-                        names=["part", "block", "at", "doc_id", "ordinal", "ids"])
+                ids, edges, of = _decoded(piece)
+                block = pa.array(of)
+                offset = np.append(0, np.cumsum(piece.column("n_ids").to_numpy()))[of]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("part").take(block), piece.column("block").take(block),
+                     pa.array(edges[:-1] - offset, pa.int32()), piece.column("doc_ids").flatten(),
+                     piece.column("ordinals").flatten(),
+                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int64()))],
+                    names=["part", "block", "at", "doc_id", "ordinal", "ids"])
     return files.mapInArrow(run, "part int, block long, at int, doc_id long, ordinal long, ids array<long>")
 
 
@@ -215,16 +395,15 @@ def _sums(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, GROUP_BLOCKS):
-                out: list[tuple] = []
-                for r, ids in _decoded(piece):
-                    data, at = ids.tobytes(), 0
-                    for doc, number, n in zip(r["doc_ids"], r["ordinals"], r["sizes"]):
-                        out.append((r["part"], number, doc, r["block"] * BLOCK_IDS + at,
-                                    zlib.crc32(data[4 * at:4 * (at + n)]), n))
-                        at += n
-                cols = list(zip(*out)) or [()] * 6
+                ids, edges, of = _decoded(piece)
+                upto = np.cumsum(piece.column("n_ids").to_numpy(), dtype=np.int64)
+                before = upto - piece.column("n_ids").to_numpy()
+                first = piece.column("block").to_numpy()[of] * BLOCK_IDS + edges[:-1] - before[of]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])],
+                    [piece.column("part").take(pa.array(of)), piece.column("ordinals").flatten(),
+                     piece.column("doc_ids").flatten(), pa.array(first), pa.array(crc, pa.int64()),
+                     pa.array(np.diff(edges), pa.int64())],
                     names=["part", "ordinal", "doc_id", "first", "crc", "n"])
     return files.mapInArrow(run, "part int, ordinal long, doc_id long, first long, crc long, n long")
 
@@ -240,7 +419,12 @@ def digests(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = [joined_crc([(p["crc"], 4 * p["n"]) for p in ps]) for ps in batch.column("pieces").to_pylist()]
+            if not batch.num_rows:
+                continue
+            found = batch.column("pieces")
+            crc, n = (found.flatten().field(c).to_numpy() for c in ("crc", "n"))
+            begin = found.offsets.to_numpy()[:-1]
+            crc = _joined(crc, 4 * n, begin - begin[0])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "first", "n_tokens")),
                                               pa.array(crc, pa.int64())],
                                              names=["part", "doc_id", "first", "n_tokens", "ids_crc32"])

@@ -11,8 +11,8 @@ the outcomes. When none holds, the id is coded by the order-0 model: an adaptive
 its class, then evenly within it. A class holds the ids between two half powers of two, since the
 ids of a learned vocabulary ascend as their frequency falls.
 
-The predictions learn from every id, the distributions are made anew from their counts after 8, 16
-and 32 ids and then after every 64 ids, which costs a lane little and the decoder repeats.
+The predictions learn from every id, the distributions are made anew from their counts after 8, 16,
+32 and 64 ids and then after every REFRESH ids, which costs a lane little and the decoder repeats.
 
 All arithmetic is on integers, so that decoding is exact on any machine. The coder keeps a low end
 and a range of 64 bits and puts out words of 32 bits.
@@ -27,13 +27,15 @@ import numpy as np
 LANES = 2_048
 TABLE_BITS = 7
 EVENT_BITS = 9
-CLASS_BITS = 9
-REFRESH = 64
+CLASS_BITS = 8
+REFRESH = 128
 _DEEP = 32 - EVENT_BITS - CLASS_BITS  # bits within a class that the step of its id has room for
 _U = np.uint64
 _LOW = _U(2**32 - 1)
 _S32 = _U(32)
+_ONE = _U(1)
 _MASK = 1023
+_STEP = np.array([1, 2, 3, 3, 0], dtype=np.int32)  # the next confidence by the last one; 0 after another id
 _PARTS = 12  # probabilities before they are mixed
 
 
@@ -102,17 +104,20 @@ class _Coder:
 class _Models:
     def __init__(self, lanes: int, id_bits: int, decoding: bool):
         self.lanes, self.decoding = lanes, decoding
-        self.first_id, self.bits = _classes(id_bits)
+        self.first_id, self.bits = (a.astype(np.int32) for a in _classes(id_bits))
         self.none = len(self.bits) - 1  # the class of an id that a prediction gave
         self.table1 = np.zeros(lanes << TABLE_BITS, dtype=np.int32)  # id * 4 + confidence
         self.table2 = np.zeros(lanes << TABLE_BITS, dtype=np.int32)
+        self.events = np.empty((REFRESH, lanes), dtype=np.int64)  # since the last count: where they are in event_span,
+        self.kinds = np.empty((REFRESH, lanes), dtype=np.int64)  # and in class_span
+        self.held = 0
         self.seen = np.zeros((4, 4, 3, lanes), dtype=np.int32)  # by confidence of order 2, of order 1, outcome
         self.total = [np.ones((n, 3, lanes), dtype=np.int32) for n in (4, 4, 1)]
         self.given = [np.full((n, 3, lanes), (1 << _PARTS) // 3, dtype=np.int32) for n in (4, 4, 1)]
         self.weight = [np.full(lanes, 85, dtype=np.int64) for _ in range(3)]
         self.seen_class = np.zeros((self.none + 1, lanes), dtype=np.int32)
-        self.class_span = np.empty((self.none + 1, lanes), dtype=np.int32)  # start * 1024 + size
-        self.class_span[-1] = 1 << CLASS_BITS
+        self.class_span = np.empty((self.none + 1, lanes), dtype=np.int32)  # start, size and bits within in 10, 10 and 5 bits
+        self.class_span[-1] = 1 << CLASS_BITS + 5
         self.steps = 0
         self.before, self.carried = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.spans()
@@ -120,6 +125,8 @@ class _Models:
 
     def resize(self, lanes: int) -> None:
         """Code only the first lanes from here on; blocks are in descending order of length."""
+        if self.held:
+            self.tally()  # no more than that: what a block learns must not depend on the others
         self.row = np.arange(lanes)
         self.row32 = self.row.astype(np.int32)
         self.base = self.row.astype(np.uint32) << np.uint32(TABLE_BITS)
@@ -133,23 +140,34 @@ class _Models:
         self.s1, self.s2 = self.table1.take(self.slot1), self.table2.take(self.slot2)
         self.cell = (((self.s2 & 3) << 2) | (self.s1 & 3)) * np.int32(3 * self.lanes) + self.row32
 
-    def learn(self, event_at: np.ndarray, class_at: np.ndarray, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        self.seen.reshape(-1)[event_at] += 1
-        self.seen_class.reshape(-1)[class_at] += 1
+    def learn(self, event_at: np.ndarray, class_at: np.ndarray, ids: np.ndarray) -> None:
+        n = len(ids)
+        self.events[self.held, :n], self.kinds[self.held, :n] = event_at, class_at
+        self.held += 1
         fresh = ids << 2
-        self.table1[self.slot1] = np.where(hit1, np.minimum(self.s1 + 1, self.s1 | 3), fresh)
-        self.table2[self.slot2] = np.where(hit2, np.minimum(self.s2 + 1, self.s2 | 3), fresh)
+        for table, slot, was in ((self.table1, self.slot1, self.s1), (self.table2, self.slot2, self.s2)):
+            was ^= fresh
+            table[slot] = fresh + _STEP.take(np.minimum(was, 4))
         self.carried = self.before * np.uint32(0x85EBCA6B)
         self.before = ids.view(np.uint32)
         self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps in (8, 16, 32):
+        if self.steps % REFRESH == 0 or self.steps in (8, 16, 32, 64):
             self.count()
             self.spans()
 
+    def tally(self) -> None:
+        n = self.lanes
+        seen, kinds = (np.bincount(a[:self.held, :len(self.row)].reshape(-1), minlength=k * n).astype(np.int32).reshape(k, n)
+                       for a, k in ((self.events, 48), (self.kinds, self.none + 1)))
+        self.held = 0
+        self.seen_class += kinds
+        self.seen += seen.reshape(4, 4, 3, n)
+
     def count(self) -> None:
+        self.tally()
         by2, by1 = self.seen.sum(axis=1, dtype=np.int32), self.seen.sum(axis=0, dtype=np.int32)
-        fresh = [by2, by1, by2.sum(axis=0, dtype=np.int32, keepdims=True)]
         self.seen[:] = 0
+        fresh = [by2, by1, by2.sum(axis=0, dtype=np.int32, keepdims=True)]
         gave = [w * (f * g).sum(axis=(0, 1), dtype=np.int64) for w, f, g in zip(self.weight, fresh, self.given)]
         every = np.maximum(sum(gave), 1)
         for k in (0, 1):
@@ -172,8 +190,9 @@ class _Models:
         upto = upto * np.int32((1 << CLASS_BITS) - n) // upto[-1]
         upto += np.arange(1, n + 1, dtype=np.int32)[:, None]
         span = self.class_span[:-1]
-        span[0] = upto[0]
-        span[1:] = (upto[:-1] << 10) | (upto[1:] - upto[:-1])
+        span[0] = upto[0] << 5
+        span[1:] = (upto[:-1] << 15) | ((upto[1:] - upto[:-1]) << 5)
+        span |= self.bits[:-1, None]
         if self.decoding:
             mark = np.zeros((1 << CLASS_BITS, self.lanes), dtype=np.uint8)
             mark.reshape(-1)[upto[:-1] * np.int64(self.lanes) + np.arange(self.lanes)] = 1
@@ -184,7 +203,8 @@ class _Models:
 
 def encode(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
     """The coded form of each block of ids below 2^id_bits; an empty block has the coder's ends alone, other ids raise."""
-    if any(len(b) and (int(b.max()) >> id_bits or int(b.min()) < 0) for b in blocks):
+    flat = np.concatenate([np.empty(0, np.uint8), *blocks])
+    if len(flat) and (int(flat.max()) >> id_bits or int(flat.min()) < 0):
         raise ValueError(f"an id does not fit {id_bits} bits")
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     out: list[bytes] = [b""] * len(blocks)
@@ -208,6 +228,7 @@ def _encode(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
     ids = np.ascontiguousarray(ids.T)
     m = _Models(len(blocks), id_bits, False)
     deep = int(m.bits.max()) > _DEEP
+    kinds, none = _class(ids, id_bits), np.uint8(m.none)
     c = _Coder(np.zeros((len(blocks), (1 + deep) * len(live) + 4), dtype=np.uint32), False)
     lanes = 0
     for t, n in enumerate(live):
@@ -217,35 +238,35 @@ def _encode(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
             c.resize(n)
         now = ids[t, :n]
         m.predict()
-        hit1, hit2 = (m.s1 >> 2) == now, (m.s2 >> 2) == now
-        missed = ~(hit1 | hit2)
-        event_at = m.cell + (missed * np.int64(2 * m.lanes) + (hit1 > hit2) * np.int64(m.lanes))
-        kind = np.where(missed, _class(now, id_bits), m.none)
-        class_at = kind * np.int64(m.lanes) + m.row
+        other1, other2 = (m.s1 >> 2) != now, (m.s2 >> 2) != now
+        missed = other1 & other2
+        event_at = (m.cell + (other2.view(np.int8) + missed.view(np.int8)) * np.int32(m.lanes)).astype(np.intp)
+        kind = np.where(missed, kinds[t, :n], none)
+        class_at = (kind * np.int32(m.lanes) + m.row32).astype(np.intp)
         event, span = m.event_span.reshape(-1).take(event_at), m.class_span.reshape(-1).take(class_at)
         size = event & _MASK
-        start = ((event >> 10) << CLASS_BITS) + (span >> 10) * size
+        start = ((event >> 10) << CLASS_BITS) + (span >> 15) * size
         rest = (now - m.first_id.take(kind)) * missed
         low, width = c.now[:2]
         unit = width >> _U(EVENT_BITS + CLASS_BITS)
         low += start.astype(_U) * unit
-        unit *= (size * (span & _MASK)).astype(_U)
-        bits = m.bits.take(kind)
+        unit *= (size * ((span >> 5) & _MASK)).astype(_U)
+        bits = span & 31
         if deep:
             below = np.maximum(bits - _DEEP, 0)
             bits -= below
-            unit >>= bits.view(_U)
-            low += (rest >> below).view(_U) * unit
+            unit >>= bits.astype(_U)
+            low += (rest >> below).astype(_U) * unit
             width[:] = unit
             c.settle()
-            unit = width >> below.view(_U)
+            unit = width >> below.astype(_U)
             rest &= (1 << below) - 1
         else:
-            unit >>= bits.view(_U)
-        low += rest.view(_U) * unit
+            unit >>= bits.astype(_U)
+        low += rest.astype(_U) * unit
         width[:] = unit
         c.settle()
-        m.learn(event_at, class_at, now, hit1, hit2)
+        m.learn(event_at, class_at, now)
     c.finish()
     words, begin = c.words.astype("<u4", copy=False), np.arange(len(blocks)) * c.width
     return [words[a:b].tobytes() for a, b in zip(begin.tolist(), c.used.tolist())]
@@ -270,7 +291,7 @@ def _decode(coded: list[bytes], sizes: list[int], id_bits: int) -> list[np.ndarr
         words[lane, :len(w)] = w
     m, c = _Models(len(coded), id_bits, True), _Coder(words, True)
     deep = int(m.bits.max()) > _DEEP
-    ids = np.zeros((len(live), len(coded)), dtype=np.int32)
+    ids, none = np.zeros((len(live), len(coded)), dtype=np.int32), np.uint8(m.none)
     top = _U((1 << EVENT_BITS + CLASS_BITS) - 1)
     lanes = 0
     for t, n in enumerate(live):
@@ -285,43 +306,40 @@ def _decode(coded: list[bytes], sizes: list[int], id_bits: int) -> list[np.ndarr
         target = np.minimum(left // unit, top).astype(np.int32)
         spans = m.event_span.reshape(-1)
         want = target >> CLASS_BITS
-        event_at = m.cell + np.int64(m.lanes)
-        middle = spans.take(event_at)
+        middle = spans.take(m.cell + np.int32(m.lanes))
         begin = middle >> 10
         hit2 = want < begin
         missed = want >= begin + (middle & _MASK)
-        event_at += (missed * np.int64(m.lanes) - hit2 * np.int64(m.lanes))
+        event_at = (m.cell + (missed.view(np.int8) - hit2.view(np.int8) + np.int8(1)) * np.int32(m.lanes)).astype(np.intp)
         event = spans.take(event_at)
         size = event & _MASK
         begin = (event >> 10) << CLASS_BITS
         place = (target - begin) // size
-        kind = np.where(missed, m.class_at.reshape(-1).take(place * np.int64(m.lanes) + m.row), m.none)
-        class_at = kind * np.int64(m.lanes) + m.row
+        kind = np.where(missed, m.class_at.reshape(-1).take(place * np.int32(m.lanes) + m.row32), none)
+        class_at = (kind * np.int32(m.lanes) + m.row32).astype(np.intp)
         span = m.class_span.reshape(-1).take(class_at)
-        gone = (begin + (span >> 10) * size).astype(_U) * unit
+        gone = (begin + (span >> 15) * size).astype(_U) * unit
         low += gone
         left -= gone
-        unit *= (size * (span & _MASK)).astype(_U)
-        bits = m.bits.take(kind)
-        below = np.maximum(bits - _DEEP, 0) if deep else None
+        unit *= (size * ((span >> 5) & _MASK)).astype(_U)
+        bits = (span & 31).astype(_U)
+        below = np.maximum(bits, _U(_DEEP)) - _U(_DEEP) if deep else None
         if deep:
             bits -= below
-        unit >>= bits.view(_U)
-        rest = np.minimum(left // unit, ((1 << bits) - 1).view(_U))
+        unit >>= bits
+        rest = np.minimum(left // unit, (_ONE << bits) - _ONE)
         low += rest * unit
         width[:] = unit
         c.settle()
         if deep:
-            unit = width >> below.view(_U)
-            more = np.minimum((code - low) // unit, ((1 << below) - 1).view(_U))
+            unit = width >> below
+            more = np.minimum((code - low) // unit, (_ONE << below) - _ONE)
             low += more * unit
             width[:] = unit
             c.settle()
-            rest = (rest << below.view(_U)) | more
-        literal = m.first_id.take(kind) + rest.view(np.int64)
-        p1, p2 = m.s1 >> 2, m.s2 >> 2
-        now = np.where(missed, literal.astype(np.int32), np.where(hit2, p2, p1))
-        m.learn(event_at, class_at, now, p1 == now, hit2)
+            rest = (rest << below) | more
+        now = np.where(missed, m.first_id.take(kind) + rest.astype(np.int32), np.where(hit2, m.s2, m.s1) >> 2)
+        m.learn(event_at, class_at, now)
         ids[t, :n] = now
     ids = np.ascontiguousarray(ids.T)
-    return [ids[lane, :s].astype(np.int64) for lane, s in enumerate(sizes)]
+    return [ids[lane, :s] for lane, s in enumerate(sizes)]

@@ -7,8 +7,8 @@ unsigned 32-bit integers and is verified on reading. `doc_ids`, `ordinals` and `
 of documents in the block: the document's id, its number in the part, how many of its ids are here.
 A block is read without any other, so reading is as parallel as there are blocks.
 
-Texts are cut at spaces and line breaks, where the tokenizer never joins, and the library encodes
-each distinct unit once per worker, in a cache of two halves of bounded size.
+Texts are cut at spaces and line breaks, where the tokenizer never joins, and units of plain letters, digits
+and signs on into its words. The library encodes each distinct word once per worker, in a cache of bounded size.
 
 Defined results: null is read as empty, which is the end id alone; documents with equal ids stand
 side by side in the order of their texts, a null id stands first; repeated rows are documents of
@@ -36,6 +36,8 @@ from panelspark.llm.common import join_small, pieces
 BLOCK_IDS = 1_024
 GROUP_BLOCKS = 4_096
 CACHE_UNITS = 400_000
+CACHE_CHARS = 1 << 24
+LONG_UNIT = 64
 
 _POLY = 0xEDB88320
 
@@ -146,6 +148,7 @@ class Units(dict):
         self.flat, self.filled = np.empty(1 << 16, dtype=np.uint32), 0
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.uses = np.empty(0, np.int64)
+        self.chars = 0
 
     def __missing__(self, unit: str) -> int:
         self[unit] = k = len(self)
@@ -158,8 +161,9 @@ class Units(dict):
         self._store([self[k] for k in keys], np.array([len(x) for x in ids]), np.array([i for x in ids for i in x]))
 
     def _room(self) -> None:
-        more = len(self) - len(self.start)
-        self.start, self.length = (np.append(a, np.zeros(more, np.int64)) for a in (self.start, self.length))
+        if len(self) > len(self.start):
+            more = np.zeros(len(self) + (1 << 16), np.int64)
+            self.start, self.length, self.uses = (np.append(a, more) for a in (self.start, self.length, self.uses))
 
     def _store(self, numbers: list[int] | np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         upto = np.cumsum(lengths)
@@ -203,6 +207,7 @@ class Units(dict):
     def learn(self) -> None:
         """Find the ids of the new words."""
         words, self.new = self.new, []
+        self.chars += sum(map(len, words))
         self._room()
         letters, others = [], words
         if self.splits:
@@ -216,24 +221,20 @@ class Units(dict):
 
     def forget(self) -> None:
         """Keep the words of more than one batch, at most half as many as the cache holds."""
-        uses, keys = self.uses, list(self)
+        uses, keys = self.uses[:len(self)], list(self)
         kept = np.flatnonzero(uses > 1)
         kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[:CACHE_UNITS // 2]])
+        kept = kept[np.array([len(keys[k]) <= LONG_UNIT for k in kept.tolist()], dtype=bool)]
         lengths, (ids, _) = self.length[kept], self._ids(kept)
         names = [keys[k] for k in kept.tolist()]
         self.clear()
-        fresh = [k for k, u in enumerate(names) if u not in self]
-        if len(fresh) < len(names):
-            edge = np.append(0, np.cumsum(lengths))
-            ids = np.concatenate([ids[edge[k]:edge[k + 1]] for k in fresh] or [ids[:0]])
-            names, lengths = [names[k] for k in fresh], lengths[fresh]
         self.update(zip(names, range(len(self), len(self) + len(names))))
         self._room()
         self._store(np.arange(len(self) - len(names), len(self)), lengths, ids)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, an end id after each, in a row, and the number of ids of each text."""
-        if len(self) > CACHE_UNITS:
+        if len(self) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.forget()
         if end_id not in self:  # a key that no text has
             self.add([[end_id]], [end_id])
@@ -242,7 +243,6 @@ class Units(dict):
         numbers = np.fromiter(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
         if self.new:
             self.learn()
-        self.uses = np.append(self.uses, np.zeros(len(self) - len(self.uses), np.int64))
         self.uses[numbers] += 1
         numbers = np.insert(numbers.take(coded.indices.to_numpy()), ends, self[end_id])
         ids, upto = self._ids(numbers)
@@ -324,7 +324,7 @@ def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         mine = np.flatnonzero(columns["id_bits"] == bits).tolist()
         for k, ids in zip(mine, range_coder.decode([payloads[k] for k in mine], [sizes[k] for k in mine], bits)):
             found[k] = ids
-    ids = np.concatenate([np.empty(0, np.int64), *found]).astype("<u4")
+    ids = np.concatenate([np.empty(0, np.int32), *found]).astype("<u4", copy=False)
     at = 0
     for k, (n, checksum) in enumerate(zip(sizes, columns["checksum"].tolist())):
         if zlib.crc32(ids[at:at + n]) != checksum:

@@ -10,6 +10,7 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -222,6 +223,32 @@ def test_range_coder_round_trip():
     assert len(range_coder.encode(repeated, 16)[0]) < 400  # 2,000 ids
 
 
+def test_blocks_are_coded_independently():
+    rnd = np.random.default_rng(6)
+    blocks = [rnd.zipf(1.3, n).clip(0, 49_000) for n in rnd.integers(0, 700, 40)]
+    coded = range_coder.encode(blocks, 16)
+    for k, b in enumerate(blocks):
+        assert range_coder.encode([b], 16) == [coded[k]]
+        assert (range_coder.decode([coded[k]], [len(b)], 16)[0] == b).all()
+    some = list(range(0, 40, 3))
+    back = range_coder.decode([coded[k] for k in some], [len(blocks[k]) for k in some], 16)
+    assert all((blocks[k] == ids).all() for k, ids in zip(some, back))
+
+
+def test_units_equal_library():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, units = Tokenizer.from_file(file), token_files.Units(file)
+    texts = ["", None, " ", "Hello, World!", "It's DON'T ''s", "x<|endoftext|>y <|endoftext|> <|ENDOFTEXT|>", "17.252 a1b2 ###% \t\r x\ty",
+             "ÉCOLE, straße; ŒUVRE İstanbul ΟΔΟΣ. ª µm ÿÝ", "²¼ ×÷ §x «quoi» naïve\u00ad a\u0301", "</w> a<b", "w" * 500]
+    for _ in range(2):
+        ids, sizes = units.encode(pa.array(texts, pa.string()), 2)
+        want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        units.uses[:] += 1
+        units.forget()
+    assert "w" * 500 not in units and "hello" in units
+
+
 def test_damaged_block_is_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5)
     rows = token_files.blocks(docs, public_tokenizers.path("word_bpe_49k.json"), 2, 16)

@@ -72,7 +72,7 @@ def cut(texts: pa.Array, plain: bool) -> tuple[pa.Array, np.ndarray]:
     is lower-cased and cut on into runs of letters, single digits and runs of signs. Others stay as they are.
     """
     texts = texts.fill_null("").cast(pa.large_string())
-    _, offsets, data = pa.concat_arrays([texts]).buffers()
+    _, offsets, data = texts.buffers()  # of a slice: the whole array's
     edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[edges[0]:edges[-1]] if data is not None and len(texts) else np.empty(0, np.uint8)
     edges = edges - edges[0] if len(edges) else np.zeros(1, np.int64)

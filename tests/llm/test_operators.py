@@ -246,6 +246,8 @@ def test_units_equal_library():
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
         units.uses[:] += 1
         units.forget()
+    ids, sizes = units.encode(pa.array(texts, pa.string())[3:6], 2)  # a slice
+    assert sizes.tolist() == [len(w) for w in want[3:6]] and ids.tolist() == sum(want[3:6], [])
     assert "w" * 500 not in units and "hello" in units
 
 

@@ -83,6 +83,35 @@ def test_pieces_check_raises():
         codec.verify()
 
 
+def test_pieces_of_a_batch_are_merged_side_by_side(monkeypatch):
+    sp, codec, alone = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentence_pieces.Codec(MODEL), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda unit: alone.append(unit) or merge(unit))
+    rnd = np.random.default_rng(2)
+    texts = [" ".join("".join(rnd.choice(list("abcdeinorstéà"), rnd.integers(1, 60))) for _ in range(40)) for _ in range(50)]
+    texts += ["", " ", "\n", "a\n\nb", "  a  b \n", "a▁b", "😀 x", "y" * 63, "y" * 64, "y" * 65]
+    texts += ["".join(rnd.choice(list(" \n\t▁abé中😀x."), rnd.integers(0, 25))) for _ in range(200)]
+    for limit in (sentence_pieces.CACHE_UNITS, 20):
+        monkeypatch.setattr(sentence_pieces, "CACHE_UNITS", limit)
+        got = list(codec.batch(texts))
+        if limit > 20:  # only long units and those with a character that is no piece have a heap of their own
+            assert not [u for u in alone if len(u) <= 64 and all(ch in codec.ids for ch in u)]
+        codec.verify()
+        for t, (ids, n, back), want in zip(texts, got, sp.encode(texts)):
+            want.append(sp.eos_id())
+            assert ids == " ".join(map(str, want)) and n == len(want) and back.decode() == sp.decode(want), repr(t)
+    assert not list(codec.batch([]))
+
+
+def test_pieces_check_of_a_batch_raises():
+    codec = sentence_pieces.Codec(MODEL)
+    codec.pairs = sentence_pieces._Pairs(codec.ids, {p: -s for p, s in codec.scores.items()})  # the wrong order
+    for text in ("thingingha erblesh", "a\nthingingha erblesh"):
+        list(codec.batch([text]))
+        with pytest.raises(ValueError, match="differ"):
+            codec.verify()
+
+
 # 2: personal data
 
 def plain_spans(t):
